@@ -27,8 +27,8 @@ INSULTS = "idiot stupid moron scum trash pathetic worthless disgusting loser clo
 COMMON = "the of and to in a is that it was for on are as with his they be at this der die das und ein eine zu den von mit für ist nicht le la les de des et un une est que dans pour qui el los las y en por con para"
 
 #: Labellers of each task, in the order of the votes. 1 good, 0 bad, -1 no vote.
-QUALITY = ("symbols", "capitals", "stutter", "repeats", "function_words", "odd_endings", "labels")
-TOXICITY = ("any_insult", "insult_share", "labels")
+QUALITY = ("symbols", "capitals", "stutter", "repeats", "function_words", "odd_endings", "whole", "labels")
+TOXICITY = ("insults", "labels")
 BUCKETS = 16
 _ASCII = np.arange(256)
 _UPPER, _LOWER = (_ASCII >= 65) & (_ASCII <= 90), (_ASCII >= 97) & (_ASCII <= 122)
@@ -39,6 +39,7 @@ def _known(words: str) -> np.ndarray:
     return np.sort(np.concatenate([hash_words(w.encode())[0] for w in words.split()]))
 
 
+_MARKS = str.maketrans(".,;:!?\"'()*#$%&|", " " * 16)
 _INSULTS, _COMMON = _known(INSULTS), _known(COMMON)
 
 
@@ -49,14 +50,17 @@ class Traits:
     shares: dict[str, float]
     words: np.ndarray  # hashes of lower-case words without marks at their ends
     insults: int
-    odd: np.ndarray  # last bytes of the words
+    starts: np.ndarray  # first five bytes of these words, as numbers
 
 
 def traits(text: str | None) -> Traits:
     raw = (text or "").encode()
     data = np.frombuffer(raw, np.uint8)
     words, starts, ends = hash_words(raw)
-    plain = hash_words((text or "").lower().translate(str.maketrans(".,;:!?\"'()*#$%&|", " " * 16)).encode())[0]
+    clean = (text or "").lower().translate(_MARKS).encode()
+    plain, at, end = hash_words(clean)
+    bytes5 = np.frombuffer(clean + b"    ", np.uint8)
+    front = sum(np.where(at + i < end, bytes5[at + i], 0).astype(np.uint64) << np.uint64(8 * i) for i in range(5)) if len(at) else plain
     upper, lower = int(_UPPER[data].sum()), int(_LOWER[data].sum())
     n = max(1, len(words))
     grams = gram_hashes(words, 5)
@@ -69,7 +73,7 @@ def traits(text: str | None) -> Traits:
         "function_words": float(np.isin(plain, _COMMON).sum()) / n,
         "odd_endings": float(_ODD[last].sum()) / n,
     }
-    return Traits(shares, plain, int(np.isin(plain, _INSULTS).sum()), last)
+    return Traits(shares, plain, int(np.isin(plain, _INSULTS).sum()), front)
 
 
 #: Share from which a labeller says bad, and share up to which it says good (function words: the other way round).
@@ -77,43 +81,44 @@ BOUNDS = {"symbols": (0.06, 0.03), "capitals": (0.5, 0.2), "stutter": (0.15, 0.0
 
 
 def votes(t: Traits) -> tuple[list[int], list[int]]:
-    """Votes on quality and toxicity, without those of the labels. Texts of under 8 words get no votes on quality."""
-    quality = []
-    for name in QUALITY[:-1]:
-        bad, good = BOUNDS[name]
-        x, sign = t.shares[name], 1 if bad > good else -1
-        quality.append(-1 if len(t.words) < 8 else 0 if sign * x >= sign * bad else 1 if sign * x <= sign * good else -1)
-    share = t.insults / max(1, len(t.words))
-    return quality, [0 if t.insults else 1, 0 if share >= 0.004 else 1 if not share else -1]
+    """Votes on quality and toxicity, without those of the labels. The first labellers only say bad or nothing, the last
+    one judges the whole. Texts of under 8 words are judged by their marks alone."""
+    worse = {name: (x - BOUNDS[name][0]) * (BOUNDS[name][0] - BOUNDS[name][1]) >= 0 for name, x in t.shares.items()}
+    fine = {name: (x - BOUNDS[name][1]) * (BOUNDS[name][0] - BOUNDS[name][1]) <= 0 for name, x in t.shares.items()}
+    seen = QUALITY[:-2] if len(t.words) >= 8 else ("symbols", "odd_endings")
+    quality = [0 if name in seen and worse[name] else -1 for name in QUALITY[:-2]]
+    whole = 0 if 0 in quality and not fine["function_words"] else 1 if all(fine[name] for name in seen) else -1
+    return [*quality, whole], [0 if t.insults else -1]
 
 
 @dataclass
 class LabelModel:
-    """Share of good documents; how often each labeller says good of a good, and of a bad document."""
+    """Share of good documents, and each labeller's chances of its three votes (nothing, bad, good) on a good and on a
+    bad document. The last column of the patterns holds given labels, which are right 99 times in 100."""
 
     prior: float
     good: np.ndarray
     bad: np.ndarray
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
-        cast = patterns >= 0
-        log = lambda p: np.where(cast, np.where(patterns == 1, np.log(p), np.log(1 - p)), 0).sum(1)
+        own, given = patterns[:, :-1] + 1, patterns[:, -1]
+        log = lambda p: np.log(p)[np.arange(own.shape[1]), own].sum(1)
         a, b = np.log(self.prior) + log(self.good), np.log(1 - self.prior) + log(self.bad)
-        return 1 / (1 + np.exp(b - a))
+        return np.where(given == 1, 0.99, np.where(given == 0, 0.01, 1 / (1 + np.exp(np.clip(b - a, -50, 50)))))
 
 
 def fit_labels(patterns: np.ndarray, counts: np.ndarray, *, rounds: int = 100, prior: float = 0.85) -> LabelModel:
-    """Expectation-maximisation from labellers that are right 9 times in 10 (or say good of everything half as often)."""
-    m = patterns.shape[1] if patterns.ndim == 2 else 0
-    model = LabelModel(prior, np.full(m, 0.9), np.full(m, 0.3))
+    """Expectation-maximisation. At the start every labeller is taken to find a third of its class and to be wrong one
+    time in 50; without documents that is the result."""
+    m = patterns.shape[1] - 1
+    model = LabelModel(prior, np.tile([0.65, 0.02, 0.33], (m, 1)), np.tile([0.65, 0.33, 0.02], (m, 1)))
     if not counts.sum():
         return model
-    cast, yes = patterns >= 0, patterns == 1
+    cast = np.stack([patterns[:, :-1] == v for v in (-1, 0, 1)], 2).astype(float)
     for _ in range(rounds):
         p = model.posterior(patterns)
-        rate = lambda w: (w @ yes + 1) / (w @ cast + 2)
-        good, bad = rate(counts * p), rate(counts * (1 - p))
-        new = LabelModel(float(np.clip((counts @ p + 1) / (counts.sum() + 2), 0.01, 0.99)), np.clip(good, 0.01, 0.99), np.clip(bad, 0.01, 0.99))
+        rate = lambda w: (np.einsum("k,kmv->mv", w, cast) + [0.5, 0.01, 0.01]) / (w.sum() + 0.52)
+        new = LabelModel(float(np.clip(counts @ p / counts.sum(), 0.01, 0.99)), rate(counts * p), rate(counts * (1 - p)))
         done = np.abs(new.good - model.good).max() + np.abs(new.bad - model.bad).max() < 1e-6
         model = new
         if done:
@@ -122,10 +127,10 @@ def fit_labels(patterns: np.ndarray, counts: np.ndarray, *, rounds: int = 100, p
 
 
 def hashed_features(t: Traits, bits: int) -> np.ndarray:
-    """Places of the features that a document has: its words, its shares in buckets, the insults and odd endings."""
+    """Places of the features that a document has: its words and their starts, its shares in buckets, its insults."""
     marks = [mix(np.array([i * 1000 + min(BUCKETS - 1, int(x * BUCKETS * 2))], np.uint64)) for i, x in enumerate(t.shares.values(), 1)]
     marks.append(mix(np.array([90_000 + min(3, t.insults)], np.uint64)))
-    return np.unique(np.concatenate([t.words, *marks]) & np.uint64((1 << bits) - 1)).astype(np.int32)
+    return np.unique(np.concatenate([t.words, mix(t.starts + np.uint64(1)), *marks]) & np.uint64((1 << bits) - 1)).astype(np.int32)
 
 
 @dataclass
@@ -138,22 +143,21 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(self.weights[features].sum() + self.bias, -30, 30))))
 
 
-def fit_scorer(features: list[np.ndarray], target: np.ndarray, bits: int, *, rounds: int = 120, penalty: float = 3e-4) -> Scorer:
-    """Logistic regression on soft labels, by Adam over the whole sample; both classes weigh the same in all."""
+def fit_scorer(features: list[np.ndarray], target: np.ndarray, bits: int, *, rounds: int = 150, penalty: float = 1e-3) -> Scorer:
+    """Logistic regression on soft labels, by Adam over the whole sample. Its classes keep their shares, so that a clean
+    document is rarely rejected for a word."""
     if not features:
         return Scorer(np.zeros(1 << bits, np.float32), 5.0, bits)
     column, row = np.concatenate(features), np.repeat(np.arange(len(features)), [len(f) for f in features])
     used, column = np.unique(column, return_inverse=True)
-    share = np.clip(target.mean(), 0.05, 0.95)
-    importance = target / share + (1 - target) / (1 - share)
     w, bias = np.zeros(len(used)), 0.0
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for i in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[column], len(features)) + bias, -30, 30)))
-        error = (p - target) * importance / len(features)
+        error = (p - target) / len(features)
         g = np.append(np.bincount(column, error[row], len(used)) + penalty * w, error.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        step = 0.1 * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-7)
+        step = 0.2 / (1 + i / 10) * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-7)
         w -= step[:-1]
         bias -= step[-1]
     weights = np.zeros(1 << bits, np.float32)
