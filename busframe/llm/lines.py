@@ -32,12 +32,6 @@ def _hash(*parts: Column) -> Column:
     return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit("second"), *parts).alias("b"))
 
 
-def split_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, line of every line; a null text has none."""
-    lines = F.posexplode(F.split("text", "\n"))
-    return docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), lines.alias("line_no", "line"))
-
-
 def within_one_edit(a: Column, b: Column) -> Column:
     """Whether two arrays of words are at most one insertion, deletion or replacement apart."""
     longer, shorter = F.when(F.size(a) >= F.size(b), a).otherwise(b), F.when(F.size(a) >= F.size(b), b).otherwise(a)
@@ -56,50 +50,54 @@ def within_one_edit(a: Column, b: Column) -> Column:
     )
 
 
-def near_lines(distinct: DataFrame, min_words: int) -> DataFrame:
-    """(key) of the distinct lines (key, line, first) that are within one edit of an earlier one."""
-    rows = distinct.select("key", "first", _words(F.col("line")).alias("w")).withColumn("n", F.size("w"))
-    rows = rows.filter(F.col("n") >= min_words)
+def _numbered(numbers: Column, words: bool) -> Column:
+    """Rows (i, line or its words) of the lines of `text` whose numbers are in an array."""
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    chosen = F.filter(lines, lambda s: F.array_contains(numbers, s["i"]))
+    return F.explode(F.transform(chosen, lambda s: F.struct(s["i"].alias("line_no"), (_words(s["x"]) if words else s["x"]).alias("w"))))
+
+
+def near_lines(by_doc: DataFrame, firsts: DataFrame, min_words: int) -> DataFrame:
+    """(dk, near): numbers of the lines that are within one edit of an earlier one, among the first occurrences
+    (dk, mine) of the distinct lines. by_doc: (dk, text), dealt out by dk."""
+    place = ["dk", "line_no"]
+    spot = F.xxhash64(*place)
+    long = lambda df: df.filter(F.size("w") >= min_words).withColumn("n", F.size("w"))
+    rows = long(by_doc.join(firsts, "dk").select("dk", _numbered(F.col("mine"), True).alias("s")).select("dk", "s.*"))
 
     def halves(n: Column) -> list[Column]:
         h = (n / 2).cast("int")
         head, tail = F.slice("w", 1, h), F.slice("w", F.greatest(F.col("n") - h + 1, F.lit(1)), h)
         return [F.xxhash64(n, F.lit("head"), head), F.xxhash64(n, F.lit("tail"), tail)]
 
-    own, less = halves(F.col("n")), halves(F.col("n") - 1)
-    shares = rows.select("key", F.explode(F.array(*own, *less)).alias("half"))
-    common = shares.groupBy("half").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo <> hi").select("half")
-    likely = shares.join(common, "half", "left_semi").select("key").distinct()
-    likely = written(rows.join(likely, "key", "left_semi"), "likely-lines")
+    shares = rows.select(*place, F.explode(F.array(*halves(F.col("n")), *halves(F.col("n") - 1))).alias("half"))
+    common = shares.groupBy("half").agg(F.min(spot).alias("lo"), F.max(spot).alias("hi")).filter("lo <> hi").select("half")
+    likely = shares.join(common, "half", "left_semi").select(*place).distinct().groupBy("dk").agg(F.collect_list("line_no").alias("some"))
+    lines = by_doc.join(likely, "dk").select("dk", _numbered(F.col("some"), True).alias("s")).select("dk", "s.*").repartition(*place)
 
     # the hash of a list of words is the XOR of the hashes of (place, word), so that each deletion costs the same
-    words = likely.repartition("key").select("key", "first", "n", F.posexplode("w").alias("at", "word"))
-    line, before = Window.partitionBy("key"), Window.partitionBy("key").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    hashes = []
-    for name, seed in (("a", "first"), ("b", "second")):
-        here, moved = F.xxhash64(F.lit(seed), "at", "word"), F.xxhash64(F.lit(seed), F.col("at") - 1, "word")
-        head, tail = (F.coalesce(F.bit_xor(x).over(before), F.lit(0)) for x in (here, moved))
-        hashes.append(F.bit_xor(here).over(line).alias(f"whole_{name}"))
-        hashes.append(head.bitwiseXOR(F.bit_xor(moved).over(line)).bitwiseXOR(tail).bitwiseXOR(moved).alias(f"cut_{name}"))
-    words = words.select("key", "first", "n", "at", *hashes)
-    both = lambda kind, n: F.struct(n.alias("n"), *[F.col(f"{kind}_{x}").alias(x) for x in "ab"])
-    cut = F.struct("at", both("cut", F.col("n") - 1).alias("v"))
-    whole = F.struct(F.lit(-1).alias("at"), both("whole", F.col("n")).alias("v"))
-    keys = words.select("key", "first", F.explode(F.when(F.col("at") == 0, F.array(cut, whole)).otherwise(F.array(cut))).alias("x"))
-    keys = written(keys.select("key", "first", "x.v", "x.at"), "line-variants")
-    # of each key: the earliest line that replaced this word; the earliest with one word more; the earliest as it is
-    earliest = F.min(F.struct("first", "key"))
-    same = keys.filter("at >= 0").groupBy("v", "at").agg(earliest.alias("e"), F.max("key").alias("hi"), F.min("key").alias("lo")).filter("lo <> hi")
-    longer = keys.filter("at >= 0").groupBy("v").agg(earliest.alias("e"))
-    shorter = keys.filter("at < 0").groupBy("v").agg(earliest.alias("e"))
-    found = (
-        keys.join(same, ["v", "at"]).select("key", "first", "e")
-        .unionByName(keys.filter("at < 0").join(longer, "v").select("key", "first", "e"))
-        .unionByName(keys.filter("at >= 0").join(shorter, "v").select("key", "first", "e"))
-    )
-    partner = found.filter(F.col("e.first") < F.col("first")).groupBy("key").agg(F.min("e").alias("e")).select("key", F.col("e.key").alias("other"))
-    pair = partner.join(likely.select("key", "w"), "key").join(likely.select(F.col("key").alias("other"), F.col("w").alias("v")), "other")
-    return pair.filter(within_one_edit(F.col("w"), F.col("v"))).select("key")
+    words = lines.select(*place, F.size("w").alias("n"), F.posexplode("w").alias("at", "word"))
+    line, before = Window.partitionBy(*place), Window.partitionBy(*place).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    here, moved = F.xxhash64("at", "word"), F.xxhash64(F.col("at") - 1, "word")
+    head, tail = (F.coalesce(F.bit_xor(x).over(before), F.lit(0)) for x in (here, moved))
+    cut = head.bitwiseXOR(F.bit_xor(moved).over(line)).bitwiseXOR(tail).bitwiseXOR(moved)
+    words = words.select(*place, "n", "at", F.bit_xor(here).over(line).alias("whole"), cut.alias("cut"))
+    cut = F.struct("at", F.xxhash64(F.col("n") - 1, "cut").alias("v"))
+    whole = F.struct(F.lit(-1).alias("at"), F.xxhash64("n", "whole").alias("v"))
+    keys = words.select(*place, F.explode(F.when(F.col("at") == 0, F.array(cut, whole)).otherwise(F.array(cut))).alias("x")).select(*place, "x.v", "x.at")
+
+    # of each variant: the earliest line that has it, by the place of the deleted word (-1: the line as it is)
+    me = F.struct(*place)
+    held = keys.groupBy("v", "at").agg(F.min(me).alias("e"), F.max(me).alias("last"))
+    held = held.groupBy("v").agg(F.min("e").alias("lo"), F.max("last").alias("hi"), F.collect_list(F.struct("at", "e")).alias("held")).filter("lo <> hi")
+    # a line as it is matches longer ones with any word deleted; one with a word deleted matches those that replaced
+    # the same word, and the shorter line itself
+    fits = F.filter("held", lambda h: F.when(F.col("at") < 0, h["at"] >= 0).otherwise((h["at"] == F.col("at")) | (h["at"] < 0)))
+    found = keys.join(held.select("v", "held"), "v").select(*place, F.array_min(F.transform(fits, lambda h: h["e"])).alias("e"))
+    partner = found.filter(F.col("e") < me).groupBy(*place).agg(F.min("e").alias("e")).select(*place, F.col("e.dk").alias("d2"), F.col("e.line_no").alias("l2"))
+    pair = partner.join(lines, place).join(lines.select(F.col("dk").alias("d2"), F.col("line_no").alias("l2"), F.col("w").alias("v")), ["d2", "l2"])
+    near = pair.filter(within_one_edit(F.col("w"), F.col("v")))
+    return near.groupBy("dk").agg(F.collect_set("line_no").alias("near"))
 
 
 def dedup_lines(docs: DataFrame, *, min_words: int = 5) -> DataFrame:
@@ -107,24 +105,22 @@ def dedup_lines(docs: DataFrame, *, min_words: int = 5) -> DataFrame:
 
     Blank lines always stay. A null text stays null, with no lines; an empty one is one blank line. Rows with the same
     doc_id and text count as one document: they are returned as often as they came, each with the same outcome (a line
-    is not removed for its own copy in a repeated row). Other columns aren't looked at."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lines = split_lines(ids).filter(F.length(F.trim(F.regexp_replace("line", WORDS, " "))) > 0)
-    lines = lines.withColumn("key", _hash(F.col("line"))).withColumn("place", F.struct("doc_id", "line_no"))
-    distinct = lines.groupBy("key").agg(F.min("place").alias("first"), F.first("line").alias("line"))
-    distinct = written(distinct, "distinct-lines")
-    near = near_lines(distinct, min_words).withColumn("near", F.lit(True))
-    kept = distinct.join(near, "key", "left").filter("near is null").select("first")
-    kept = kept.select(F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
-    stay = kept.groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("stay"))  # of one document
+    is not removed for its own copy in a repeated row). A null doc_id comes before all others. Other columns aren't
+    looked at.
+
+    Texts are shuffled once, by document; lines travel as hashes, but for those that may have a near copy."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("dk"))
+    lines = ids.filter(F.col("text").isNotNull()).select("dk", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = lines.filter(F.rlike("line", F.lit("[^\\x20\\x09-\\x0d]"))).select(_hash(F.col("line")).alias("key"), F.struct("dk", "line_no").alias("place"))
+    firsts = lines.groupBy("key").agg(F.min("place").alias("first")).groupBy(F.col("first.dk").alias("dk")).agg(F.collect_list("first.line_no").alias("mine"))
+    firsts = written(firsts, "first-lines")
+    by_doc = ids.repartition("dk")
+    near = near_lines(by_doc.filter(F.col("text").isNotNull()), firsts, min_words)
     split = F.split("text", "\n")
-    last = F.size(split) - 1
-    blank = F.filter(F.sequence(F.lit(0), last), lambda i: F.length(F.trim(F.regexp_replace(F.get(split, i), WORDS, " "))) == 0)
-    out = ids.withColumn("d", F.col("doc_id")).join(stay.withColumnRenamed("doc_id", "k"), F.col("d").eqNullSafe(F.col("k")), "left")
-    stays = F.filter(F.coalesce("stay", F.array().cast("array<int>")), lambda i: i <= last)
-    left = F.transform(F.array_sort(F.array_union(blank, stays)), lambda i: F.get(split, i))
-    out = out.withColumn("left", F.when(F.col("text").isNotNull(), left))
-    n = F.coalesce(F.size(split), F.lit(0))
-    n = F.when(F.col("text").isNull(), 0).otherwise(n).cast("long")
+    none = F.array().cast("array<int>")
+    stays = F.array_except(F.coalesce("mine", none), F.coalesce("near", none))
+    kept = F.filter(F.transform(split, lambda x, i: F.when(~F.rlike(x, F.lit("[^\\x20\\x09-\\x0d]")) | F.array_contains(F.col("stays"), i), x)), lambda x: x.isNotNull())
+    out = by_doc.join(firsts, "dk", "left").join(near, "dk", "left").withColumn("stays", stays)
+    out = out.select("doc_id", "text", F.when(F.col("text").isNotNull(), kept).alias("left"), F.when(F.col("text").isNotNull(), F.size(split)).otherwise(0).cast("long").alias("n_lines"))
     n_left = F.when(F.col("text").isNull(), 0).otherwise(F.size("left")).cast("long")
-    return out.select("doc_id", n.alias("n_lines"), (n - n_left).alias("n_removed"), F.array_join("left", "\n").alias("text"))
+    return out.select("doc_id", "n_lines", (F.col("n_lines") - n_left).alias("n_removed"), F.array_join("left", "\n").alias("text"))
