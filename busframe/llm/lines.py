@@ -109,18 +109,19 @@ def dedup_lines(docs: DataFrame, *, min_words: int = 5) -> DataFrame:
     looked at.
 
     Texts are shuffled once, by document; lines travel as hashes, but for those that may have a near copy."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("dk"))
+    missing = F.lit(-(1 << 63))  # stands for a null doc_id; every reader of by_doc takes the same two columns of one exchange
+    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), missing).alias("dk"), "text")
     lines = ids.filter(F.col("text").isNotNull()).select("dk", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     lines = lines.filter(F.rlike("line", F.lit("[^\\x20\\x09-\\x0d]"))).select(_hash(F.col("line")).alias("key"), F.struct("dk", "line_no").alias("place"))
     firsts = lines.groupBy("key").agg(F.min("place").alias("first")).groupBy(F.col("first.dk").alias("dk")).agg(F.collect_list("first.line_no").alias("mine"))
     firsts = written(firsts, "first-lines")
     by_doc = ids.repartition("dk")
-    near = near_lines(by_doc.filter(F.col("text").isNotNull()), firsts, min_words)
+    near = near_lines(by_doc, firsts, min_words)
     split = F.split("text", "\n")
     none = F.array().cast("array<int>")
     stays = F.array_except(F.coalesce("mine", none), F.coalesce("near", none))
     kept = F.filter(F.transform(split, lambda x, i: F.when(~F.rlike(x, F.lit("[^\\x20\\x09-\\x0d]")) | F.array_contains(F.col("stays"), i), x)), lambda x: x.isNotNull())
     out = by_doc.join(firsts, "dk", "left").join(near, "dk", "left").withColumn("stays", stays)
-    out = out.select("doc_id", "text", F.when(F.col("text").isNotNull(), kept).alias("left"), F.when(F.col("text").isNotNull(), F.size(split)).otherwise(0).cast("long").alias("n_lines"))
+    out = out.select(F.nullif(F.col("dk"), missing).alias("doc_id"), "text", F.when(F.col("text").isNotNull(), kept).alias("left"), F.when(F.col("text").isNotNull(), F.size(split)).otherwise(0).cast("long").alias("n_lines"))
     n_left = F.when(F.col("text").isNull(), 0).otherwise(F.size("left")).cast("long")
     return out.select("doc_id", "n_lines", (F.col("n_lines") - n_left).alias("n_removed"), F.array_join("left", "\n").alias("text"))
