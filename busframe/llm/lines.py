@@ -88,8 +88,9 @@ def near_lines(by_doc: DataFrame, firsts: DataFrame, min_words: int) -> DataFram
 
     # of each variant: the earliest line that has it, by the place of the deleted word (-1: the line as it is)
     me = F.struct(*place)
-    held = keys.groupBy("v", "at").agg(F.min(me).alias("e"), F.max(me).alias("last"))
-    held = held.groupBy("v").agg(F.min("e").alias("lo"), F.max("last").alias("hi"), F.collect_list(F.struct("at", "e")).alias("held")).filter("lo <> hi")
+    held = keys.groupBy("v", "at").agg(F.min(me).alias("e"), F.count("*").alias("c"))
+    held = held.groupBy("v").agg(F.min("e").alias("lo"), F.max("e").alias("hi"), F.max("c").alias("c"), F.collect_list(F.struct("at", "e")).alias("held"))
+    held = held.filter("lo <> hi or c > 1")
     # a line as it is matches longer ones with any word deleted; one with a word deleted matches those that replaced
     # the same word, and the shorter line itself
     fits = F.filter("held", lambda h: F.when(F.col("at") < 0, h["at"] >= 0).otherwise((h["at"] == F.col("at")) | (h["at"] < 0)))
