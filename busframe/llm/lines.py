@@ -15,6 +15,8 @@ shuffled. The partner found is joined back and the edit distance verified word b
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,8 +103,9 @@ def near_lines(by_doc: DataFrame, firsts: DataFrame, min_words: int) -> DataFram
     return near.groupBy("dk").agg(F.collect_set("line_no").alias("near"))
 
 
-def dedup_lines(docs: DataFrame, *, min_words: int = 5) -> DataFrame:
-    """doc_id, n_lines, n_removed, text (the kept lines, joined by line feeds) of every row.
+def dedup_lines(docs: DataFrame, *, min_words: int = 5, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, n_lines, n_removed, text (the kept lines, joined by line feeds) of every row, and `carried`, a struct of
+    the columns in carry, where there are some.
 
     Blank lines always stay. A null text stays null, with no lines; an empty one is one blank line. Rows with the same
     doc_id and text count as one document: they are returned as often as they came, each with the same outcome (a line
@@ -123,6 +126,9 @@ def dedup_lines(docs: DataFrame, *, min_words: int = 5) -> DataFrame:
     stays = F.array_except(F.coalesce("mine", none), F.coalesce("near", none))
     kept = F.filter(F.transform(split, lambda x, i: F.when(~F.rlike(x, F.lit("[^\\x20\\x09-\\x0d]")) | F.array_contains(F.col("stays"), i), x)), lambda x: x.isNotNull())
     out = by_doc.join(firsts, "dk", "left").join(near, "dk", "left").withColumn("stays", stays)
-    out = out.select(F.nullif(F.col("dk"), missing).alias("doc_id"), "text", F.when(F.col("text").isNotNull(), kept).alias("left"), F.when(F.col("text").isNotNull(), F.size(split)).otherwise(0).cast("long").alias("n_lines"))
+    if carry:  # joined where the texts are, so that they aren't shuffled again
+        key = F.coalesce(F.col("doc_id").cast("long"), missing).alias("dk")
+        out = out.join(docs.select(key, F.struct(*carry).alias("carried")).dropDuplicates(["dk"]), "dk")
+    out = out.select(F.nullif(F.col("dk"), missing).alias("doc_id"), *["carried"] * bool(carry), "text", F.when(F.col("text").isNotNull(), kept).alias("left"), F.when(F.col("text").isNotNull(), F.size(split)).otherwise(0).cast("long").alias("n_lines"))
     n_left = F.when(F.col("text").isNull(), 0).otherwise(F.size("left")).cast("long")
-    return out.select("doc_id", "n_lines", (F.col("n_lines") - n_left).alias("n_removed"), F.array_join("left", "\n").alias("text"))
+    return out.select("doc_id", "n_lines", (F.col("n_lines") - n_left).alias("n_removed"), F.array_join("left", "\n").alias("text"), *["carried"] * bool(carry))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..session import ship_package
 from .common import gram_hashes, hash_words, mix
 
-#: Insults, and function words of four languages (fixed word lists).
+#: Insults, and function words of four languages (fixed word lists); compared without upper case in A-Z.
 INSULTS = "idiot stupid moron scum trash pathetic worthless disgusting loser clown"
 COMMON = "the of and to in a is that it was for on are as with his they be at this der die das und ein eine zu den von mit für ist nicht le la les de des et un une est que dans pour qui el los las y en por con para"
 
@@ -39,8 +39,21 @@ def _known(words: str) -> np.ndarray:
     return np.sort(np.concatenate([hash_words(w.encode())[0] for w in words.split()]))
 
 
-_MARKS = str.maketrans(".,;:!?\"'()*#$%&|", " " * 16)
-_INSULTS, _COMMON = _known(INSULTS), _known(COMMON)
+#: A-Z to lower case, marks to blanks.
+_FOLD = bytes(ord(" ") if chr(i) in ".,;:!?\"'()*#$%&|" else i + 32 if _UPPER[i] else i for i in range(256))
+_FIRST = np.array([(1 << (8 * i)) - 1 for i in range(6)], np.uint64)
+
+
+def _member(words: str):
+    """A function from word hashes to the number of them that are in a list; a slot holds one of its hashes."""
+    slots = np.zeros(1 << 18, np.uint64)
+    known = _known(words)
+    slots[known & np.uint64(0x3FFFF)] = known
+    assert len(np.unique(known & np.uint64(0x3FFFF))) == len(np.unique(known))
+    return lambda hashes: int((slots[hashes & np.uint64(0x3FFFF)] == hashes).sum())
+
+
+_insults, _common = _member(INSULTS), _member(COMMON)
 
 
 @dataclass
@@ -57,10 +70,10 @@ def traits(text: str | None) -> Traits:
     raw = (text or "").encode()
     data = np.frombuffer(raw, np.uint8)
     words, starts, ends = hash_words(raw)
-    clean = (text or "").lower().translate(_MARKS).encode()
-    plain, at, end = hash_words(clean)
-    bytes5 = np.frombuffer(clean + b"    ", np.uint8)
-    front = sum(np.where(at + i < end, bytes5[at + i], 0).astype(np.uint64) << np.uint64(8 * i) for i in range(5)) if len(at) else plain
+    folded = raw.translate(_FOLD)
+    plain, at, end = hash_words(folded)
+    eight = np.ndarray(len(folded) + 1, "<u8", folded + b"        ", strides=(1,))  # the eight bytes from each place
+    front = eight[at] & _FIRST[np.minimum(end - at, 5)] if len(at) else plain
     upper, lower = int(_UPPER[data].sum()), int(_LOWER[data].sum())
     n = max(1, len(words))
     grams = gram_hashes(words, 5)
@@ -70,10 +83,10 @@ def traits(text: str | None) -> Traits:
         "capitals": upper / max(1, upper + lower),
         "stutter": float((words[1:] == words[:-1]).sum()) / n,
         "repeats": 1 - len(np.unique(grams)) / len(grams) if len(grams) else 0.0,
-        "function_words": float(np.isin(plain, _COMMON).sum()) / n,
+        "function_words": _common(plain) / n,
         "odd_endings": float(_ODD[last].sum()) / n,
     }
-    return Traits(shares, plain, int(np.isin(plain, _INSULTS).sum()), front)
+    return Traits(shares, plain, _insults(plain), front)
 
 
 #: Share from which a labeller says bad, and share up to which it says good (function words: the other way round).
