@@ -58,7 +58,8 @@ def _shift(value: Column, by: Number) -> Column:
 def _mask(value: Column, length: Number) -> Column:
     if isinstance(length, int):
         return value if length >= 64 else value.bitwiseAND((1 << length) - 1)
-    return F.when(length >= 64, value).otherwise(value.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.least(length, F.lit(63))) - 1))
+    ones = F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), F.least(F.greatest(64 - length, F.lit(0)), F.lit(63)))
+    return value.bitwiseAND(ones)
 
 
 def _valid(value: Column, start: Number, length: Number) -> Column:

@@ -128,7 +128,7 @@ def n2k_description(pgn: Column, data: Column) -> Column:
             value = _field(data, *rest)
             if rest[2] in ("u", "s"):
                 unit = "°" if rest[4] == DEG else rest[4]
-                value = F.coalesce(F.concat(F.format_string(f"%.{rest[5]}f", value), F.lit(unit)), F.lit("n/a"))
+                value = F.when(value.isNotNull(), F.concat(F.format_string(f"%.{rest[5]}f", value), F.lit(unit))).otherwise("n/a")
             shown[name] = value.cast("string")
         parts = []
         for piece in TEXTS[group].split("{"):

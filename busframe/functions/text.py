@@ -122,7 +122,8 @@ def format_value(value: Column, value_type: str, factor: float, offset: float) -
         digits = 7 if value_type == "float32" else 15
         exponent = F.floor(F.log10(F.abs(value)))
         fixed = (exponent >= -5) & (exponent < digits)
-        plain = F.format_string(f"%.{digits + 4}f", F.round(value, digits + 4))
+        rounded = F.format_string(f"%.{digits - 1}e", value).cast("double")
+        plain = F.format_string(f"%.{digits + 4}f", rounded)
         shown = F.when(value == 0, "0").when(fixed, F.regexp_replace(F.regexp_replace(plain, r"(\.[0-9]*?)0+$", "$1"), r"\.$", ""))
         shown = shown.otherwise(F.format_string(f"%.{digits - 1}e", value))
     return F.when(F.rlike(shown, F.lit(r"^-[0.]*$")), F.substring(shown, 2, 400)).otherwise(shown)
