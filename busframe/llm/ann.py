@@ -103,7 +103,7 @@ def search(
 
     def rank(found: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(found) or not len(asked):
-            return pd.DataFrame({"qkey": [], "vkey": [], "score": [], "ids": []})
+            return pd.DataFrame({"qkey": [], "vkey": [], "score": [], "ids": []}, dtype=object)
         x = np.array(found.vector.tolist(), float)
         place = np.full((len(found), n_pivots), prefix, np.int16)
         np.put_along_axis(place, np.array(found.prefix.tolist(), np.int64), np.arange(prefix, dtype=np.int16)[None], 1)

@@ -140,7 +140,9 @@ class MemberReader(DataSourceReader):
             sizes = json.loads(f.read())
         return [Range(name, at, at + self.step) for name, size in sizes for at in range(0, size, self.step)]
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Range | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # no archives
+            return
         files, root = _files(self.path)
         name = f"{root}/{part.archive}"
         with files.open_input_file(name) as f, zipfile.ZipFile(f) as archive:

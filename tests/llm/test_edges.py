@@ -18,7 +18,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ke
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(d, t, None if i % 3 else "en", None if i % 4 else "s", None if t is None else len(t), "k", 1, 2, 3, "g", 4, 5, 6, "f", 7, 8) for i, (d, t) in enumerate(TEXTS)]
+    rows = [(d, t, None if (d or 0) % 3 else "en", None if (d or 0) % 4 else "s", None if t is None else len(t), "k", 1, 2, 3, "g", 4, 5, 6, "f", 7, 8) for d, t in TEXTS]
     return spark.createDataFrame(rows, SCHEMA)
 
 
