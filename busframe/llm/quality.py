@@ -6,8 +6,12 @@ estimates each labeller's accuracy and the share of good documents; the posterio
 sample of documents, on which a linear scorer over hashed features is trained. The scorer judges every document where
 it is read. Two tasks are fitted this way, writing quality and toxicity; a document is rejected if either scorer says so.
 
-Scale: two scans of the texts; only votes are joined (with the labels) and counted. The sample is bounded by
-`max_sample`, a parameter.
+Toxicity has a labeller that works in every language the labels cover: a list of words that are frequent in labelled
+toxic documents and rare in labelled clean ones, mined from a bounded sample of labelled documents. Those documents also
+train the toxicity scorer, each with marks from a list that was mined without it.
+
+Scale: two scans of the texts, and one for the labelled sample; only votes are joined (with the labels) and counted. Each
+sample is bounded by `max_sample`, a parameter.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ COMMON = "the of and to in a is that it was for on are as with his they be at th
 
 #: Labellers of each task, in the order of the votes. 1 good, 0 bad, -1 no vote.
 QUALITY = ("symbols", "capitals", "stutter", "repeats", "function_words", "odd_endings", "whole", "labels")
-TOXICITY = ("insults", "labels")
+TOXICITY = ("insults", "marked", "labels")
 BUCKETS = 16
 _ASCII = np.arange(256)
 _UPPER, _LOWER = (_ASCII >= 65) & (_ASCII <= 90), (_ASCII >= 97) & (_ASCII <= 122)
@@ -93,7 +97,41 @@ def traits(text: str | None) -> Traits:
 BOUNDS = {"symbols": (0.06, 0.03), "capitals": (0.5, 0.2), "stutter": (0.15, 0.05), "repeats": (0.5, 0.25), "function_words": (0.02, 0.06), "odd_endings": (0.3, 0.1)}
 
 
-def votes(t: Traits) -> tuple[list[int], list[int]]:
+@dataclass
+class WordList:
+    """Words that mark toxic documents, by their sorted hashes."""
+
+    words: np.ndarray
+
+    def level(self, t: Traits) -> int:
+        """Distinct listed words of a text, at most 4; 0 for fewer than two, or fewer than one in 100 words."""
+        if not len(self.words):
+            return 0
+        at = np.minimum(np.searchsorted(self.words, t.words), len(self.words) - 1)
+        n = len(np.unique(t.words[self.words[at] == t.words]))
+        return min(4, n) if n >= max(2, 0.01 * len(t.words)) else 0
+
+
+def mine_words(words: list[np.ndarray], toxic: np.ndarray, *, least: int = 2, ratio: float = 8.0) -> WordList:
+    """Words of at least `least` toxic documents, whose share of the toxic documents is at least `ratio` times that of the
+    clean ones. words: the distinct word hashes of each document."""
+    none = [np.zeros(0, np.uint64)]
+    count = lambda which: np.unique(np.concatenate(none + [w for w, y in zip(words, toxic, strict=True) if y == which]), return_counts=True)
+    (seen, bad), (other, good) = count(True), count(False)
+    both = dict(zip(other.tolist(), good.tolist(), strict=True))
+    fine = np.array([both.get(w, 0) for w in seen.tolist()], float)
+    odds = (bad + 0.5) / (toxic.sum() + 1) / ((fine + 0.5) / ((~toxic).sum() + 1))
+    return WordList(seen[(bad >= least) & (odds >= ratio)])
+
+
+def mine_apart(words: list[np.ndarray], toxic: np.ndarray, folds: int = 5) -> tuple[WordList, list[WordList]]:
+    """The list of all documents, and for each one the list of those outside its fold."""
+    fold = np.arange(len(words)) % folds
+    apart = [mine_words([w for w, f in zip(words, fold, strict=True) if f != k], toxic[fold != k]) for k in range(folds)]
+    return mine_words(words, toxic), [apart[k] for k in fold]
+
+
+def votes(t: Traits, marks: WordList) -> tuple[list[int], list[int]]:
     """Votes on quality and toxicity, without those of the labels. The first labellers only say bad or nothing, the last
     one judges the whole. Texts of under 8 words are judged by their marks alone."""
     worse = {name: (x - BOUNDS[name][0]) * (BOUNDS[name][0] - BOUNDS[name][1]) >= 0 for name, x in t.shares.items()}
@@ -101,7 +139,7 @@ def votes(t: Traits) -> tuple[list[int], list[int]]:
     seen = QUALITY[:-2] if len(t.words) >= 8 else ("symbols", "odd_endings")
     quality = [0 if name in seen and worse[name] else -1 for name in QUALITY[:-2]]
     whole = 0 if 0 in quality and not fine["function_words"] else 1 if all(fine[name] for name in seen) else -1
-    return [*quality, whole], [0 if t.insults else -1]
+    return [*quality, whole], [0 if t.insults else -1, 0 if marks.level(t) else -1]
 
 
 @dataclass
@@ -146,6 +184,11 @@ def hashed_features(t: Traits, bits: int) -> np.ndarray:
     return np.unique(np.concatenate([t.words, mix(t.starts + np.uint64(1)), *marks]) & np.uint64((1 << bits) - 1)).astype(np.int32)
 
 
+def with_marks(features: np.ndarray, level: int, bits: int) -> np.ndarray:
+    """The features of the toxicity scorer: those of a document and its level in the word list."""
+    return np.union1d(features, (mix(np.array([95_000 + level], np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.int32))
+
+
 @dataclass
 class Scorer:
     weights: np.ndarray
@@ -184,11 +227,12 @@ class QualityModel:
     clean: Scorer
     quality_labels: LabelModel
     clean_labels: LabelModel
+    marks: WordList
 
     def column(self, text: Column) -> Column:
         """struct(quality, clean): probability that the writing is good, and that the text isn't toxic. A text without
         words has quality 0."""
-        quality, clean = self.quality, self.clean
+        quality, clean, marks = self.quality, self.clean, self.marks
 
         @F.pandas_udf("quality double, clean double")
         def score(texts: pd.Series) -> pd.DataFrame:
@@ -196,7 +240,7 @@ class QualityModel:
             for text in texts:
                 t = traits(text)
                 f = hashed_features(t, quality.bits)
-                out.append((quality(f) if len(t.words) else 0.0, clean(f)))
+                out.append((quality(f) if len(t.words) else 0.0, clean(with_marks(f, marks.level(t), clean.bits))))
             return pd.DataFrame(out, columns=["quality", "clean"], dtype=float)
 
         return score(text)
@@ -204,21 +248,34 @@ class QualityModel:
 
 def fit(docs: DataFrame, labels: DataFrame | None = None, *, max_sample: int = 8000, bits: int = 18) -> QualityModel:
     """labels: (doc_id, quality, toxic), for any part of the documents; nulls don't vote; of repeated ids the smallest
-    values count. At most max_sample documents, chosen by a hash of their id and text, train the scorers."""
+    values count. At most max_sample documents, chosen by a hash of their id and text, train the scorers; for toxicity, at
+    most max_sample labelled ones, chosen by a hash of their id, are added, from which the word list comes."""
 
     ship_package(docs.sparkSession)
 
-    @F.pandas_udf("q array<int>, t array<int>")
-    def vote(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([votes(traits(text)) for text in texts], columns=["q", "t"])
-
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    own = lambda df: df.withColumn("v", vote("text"))
+    told, told_ids, toxic = [], set(), np.zeros(0, bool)
     if labels is None:
         given = lambda df: df.select("*", F.lit(-1).alias("good"), F.lit(-1).alias("fine"))
     else:
         known = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("good"), (1 - F.max("toxic")).cast("int").alias("fine"))
         given = lambda df: df.join(known, "doc_id", "left").fillna(-1, ["good", "fine"])
+        here = known.filter("fine is not null").join(ids.select("doc_id"), "doc_id", "left_semi").select("doc_id", "fine")
+        picked = here.orderBy(F.xxhash64(F.lit("labelled"), "doc_id"), "doc_id").limit(max_sample).collect()
+        told_ids = {r.doc_id for r in picked}
+        picked = docs.sparkSession.createDataFrame(picked, "doc_id long, fine int")
+        # copies of a text count once
+        rows = ids.join(F.broadcast(picked), "doc_id").limit(max_sample).collect() if told_ids else []
+        texts = {r.text: r.fine for r in sorted(rows, key=lambda r: (-r.fine, r.doc_id))}
+        told, toxic = [traits(text) for text in texts], np.array([fine == 0 for fine in texts.values()], bool)
+        del rows, texts
+    marks, apart = mine_apart([np.unique(t.words) for t in told], toxic)
+
+    @F.pandas_udf("q array<int>, t array<int>")
+    def vote(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([votes(traits(text), marks) for text in texts], columns=["q", "t"])
+
+    own = lambda df: df.withColumn("v", vote("text"))
     all_votes = given(own(ids).select("doc_id", "v"))
     # a row per pattern: at most 3 to the power of the labellers, however many documents
     rows = all_votes.groupBy(F.concat("v.q", F.array("good")).alias("q"), F.concat("v.t", F.array("fine")).alias("t")).count().collect()
@@ -228,11 +285,16 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, *, max_sample: int = 8
 
     n = counts.sum()
     dice = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
-    sample = given(own(ids.filter(dice < 0.9 * max_sample / max(n, 1)).limit(max_sample))).select("text", "v", "good", "fine").collect()
+    sample = given(own(ids.filter(dice < 0.9 * max_sample / max(n, 1)).limit(max_sample))).select("doc_id", "text", "v", "good", "fine").collect()
     seen = [traits(r.text) for r in sample]
     features = [hashed_features(t, bits) for t in seen]
     target = lambda model, k, last: model.posterior(np.array([[*r.v[k], r[last]] for r in sample], int).reshape(len(sample), -1)) if sample else np.zeros(0)
-    return QualityModel(fit_scorer(features, target(quality, "q", "good"), bits), fit_scorer(features, target(clean, "t", "fine"), bits), quality, clean)
+    # documents of the labelled sample come with marks from a list mined without them
+    new = [i for i, r in enumerate(sample) if r.doc_id not in told_ids]
+    tox_features = [with_marks(features[i], marks.level(seen[i]), bits) for i in new]
+    tox_features += [with_marks(hashed_features(t, bits), m.level(t), bits) for t, m in zip(told, apart, strict=True)]
+    tox_target = np.concatenate([target(clean, "t", "fine")[new], np.where(toxic, 0.01, 0.99)])
+    return QualityModel(fit_scorer(features, target(quality, "q", "good"), bits), fit_scorer(tox_features, tox_target, bits), quality, clean, marks)
 
 
 def classify(docs: DataFrame, model: QualityModel, *, limit: float = 0.5) -> DataFrame:

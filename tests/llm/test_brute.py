@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from busframe.llm import jaccard, lines, mixing, packing, quality, queries, substrings, urls
 
@@ -275,6 +276,16 @@ def test_quality(spark):
     assert np.mean(clean) >= 0.95 and np.mean(poor) >= 0.7
 
 
+def test_toxic_recall_in_every_language(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels.filter("doc_id % 3 <> 0"))
+    held = docs.join(labels.filter("doc_id % 3 = 0"), "doc_id").select("lang", "toxic", model.column(F.col("text")).clean.alias("clean")).collect()
+    for lang in ("en", "de", "fr", "es"):
+        toxic, fine = ([r.clean < 0.5 for r in held if r.lang == lang and r.toxic == y] for y in (1, 0))
+        print(lang, sum(toxic), len(toxic), sum(fine), len(fine))
+        assert np.mean(toxic) >= 0.5 and np.mean(fine) <= 0.02
+
+
 def test_label_model():
     rng = np.random.default_rng(5)
     truth = rng.random(4000) < 0.8
