@@ -103,13 +103,13 @@ class WordList:
 
     words: np.ndarray
 
-    def level(self, t: Traits) -> int:
-        """Distinct listed words of a text, at most 4; 0 for fewer than two, or fewer than one in 100 words."""
+    def level(self, words: np.ndarray, n_words: int) -> int:
+        """Distinct listed words of a text, at most 4; 0 for fewer than two, or fewer than one in 100 of its words."""
         if not len(self.words):
             return 0
-        at = np.minimum(np.searchsorted(self.words, t.words), len(self.words) - 1)
-        n = len(np.unique(t.words[self.words[at] == t.words]))
-        return min(4, n) if n >= max(2, 0.01 * len(t.words)) else 0
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        n = len(np.unique(words[self.words[at] == words]))
+        return min(4, n) if n >= max(2, 0.01 * n_words) else 0
 
 
 def mine_words(words: list[np.ndarray], toxic: np.ndarray, *, least: int = 2, ratio: float = 8.0) -> WordList:
@@ -118,8 +118,9 @@ def mine_words(words: list[np.ndarray], toxic: np.ndarray, *, least: int = 2, ra
     none = [np.zeros(0, np.uint64)]
     count = lambda which: np.unique(np.concatenate(none + [w for w, y in zip(words, toxic, strict=True) if y == which]), return_counts=True)
     (seen, bad), (other, good) = count(True), count(False)
-    both = dict(zip(other.tolist(), good.tolist(), strict=True))
-    fine = np.array([both.get(w, 0) for w in seen.tolist()], float)
+    other, good = np.append(other, np.uint64((1 << 64) - 1)), np.append(good, 0)
+    at = np.minimum(np.searchsorted(other, seen), len(other) - 1)
+    fine = np.where(other[at] == seen, good[at], 0)
     odds = (bad + 0.5) / (toxic.sum() + 1) / ((fine + 0.5) / ((~toxic).sum() + 1))
     return WordList(seen[(bad >= least) & (odds >= ratio)])
 
@@ -139,7 +140,7 @@ def votes(t: Traits, marks: WordList) -> tuple[list[int], list[int]]:
     seen = QUALITY[:-2] if len(t.words) >= 8 else ("symbols", "odd_endings")
     quality = [0 if name in seen and worse[name] else -1 for name in QUALITY[:-2]]
     whole = 0 if 0 in quality and not fine["function_words"] else 1 if all(fine[name] for name in seen) else -1
-    return [*quality, whole], [0 if t.insults else -1, 0 if marks.level(t) else -1]
+    return [*quality, whole], [0 if t.insults else -1, 0 if marks.level(t.words, len(t.words)) else -1]
 
 
 @dataclass
@@ -204,8 +205,10 @@ def fit_scorer(features: list[np.ndarray], target: np.ndarray, bits: int, *, rou
     document is rarely rejected for a word."""
     if not features:
         return Scorer(np.zeros(1 << bits, np.float32), 5.0, bits)
-    column, row = np.concatenate(features), np.repeat(np.arange(len(features)), [len(f) for f in features])
-    used, column = np.unique(column, return_inverse=True)
+    column, row = np.concatenate(features), np.repeat(np.arange(len(features), dtype=np.int32), [len(f) for f in features])
+    present = np.zeros(1 << bits, bool)
+    present[column] = True
+    used, column = np.flatnonzero(present), (np.cumsum(present, dtype=np.int32) - 1)[column]
     w, bias = np.zeros(len(used)), 0.0
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for i in range(1, rounds + 1):
@@ -240,7 +243,7 @@ class QualityModel:
             for text in texts:
                 t = traits(text)
                 f = hashed_features(t, quality.bits)
-                out.append((quality(f) if len(t.words) else 0.0, clean(with_marks(f, marks.level(t), clean.bits))))
+                out.append((quality(f) if len(t.words) else 0.0, clean(with_marks(f, marks.level(t.words, len(t.words)), clean.bits))))
             return pd.DataFrame(out, columns=["quality", "clean"], dtype=float)
 
         return score(text)
@@ -267,9 +270,14 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, *, max_sample: int = 8
         # copies of a text count once
         rows = ids.join(F.broadcast(picked), "doc_id").limit(max_sample).collect() if told_ids else []
         texts = {r.text: r.fine for r in sorted(rows, key=lambda r: (-r.fine, r.doc_id))}
-        told, toxic = [traits(text) for text in texts], np.array([fine == 0 for fine in texts.values()], bool)
+        toxic = np.array([fine == 0 for fine in texts.values()], bool)
+        for text in texts:  # not all traits at once: the driver's memory is small
+            t = traits(text)
+            told.append((np.unique(t.words), len(t.words), hashed_features(t, bits)))
         del rows, texts
-    marks, apart = mine_apart([np.unique(t.words) for t in told], toxic)
+    marks, apart = mine_apart([words for words, *_ in told], toxic)
+    tox_features = [with_marks(f, m.level(words, n), bits) for (words, n, f), m in zip(told, apart, strict=True)]
+    del told, apart
 
     @F.pandas_udf("q array<int>, t array<int>")
     def vote(texts: pd.Series) -> pd.DataFrame:
@@ -286,15 +294,20 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, *, max_sample: int = 8
     n = counts.sum()
     dice = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
     sample = given(own(ids.filter(dice < 0.9 * max_sample / max(n, 1)).limit(max_sample))).select("doc_id", "text", "v", "good", "fine").collect()
-    seen = [traits(r.text) for r in sample]
-    features = [hashed_features(t, bits) for t in seen]
-    target = lambda model, k, last: model.posterior(np.array([[*r.v[k], r[last]] for r in sample], int).reshape(len(sample), -1)) if sample else np.zeros(0)
     # documents of the labelled sample come with marks from a list mined without them
     new = [i for i, r in enumerate(sample) if r.doc_id not in told_ids]
-    tox_features = [with_marks(features[i], marks.level(seen[i]), bits) for i in new]
-    tox_features += [with_marks(hashed_features(t, bits), m.level(t), bits) for t, m in zip(told, apart, strict=True)]
-    tox_target = np.concatenate([target(clean, "t", "fine")[new], np.where(toxic, 0.01, 0.99)])
-    return QualityModel(fit_scorer(features, target(quality, "q", "good"), bits), fit_scorer(tox_features, tox_target, bits), quality, clean, marks)
+    features, levels = [], []
+    for x in sample:
+        t = traits(x.text)
+        features.append(hashed_features(t, bits))
+        levels.append(marks.level(t.words, len(t.words)))
+    target = lambda model, k, last: model.posterior(np.array([[*r.v[k], r[last]] for r in sample], int).reshape(len(sample), -1)) if sample else np.zeros(0)
+    q_target, c_target = target(quality, "q", "good"), np.concatenate([np.where(toxic, 0.01, 0.99), target(clean, "t", "fine")[new]])
+    del sample
+    good_scorer = fit_scorer(features, q_target, bits)
+    tox_features += [with_marks(features[i], levels[i], bits) for i in new]
+    del features
+    return QualityModel(good_scorer, fit_scorer(tox_features, c_target, bits), quality, clean, marks)
 
 
 def classify(docs: DataFrame, model: QualityModel, *, limit: float = 0.5) -> DataFrame:
