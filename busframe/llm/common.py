@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step handles; longer texts are cut at white space.
 STEP_BYTES = 1 << 21
@@ -41,6 +42,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def document_key(doc_id: Column, text: Column, *, last: bool) -> Column:
+    """The number that stands for a document: its doc_id, or where that is null 62 bits of a hash of its text, moved above
+    (last) or below all ids between -2**62 and 2**62. Null-id rows are one document where their texts are equal."""
+    hashed = F.xxhash64(F.lit("document"), text).bitwiseAND((1 << 62) - 1)
+    return F.coalesce(doc_id.cast("long"), hashed + F.lit((1 << 62) if last else -(1 << 63)))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

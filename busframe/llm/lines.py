@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import document_key, written
 
 WORDS = "[\\x20\\x09\\x0b-\\x0d]+"
 
@@ -109,12 +109,13 @@ def dedup_lines(docs: DataFrame, *, min_words: int = 5, carry: Sequence[str] = (
 
     Blank lines always stay. A null text stays null, with no lines; an empty one is one blank line. Rows with the same
     doc_id and text count as one document: they are returned as often as they came, each with the same outcome (a line
-    is not removed for its own copy in a repeated row). A null doc_id comes before all others. Other columns aren't
-    looked at.
+    is not removed for its own copy in a repeated row). Rows with a null doc_id and different texts are different
+    documents, in the order of a hash of their texts and before all others (ids are at least -2**62). Other columns
+    aren't looked at.
 
     Texts are shuffled once, by document; lines travel as hashes, but for those that may have a near copy."""
-    missing = F.lit(-(1 << 63))  # stands for a null doc_id; every reader of by_doc takes the same two columns of one exchange
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), missing).alias("dk"), "text")
+    key = document_key(F.col("doc_id"), F.col("text"), last=False).alias("dk")
+    ids = docs.select(key, "text")  # every reader of by_doc takes the same two columns of one exchange
     lines = ids.filter(F.col("text").isNotNull()).select("dk", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     lines = lines.filter(F.rlike("line", F.lit("[^\\x20\\x09-\\x0d]"))).select(_hash(F.col("line")).alias("key"), F.struct("dk", "line_no").alias("place"))
     firsts = lines.groupBy("key").agg(F.min("place").alias("first")).groupBy(F.col("first.dk").alias("dk")).agg(F.collect_list("first.line_no").alias("mine"))
@@ -127,8 +128,7 @@ def dedup_lines(docs: DataFrame, *, min_words: int = 5, carry: Sequence[str] = (
     kept = F.filter(F.transform(split, lambda x, i: F.when(~F.rlike(x, F.lit("[^\\x20\\x09-\\x0d]")) | F.array_contains(F.col("stays"), i), x)), lambda x: x.isNotNull())
     out = by_doc.join(firsts, "dk", "left").join(near, "dk", "left").withColumn("stays", stays)
     if carry:  # joined where the texts are, so that they aren't shuffled again
-        key = F.coalesce(F.col("doc_id").cast("long"), missing).alias("dk")
         out = out.join(docs.select(key, F.struct(*carry).alias("carried")).dropDuplicates(["dk"]), "dk")
-    out = out.select(F.nullif(F.col("dk"), missing).alias("doc_id"), *["carried"] * bool(carry), "text", F.when(F.col("text").isNotNull(), kept).alias("left"), F.when(F.col("text").isNotNull(), F.size(split)).otherwise(0).cast("long").alias("n_lines"))
+    out = out.select(F.when(F.col("dk") >= -(1 << 62), F.col("dk")).alias("doc_id"), *["carried"] * bool(carry), "text", F.when(F.col("text").isNotNull(), kept).alias("left"), F.when(F.col("text").isNotNull(), F.size(split)).otherwise(0).cast("long").alias("n_lines"))
     n_left = F.when(F.col("text").isNull(), 0).otherwise(F.size("left")).cast("long")
     return out.select("doc_id", "n_lines", (F.col("n_lines") - n_left).alias("n_removed"), F.array_join("left", "\n").alias("text"), *["carried"] * bool(carry))

@@ -155,3 +155,19 @@ def test_pipeline(spark):
             assert max(seen.values()) == 1
     kept = {r.doc_id for r in docs.collect()}
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()} == kept
+
+
+def test_stages_with_null_ids(spark):
+    stages, sf = dict(corpus_pipeline.STAGES), "/root/testdata/sf0.001"
+    shared = "one more line that both texts have"
+    rows = [(None, f"first {i} " + f"word{i} " * 4 + f"\n{shared}", f"l{i}", f"s{i}") for i in range(3)] + [(1, "a text with an id of its own", "l", "s")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = stages["lines"](spark, docs, sf).collect()
+    assert sum(r.text.count(shared) for r in out) == 1 and len(out) == 5
+    assert sorted((r.text[6], r.lang, r.source) for r in out if r.doc_id is None) == [(str(i), f"l{i}", f"s{i}") for i in range(3)]
+    texts = [" ".join(f"{w}{i}" for i in range(30)) for w in "abc"]
+    rows = [(None, texts[0], "l", "s"), (None, texts[0], "l", "s"), (None, texts[1], "l", "s"), (7, texts[1], "l", "s"), (8, texts[2], "l", "s"), (8, texts[2], "l", "s"), (None, texts[2] + " end", "l", "s")]
+    docs = spark.createDataFrame(rows, docs.schema)
+    one = stages["near_duplicates"](spark, docs, sf)
+    assert sorted(((r.doc_id or 0), r.text) for r in one.collect()) == [(0, texts[0]), (7, texts[1]), (8, texts[2])]
+    assert stages["mixing"](spark, one, sf).count() == 3
