@@ -195,6 +195,12 @@ def seen_signals(spark, sf):
     return decode.seen_signals(fx.event_dictionary(spark), f).select("network", "message").distinct()
 
 
+@query(EVENTS + "SELECT DISTINCT n.network, 'Ev' || can_id AS message FROM f, (VALUES ('A'), ('B')) n(network) WHERE NOT err")
+def seen_signals_all(spark, sf):
+    """Over all frames."""
+    return decode.seen_signals(fx.event_dictionary(spark), fx.frames_from_events(spark, sf)).select("network", "message").distinct()
+
+
 @query(EVENTS + """SELECT frame_no, 'Kind=' || coalesce(CASE WHEN kind <> 3 THEN ['click', 'error', 'purchase', 'signup', 'view'][kind + 1] END, kind::VARCHAR) || ' Counter=' || counter AS signals FROM f WHERE NOT err""")
 def signals_text(spark, sf):
     d = fx.event_dictionary(spark).filter("signal in ('Kind', 'Counter')")
@@ -210,6 +216,16 @@ def encode_frames(spark, sf):
     return e.filter("error is null").select("frame_no", at(0), at(1), at(2), at(3), at(7))
 
 
+@query(EVENTS + "SELECT frame_no, raw % 256 AS b0, raw // 256 AS b1, k AS b2, node AS b3, raw // 256 AS b4, raw % 256 AS b5, kind AS b6, counter AS b7 FROM f WHERE NOT err")
+def encode_frames_all(spark, sf):
+    """Every interface and every signal: a frame's samples are those of its multiplexer branch, and signals that share
+    bits agree on them."""
+    d = fx.event_dictionary(spark)
+    s = decode.decode(fx.frames_from_events(spark, sf), d, fx.event_networks(spark))
+    e = decode.encode_frames(s.select("frame_no", "network", "raw_id", "signal", "value"), d)
+    return e.filter("error is null").select("frame_no", *[F.get("bytes", F.lit(i)).cast("long").alias(f"b{i}") for i in range(8)])
+
+
 @query(SPEED + """SELECT iface, count(*) AS count, round(min(value), 6) AS min, round(max(value), 6) AS max, round(avg(value), 6) AS mean, round(median(value), 6) AS median,
   round(stddev_pop(value), 6) AS stddev FROM v GROUP BY iface""")
 def signal_stats(spark, sf):
