@@ -108,14 +108,16 @@ def pack(
 ) -> DataFrame:
     """Adds sequence_id and offset (place in the sequence, gapless from 0). The attention cost of a piece is the
     square of its length; max_cost None stands for length squared, which no set of pieces within `length` exceeds.
-    A piece that by itself exceeds a capacity (cost) gets a sequence of its own."""
+    A piece that by itself exceeds a capacity (cost) gets a sequence of its own. Full pieces have negative ids. A column
+    `row` of pieces, where there is one, is a number of each row and isn't returned."""
     capacity = np.array([length, max_docs, max_cost or length**2], float)
     if score not in ("dot", "norm"):
         raise ValueError(f"unknown score {score!r}")
     short = F.col("length") < length
     groups = max(1, -(-pieces.filter(short).count() // group_items))
-    key = F.xxhash64("doc_id", "piece", "ids_crc32")
-    parts = pieces.withColumn("group", F.when(short, F.pmod(key, F.lit(groups))).otherwise(F.lit(-1).cast("long")))
+    # a row's own number deals it out, so that equal rows spread over the groups
+    own = F.col("row") if "row" in pieces.columns else F.monotonically_increasing_id()
+    parts = pieces.withColumn("group", F.when(short, F.pmod(F.xxhash64(own), F.lit(groups))).otherwise(F.lit(-1).cast("long"))).drop("row")
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "doc_id", "piece", "ids_crc32"], kind="stable", ignore_index=True)
@@ -126,13 +128,13 @@ def pack(
         bins[alone] = (bins[~alone].max() + 1 if (~alone).any() else 0) + np.arange(alone.sum())
         group = group.assign(bin=bins).sort_values(["bin", "length", "doc_id", "piece"], ascending=[True, False, True, True], kind="stable")
         group["offset"] = group.groupby("bin").length.cumsum() - group.length
-        return group.assign(sequence_id=group.group + group.bin * (groups + 1))[[*base, "sequence_id", "offset"]]
+        return group.assign(sequence_id=group.group + group.bin * groups)[[*base, "sequence_id", "offset"]]
 
-    base = [c for c in pieces.columns]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
+    base = [c for c in pieces.columns if c != "row"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema if f.name in base) + ", sequence_id long, offset long"
     packed = parts.filter("group >= 0").groupBy("group").applyInPandas(fill, schema)
     full = parts.filter("group < 0").select(
-        *base, (F.monotonically_increasing_id() * (groups + 1) + groups).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
+        *base, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
     return packed.unionByName(full)
 
@@ -141,5 +143,5 @@ def pack_documents(docs: DataFrame, *, length: int = 1024, **options) -> DataFra
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document.
 
     Texts that are null or empty are one piece of the end id alone. Rows may repeat: each is packed."""
-    pieces = written(token_pieces(docs, length=length), "pieces")
+    pieces = written(token_pieces(docs, length=length).withColumn("row", F.monotonically_increasing_id()), "pieces")
     return pack(pieces, length=length, **options)
