@@ -1,26 +1,31 @@
 """Substring dedup by prefix-partitioned suffix trees over words.
 
 A word goes if it lies in a window of `window` consecutive words that also starts anywhere else in the corpus. Suffixes
-that can't be in such a window are never sorted:
+that can't begin such a window are never sorted:
 
 1. Synchronised prefixes. Of every window the smallest hash of its `gram`-word n-grams is its prefix's place, so equal
    windows have equal prefixes at equal places. About 2 in `window - gram` words start such a prefix. Prefixes that
    occur once have trivial subtrees and are dropped.
-2. Groups of a size that fits in memory. The suffixes around a prefix that is left are dealt out by its hash, several
-   prefixes to a group. Prefixes with more than `hot` places are split by prefixes as long as the window: there
-   the suffixes of one node are equal to the depth asked for, so a count (combined before its shuffle) tells all.
-3. In a group, suffixes are sorted by prefix doubling on the words themselves; runs of suffixes that agree to the depth
-   of the window are the leaves below one deep internal node of the group's suffix tree, and where they start in
-   different places all of them are repeats.
+2. Variable-length prefixes. A prefix with at most `hot` places is one subtree, and subtrees are dealt out in groups that
+   fit in memory. A longer list of places is split: the windows that a prefix stands for (they begin 0 to
+   window - gram words before it) are halved by where they begin, and what the windows of one half have in common is a
+   longer prefix. That goes on, to one window and a prefix as long as the window if need be. On the way, places that
+   agree in all words of their windows are settled at once by their count, and one of them goes on for all; prefixes
+   that are left with one place are dropped. Only hashes and places move here, and counts are combined before they do.
+3. In a group, suffixes are sorted by their words and the longest common prefix of each with the one before is taken. A
+   run of suffixes that agree to a depth d is an internal node of the subtree; with the words before them, leaves of a
+   node of depth window - l that also agree in l words to the left begin the same window: a repeat, which is extended
+   as far to the left and right as it goes.
 
 Equal texts are handled once: of a text that has copies and a window, all words go. Texts move three times: to their
-prefixes' places, and to their repeats; nothing but texts, places and counts is shuffled.
+prefixes' places, and to their repeats; nothing but texts, places, hashes and counts is shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import gram_hashes, hash_words, written
+from .common import gram_hashes, hash_words, mix, written
 
 GROUP_SLICES = 20_000
 
@@ -57,39 +62,99 @@ def synchronised(words: np.ndarray, window: int, gram: int) -> tuple[np.ndarray,
     return at, grams[at]
 
 
-def repeated_windows(slices: list[list[bytes]], lead: np.ndarray, text: np.ndarray, start: np.ndarray, window: int, span: int) -> np.ndarray:
-    """Whether the suffix at each offset 0..span-1 before a prefix (counted back from it) begins a repeated window.
+def common_prefixes(words: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of suffixes (rows of word numbers), and the words that each shares with the one before it in that order."""
+    order = np.argsort(np.ascontiguousarray(words.astype(">u8")).view(f"S{8 * words.shape[1]}")[:, 0], kind="stable")
+    words, length = words[order], length[order]
+    differ = words[1:] != words[:-1]
+    shared = np.where(differ.any(1), differ.argmax(1), words.shape[1])
+    return order, np.concatenate(([0], np.minimum(shared, np.minimum(length[1:], length[:-1]))))
 
-    slices: words around each prefix; lead: how many of them stand before it; text, start: where the slice comes from.
-    Sorted by prefix doubling: ranks of 1, 2, 4... words, then of `window`."""
-    names: dict[bytes, int] = {}
-    width = window + span - 1
-    word = -1 - np.arange(len(slices) * width, dtype=np.int64).reshape(len(slices), width)  # places beyond a text are equal to none
-    for i, s in enumerate(slices):
-        at = span - 1 - lead[i]
-        word[i, at : at + len(s)] = [names.setdefault(w, len(names)) for w in s]
 
-    def ranked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.unique((a - a.min()) * (int(b.max() - b.min()) + 1) + (b - b.min()), return_inverse=True)[1].reshape(a.shape)
+def repeated_windows(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, window: int) -> np.ndarray:
+    """Whether the window that begins l words before each prefix is repeated, in column l.
 
-    rank, size = np.unique(word, return_inverse=True)[1].reshape(word.shape), 1
-    while size < window:
-        step = min(size, window - size)
-        rank = ranked(rank[:, :-step], rank[:, step:])
-        size += step
-    column = np.arange(span)[::-1]  # column 0 is the suffix that starts span - 1 words before the prefix
-    place = (text[:, None] << 32) + start[:, None] + lead[:, None] - column[None, :]
-    n = int(rank.max()) + 1
-    low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, -1, np.int64)
-    np.minimum.at(low, rank.ravel(), place.ravel())
-    np.maximum.at(high, rank.ravel(), place.ravel())
-    inside = (lead[:, None] >= column[None, :]) & (lead[:, None] - column[None, :] + window <= np.array([len(s) for s in slices])[:, None])
-    return (low < high)[rank] & inside
+    right: the words from each prefix on; left: those before it, nearest first; n_left, n_right: how many there are."""
+    order, shared = common_prefixes(right, n_right)
+    left, n_left, n_right = left[order], n_left[order], n_right[order]
+    out = np.zeros((len(order), left.shape[1] + 1), bool)
+    before = np.zeros(len(order), np.uint64)
+    for back in range(left.shape[1] + 1):
+        if back:
+            before = mix(before * np.uint64(0x9E3779B97F4A7C15) + left[:, back - 1])
+        depth = window - back
+        node = np.cumsum(shared < depth)
+        whole = (n_left >= back) & (n_right >= depth)
+        leaves = np.bincount(node[whole], minlength=node[-1] + 1)
+        at = np.flatnonzero(whole & (leaves[node] > 1))
+        if len(at) > 1:
+            both = mix(before[at] + mix(node[at].astype(np.uint64)))
+            _, index, count = np.unique(both, return_inverse=True, return_counts=True)
+            out[at, back] = count[index] > 1
+    undo = np.empty_like(order)
+    undo[order] = np.arange(len(order))
+    return out[undo]
 
 
-def runs(flags: np.ndarray) -> list[tuple[int, int]]:
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0]))))
-    return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+def lead_runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first and last column of each run of true values."""
+    edge = np.diff(np.pad(flags, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, first = np.nonzero(edge == 1)
+    return row, first, np.nonzero(edge == -1)[1] - 1
+
+
+def halves(n: int) -> list[tuple[int, int]]:
+    """The ranges (first, number) of a binary tree over n windows, every range before its left and then its right half."""
+
+    def below(first: int, n: int) -> list[tuple[int, int]]:
+        h = (n + 1) // 2
+        return [(first, n)] + (below(first, h) + below(first + h, n - h) if n > 1 else [])
+
+    return below(0, n)
+
+
+def hash_ranges(words: np.ndarray, place: np.ndarray, window: int, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place and each range of the tree over its windows: a hash of what the windows of the range have in
+    common, and one of all their words, as far as they lie within the text. 0 where no window of the range does."""
+    sums = []
+    for base in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
+        power = np.full(len(words) + 1, np.uint64(base), np.uint64)
+        power[0] = 1
+        power = np.multiply.accumulate(power)
+        sums.append((np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * power[:-1], dtype=np.uint64))), np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(len(words), np.uint64(pow(base, -1, 1 << 64)), np.uint64))))))
+    part = lambda k, a, b: mix((sums[k][0][b] - sums[k][0][a]) * sums[k][1][a])
+    common, whole = [], []
+    for first, n in halves(span):
+        lo, hi = np.maximum(first, window - len(words) + place), np.minimum(first + n - 1, place)  # windows within the text
+        fine = lo <= hi
+        clip = lambda x: np.clip(np.where(fine, x, 0), 0, len(words))
+        number = np.uint64(first * 1000 + n)
+        common.append(np.where(fine, part(0, clip(place - first), clip(place - first - n + 1 + window)) + number, 0))
+        whole.append(np.where(fine, mix(part(1, clip(place - hi), clip(place - lo + window)) + (hi - lo).astype(np.uint64) * np.uint64(1000) + (hi - first).astype(np.uint64)), 0))
+    return np.stack(common, 1), np.stack(whole, 1)
+
+
+def split_hot(places: DataFrame, window: int, span: int) -> DataFrame:
+    """(h1, h2, a, b): ranges of words covered by repeated windows around places (h1, h2, place, lo, hi, common, whole),
+    by prefixes that grow until each has one place, or one content. lo, hi: the windows that lie within the text."""
+    size = F.array(*[F.lit(len(halves(n))) for n in range(1, span + 1)])
+    rows = written(places.withColumn("first", F.lit(0)).withColumn("n", F.lit(span)), "hot-places")
+    found = []
+    while not rows.isEmpty():  # at most log2(span) + 2 times
+        rows = rows.withColumn("c", F.col("common")[0]).withColumn("w", F.col("whole")[0])
+        one = F.struct("h1", "h2", "place", "lo", "hi", "first", "n", "common", "whole")
+        classes = written(rows.groupBy("c", "w").agg(F.min(one).alias("one"), F.count("*").alias("places")), "hot-contents")
+        again = classes.filter("places > 1").select("c", "w")
+        low, high = F.greatest("first", "lo"), F.least(F.col("first") + F.col("n") - 1, F.col("hi"))
+        settled = rows.join(again, ["c", "w"]).select("h1", "h2", (F.col("place") - high).alias("a"), (F.col("place") - low + window).alias("b"))
+        found.append(written(settled, "hot-repeats"))
+        several = written(classes.groupBy("c").count().filter("count > 1").select("c"), "hot-prefixes")
+        on = classes.join(several, "c").select("one.*").filter("n > 1")
+        h = F.ceil(F.col("n") / 2).cast("int")
+        child = lambda first, n, at: F.struct(first.alias("first"), n.alias("n"), *[F.slice(c, at, F.element_at(size, n)).alias(c) for c in ("common", "whole")])
+        pair = F.array(child(F.col("first"), h, F.lit(2)), child(F.col("first") + h, F.col("n") - h, F.element_at(size, h) + 2))
+        rows = written(on.select("h1", "h2", "place", "lo", "hi", F.explode(pair).alias("x")).select("h1", "h2", "place", "lo", "hi", "x.*").filter("common[0] <> 0"), "hot-places")
+    return reduce(DataFrame.unionByName, found) if found else rows.select("h1", "h2", F.lit(0).alias("a"), F.lit(0).alias("b"))
 
 
 def dedup_substrings(docs: DataFrame, *, window: int = 35, gram: int = 10, hot: int = 2000) -> DataFrame:
@@ -131,50 +196,66 @@ def dedup_substrings(docs: DataFrame, *, window: int = 35, gram: int = 10, hot:
     marked = keyed.join(marks.join(one, ["h1", "h2"]).select("h1", "h2", "one", "marks"), ["h1", "h2", "one"])
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Slices of words around each prefix (cold), or the hashes of the windows around it (hot)."""
-        names = ["h1", "h2", "grp", "start", "lead", "words", "w1", "w2"]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
+        """Words around each prefix, or for those with many places the hashes of the ranges of their windows."""
         for batch in batches:
-            out: list[tuple] = []
-            for h1, h2, text, marks in zip(*(batch.column(c).to_pylist() for c in ("h1", "h2", "text", "marks")), strict=True):
+            begin = batch.column("marks").offsets.to_numpy()
+            flat = batch.column("marks").flatten()
+            place, key, is_hot = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            owner, starts_at, leads, words_in, groups, hot_rows = [], [], [], [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                mine = slice(begin[i] - begin[0], begin[i + 1] - begin[0])
                 data = text.encode()
                 words, starts, ends = hash_words(data)
-                grams = None
-                for m in marks:
-                    at, lead = m["place"], min(span - 1, m["place"])
-                    if not m["hot"]:
-                        end = ends[min(len(ends), at + window) - 1]
-                        out.append((h1, h2, m["key"] % n_groups, at - lead, lead, data[starts[at - lead] : end].decode(), None, None))
-                        continue
-                    if grams is None:
-                        grams = gram_hashes(words, window).view(np.int64), gram_hashes(words[::-1], window)[::-1].view(np.int64)
-                    for s in range(at - lead, min(at + 1, len(grams[0]))):
-                        out.append((h1, h2, None, s, None, None, int(grams[0][s]), int(grams[1][s])))
-                if len(out) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-
-    slices = marked.select("h1", "h2", "text", "marks").mapInArrow(around, "h1 long, h2 int, grp long, start int, lead int, words string, w1 long, w2 long")
+                at = place[mine][~is_hot[mine]].astype(np.int64)
+                if len(at):
+                    lead = np.minimum(span - 1, at)
+                    froms, tos = starts[at - lead].tolist(), ends[np.minimum(len(ends), at + window) - 1].tolist()
+                    owner.append(np.full(len(at), i))
+                    starts_at.append(at - lead)
+                    leads.append(lead)
+                    groups.append(key[mine][~is_hot[mine]] % n_groups)
+                    words_in += [data[a:b] for a, b in zip(froms, tos, strict=True)]
+                at = place[mine][is_hot[mine]].astype(np.int64)
+                if len(at):
+                    common, whole = hash_ranges(words, at, window, span)
+                    hot_rows.append((np.full(len(at), i), at, np.maximum(0, window - len(words) + at), np.minimum(span - 1, at), common, whole))
+            h1, h2 = batch.column("h1").to_numpy(), batch.column("h2").to_numpy()
+            none = lambda n, kind: pa.nulls(n, kind)
+            if owner:
+                i, n = np.concatenate(owner), len(words_in)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h1[i]), pa.array(h2[i]), pa.array(np.concatenate(groups)), pa.array(np.concatenate(starts_at).astype(np.int32)), pa.array(np.concatenate(leads).astype(np.int32)), pa.array(words_in, pa.binary()),
+                     none(n, pa.int32()), none(n, pa.int32()), none(n, pa.list_(pa.int64())), none(n, pa.list_(pa.int64()))], names=names,
+                )
+            if hot_rows:
+                i, at, lo, hi, common, whole = (np.concatenate(c) for c in zip(*hot_rows, strict=True))
+                n = len(i)
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * c.shape[1]), pa.array(c.view(np.int64).ravel())) for c in (common, whole)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h1[i]), pa.array(h2[i]), none(n, pa.int64()), pa.array(at.astype(np.int32)), none(n, pa.int32()), none(n, pa.binary()), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), *lists], names=names,
+                )
+
+    names = ["h1", "h2", "grp", "start", "lead", "words", "lo", "hi", "common", "whole"]
+    slices = marked.select("h1", "h2", "text", "marks").mapInArrow(around, "h1 long, h2 int, grp long, start int, lead int, words binary, lo int, hi int, common array<long>, whole array<long>")
     slices = written(slices, "suffixes")
 
     def subtree(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates(["h1", "h2", "start", "lead"])
         lead, start = group.lead.to_numpy(np.int64), group.start.to_numpy(np.int64)
-        text = group.groupby(["h1", "h2"], sort=False).ngroup().to_numpy(np.int64)
-        found = repeated_windows([w.encode().split() for w in group.words], lead, text, start, window, span)
-        out = []
-        for i in np.flatnonzero(found.any(1)):
-            first = start[i] + lead[i] - (span - 1)
-            out += [(group.h1.iloc[i], group.h2.iloc[i], first + a, first + b - 1 + window) for a, b in runs(found[i])]
-        return pd.DataFrame(out, columns=["h1", "h2", "a", "b"])
-
-    cold = slices.filter("grp is not null").groupBy("grp").applyInPandas(subtree, "h1 long, h2 int, a int, b int")
-    windows = slices.filter("grp is null").select("h1", "h2", "start", "w1", "w2")
-    spot = F.xxhash64("h1", "h2", "start")
-    again = windows.groupBy("w1", "w2").agg(F.min(spot).alias("lo"), F.max(spot).alias("hi")).filter("lo <> hi").select("w1", "w2")
-    warm = windows.join(again, ["w1", "w2"]).select("h1", "h2", F.col("start").alias("a"), (F.col("start") + window).alias("b"))
+        hashes, at, _ = hash_words(b"\n".join(group.words))
+        ends = np.cumsum(np.array([len(w) + 1 for w in group.words]))
+        row = np.searchsorted(ends, at, "right")
+        n = np.bincount(row, minlength=len(group))
+        column = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) - lead[row]  # 0 where the prefix begins
+        words = np.zeros((len(group), span - 1 + window), np.uint64)
+        words[row, column + span - 1] = hashes
+        found = repeated_windows(words[:, : span - 1][:, ::-1], words[:, span - 1 :], lead, n - lead, window)
+        row, low, high = lead_runs(found)
+        place = (start + lead)[row]
+        return pd.DataFrame({"h1": group.h1.to_numpy()[row], "h2": group.h2.to_numpy()[row], "a": place - high, "b": place - low + window})
+
+    cold = slices.filter("grp is not null").select("h1", "h2", "grp", "start", "lead", "words").groupBy("grp").applyInPandas(subtree, "h1 long, h2 int, a int, b int")
+    warm = split_hot(slices.filter("grp is null").select("h1", "h2", F.col("start").alias("place"), "lo", "hi", "common", "whole").dropDuplicates(["h1", "h2", "place"]), window, span)
     gone = cold.unionByName(warm).groupBy("h1", "h2").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,4 +277,5 @@ def dedup_substrings(docs: DataFrame, *, window: int = 35, gram: int = 10, hot:
     fates = one.join(gone, ["h1", "h2"], "left")
     last = keyed.join(fates, ["h1", "h2", "one"]).select("h1", "h2", "text", "copies", "gone")
     last = last.mapInArrow(cut, "h1 long, h2 int, n_words long, n_removed long, kept_sha256 string").dropDuplicates(["h1", "h2"])
+    last = written(last, "outcomes")  # so that rows of a text with very many copies can be split between tasks
     return rows.select("doc_id", "h1", "h2").join(last, ["h1", "h2"]).select("doc_id", "n_words", "n_removed", "kept_sha256")
