@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -89,6 +91,28 @@ def _div(x: Number, by: int) -> Number:
     return x // by if isinstance(x, int) else (x / by).cast("int")
 
 
+@dataclass(frozen=True)
+class Head:
+    """The first eight bytes of a payload as a big-endian BIGINT, and the payload's size: signals that lie within them
+    are shifts of one number."""
+
+    word: Column
+    size: Column
+
+    def holds(self, start: int, length: int) -> bool:
+        return 0 <= start and 0 < length and start + length <= 64
+
+    def raw(self, start: int, length: int, big_endian: bool) -> Column:
+        if big_endian:
+            return _mask(F.shiftrightunsigned(self.word, 64 - start - length), length)
+        out = F.lit(0).cast("long")
+        for j in range(start // 8, (start + length - 1) // 8 + 1):
+            byte = F.shiftrightunsigned(self.word, 56 - 8 * j).bitwiseAND(255)
+            by = 8 * j - start
+            out = out.bitwiseOR(F.shiftleft(byte, by) if by >= 0 else F.shiftrightunsigned(byte, -by))
+        return _mask(out, length)
+
+
 def extract_raw_le(data: Column, start: Number, length: Number) -> Column:
     """Raw value of an Intel signal as a 64-bit pattern; start is the bit of its least significant bit."""
     first = _div(start, 8)
@@ -103,7 +127,9 @@ def extract_raw_be(data: Column, start: Number, length: Number) -> Column:
     return _valid(_mask(_terms(data, first, last, lambda j: (last - first - j) * 8 - low), length), start, length)
 
 
-def extract_raw(data: Column, start: Number, length: Number, big_endian: Column | bool) -> Column:
+def extract_raw(data: Column | Head, start: Number, length: Number, big_endian: Column | bool) -> Column:
+    if isinstance(data, Head):
+        return data.raw(start, length, big_endian)
     if isinstance(big_endian, bool):
         return (extract_raw_be if big_endian else extract_raw_le)(data, start, length)
     return F.when(big_endian, extract_raw_be(data, start, length)).otherwise(extract_raw_le(data, start, length))

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.bits import extract_raw, id_key, is_error, lin_physical, lin_raw, signed, to_physical
+from ..functions.bits import Head, extract_raw, id_key, is_error, lin_physical, lin_raw, signed, to_physical
 
 
 def resolve_dictionary(dictionary: DataFrame) -> DataFrame:
@@ -91,15 +91,18 @@ class Signal:
     network: str | None = None
     name: str = ""
 
-    def raw(self, data: Column) -> Column:
+    def within(self, head: Head) -> bool:
+        return head.holds(self.start_bit, self.length) and (self.muxer is None or head.holds(*self.muxer[:2]))
+
+    def raw(self, data: Column | Head) -> Column:
         raw = extract_raw(data, self.start_bit, self.length, self.big_endian)
         return raw if self.is_unsigned else signed(raw, self.length)
 
-    def present(self, data: Column) -> Column:
-        fits = F.size(data) * 8 >= self.start_bit + self.length
+    def present(self, data: Column | Head) -> Column:
+        fits = (data.size if isinstance(data, Head) else F.size(data)) * 8 >= self.start_bit + self.length
         return fits if self.muxer is None else fits & (extract_raw(data, *self.muxer) == self.mux_value)
 
-    def value(self, data: Column) -> Column:
+    def value(self, data: Column | Head) -> Column:
         raw = extract_raw(data, self.start_bit, self.length, self.big_endian)
         return to_physical(raw, self.length, self.is_unsigned, self.value_type, self.factor, self.offset)
 
@@ -125,12 +128,15 @@ def signal_frames(frames: DataFrame, signals: Sequence[Signal]) -> DataFrame:
 
 def decode_wide(frames: DataFrame, signals: dict[str, Sequence[Signal]], networks: dict[int, str] | None = None) -> DataFrame:
     """frame_no, ts_ns, iface, can_id and one column per name: its value, null where absent. Entries of one name that
-    differ by id share their geometry where equal, so 40 equal ids are one expression. networks maps an interface to its
+    differ by id share their geometry where equal, so 40 equal ids are one expression. Of frames with a column `head`
+    (the stored frame table) signals of the first eight bytes are read from that number alone. networks maps an interface to its
     network; an interface that isn't in it takes the first entry."""
     networks = networks or {}
     everything = [s for group in signals.values() for s in group]
     f = signal_frames(frames, everything)
     key = id_key(F.col("can_id"), F.col("flags"))
+    head, payload = Head(F.col("head"), F.col("len")), F.col("bytes")
+    source = lambda s: head if "head" in frames.columns and s.within(head) else payload
     out = {}
     for name, group in signals.items():
         shapes: dict[tuple, list[Signal]] = {}
@@ -144,7 +150,7 @@ def decode_wide(frames: DataFrame, signals: dict[str, Sequence[Signal]], network
             first |= set(rest)
             mine = F.col("iface").isin(ifaces) & key.isin([s.raw_id for s in same])
             mine = mine | (~F.col("iface").isin(list(networks)) & key.isin(rest)) if rest else mine
-            column = column.when(mine & same[0].present(F.col("bytes")), same[0].value(F.col("bytes")))
+            column = column.when(mine & same[0].present(source(same[0])), same[0].value(source(same[0])))
         out[name] = column
     return f.select("frame_no", "ts_ns", "iface", "can_id", *[c.alias(n) for n, c in out.items()])
 

@@ -16,7 +16,7 @@ from ..functions.bits import has_flag, is_error
 from ..functions.j1939 import j1939_fields, pgn_name
 from ..functions.n2k import N2K_FAST, N2K_SINGLE, n2k_description
 from ..functions.uds import nrc_name, service_name, uds_describe, uds_describe_request
-from ..schema import EXTENDED, RTR, TX, to_binary
+from ..schema import EXTENDED, RTR, TX, settled, to_binary
 
 OPEN, CLOSE, FOLLOW = 1, 2, 0
 
@@ -76,9 +76,14 @@ def uds_pdus(frames: DataFrame, addr_ext: bool = False, by: Sequence[str] = ())
     can = can.withColumns({"address": F.get("bytes", 0) if addr_ext else F.lit(0), "b": F.slice("bytes", 1 + skip, F.greatest(F.size("bytes") - skip, F.lit(0)))})
     lin = lin.withColumns({"address": F.lit(0), "b": F.slice("bytes", 2, F.greatest(F.size("bytes") - 1, F.lit(0))), "can_id": F.lit(0).cast("long")})
     keys = [*by, "bus", "iface", "tx", "extended", "can_id", "address"]
-    rows = can.unionByName(lin).filter(F.size("b") > 0).select(*keys, "ts_ns", "frame_no", "b")
-    at = lambda i: F.coalesce(F.get("b", F.lit(i) if isinstance(i, int) else i), F.lit(0))
-    n, kind, low = F.size("b"), F.shiftright(at(0), 4), at(0).bitwiseAND(15)
+    rows = can.unionByName(lin).select(*keys, "ts_ns", "frame_no", "b")
+    # each column below is computed once, not in every place that uses it
+    rows = settled(rows, *keys, "ts_ns", "frame_no", b=F.col("b"), n=F.size("b")).filter("n > 0")
+    byte = lambda i: F.coalesce(F.get("b", F.lit(i) if isinstance(i, int) else i), F.lit(0))
+    rows = settled(rows, *keys, "ts_ns", "frame_no", "b", "n", **{f"b{i}": byte(i) for i in range(6)})
+    rows = settled(rows, *keys, "ts_ns", "frame_no", "b", "n", *[f"b{i}" for i in range(1, 6)], kind=F.shiftright("b0", 4), low=F.col("b0").bitwiseAND(15))
+    at = lambda i: F.col(f"b{i}") if isinstance(i, int) else byte(i)
+    n, kind, low = F.col("n"), F.col("kind"), F.col("low")
     long_single = (low == 0) & (n > 1)
     single_size, single_at = F.when(long_single, at(1)).otherwise(low), F.when(long_single, 2).otherwise(1)
     single = (kind == 0) & (single_size > 0) & (single_at + single_size <= n) & (at(single_at) >= 0x10)
@@ -87,10 +92,12 @@ def uds_pdus(frames: DataFrame, addr_ext: bool = False, by: Sequence[str] = ())
     size32 = F.shiftleft(at(2).cast("long"), 24) + F.shiftleft(at(3), 16) + F.shiftleft(at(4), 8) + at(5)
     first_size, first_at = F.when(long_first, size32).otherwise(size12), F.when(long_first, 6).otherwise(2)
     first = (kind == 1) & (first_at < n) & (at(first_at) >= 0x10)
-    role = F.when(single, CLOSE).when(first, OPEN).when(kind == 2, FOLLOW)
-    start = F.when(single, single_at).when(first, first_at).otherwise(1)
-    chunk = F.when(single, F.slice("b", start + 1, F.greatest(single_size, F.lit(0)))).otherwise(F.slice("b", start + 1, F.greatest(n - start, F.lit(0))))
-    rows = rows.select(*keys, "ts_ns", "frame_no", role.alias("role"), chunk.alias("chunk"), low.alias("ordinal"), first_size.alias("size")).filter("role is not null")
+    rows = settled(rows, *keys, "ts_ns", "frame_no", "b", "n", "low", "kind", single=single, first=first, single_at=single_at, first_at=first_at, single_size=single_size, size=first_size)
+    role = F.when(F.col("single"), CLOSE).when(F.col("first"), OPEN).when(kind == 2, FOLLOW)
+    start = F.when(F.col("single"), F.col("single_at")).when(F.col("first"), F.col("first_at")).otherwise(1)
+    count = F.when(F.col("single"), F.col("single_size")).otherwise(n - start)
+    rows = settled(rows, *keys, "ts_ns", "frame_no", "b", "low", "size", role=role, start=start, count=F.greatest(count, F.lit(0))).filter("role is not null")
+    rows = settled(rows, *keys, "ts_ns", "frame_no", "role", ordinal=F.col("low"), size=F.col("size"), chunk=F.slice("b", F.col("start") + 1, F.col("count")))
     rows = rows.withColumn("head", F.struct("size", F.size("chunk").alias("opened")))
     several = reassemble(
         rows.withColumn("ordinal", F.col("ordinal").cast("int")), keys, ordinal_ok=lambda n, _: F.col("ordinal") == n % 16,
@@ -116,7 +123,7 @@ def j1939_pdus(frames: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """J1939 messages: by..., iface, tx, sa, da, pgn, priority, ts_ns, bytes, frame_nos, transport. A transport session
     ends at an abort, and completes with the announced packets or bytes."""
     f = _tx(_usable(frames)).filter(F.col("extended") & (F.col("bus") == "CAN"))
-    f = f.withColumn("j", j1939_fields(F.col("can_id"))).select(*by, "iface", "tx", "ts_ns", "frame_no", "bytes", "j.*")
+    f = settled(f, *by, "iface", "tx", "ts_ns", "frame_no", bytes=F.col("bytes"), j=j1939_fields(F.col("can_id"))).select(*by, "iface", "tx", "ts_ns", "frame_no", "bytes", "j.*")
     at = lambda i: F.coalesce(F.get("bytes", i), F.lit(0)).cast("long")
     n = F.size("bytes")
     cm, dt = F.col("pgn") == 0xEC00, F.col("pgn") == 0xEB00
@@ -152,7 +159,7 @@ def n2k_pdus(frames: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """NMEA 2000 messages: by..., iface, tx, pgn, sa, priority, ts_ns, bytes, frame_nos. Fast packets by list and by the
     proprietary range."""
     f = _tx(_usable(frames)).filter(F.col("extended") & (F.col("bus") == "CAN"))
-    f = f.withColumn("j", j1939_fields(F.col("can_id"))).select(*by, "iface", "tx", "ts_ns", "frame_no", "bytes", "j.*").filter("pgn >= 65536")
+    f = settled(f, *by, "iface", "tx", "ts_ns", "frame_no", bytes=F.col("bytes"), j=j1939_fields(F.col("can_id"))).select(*by, "iface", "tx", "ts_ns", "frame_no", "bytes", "j.*").filter("pgn >= 65536")
     fast = F.col("pgn").isin(*N2K_FAST) | F.col("pgn").between(130816, 131071)
     keys = [*by, "iface", "tx", "pgn", "sa"]
     at = lambda i: F.coalesce(F.get("bytes", i), F.lit(0))
@@ -201,9 +208,12 @@ def isotp_segment(pdus: DataFrame, capacity: int = 8, padding: int | None = 0xCC
     first_room = F.when(big, capacity - 6).otherwise(capacity - 2)
     rest = n - first_room
     count = F.when(n <= alone_room, 0).otherwise(F.ceil(rest / (capacity - 1)).cast("int"))
-    out = pdus.withColumn("n", n).filter("n > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0), count)))
+    out = pdus.withColumn("text", F.hex("payload")).withColumn("n", n).filter("n > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0), count)))
+    n = F.col("n")
+    alone_room, big = capacity - 1 if capacity <= 8 else capacity - 2, n > 4095
+    first_room = F.when(big, capacity - 6).otherwise(capacity - 2)
     b = lambda c: F.lpad(F.hex(c), 2, "0")
-    text = F.hex("payload")
+    text = F.col("text")
     cut = lambda at, size: F.substring(text, at * 2 + 1, size * 2)
     short = F.when(n <= 7, b(n)).otherwise(F.concat(F.lit("00"), b(n))) if capacity > 8 else b(n)
     alone = F.concat(short, text)
@@ -215,4 +225,5 @@ def isotp_segment(pdus: DataFrame, capacity: int = 8, padding: int | None = 0xCC
         line = F.rpad(line, capacity * 2, f"{padding:02X}")
     from ..schema import hex_bytes
 
-    return out.withColumn("line", line).withColumn("bytes", hex_bytes(F.col("line"))).drop("n", "line", "payload")
+    keep = [c for c in out.columns if c not in ("n", "text", "payload")]
+    return settled(settled(out, *keep, line=line), *keep, bytes=hex_bytes(F.col("line")))

@@ -19,41 +19,56 @@ class Condition:
     signal: str
     op: str
     threshold: float
+    iface: int | None = None  # only values seen on this interface count
 
 
 def conditions_met(conditions: Sequence[Condition], all_of: bool = True, value=F.col) -> Column:
-    """AND or OR; a missing value never holds; no conditions: false."""
-    tests = [condition_holds(c.op, value(c.signal), c.threshold) for c in conditions]
+    """AND or OR; a missing value never holds; no conditions: false. Conditions that are bound to an interface look at the
+    column that `bound_columns` makes for it."""
+    tests = [condition_holds(c.op, value(column_of(c)), c.threshold) for c in conditions]
     return reduce((lambda a, b: a & b) if all_of else (lambda a, b: a | b), tests) if tests else F.lit(False)
 
 
-def hold(wide: DataFrame, signals: Sequence[str], by: Sequence[str] = (), stale_ns: int | None = STALE_NS) -> DataFrame:
-    """The newest value of each signal at every row, null once older than stale_ns (event time)."""
-    w = Window.partitionBy(*by or [F.lit(1)]).orderBy("ts_ns", "frame_no").rowsBetween(Window.unboundedPreceding, 0)
+def column_of(condition: Condition) -> str:
+    return condition.signal if condition.iface is None else f"{condition.signal}@{condition.iface}"
+
+
+def bound_columns(wide: DataFrame, conditions: Sequence[Condition]) -> DataFrame:
+    """Adds a column for each signal that a condition binds to an interface: its value on that interface's rows."""
+    bound = {column_of(c): F.when(F.col("iface") == c.iface, F.col(c.signal)) for c in conditions if c.iface is not None}
+    return wide.withColumns(bound) if bound else wide
+
+
+def hold(wide: DataFrame, signals: Sequence[str], *, by: Sequence[str], stale_ns: int | None = STALE_NS) -> DataFrame:
+    """The newest value of each signal at every row, null once older than stale_ns (event time). by names what tells
+    logs, vehicles or spans of time apart; it deals the work out."""
+    w = Window.partitionBy(*by).orderBy("ts_ns", "frame_no").rowsBetween(Window.unboundedPreceding, 0)
     seen = {s: F.last(F.when(F.col(s).isNotNull(), F.struct(F.col(s).alias("v"), F.col("ts_ns").alias("t"))), ignorenulls=True).over(w) for s in signals}
     out = wide.select(*by, "frame_no", "ts_ns", *[c.alias(f"_{s}") for s, c in seen.items()])
-    fresh = lambda s: F.lit(True) if stale_ns is None else F.col("ts_ns") - F.col(f"_{s}.t") <= stale_ns
-    return out.select(*by, "frame_no", "ts_ns", *[F.when(fresh(s), F.col(f"_{s}.v")).alias(s) for s in signals], *[F.col(f"_{s}.t").alias(f"{s}_seen") for s in signals])
+    fresh = lambda s: F.lit(True) if stale_ns is None else F.col("ts_ns") - F.col(f"`_{s}`.t") <= stale_ns
+    return out.select(*by, "frame_no", "ts_ns", *[F.when(fresh(s), F.col(f"`_{s}`.v")).alias(s) for s in signals], *[F.col(f"`_{s}`.t").alias(f"{s}_seen") for s in signals])
 
 
 def conditional_log(
-    wide: DataFrame, conditions: Sequence[Condition], columns: Sequence[str], *, all_of: bool = True, by: Sequence[str] = (), pre_ns: int = PRE_NS,
+    wide: DataFrame, conditions: Sequence[Condition], columns: Sequence[str], *, by: Sequence[str], all_of: bool = True, pre_ns: int = PRE_NS,
     stale_ns: int | None = STALE_NS,
 ) -> DataFrame:
     """Rows while the conditions hold, and at a rising edge the rows of the pre_ns before it, too. The row at a falling
     edge is never written, even if a next trigger follows within pre_ns. wide: (by..., frame_no, ts_ns, a column per
-    signal); by (a log or vehicle) deals the work out. Staleness is in event time."""
-    names = list(dict.fromkeys([*columns, *[c.signal for c in conditions]]))
-    h = hold(wide, names, by, stale_ns).withColumn("met", conditions_met(conditions, all_of))
-    order = Window.partitionBy(*by or [F.lit(1)]).orderBy("ts_ns", "frame_no")
+    signal, and iface where a condition is bound to one); by (a log or vehicle) deals the work out. Staleness is in
+    event time."""
+    names = list(dict.fromkeys([*columns, *[column_of(c) for c in conditions]]))
+    h = hold(bound_columns(wide, conditions), names, by=by, stale_ns=stale_ns).withColumn("met", conditions_met(conditions, all_of))
+    order = Window.partitionBy(*by).orderBy("ts_ns", "frame_no")
     # the state before this row: the previous row's values, as far as they are still fresh now
     h = h.withColumns({f"_p_{n}": F.lag(F.struct(F.col(n).alias("v"), F.col(f"{n}_seen").alias("t"))).over(order) for n in names})
-    fresh = lambda n: F.lit(True) if stale_ns is None else F.col("ts_ns") - F.col(f"_p_{n}.t") <= stale_ns
-    before = conditions_met(conditions, all_of, lambda n: F.when(fresh(n), F.col(f"_p_{n}.v")))
+    fresh = lambda n: F.lit(True) if stale_ns is None else F.col("ts_ns") - F.col(f"`_p_{n}`.t") <= stale_ns
+    before = conditions_met(conditions, all_of, lambda n: F.when(fresh(n), F.col(f"`_p_{n}`.v")))
     h = h.withColumn("before", before)
     edge = F.when(F.col("met") & ~F.col("before"), F.col("ts_ns"))
-    following = order.rowsBetween(1, Window.unboundedFollowing)
-    h = h.withColumn("edge", edge).withColumn("next", F.first("edge", ignorenulls=True).over(following))
+    # backwards in time, as Spark keeps a running value only for frames that begin at the partition's start
+    later = Window.partitionBy(*by).orderBy(F.desc("ts_ns"), F.desc("frame_no")).rowsBetween(Window.unboundedPreceding, -1)
+    h = h.withColumn("edge", edge).withColumn("next", F.last("edge", ignorenulls=True).over(later))
     early = ~F.col("met") & ~F.col("before") & (F.col("next") - F.col("ts_ns") <= pre_ns)
     return h.filter(F.col("met") | F.coalesce(early, F.lit(False))).select(*by, "frame_no", "ts_ns", *columns, "met")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bits import e2e_p2_protect, motorola_start
 from ..operators.transport import isotp_segment
-from ..schema import EXTENDED, GENERIC_ERROR, TX, to_binary, with_bytes
+from ..schema import EXTENDED, GENERIC_ERROR, TX, settled, to_binary
 
 KINDS = ["click", "error", "purchase", "signup", "view"]
 
@@ -27,10 +27,8 @@ def _micros(ts: str) -> Column:
 def _frames(df: DataFrame, **columns: Column) -> DataFrame:
     """Frames from rows with the given columns; `bytes` are the payload."""
     base = {"bus": F.lit("CAN"), "channel": F.concat(F.lit("can"), columns["iface"]), "flags": F.lit(0), "errors": F.lit(0)} | columns
-    out = df.select(*[c.alias(k) for k, c in base.items()])
-    ints = {"iface": "int", "flags": "int", "errors": "int", "frame_no": "long", "ts_ns": "long", "can_id": "long"}
-    out = out.withColumns({k: F.col(k).cast(t) for k, t in ints.items()})
-    return with_meta(out)
+    kinds = {"iface": "int", "flags": "int", "errors": "int", "frame_no": "long", "ts_ns": "long", "can_id": "long", "bytes": "array<int>"}
+    return with_meta(settled(df, **{k: c.cast(kinds[k]) if k in kinds else c for k, c in base.items()}))
 
 
 def with_meta(df: DataFrame) -> DataFrame:

@@ -39,5 +39,20 @@ def to_binary(byte_array: Column) -> Column:
     return F.unhex(F.array_join(F.transform(byte_array, lambda b: F.lpad(F.hex(b), 2, "0")), ""))
 
 
+def settled(rows: DataFrame, *keep: str, **columns: Column) -> DataFrame:
+    """The columns `keep` and the named new ones, computed once. Catalyst copies an expression to every place that uses
+    it, which makes plans of derived columns grow beyond what code generation takes; a generator of one row in between
+    stops that."""
+    return rows.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def head_of(byte_array: Column) -> Column:
+    """The first eight bytes as a big-endian BIGINT, bytes beyond the end as 0."""
+    out = F.lit(0).cast("long")
+    for i in range(8):
+        out = out.bitwiseOR(F.shiftleft(F.coalesce(F.get(byte_array, F.lit(i)), F.lit(0)).cast("long"), 56 - 8 * i))
+    return out
+
+
 def frame_no_order() -> list[Column]:
     return [F.col("ts_ns"), F.col("frame_no")]
