@@ -24,7 +24,8 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    out = mixing.mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "source", "lang", "topic", "tokens", F.round("weight", 7).alias("weight"), F.round("keep_probability", 6).alias("keep_probability"), "kept")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +97,36 @@ FROM documents d LEFT JOIN (
 """
 
 
+def op4_sql(rounds: int = 40) -> str:
+    """Raking by plain SQL: so many rounds over three dimensions, one after the other."""
+    has = lambda *words: "(" + " OR ".join(f"contains(t, '{w}')" for w in words) + ")"
+    steps, last = [], "c0"
+    for i, d in enumerate(("source", "lang", "topic") * rounds, 1):
+        steps.append(f"c{i} AS (SELECT source, lang, topic, tokens, g_source, g_lang, g_topic, w * g_{d} / sum(w) OVER (PARTITION BY {d}) AS w FROM {last})")
+        last = f"c{i}"
+    goals = ", ".join(f"pow(sum(tokens) OVER (PARTITION BY {d}), 0.7) AS p_{d}" for d in ("source", "lang", "topic"))
+    shares = ", ".join(f"p_{d} / (SELECT sum(p) FROM (SELECT DISTINCT {d}, p_{d} AS p FROM lifted)) AS g_{d}" for d in ("source", "lang", "topic"))
+    return f"""
+WITH base AS (SELECT doc_id, source, lang, coalesce(text, '') AS t, concat_ws('|', '17', doc_id::VARCHAR, text) AS key FROM documents),
+docs AS (
+  SELECT doc_id, source, lang, key,
+    CASE WHEN regexp_matches(t, '[A-Za-z0-9._-]@[A-Za-z0-9-]+\\.[a-z]') THEN 'contact'
+         WHEN {has("icense", "icence", "ICENSE", "ICENCE", "opyright", "OPYRIGHT")} THEN 'licence'
+         WHEN {has("http://", "https://")} THEN 'links' WHEN regexp_matches(t, '[0-9]{{3}}') THEN 'numbers' ELSE 'prose' END AS topic,
+    len(regexp_extract_all(t, '[^\\x20\\x09-\\x0d]+')) AS tokens
+  FROM base),
+cells AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM docs GROUP BY ALL HAVING sum(tokens) > 0),
+lifted AS (SELECT *, {goals} FROM cells),
+c0 AS (SELECT source, lang, topic, tokens, {shares}, tokens / sum(tokens) OVER () AS w FROM lifted),
+{", ".join(steps)},
+fitted AS (SELECT source, lang, topic, w, (w / tokens) / max(w / tokens) OVER () AS p FROM {last})
+SELECT d.doc_id, d.source, d.lang, d.topic, d.tokens::BIGINT AS tokens,
+  CASE WHEN d.tokens > 0 THEN round(f.w, 7) ELSE 0 END AS weight, CASE WHEN d.tokens > 0 THEN round(f.p, 6) ELSE 0 END AS keep_probability,
+  d.tokens > 0 AND ('0x' || md5(d.key)[1:10])::BIGINT / 1099511627776.0 < f.p AS kept
+FROM docs d LEFT JOIN fitted f ON d.source IS NOT DISTINCT FROM f.source AND d.lang IS NOT DISTINCT FROM f.lang AND d.topic = f.topic
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """Only line dedup has exact SQL that is quick enough; the others are held against brute force in tests/llm."""
-    return {"op5_line_dedup": OP5_SQL}
+    """Mixing and line dedup have exact SQL that is quick enough; the others are held against brute force in tests/llm."""
+    return {"op4_mixing": op4_sql(), "op5_line_dedup": OP5_SQL}
