@@ -133,15 +133,23 @@ def _monitored(frames: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def monitor(frames: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per row: count, newest frame, the one before, changed bytes of the newest, and its place by first appearance.
 
-    No window over the frames: the two newest frames of a row come from an aggregate of the newest and of the newest that
-    is older."""
+    One aggregate, combined before its shuffle, over parts of each row's frames: a part's two newest frames hold the
+    row's two newest, so no task sorts or holds all frames of an id."""
     keys = [*by, *MONITOR]
-    rows = _monitored(frames, by).withColumn("o", F.struct("ts_ns", "frame_no"))
-    newest = rows.groupBy(*keys).agg(F.count("*").alias("count"), F.max("o").alias("last"), F.min("o").alias("first"), F.max_by(F.struct("flags", "errors", "bytes"), "o").alias("frame"))
-    w = Window.partitionBy(*keys).orderBy("ts_ns", "frame_no")
-    prev = rows.withColumn("n", F.lead("frame_no").over(w)).filter("n is not null").groupBy(*keys).agg(F.max("o").alias("prev"), F.max_by("bytes", "o").alias("prev_bytes"))
-    same = [newest[k].eqNullSafe(prev[k]) for k in keys]
-    out = newest.join(prev, reduce(lambda a, b: a & b, same), "left").select(*[newest[k] for k in keys], "count", "first", "last", "frame", "prev", "prev_bytes")
+    frame = F.struct(F.struct("ts_ns", "frame_no").alias("o"), "flags", "errors", "bytes")
+    rows = _monitored(frames, by).withColumn("part", F.pmod(F.xxhash64("ts_ns", "frame_no"), F.lit(64)))
+    # of each part the newest, and over the parts the two newest of them and of the ones that the newest hides
+    first = rows.groupBy(*keys, "part").agg(F.count("*").alias("count"), F.min(F.struct("ts_ns", "frame_no")).alias("first"), F.max(frame).alias("a"))
+    top = first.groupBy(*keys).agg(F.sum("count").alias("count"), F.min("first").alias("first"), F.max("a").alias("a"), F.max_by("part", "a.o").alias("p"), F.sort_array(F.collect_list("a"), False).alias("some"))
+    top = top.select(*keys, "count", "first", "a", "p", F.get("some", F.lit(1)).alias("b"))
+    f, t = rows.alias("f"), top.alias("t")
+    same = reduce(lambda x, y: x & y, [F.col(f"f.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys])
+    hidden = f.join(t, same & (F.col("f.part") == F.col("t.p"))).filter(F.struct("f.ts_ns", "f.frame_no") < F.col("t.a.o"))
+    hidden = hidden.groupBy(*[F.col(f"t.{k}").alias(k) for k in keys]).agg(F.max(F.struct(F.struct("f.ts_ns", "f.frame_no").alias("o"), "f.flags", "f.errors", "f.bytes")).alias("c"))
+    h = hidden.alias("h")
+    same = reduce(lambda x, y: x & y, [F.col(f"t.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys])
+    out = t.join(h, same, "left").select(*[F.col(f"t.{k}").alias(k) for k in keys], "count", "first", F.col("a").alias("frame"), F.greatest("b", "c").alias("before"))
+    out = out.select(*keys, "count", "first", F.col("frame.o").alias("last"), "frame", F.col("before.o").alias("prev"), F.col("before.bytes").alias("prev_bytes"))
     place = F.row_number().over(Window.partitionBy(*by or [F.lit(1)]).orderBy("first"))  # a row per monitor row
     return out.select(
         *keys, "count", F.col("first.ts_ns").alias("first_ts_ns"), F.col("last.frame_no").alias("frame_no"), F.col("last.ts_ns").alias("ts_ns"),
@@ -253,7 +261,7 @@ def tail(frames: DataFrame, n: int) -> DataFrame:
 
 
 def merge_logs(logs: Sequence[DataFrame]) -> DataFrame:
-    """One log from several: log (their place), and frame_no unique over all by (time, log, frame_no) order within it."""
+    """One log from several, in time order: log (their place), and frame_no as it was; the two together are unique."""
     parts = [log.withColumn("log", F.lit(i)) for i, log in enumerate(logs)]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).orderBy("ts_ns", "log", "frame_no")
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bits import has_flag, lin_checksum
 from ..functions.text import hex_text
-from ..schema import BRS, ERROR_BITS, EXTENDED, FD, RTR, TX
+from ..schema import BRS, ERROR_BITS, EXTENDED, FD, RTR, TX, head_of
 from .binary_logs import read_pcap, read_pcapng
 from .text_logs import read_asc, read_candump, read_trc
 
@@ -24,19 +26,38 @@ def format_of(name: str) -> str:
     return FORMATS[key]
 
 
-def read_log(spark: SparkSession, path: str, format: str | None = None) -> DataFrame:
-    return READERS[format_of(format or (path.rpartition(".")[2] if "." in path else path))](spark, path)
+def read_log(spark: SparkSession, path: str, format: str | None = None, **options) -> DataFrame:
+    return READERS[format_of(format or (path.rpartition(".")[2] if "." in path else path))](spark, path, **options)
+
+
+def source_state(frames: DataFrame) -> str | None:
+    """Path, size and time of change of every file that the frames come from; None where they don't come from files."""
+    sc = frames.sparkSession.sparkContext
+    conf, found = sc._jsc.hadoopConfiguration(), []
+    for name in sorted(frames.inputFiles()):
+        p = sc._jvm.org.apache.hadoop.fs.Path(name)
+        status = p.getFileSystem(conf).getFileStatus(p)
+        found.append([name, status.getLen(), status.getModificationTime()])
+    return json.dumps(found) if found else None
 
 
 def build_frame_table(frames: DataFrame, path: str, *, partitions: int | None = None) -> DataFrame:
     """Frames as Parquet, clustered by interface and id and sorted by time, so that a filter on ids skips row groups.
-    An existing table is used again."""
-    spark = frames.sparkSession
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+    `head` holds the first eight bytes as a number, from which `decode_wide` reads signals.
+
+    A table is used again if the files that the frames come from have the sizes and times that it was made from (kept in
+    a table beside it), and is built anew otherwise; also where the frames don't come from files."""
+    spark, beside = frames.sparkSession, f"{path}.source"
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    there = lambda name: (p := spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{name}/_SUCCESS")).getFileSystem(conf).exists(p)
+    state = source_state(frames)
+    if state is None or not (there(path) and there(beside)) or spark.read.text(beside).first().value != state:
         keys = [F.col("iface"), F.col("can_id"), F.col("ts_ns")]
+        frames = frames.withColumn("head", head_of(F.col("bytes")))
         dealt = frames.repartitionByRange(partitions, *keys) if partitions else frames.repartitionByRange(*keys)
-        dealt.sortWithinPartitions("iface", "can_id", "ts_ns", "frame_no").write.parquet(path)
+        dealt.sortWithinPartitions("iface", "can_id", "ts_ns", "frame_no").write.mode("overwrite").parquet(path)
+        if state is not None:
+            spark.createDataFrame([(state,)], "value string").coalesce(1).write.mode("overwrite").text(beside)
     return spark.read.parquet(path)
 
 

@@ -1,28 +1,34 @@
 """Text logs (candump, ASC, TRC), code texts and record layouts, read in splits.
 
-Lines get a frame number that grows along their file: the byte where their split begins plus the line's place in it.
-What a header says of a whole file (date, columns) is a separate small aggregate per file, joined back.
+Lines get a frame number that grows along their file: the byte where their split begins plus the row's place in its
+task. A split that another one of its file follows fills its task alone and has fewer lines than bytes, so numbers
+neither repeat nor go back. What a header says of a whole file (date, columns) is a separate small aggregate per file,
+joined back; so are the numbers of channels, unless they are given (`channels`), and then a log is read once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bits import len_of_dlc
 from ..functions.text import parse_seconds_ns
-from ..schema import BRS, EXTENDED, FD, GENERIC_ERROR, RTR, TX, hex_bytes, to_binary
+from ..schema import BRS, EXTENDED, FD, GENERIC_ERROR, RTR, TX, hex_bytes, settled, to_binary
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """log (file), frame_no, value of every line."""
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("log"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"))
-    first = raw.groupBy("log", "block").agg(F.min("i").alias("i0"))  # a row per split
-    return raw.join(first, ["log", "block"]).select("log", (F.col("block") + F.col("i") - F.col("i0")).alias("frame_no"), F.regexp_replace("value", "\r$", "").alias("value"))
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # of the row in its task
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("log"), (F.col("_metadata.file_block_start") + place).alias("frame_no"), F.rtrim(F.col("value"), F.lit("\r")).alias("value"))
 
 
-def with_iface(frames: DataFrame) -> DataFrame:
-    """iface: the channel's place by first appearance over the whole input."""
+def with_iface(frames: DataFrame, channels: Sequence[str] | None = None) -> DataFrame:
+    """iface: the channel's place in `channels` (null for others), or by first appearance over the whole input."""
+    if channels is not None:
+        place = F.array_position(F.array(*[F.lit(c) for c in channels]).cast("array<string>"), F.col("channel"))
+        return frames.withColumn("iface", (F.nullif(place, F.lit(0).cast("long")) - 1).cast("int"))
     first = frames.groupBy("channel").agg(F.min(F.struct("log", "frame_no")).alias("o"))
     from pyspark.sql import Window
 
@@ -30,12 +36,12 @@ def with_iface(frames: DataFrame) -> DataFrame:
     return frames.drop("iface").join(numbers, "channel")
 
 
-def finish(rows: DataFrame) -> DataFrame:
+def finish(rows: DataFrame, channels: Sequence[str] | None = None) -> DataFrame:
     """The columns of frames, from rows with log, frame_no, ts_ns, channel, bus, can_id, flags, errors, bytes and, for
     remote frames, their length."""
     from ..functions.bits import dlc_of_len
 
-    out = with_iface(rows.withColumn("bytes", F.col("bytes").cast("array<int>")))
+    out = with_iface(settled(rows, *[c for c in rows.columns if c != "bytes"], bytes=F.col("bytes").cast("array<int>")), channels)
     remote = F.col("flags").bitwiseAND(RTR) != 0
     out = out.withColumn("len", F.when(remote, F.least(F.greatest(F.col("remote_len"), F.lit(0)), F.lit(8))).otherwise(F.size("bytes")).cast("int"))
     return out.select(
@@ -57,12 +63,12 @@ def _hex_list(parts: Column) -> Column:
     return F.when(ok, F.transform(parts, lambda p: F.conv(p, 16, 10).cast("int")))
 
 
-def read_candump(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_candump(spark: SparkSession, path: str | list[str], channels: Sequence[str] | None = None) -> DataFrame:
     """(sec.frac) iface ID#DATA, ID##fDATA, ID#R[len]; lines of another form are skipped."""
     pattern = r"^\(([^)]*)\)[ \t]*([^ \t]+)[ \t]+([0-9A-Fa-f]{1,8})#([^ \t]*)"
     part = lambda i: F.regexp_extract("value", pattern, i)
     p = read_lines(spark, path).filter(F.rlike("value", F.lit(pattern)))
-    p = p.select("log", "frame_no", parse_seconds_ns(part(1)).alias("ts_ns"), part(2).alias("channel"), part(3).alias("id"), part(4).alias("load"))
+    p = settled(p, "log", "frame_no", ts_ns=parse_seconds_ns(part(1)), channel=part(2), id=part(3), load=part(4))
     raw = F.conv("id", 16, 10).cast("long")
     error = raw.bitwiseAND(0x20000000) != 0
     can_id = raw.bitwiseAND(0x1FFFFFFF)
@@ -78,7 +84,7 @@ def read_candump(spark: SparkSession, path: str | list[str]) -> DataFrame:
         "log", "frame_no", "ts_ns", "channel", F.lit("CAN").alias("bus"), can_id.alias("can_id"), F.when(error, 0).otherwise(flags).alias("flags"),
         F.when(error, GENERIC_ERROR).otherwise(0).alias("errors"), F.when(error | remote, F.array().cast("array<int>")).otherwise(hex_bytes(body)).alias("bytes"),
         F.when(remote, F.coalesce(F.regexp_extract(load, "([0-9]+)", 1).try_cast("long"), F.lit(0))).alias("remote_len"),
-    ))
+    ), channels)
 
 
 #: Names of months.
@@ -99,7 +105,7 @@ def asc_date_ns(line: Column, tz: str) -> Column:
     return F.when(F.rlike(line, F.lit(pattern)), micros * 1000 + parse_seconds_ns(part(5)))
 
 
-def read_asc(spark: SparkSession, path: str | list[str], tz: str = "UTC") -> DataFrame:
+def read_asc(spark: SparkSession, path: str | list[str], tz: str = "UTC", channels: Sequence[str] | None = None) -> DataFrame:
     """Classic, CANFD (two layouts), LIN and ErrorFrame events; times count from the header's date in tz."""
     lines = read_lines(spark, path)
     date = lines.filter(F.rlike("value", F.lit("(?i)^date "))).groupBy("log").agg(F.min_by(asc_date_ns(F.col("value"), tz), "frame_no").alias("base"))
@@ -151,14 +157,14 @@ def read_asc(spark: SparkSession, path: str | list[str], tz: str = "UTC") -> Dat
     return finish(p.select(
         "log", "frame_no", ts.alias("ts_ns"), F.concat(F.lit("CH "), F.col("f.ch")).alias("channel"), F.when(F.col("kind") == "lin", "LIN").otherwise("CAN").alias("bus"),
         F.col("f.id").alias("can_id"), F.col("f.fl").alias("flags"), F.col("f.er").alias("errors"), F.col("f.by").alias("bytes"), F.col("f.n").alias("remote_len"),
-    ))
+    ), channels)
 
 
 #: Columns of the file versions.
 TRC_COLUMNS = {"1.1": "NOdILD", "1.3": "NOBdIRLD", "2.0": "NOTIdlD", "2.1": "NOTBIdRLD"}
 
 
-def read_trc(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_trc(spark: SparkSession, path: str | list[str], channels: Sequence[str] | None = None) -> DataFrame:
     """PEAK trace files of versions 1.1 to 2.1; ;$COLUMNS replaces a version's columns."""
     lines = read_lines(spark, path)
     head = lambda key: F.trim(F.regexp_extract("value", rf"^;\${key}=(.*)$", 1))
@@ -192,7 +198,7 @@ def read_trc(spark: SparkSession, path: str | list[str]) -> DataFrame:
         "log", "frame_no", (F.coalesce("start", F.lit(0)) + ms * 1_000_000 + micros).alias("ts_ns"), channel.alias("channel"), F.lit("CAN").alias("bus"),
         F.when(error, 0).otherwise(number).cast("long").alias("can_id"), F.when(error, 0).otherwise(flags).alias("flags"), F.when(error, GENERIC_ERROR).otherwise(0).alias("errors"),
         data.alias("bytes"), length.alias("remote_len"),
-    ))
+    ), channels)
 
 
 def read_code_texts(spark: SparkSession, path: str | list[str]) -> DataFrame:

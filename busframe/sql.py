@@ -13,8 +13,9 @@ FUNCTIONS = {
         "+ (47 + 8 * len + if((flags & 1) <> 0, 20, 0) + if((flags & 4) <> 0, 20, 0)) div 5 END"
     ),
     "frame_signal_le(bytes ARRAY<INT>, start INT, length INT) RETURNS BIGINT": (
-        "shiftrightunsigned(aggregate(sequence(0, 7), 0L, (a, i) -> a | shiftleft(CAST(coalesce(get(bytes, start div 8 + i), 0) AS BIGINT), 8 * i)), start % 8) "
-        "& (shiftleft(1L, least(length, 62)) - 1)"
+        "(shiftrightunsigned(aggregate(sequence(0, 7), 0L, (a, i) -> a | shiftleft(CAST(coalesce(get(bytes, start div 8 + i), 0) AS BIGINT), 8 * i)), start % 8) "
+        "| if(start % 8 = 0, 0L, shiftleft(CAST(coalesce(get(bytes, start div 8 + 8), 0) AS BIGINT), 64 - start % 8))) "
+        "& if(length >= 64, -1L, shiftleft(1L, length) - 1)"
     ),
     "frame_signed(raw BIGINT, length INT) RETURNS BIGINT": "shiftright(shiftleft(raw, 64 - length), 64 - length)",
     "j1939_pgn(can_id BIGINT) RETURNS BIGINT": "if((can_id >> 16 & 255) >= 240, can_id >> 8 & 262143, can_id >> 8 & 261888)",
@@ -24,8 +25,7 @@ FUNCTIONS = {
 
 
 def register(spark: SparkSession) -> list[str]:
-    """Creates the temporary functions of a session and returns their names. frame_signal_le reads signals of at most 56
-    bits (62 where they begin at a byte)."""
+    """Creates the temporary functions of a session and returns their names."""
     for head, body in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
     return [h.partition("(")[0] for h in FUNCTIONS]
