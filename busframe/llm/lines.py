@@ -22,11 +22,16 @@ from pyspark.sql import functions as F
 
 from .common import document_key, written
 
-WORDS = "[\\x20\\x09\\x0b-\\x0d]+"
+WORDS, BLANKS = "[\\x20\\x09\\x0b-\\x0d]+", " \t\x0b\x0c\r"
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(line, WORDS), lambda w: w != "")
+    """Words of a line that isn't blank."""
+    return F.split(F.btrim(line, F.lit(BLANKS)), WORDS)
+
+
+def _blank(line: Column) -> Column:
+    return F.btrim(line, F.lit(BLANKS)) == ""
 
 
 def _hash(*parts: Column) -> Column:
@@ -52,11 +57,10 @@ def within_one_edit(a: Column, b: Column) -> Column:
     )
 
 
-def _numbered(numbers: Column, words: bool) -> Column:
-    """Rows (i, line or its words) of the lines of `text` whose numbers are in an array."""
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    chosen = F.filter(lines, lambda s: F.array_contains(numbers, s["i"]))
-    return F.explode(F.transform(chosen, lambda s: F.struct(s["i"].alias("line_no"), (_words(s["x"]) if words else s["x"]).alias("w"))))
+def _numbered(df: DataFrame, numbers: str) -> DataFrame:
+    """Rows (dk, line_no, w) of the words of the lines of `text` whose numbers are in an array."""
+    lines = df.select("dk", numbers, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.filter(F.array_contains(numbers, F.col("line_no"))).select("dk", "line_no", _words(F.col("line")).alias("w"))
 
 
 def near_lines(by_doc: DataFrame, firsts: DataFrame, min_words: int) -> DataFrame:
@@ -65,7 +69,7 @@ def near_lines(by_doc: DataFrame, firsts: DataFrame, min_words: int) -> DataFram
     place = ["dk", "line_no"]
     spot = F.xxhash64(*place)
     long = lambda df: df.filter(F.size("w") >= min_words).withColumn("n", F.size("w"))
-    rows = long(by_doc.join(firsts, "dk").select("dk", _numbered(F.col("mine"), True).alias("s")).select("dk", "s.*"))
+    rows = long(_numbered(by_doc.join(firsts, "dk"), "mine"))
 
     def halves(n: Column) -> list[Column]:
         h = (n / 2).cast("int")
@@ -75,7 +79,7 @@ def near_lines(by_doc: DataFrame, firsts: DataFrame, min_words: int) -> DataFram
     shares = rows.select(*place, F.explode(F.array(*halves(F.col("n")), *halves(F.col("n") - 1))).alias("half"))
     common = shares.groupBy("half").agg(F.min(spot).alias("lo"), F.max(spot).alias("hi")).filter("lo <> hi").select("half")
     likely = shares.join(common, "half", "left_semi").select(*place).distinct().groupBy("dk").agg(F.collect_list("line_no").alias("some"))
-    lines = by_doc.join(likely, "dk").select("dk", _numbered(F.col("some"), True).alias("s")).select("dk", "s.*").repartition(*place)
+    lines = _numbered(by_doc.join(likely, "dk"), "some").repartition(*place)
 
     # the hash of a list of words is the XOR of the hashes of (place, word), so that each deletion costs the same
     words = lines.select(*place, F.size("w").alias("n"), F.posexplode("w").alias("at", "word"))
@@ -117,7 +121,7 @@ def dedup_lines(docs: DataFrame, *, min_words: int = 5, carry: Sequence[str] = (
     key = document_key(F.col("doc_id"), F.col("text"), last=False).alias("dk")
     ids = docs.select(key, "text")  # every reader of by_doc takes the same two columns of one exchange
     lines = ids.filter(F.col("text").isNotNull()).select("dk", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.filter(F.rlike("line", F.lit("[^\\x20\\x09-\\x0d]"))).select(_hash(F.col("line")).alias("key"), F.struct("dk", "line_no").alias("place"))
+    lines = lines.filter(~_blank(F.col("line"))).select(_hash(F.col("line")).alias("key"), F.struct("dk", "line_no").alias("place"))
     firsts = lines.groupBy("key").agg(F.min("place").alias("first")).groupBy(F.col("first.dk").alias("dk")).agg(F.collect_list("first.line_no").alias("mine"))
     firsts = written(firsts, "first-lines")
     by_doc = ids.repartition("dk")
@@ -125,7 +129,7 @@ def dedup_lines(docs: DataFrame, *, min_words: int = 5, carry: Sequence[str] = (
     split = F.split("text", "\n")
     none = F.array().cast("array<int>")
     stays = F.array_except(F.coalesce("mine", none), F.coalesce("near", none))
-    kept = F.filter(F.transform(split, lambda x, i: F.when(~F.rlike(x, F.lit("[^\\x20\\x09-\\x0d]")) | F.array_contains(F.col("stays"), i), x)), lambda x: x.isNotNull())
+    kept = F.filter(F.transform(split, lambda x, i: F.when(_blank(x) | F.array_contains(F.col("stays"), i), x)), lambda x: x.isNotNull())
     out = by_doc.join(firsts, "dk", "left").join(near, "dk", "left").withColumn("stays", stays)
     if carry:  # joined where the texts are, so that they aren't shuffled again
         out = out.join(docs.select(key, F.struct(*carry).alias("carried")).dropDuplicates(["dk"]), "dk")
