@@ -6,16 +6,20 @@ estimates each labeller's accuracy and the share of good documents; the posterio
 sample of documents, on which a linear scorer over hashed features is trained. The scorer judges every document where
 it is read. Two tasks are fitted this way, writing quality and toxicity; a document is rejected if either scorer says so.
 
-Toxicity has a labeller that works in every language the labels cover: a list of words that are frequent in labelled
-toxic documents and rare in labelled clean ones, mined from a bounded sample of labelled documents. Those documents also
-train the toxicity scorer, each with marks from a list that was mined without it.
-
-Scale: two scans of the texts, and one for the labelled sample; only votes are joined (with the labels) and counted. Each
-sample is bounded by `max_sample`, a parameter.
+Toxicity has no word list of its own. A bounded sample of labelled documents is dealt into three folds, and three lists
+of words that are frequent in toxic documents and rare in clean ones are mined, each without one of the folds. The lists
+are three overlapping labellers that work in every language the labels cover; a labelled document gets the vote of the
+one list that was mined without it. These documents also train the toxicity scorer.
+
+Scale: two scans of the texts, and one for each sample; only votes are joined (with the labels) and counted. Words are
+counted by a shuffle, and features are made where the texts are read. The samples are bounded in documents by
+`max_sample` and in features of each document by `max_features`, both parameters; each scorer is trained on its sample
+in one executor's task, and only its weights reach the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,15 +28,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import gram_hashes, hash_words, mix
+from .common import gram_hashes, hash_words, mix, written
 
-#: Insults, and function words of four languages (fixed word lists); compared without upper case in A-Z.
-INSULTS = "idiot stupid moron scum trash pathetic worthless disgusting loser clown"
+#: Function words of four languages (a fixed word list); compared without upper case in A-Z.
 COMMON = "the of and to in a is that it was for on are as with his they be at this der die das und ein eine zu den von mit für ist nicht le la les de des et un une est que dans pour qui el los las y en por con para"
 
 #: Labellers of each task, in the order of the votes. 1 good, 0 bad, -1 no vote.
 QUALITY = ("symbols", "capitals", "stutter", "repeats", "function_words", "odd_endings", "whole", "labels")
-TOXICITY = ("insults", "marked", "labels")
+FOLDS = 3
+TOXICITY = (*(f"words without fold {k}" for k in range(FOLDS)), "labels")
 BUCKETS = 16
 _ASCII = np.arange(256)
 _UPPER, _LOWER = (_ASCII >= 65) & (_ASCII <= 90), (_ASCII >= 97) & (_ASCII <= 122)
@@ -57,7 +61,7 @@ def _member(words: str):
     return lambda hashes: int((slots[hashes & np.uint64(0x3FFFF)] == hashes).sum())
 
 
-_insults, _common = _member(INSULTS), _member(COMMON)
+_common = _member(COMMON)
 
 
 @dataclass
@@ -66,7 +70,6 @@ class Traits:
 
     shares: dict[str, float]
     words: np.ndarray  # hashes of lower-case words without marks at their ends
-    insults: int
     starts: np.ndarray  # first five bytes of these words, as numbers
 
 
@@ -90,7 +93,7 @@ def traits(text: str | None) -> Traits:
         "function_words": _common(plain) / n,
         "odd_endings": float(_ODD[last].sum()) / n,
     }
-    return Traits(shares, plain, _insults(plain), front)
+    return Traits(shares, plain, front)
 
 
 #: Share from which a labeller says bad, and share up to which it says good (function words: the other way round).
@@ -99,40 +102,56 @@ BOUNDS = {"symbols": (0.06, 0.03), "capitals": (0.5, 0.2), "stutter": (0.15, 0.0
 
 @dataclass
 class WordList:
-    """Words that mark toxic documents, by their sorted hashes."""
+    """Words that mark toxic documents, by their sorted hashes, and how much each counts."""
 
     words: np.ndarray
+    weight: np.ndarray
 
-    def level(self, words: np.ndarray, n_words: int) -> int:
-        """Distinct listed words of a text, at most 4; 0 for fewer than two, or fewer than one in 100 of its words."""
+    def level(self, words: np.ndarray) -> int:
+        """Weight of the distinct listed words of a text, at most 4; 0 below 2, or below one in 100 of its words."""
         if not len(self.words):
             return 0
         at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        n = len(np.unique(words[self.words[at] == words]))
-        return min(4, n) if n >= max(2, 0.01 * n_words) else 0
-
-
-def mine_words(words: list[np.ndarray], toxic: np.ndarray, *, least: int = 2, ratio: float = 8.0) -> WordList:
-    """Words of at least `least` toxic documents, whose share of the toxic documents is at least `ratio` times that of the
-    clean ones. words: the distinct word hashes of each document."""
-    none = [np.zeros(0, np.uint64)]
-    count = lambda which: np.unique(np.concatenate(none + [w for w, y in zip(words, toxic, strict=True) if y == which]), return_counts=True)
-    (seen, bad), (other, good) = count(True), count(False)
-    other, good = np.append(other, np.uint64((1 << 64) - 1)), np.append(good, 0)
-    at = np.minimum(np.searchsorted(other, seen), len(other) - 1)
-    fine = np.where(other[at] == seen, good[at], 0)
-    odds = (bad + 0.5) / (toxic.sum() + 1) / ((fine + 0.5) / ((~toxic).sum() + 1))
-    return WordList(seen[(bad >= least) & (odds >= ratio)])
-
-
-def mine_apart(words: list[np.ndarray], toxic: np.ndarray, folds: int = 5) -> tuple[WordList, list[WordList]]:
-    """The list of all documents, and for each one the list of those outside its fold."""
-    fold = np.arange(len(words)) % folds
-    apart = [mine_words([w for w, f in zip(words, fold, strict=True) if f != k], toxic[fold != k]) for k in range(folds)]
-    return mine_words(words, toxic), [apart[k] for k in fold]
-
-
-def votes(t: Traits, marks: WordList) -> tuple[list[int], list[int]]:
+        hit = np.unique(at[self.words[at] == words])
+        n = int(self.weight[hit].sum())
+        return min(4, n) if n >= 2 and len(hit) >= 0.01 * len(words) else 0
+
+
+def joint_level(lists: list[WordList], words: np.ndarray) -> int:
+    """The middle one of the lists' levels."""
+    return sorted(m.level(words) for m in lists)[len(lists) // 2]
+
+
+def mined_lists(told: DataFrame, *, ratio: float = 8.0, evidence: float = 6.0, sure: float = 15.0) -> list[WordList]:
+    """A list for each fold, of the words of the documents outside it: those whose share of the toxic documents is at least
+    `ratio` times that of the clean ones, and whose number of toxic documents is unlikely at the clean ones' rate: the
+    logarithm of the Poisson likelihood ratio is at least `evidence`. Words that reach `sure` count twice. told:
+    (fold, fine, words) of labelled documents, words distinct."""
+    part = [(k, fine) for k in range(FOLDS) for fine in (0, 1)]
+    count = lambda k, fine: F.count(F.when((F.col("fold") == k) & (F.col("fine") == fine), 1))
+    totals = told.agg(*[count(k, fine) for k, fine in part]).first()
+    n = {x: totals[i] for i, x in enumerate(part)}
+    words = told.select("fold", "fine", F.explode("words").alias("word")).groupBy("word").agg(*[count(k, fine).alias(f"n{k}{fine}") for k, fine in part])
+    tests = []
+    for k in range(FOLDS):
+        rest = [j for j in range(FOLDS) if j != k]
+        bad, good = (sum(F.col(f"n{j}{fine}") for j in rest) for fine in (0, 1))
+        expected = (good + 0.5) / (sum(n[j, 1] for j in rest) + 1) * (sum(n[j, 0] for j in rest) + 1)
+        odds = (bad + 0.5) / expected
+        proof = bad * F.log(odds) - (bad - expected)
+        tests.append(F.when((odds < ratio) | (proof < evidence), 0).when(proof < sure, 1).otherwise(2).alias(f"w{k}"))
+    # words that mark toxic documents of the bounded sample
+    rows = words.select("word", *tests).filter(" + ".join(f"w{k}" for k in range(FOLDS)) + " > 0").toPandas()
+    hashes = rows.word.to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    out = []
+    for k in range(FOLDS):
+        weight = rows[f"w{k}"].to_numpy(np.int64)[order]
+        out.append(WordList(hashes[order][weight > 0], weight[weight > 0]))
+    return out
+
+
+def votes(t: Traits, lists: list[WordList]) -> tuple[list[int], list[int]]:
     """Votes on quality and toxicity, without those of the labels. The first labellers only say bad or nothing, the last
     one judges the whole. Texts of under 8 words are judged by their marks alone."""
     worse = {name: (x - BOUNDS[name][0]) * (BOUNDS[name][0] - BOUNDS[name][1]) >= 0 for name, x in t.shares.items()}
@@ -140,7 +159,7 @@ def votes(t: Traits, marks: WordList) -> tuple[list[int], list[int]]:
     seen = QUALITY[:-2] if len(t.words) >= 8 else ("symbols", "odd_endings")
     quality = [0 if name in seen and worse[name] else -1 for name in QUALITY[:-2]]
     whole = 0 if 0 in quality and not fine["function_words"] else 1 if all(fine[name] for name in seen) else -1
-    return [*quality, whole], [0 if t.insults else -1, 0 if marks.level(t.words, len(t.words)) else -1]
+    return [*quality, whole], [0 if marks.level(t.words) else -1 for marks in lists]
 
 
 @dataclass
@@ -179,14 +198,13 @@ def fit_labels(patterns: np.ndarray, counts: np.ndarray, *, rounds: int = 100, p
 
 
 def hashed_features(t: Traits, bits: int) -> np.ndarray:
-    """Places of the features that a document has: its words and their starts, its shares in buckets, its insults."""
+    """Places of the features that a document has: its words and their starts, and its shares in buckets."""
     marks = [mix(np.array([i * 1000 + min(BUCKETS - 1, int(x * BUCKETS * 2))], np.uint64)) for i, x in enumerate(t.shares.values(), 1)]
-    marks.append(mix(np.array([90_000 + min(3, t.insults)], np.uint64)))
     return np.unique(np.concatenate([t.words, mix(t.starts + np.uint64(1)), *marks]) & np.uint64((1 << bits) - 1)).astype(np.int32)
 
 
 def with_marks(features: np.ndarray, level: int, bits: int) -> np.ndarray:
-    """The features of the toxicity scorer: those of a document and its level in the word list."""
+    """The features of the toxicity scorer: those of a document and its level in the word lists."""
     return np.union1d(features, (mix(np.array([95_000 + level], np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.int32))
 
 
@@ -200,24 +218,29 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(self.weights[features].sum() + self.bias, -30, 30))))
 
 
-def fit_scorer(features: list[np.ndarray], target: np.ndarray, bits: int, *, rounds: int = 150, penalty: float = 1e-3) -> Scorer:
+def fit_scorer(column: np.ndarray, sizes: np.ndarray, target: np.ndarray, bits: int, *, rounds: int = 150, penalty: float = 1e-3) -> Scorer:
     """Logistic regression on soft labels, by Adam over the whole sample. Its classes keep their shares, so that a clean
-    document is rarely rejected for a word."""
-    if not features:
+    document is rarely rejected for a word. column: the features of all documents, sizes:
+    how many each has, at least one."""
+    n = len(sizes)
+    if not n:
         return Scorer(np.zeros(1 << bits, np.float32), 5.0, bits)
-    column, row = np.concatenate(features), np.repeat(np.arange(len(features), dtype=np.int32), [len(f) for f in features])
-    present = np.zeros(1 << bits, bool)
-    present[column] = True
-    used, column = np.flatnonzero(present), (np.cumsum(present, dtype=np.int32) - 1)[column]
-    w, bias = np.zeros(len(used)), 0.0
+    # entries by document, and by feature: both sums run over neighbours
+    order = np.argsort(column, kind="stable")
+    row = np.repeat(np.arange(n, dtype=np.int32), sizes)[order]
+    used, first, column = np.unique(column[order], return_index=True, return_inverse=True)
+    back = np.empty(len(order), np.int32)
+    back[order] = column
+    begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    w, bias = np.zeros(len(used), np.float32), 0.0
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for i in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[column], len(features)) + bias, -30, 30)))
-        error = (p - target) / len(features)
-        g = np.append(np.bincount(column, error[row], len(used)) + penalty * w, error.sum())
+        p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(w[back], begin) + bias, -30, 30)))
+        error = ((p - target) / n).astype(np.float32)
+        g = np.append(np.add.reduceat(error[row], first) + penalty * w, error.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.2 / (1 + i / 10) * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-7)
-        w -= step[:-1]
+        w -= step[:-1].astype(np.float32)
         bias -= step[-1]
     weights = np.zeros(1 << bits, np.float32)
     weights[used] = w
@@ -230,12 +253,12 @@ class QualityModel:
     clean: Scorer
     quality_labels: LabelModel
     clean_labels: LabelModel
-    marks: WordList
+    lists: list[WordList]
 
     def column(self, text: Column) -> Column:
         """struct(quality, clean): probability that the writing is good, and that the text isn't toxic. A text without
         words has quality 0."""
-        quality, clean, marks = self.quality, self.clean, self.marks
+        quality, clean, lists = self.quality, self.clean, self.lists
 
         @F.pandas_udf("quality double, clean double")
         def score(texts: pd.Series) -> pd.DataFrame:
@@ -243,71 +266,97 @@ class QualityModel:
             for text in texts:
                 t = traits(text)
                 f = hashed_features(t, quality.bits)
-                out.append((quality(f) if len(t.words) else 0.0, clean(with_marks(f, marks.level(t.words, len(t.words)), clean.bits))))
+                level = joint_level(lists, t.words)
+                out.append((quality(f) if len(t.words) else 0.0, clean(with_marks(f, level, clean.bits))))
             return pd.DataFrame(out, columns=["quality", "clean"], dtype=float)
 
         return score(text)
 
 
-def fit(docs: DataFrame, labels: DataFrame | None = None, *, max_sample: int = 8000, bits: int = 18) -> QualityModel:
-    """labels: (doc_id, quality, toxic), for any part of the documents; nulls don't vote; of repeated ids the smallest
-    values count. At most max_sample documents, chosen by a hash of their id and text, train the scorers; for toxicity, at
-    most max_sample labelled ones, chosen by a hash of their id, are added, from which the word list comes."""
+def _sampled_features(rows: DataFrame, task: str, lists: list[WordList], model: LabelModel, bits: int, most: int) -> DataFrame:
+    """(task, sizes, columns, targets): the features and the target of many documents in each row, as int and double
+    arrays in bytes. rows: (text, pattern, fold), fold -1 where all lists count."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if not len(b):
+                continue
+            features = []
+            for text, fold in zip(b.text, b.fold, strict=True):
+                t = traits(text)
+                f = hashed_features(t, bits)
+                if task == "clean":
+                    f = with_marks(f, joint_level([m for i, m in enumerate(lists) if fold in (-1, i)], t.words), bits)
+                features.append(f[:most])
+            target = model.posterior(np.array(b.pattern.tolist(), int))
+            sizes = np.array([len(f) for f in features], np.int32)
+            yield pd.DataFrame({"task": [task], "sizes": [sizes.tobytes()], "columns": [np.concatenate(features).astype(np.int32).tobytes()], "targets": [target.astype(float).tobytes()]})
+
+    return rows.select("text", "pattern", "fold").mapInPandas(run, "task string, sizes binary, columns binary, targets binary")
 
-    ship_package(docs.sparkSession)
 
+def fit(docs: DataFrame, labels: DataFrame | None = None, *, max_sample: int = 8000, max_features: int = 1 << 14, bits: int = 18) -> QualityModel:
+    """labels: (doc_id, quality, toxic), for any part of the documents; nulls don't vote; of repeated ids the smallest
+    values count. Each scorer is trained on at most max_sample documents, chosen by a hash of their id and text; for
+    toxicity, at most max_sample labelled ones, chosen by a hash of their id, are added, from which the word lists come."""
+    spark = docs.sparkSession
+    ship_package(spark)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    told, told_ids, toxic = [], set(), np.zeros(0, bool)
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int")
     if labels is None:
         given = lambda df: df.select("*", F.lit(-1).alias("good"), F.lit(-1).alias("fine"))
+        told = spark.createDataFrame([], "text string, fine int, doc_id long")
     else:
         known = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("good"), (1 - F.max("toxic")).cast("int").alias("fine"))
         given = lambda df: df.join(known, "doc_id", "left").fillna(-1, ["good", "fine"])
         here = known.filter("fine is not null").join(ids.select("doc_id"), "doc_id", "left_semi").select("doc_id", "fine")
-        picked = here.orderBy(F.xxhash64(F.lit("labelled"), "doc_id"), "doc_id").limit(max_sample).collect()
-        told_ids = {r.doc_id for r in picked}
-        picked = docs.sparkSession.createDataFrame(picked, "doc_id long, fine int")
-        # copies of a text count once
-        rows = ids.join(F.broadcast(picked), "doc_id").limit(max_sample).collect() if told_ids else []
-        texts = {r.text: r.fine for r in sorted(rows, key=lambda r: (-r.fine, r.doc_id))}
-        toxic = np.array([fine == 0 for fine in texts.values()], bool)
-        for text in texts:  # not all traits at once: the driver's memory is small
-            t = traits(text)
-            told.append((np.unique(t.words), len(t.words), hashed_features(t, bits)))
-        del rows, texts
-    marks, apart = mine_apart([words for words, *_ in told], toxic)
-    tox_features = [with_marks(f, m.level(words, n), bits) for (words, n, f), m in zip(told, apart, strict=True)]
-    del told, apart
+        picked = written(here.orderBy(F.xxhash64(F.lit("labelled"), "doc_id"), "doc_id").limit(max_sample), "picked")
+        # at most max_sample rows are broadcast; copies of a text count once
+        told = ids.join(F.broadcast(picked), "doc_id").limit(2 * max_sample).groupBy("text").agg(F.min("fine").alias("fine"), F.min("doc_id").alias("doc_id"))
+    told = written(told.withColumn("fold", fold), "labelled")
+
+    @F.pandas_udf("array<long>")
+    def distinct_words(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(traits(text).words).view(np.int64) for text in texts])
+
+    lists = mined_lists(told.select("fold", "fine", distinct_words("text").alias("words")))
 
     @F.pandas_udf("q array<int>, t array<int>")
     def vote(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([votes(traits(text), marks) for text in texts], columns=["q", "t"])
+        return pd.DataFrame([votes(traits(text), lists) for text in texts], columns=["q", "t"])
 
     own = lambda df: df.withColumn("v", vote("text"))
+    # the list that a labelled document is part of has no vote on it
+    apart = F.transform("v.t", lambda x, i: F.when((F.col("fine") < 0) | (i == fold), x).otherwise(-1))
+    q_pattern, t_pattern = F.concat("v.q", F.array("good")), F.concat(apart, F.array("fine"))
     all_votes = given(own(ids).select("doc_id", "v"))
     # a row per pattern: at most 3 to the power of the labellers, however many documents
-    rows = all_votes.groupBy(F.concat("v.q", F.array("good")).alias("q"), F.concat("v.t", F.array("fine")).alias("t")).count().collect()
+    rows = all_votes.groupBy(q_pattern.alias("q"), t_pattern.alias("t")).count().collect()
     counts = np.array([r["count"] for r in rows], float)
     table = lambda k, m: np.array([r[k] for r in rows], int).reshape(-1, m)
     quality, clean = fit_labels(table("q", len(QUALITY)), counts), fit_labels(table("t", len(TOXICITY)), counts)
 
     n = counts.sum()
     dice = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
-    sample = given(own(ids.filter(dice < 0.9 * max_sample / max(n, 1)).limit(max_sample))).select("doc_id", "text", "v", "good", "fine").collect()
-    # documents of the labelled sample come with marks from a list mined without them
-    new = [i for i, r in enumerate(sample) if r.doc_id not in told_ids]
-    features, levels = [], []
-    for x in sample:
-        t = traits(x.text)
-        features.append(hashed_features(t, bits))
-        levels.append(marks.level(t.words, len(t.words)))
-    target = lambda model, k, last: model.posterior(np.array([[*r.v[k], r[last]] for r in sample], int).reshape(len(sample), -1)) if sample else np.zeros(0)
-    q_target, c_target = target(quality, "q", "good"), np.concatenate([np.where(toxic, 0.01, 0.99), target(clean, "t", "fine")[new]])
-    del sample
-    good_scorer = fit_scorer(features, q_target, bits)
-    tox_features += [with_marks(features[i], levels[i], bits) for i in new]
-    del features
-    return QualityModel(good_scorer, fit_scorer(tox_features, c_target, bits), quality, clean, marks)
+    sample = given(own(ids.filter(dice < 0.9 * max_sample / max(n, 1)).limit(max_sample)))
+    sample = written(sample.select("text", "fine", q_pattern.alias("q"), t_pattern.alias("t")), "sample")
+    none = F.lit(-1)
+    labelled = told.select("text", F.array(*[none] * FOLDS, F.col("fine")).alias("pattern"), "fold")
+    parts = [
+        _sampled_features(sample.select("text", F.col("q").alias("pattern"), none.alias("fold")), "quality", lists, quality, bits, max_features),
+        _sampled_features(sample.filter("fine < 0").select("text", F.col("t").alias("pattern"), none.alias("fold")), "clean", lists, clean, bits, max_features),
+        _sampled_features(labelled, "clean", lists, clean, bits, max_features),
+    ]
+
+    def train(chunk: pd.DataFrame) -> pd.DataFrame:
+        arrays = [np.concatenate([np.frombuffer(x, kind) for x in chunk[c]]) for c, kind in (("columns", np.int32), ("sizes", np.int32), ("targets", float))]
+        made = fit_scorer(*arrays, bits)
+        return pd.DataFrame({"task": [chunk.task.iloc[0]], "weights": [made.weights.astype(np.float32).tobytes()], "bias": [made.bias]})
+
+    fitted = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("task").applyInPandas(train, "task string, weights binary, bias double").collect()  # two rows
+    empty = fit_scorer(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0), bits)
+    scorers = {r.task: Scorer(np.frombuffer(r.weights, np.float32), r.bias, bits) for r in fitted}
+    return QualityModel(scorers.get("quality", empty), scorers.get("clean", empty), quality, clean, lists)
 
 
 def classify(docs: DataFrame, model: QualityModel, *, limit: float = 0.5) -> DataFrame:
