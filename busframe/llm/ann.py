@@ -75,7 +75,9 @@ def search(
     pivots = lifted(np.array(sample, float))
     pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
     prefix = min(prefix, n_pivots)
-    post, probe = min(post, prefix), min(prefix, max(1, math.ceil(probe_share * n_pivots))) if n_pivots <= prefix else max(1, math.ceil(probe_share * n_pivots))
+    # files with room for three times the answer at least, so that small tables give full lists
+    share = max(probe_share, min(1.0, 3 * (k + 1) / max(1, n or 0)))
+    post, probe = min(post, prefix), max(1, math.ceil(share * n_pivots))
 
     def represent(files: int, ask: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -87,7 +89,7 @@ def search(
 
         return run
 
-    asked = asking.groupBy("vector").agg(F.min("vec_id").alias("qkey"))
+    asked = written(asking.groupBy("vector").agg(F.min("vec_id").alias("qkey")), "asked")
     schema = "vector array<double>, prefix array<int>, files array<int>"
     posts = base.select("vkey", "ids", "vector").mapInPandas(represent(post, False), f"vkey long, ids array<long>, {schema}")
     posts = written(posts, "postings").withColumn("file", F.explode("files")).drop("files")
@@ -129,7 +131,9 @@ def search(
     nearest = Window.partitionBy("qkey").orderBy(F.desc("score"), "vec_id")
     found = found.select("qkey", "score", F.explode("ids").alias("vec_id")).withColumn("n", F.row_number().over(nearest)).filter(F.col("n") <= k + 1)
     lists = found.groupBy("qkey").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id", "score"))).alias("near"))
-    # every query row takes the list of its vector and leaves itself out
+    # every query row takes the list of its vector and leaves itself out; written, so that the rows of one vector can be
+    # split between tasks in both joins
+    lists = written(lists, "lists")
     member = asking.join(asked.withColumnRenamed("vector", "v"), F.col("vector") == F.col("v")).select(F.col("vec_id").alias("query_id"), "qkey")
     mine = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
     out = member.join(lists, "qkey").select("query_id", F.posexplode(mine).alias("i", "x"))
