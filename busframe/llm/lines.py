@@ -25,9 +25,18 @@ from .common import document_key, written
 WORDS, BLANKS = "[\\x20\\x09\\x0b-\\x0d]+", " \t\x0b\x0c\r"
 
 
-def _words(line: Column) -> Column:
-    """Words of a line that isn't blank."""
-    return F.split(F.btrim(line, F.lit(BLANKS)), WORDS)
+def _plain(line: Column) -> Column:
+    """A line's words with one space between them; patterns run only on lines that have anything else."""
+    bare = F.btrim(line, F.lit(BLANKS))
+    odd = F.contains(bare, F.lit("  "))
+    for c in BLANKS[1:]:
+        odd = odd | F.contains(bare, F.lit(c))
+    return F.when(odd, F.regexp_replace(bare, WORDS, " ")).otherwise(bare)
+
+
+def _n_words(line: Column) -> Column:
+    """Words of a plain line."""
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
 def _blank(line: Column) -> Column:
@@ -58,9 +67,9 @@ def within_one_edit(a: Column, b: Column) -> Column:
 
 
 def _numbered(df: DataFrame, numbers: str) -> DataFrame:
-    """Rows (dk, line_no, w) of the words of the lines of `text` whose numbers are in an array."""
+    """Rows (dk, line_no, line) of the plain lines of `text` whose numbers are in an array."""
     lines = df.select("dk", numbers, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.filter(F.array_contains(numbers, F.col("line_no"))).select("dk", "line_no", _words(F.col("line")).alias("w"))
+    return lines.filter(F.array_contains(numbers, F.col("line_no"))).select("dk", "line_no", _plain(F.col("line")).alias("line"))
 
 
 def near_lines(by_doc: DataFrame, firsts: DataFrame, min_words: int) -> DataFrame:
@@ -68,18 +77,18 @@ def near_lines(by_doc: DataFrame, firsts: DataFrame, min_words: int) -> DataFram
     (dk, mine) of the distinct lines. by_doc: (dk, text), dealt out by dk."""
     place = ["dk", "line_no"]
     spot = F.xxhash64(*place)
-    long = lambda df: df.filter(F.size("w") >= min_words).withColumn("n", F.size("w"))
-    rows = long(_numbered(by_doc.join(firsts, "dk"), "mine"))
+    rows = _numbered(by_doc.join(firsts, "dk"), "mine").withColumn("n", _n_words(F.col("line"))).filter(F.col("n") >= min_words)
 
-    def halves(n: Column) -> list[Column]:
-        h = (n / 2).cast("int")
-        head, tail = F.slice("w", 1, h), F.slice("w", F.greatest(F.col("n") - h + 1, F.lit(1)), h)
-        return [F.xxhash64(n, F.lit("head"), head), F.xxhash64(n, F.lit("tail"), tail)]
+    # the shorter line of a pair has n or n - 1 words, and for an odd n these have halves of the same length
+    def halves(h: Column) -> list[Column]:
+        head, tail = (F.call_function("substring_index", F.col("line"), F.lit(" "), x) for x in (h, -h))
+        return [F.xxhash64(F.lit("head"), head), F.xxhash64(F.lit("tail"), tail)]
 
-    shares = rows.select(*place, F.explode(F.array(*halves(F.col("n")), *halves(F.col("n") - 1))).alias("half"))
+    h = F.shiftright("n", 1)
+    shares = rows.select(*place, F.explode(F.when(F.col("n") % 2 == 1, F.array(*halves(h))).otherwise(F.array(*halves(h), *halves(h - 1)))).alias("half"))
     common = shares.groupBy("half").agg(F.min(spot).alias("lo"), F.max(spot).alias("hi")).filter("lo <> hi").select("half")
     likely = shares.join(common, "half", "left_semi").select(*place).distinct().groupBy("dk").agg(F.collect_list("line_no").alias("some"))
-    lines = _numbered(by_doc.join(likely, "dk"), "some").repartition(*place)
+    lines = _numbered(by_doc.join(likely, "dk"), "some").select(*place, F.split("line", " ").alias("w")).repartition(*place)
 
     # the hash of a list of words is the XOR of the hashes of (place, word), so that each deletion costs the same
     words = lines.select(*place, F.size("w").alias("n"), F.posexplode("w").alias("at", "word"))
