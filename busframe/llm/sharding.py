@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import shuffle_partitions, written
 
 BITS, ROUNDS = 13, 4
+#: Up to so many shards, and so rows of about 50 bytes, what is known of a level's nodes is broadcast.
+BROADCAST_NODES = 1 << 16
 TOP = 1 << (BITS * ROUNDS)
 
 
@@ -59,6 +61,7 @@ def kd_shards(groups: DataFrame, dimensions: list[str], shards: int) -> DataFram
     rows = rows.crossJoin(F.broadcast(bounds)).select("key", "weight", at.alias("at"), later.alias("later"))
     rows = written(rows.select("*", F.lit(0).alias("first"), F.lit(shards).alias("leaves")), "groups")
     tie = F.pmod(F.xxhash64("key"), F.lit(1 << 28))
+    small = F.broadcast if shards <= BROADCAST_NODES else lambda df: df  # there are at most as many nodes as shards
     for _ in range(math.ceil(math.log2(shards)) if shards > 1 else 0):
         open_rows = rows.filter("leaves > 1")
         ends = [F.max(F.col("at")[i]) - F.min(F.col("at")[i]) for i in range(len(dimensions))]
@@ -69,7 +72,7 @@ def kd_shards(groups: DataFrame, dimensions: list[str], shards: int) -> DataFram
         place = F.shiftleft((F.get(F.col("at"), F.col("dim")) * ((1 << 23) - 1)).cast("long") + F.col("later") * (1 << 23), 28) + tie
         for i in range(ROUNDS):
             step = TOP >> (BITS * (i + 1))
-            bins = open_rows.join(nodes, "first").withColumn("bin", F.floor((place - F.col("begin")) / step)).filter(F.col("bin").between(0, (1 << BITS) - 1))
+            bins = open_rows.join(small(nodes), "first").withColumn("bin", F.floor((place - F.col("begin")) / step)).filter(F.col("bin").between(0, (1 << BITS) - 1))
             bins = bins.groupBy("first", "bin", "dim", "begin", "wanted").agg(F.sum("weight").alias("w"))
             below = F.sum("w").over(Window.partitionBy("first").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
             cut = bins.withColumn("below", below).filter(F.col("below") >= F.col("wanted")).groupBy("first").agg(F.min_by(F.struct("bin", "w", "below", "dim", "begin", "wanted"), "bin").alias("x")).select("first", "x.*")
@@ -79,7 +82,7 @@ def kd_shards(groups: DataFrame, dimensions: list[str], shards: int) -> DataFram
             nodes = cut.select("first", "dim", rest.alias("wanted"), (F.col("begin") + F.col("bin") * step + beyond).alias("begin"))
         half = F.floor(F.col("leaves") / 2).cast("int")
         left = place < F.col("begin")
-        split = rows.join(nodes.select("first", "dim", "begin"), "first", "left").select(
+        split = rows.join(small(nodes.select("first", "dim", "begin")), "first", "left").select(
             "key", "weight", "at", "later", F.when((F.col("leaves") == 1) | left, F.col("first")).otherwise(F.col("first") + half).alias("first"),
             F.when(F.col("leaves") == 1, 1).when(left, half).otherwise(F.col("leaves") - half).alias("leaves"),
         )
