@@ -98,7 +98,7 @@ def time_text(ts_ns: Column, mode: str, zone: str = "UTC", reference_ns: Column
     if mode in ("relative", "delta"):
         ok = reference_ns.isNotNull() & (ts_ns >= reference_ns)
         return format_duration(F.when(ok, (ts_ns - reference_ns) / 1e9).otherwise(0.0))
-    stamp = F.to_utc_timestamp(F.timestamp_micros(F.floor((ts_ns - F.pmod(ts_ns, F.lit(1000))) / 1000).cast('long')), F.current_timezone())
+    stamp = F.to_utc_timestamp(F.timestamp_micros(F.call_function("div", ts_ns - F.pmod(ts_ns, F.lit(1000)), F.lit(1000))), F.current_timezone())
     stamp = F.from_utc_timestamp(stamp, "UTC" if mode == "absolute_utc" else zone)
     return F.date_format(stamp, "HH:mm:ss.SSS")
 
@@ -114,6 +114,24 @@ def decimals_of(x: float) -> int:
     return 9
 
 
+def decimals_column(factor: Column, offset: Column) -> Column:
+    """decimals_of, the larger of a factor's and an offset's, for columns."""
+
+    def one(x: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.lit(8)), lambda d: ((F.round(x * F.pow(F.lit(10.0), d)) != 0) | (x == 0)) & (F.abs(x * F.pow(F.lit(10.0), d) - F.round(x * F.pow(F.lit(10.0), d))) < 1e-6))
+        return F.coalesce(F.array_min(places), F.lit(9))
+
+    return F.greatest(one(factor), one(offset))
+
+
+def format_decimals(value: Column, decimals: Column) -> Column:
+    """A number with so many decimals (0 to 9); -0.00 loses its sign."""
+    shown = F.format_string("%.9f", value)
+    for d in range(9):
+        shown = F.when(decimals == d, F.format_string(f"%.{d}f", value)).otherwise(shown)
+    return F.when(F.rlike(shown, F.lit(r"^-[0.]*$")), F.substring(shown, 2, 400)).otherwise(shown)
+
+
 def format_value(value: Column, value_type: str, factor: float, offset: float) -> Column:
     """Decimals by factor and offset; %.7g and %.15g for floats; -0.00 loses its sign."""
     if value_type == "integer":

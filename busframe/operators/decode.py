@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bits import Head, extract_raw, id_key, is_error, lin_physical, lin_raw, signed, to_physical
+from ..functions.text import decimals_column, format_decimals, format_value
+from ..schema import settled
+from .trace import page
 
 
 def resolve_dictionary(dictionary: DataFrame) -> DataFrame:
@@ -61,17 +64,19 @@ def is_present(signal: dict[str, Column], data: Column) -> Column:
 
 
 def decode(frames: DataFrame, dictionary: DataFrame, networks: DataFrame) -> DataFrame:
-    """samples: network, message, signal, raw_id, frame_no, ts_ns, iface, raw, value, signal_seq; one row per present
-    signal of each frame."""
-    d = by_interface(resolve_dictionary(dictionary), networks).withColumnRenamed("dlc", "_dlc")
+    """samples: network, message, signal, raw_id, frame_no, ts_ns, iface, raw, value, signal_seq, decimals (null for
+    floats); one row per present signal of each frame."""
+    decimals = F.when(F.col("value_type") == "integer", decimals_column(F.col("factor"), F.col("offset")))
+    d = by_interface(resolve_dictionary(dictionary).withColumn("decimals", decimals), networks).withColumnRenamed("dlc", "_dlc")
     f = _keyed(frames.select("frame_no", "ts_ns", "iface", "bus", "can_id", "flags", "errors", "bytes"), networks)
     j = f.join(d, F.col("_iface").eqNullSafe(F.col("on_iface")) & (F.col("_key") == F.col("raw_id")))
     s = {c: F.col(c) for c in ("start_bit", "length", "muxer", "is_muxed", "mux_value")}
     j = j.filter(is_present(s, F.col("bytes")))
-    j = j.withColumn("raw", extract_raw(F.col("bytes"), F.col("start_bit"), F.col("length"), F.col("big_endian")))
+    keep = ["network", "message", "signal", "raw_id", "frame_no", "ts_ns", "iface", "length", "is_unsigned", "value_type", "factor", "offset", "signal_seq", "decimals"]
+    j = settled(j, *keep, raw=extract_raw(F.col("bytes"), F.col("start_bit"), F.col("length"), F.col("big_endian")))
     value = to_physical(F.col("raw"), F.col("length"), F.col("is_unsigned"), F.col("value_type"), F.col("factor"), F.col("offset"))
     raw = F.when(F.col("is_unsigned"), F.col("raw")).otherwise(signed(F.col("raw"), F.col("length")))
-    return j.select("network", "message", "signal", "raw_id", "frame_no", "ts_ns", "iface", raw.alias("raw"), value.alias("value"), "signal_seq")
+    return j.select("network", "message", "signal", "raw_id", "frame_no", "ts_ns", "iface", raw.alias("raw"), value.alias("value"), "signal_seq", "decimals")
 
 
 @dataclass(frozen=True)
@@ -174,9 +179,11 @@ def seen_signals(dictionary: DataFrame, frames: DataFrame) -> DataFrame:
 
 
 def signals_text(frames: DataFrame, dictionary: DataFrame, networks: DataFrame, value_names: DataFrame) -> DataFrame:
-    """frame_no and `signals`: name=value, in the dictionary's order; a value name where there is one."""
+    """frame_no and `signals`: name=value, in the dictionary's order; a value name where there is one, else the number
+    with the decimals of its factor and offset."""
     s = with_value_names(decode(frames, dictionary, networks), value_names)
-    text = F.concat("signal", F.lit("="), F.coalesce("value_name", F.regexp_replace(F.format_string("%.9f", "value"), r"\.?0+$", "")))
+    number = F.when(F.col("decimals").isNull(), format_value(F.col("value"), "float64", 1.0, 0.0)).otherwise(format_decimals(F.col("value"), F.col("decimals")))
+    text = F.concat("signal", F.lit("="), F.coalesce("value_name", number))
     return s.groupBy("frame_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("signal_seq", text.alias("t")))), lambda x: x["t"]), " ").alias("signals"))
 
 
@@ -257,6 +264,18 @@ def trace_csv(frames: DataFrame, dictionary: DataFrame, networks: DataFrame, val
     )
 
 
+def write_trace_csv(frames: DataFrame, dictionary: DataFrame, networks: DataFrame, value_names: DataFrame, path: str) -> None:
+    """The decoded trace as CSV part files with a header; texts are quoted, quotes within them doubled."""
+    out = trace_csv(frames, dictionary, networks, value_names)
+    out.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+
+
+def decoded_page(frames: DataFrame, dictionary: DataFrame, networks: DataFrame, value_names: DataFrame, begin: int | None = None, count: int = 100) -> DataFrame:
+    """A page of frames with message, sender, and the text of their signals; only the page's frames are decoded."""
+    rows = page(frames, begin, count)
+    return with_message(rows, dictionary, networks).join(signals_text(rows, dictionary, networks, value_names), "frame_no", "left").orderBy("ts_ns", "frame_no")
+
+
 def samples_csv(samples: DataFrame, dictionary: DataFrame) -> DataFrame:
     """signal, unit, time_s, value in long form; times count from the first sample."""
     units = resolve_dictionary(dictionary).select("network", "raw_id", "signal", "unit")

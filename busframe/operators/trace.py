@@ -57,6 +57,18 @@ def text_filter(df: DataFrame, text: str) -> DataFrame:
     return df.filter(reduce(lambda a, b: a | b, tests))
 
 
+def protocol_filter(messages: DataFrame, frames: DataFrame, text: str = "", **hidden) -> DataFrame:
+    """Protocol messages (with frame_nos and name) whose first frame passes `trace_filter` with the options given, and
+    whose name contains the text or whose first frame passes `text_filter`."""
+    first = trace_filter(frames, **hidden)
+    named = first.select(F.col("frame_no").alias("_first")) if not text else first.select(F.col("frame_no").alias("_first"), F.lit(False).alias("_found")).join(
+        text_filter(first, text).select(F.col("frame_no").alias("_hit")), F.col("_first") == F.col("_hit"), "left"
+    ).select("_first", F.col("_hit").isNotNull().alias("_found"))
+    out = messages.withColumn("_no", F.get("frame_nos", F.lit(0))).join(named, F.col("_no") == F.col("_first"))
+    out = out.filter(F.col("_found") | smart_contains(F.col("name"), text)) if text else out
+    return out.select(messages.columns)
+
+
 def mask_filter(frames: DataFrame, can_id: int, mask: int, *, extended: bool | None = None, iface: int | None = None, tx: bool = False) -> DataFrame:
     keep = F.col("can_id").bitwiseAND(mask) == (can_id & mask)
     if extended is not None:

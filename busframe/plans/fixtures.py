@@ -64,6 +64,17 @@ def frames_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def lin_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A LIN frame of three bytes for every line: quantity, 12 bits of the part, 4 of the supplier."""
+    li = table(spark, sf_dir, "lineitem")
+    part, low = F.col("l_partkey") % 4096, F.col("l_suppkey") % 16
+    data = [F.col("l_quantity").cast("long").bitwiseAND(255), part % 256, F.floor(part / 256) + low * 16]
+    return _frames(
+        li, frame_no=F.col("l_orderkey") * 8 + F.col("l_linenumber"), ts_ns=F.col("l_orderkey") * 1000, iface=F.lit(0), can_id=F.col("l_linenumber"), bus=F.lit("LIN"),
+        bytes=F.array(*[x.cast("int") for x in data]),
+    )
+
+
 def event_networks(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("A", 0, 0), ("B", 1, 1)], "network string, net_seq int, iface int")
 

@@ -2,7 +2,7 @@
 
 Lines get a frame number that grows along their file: the byte where their split begins plus the row's place in its
 task. A split that another one of its file follows fills its task alone and has fewer lines than bytes, so numbers
-neither repeat nor go back. What a header says of a whole file (date, columns) is a separate small aggregate per file,
+neither repeat nor go back. The part files of a folder that Spark wrote are one log, in the order of their numbers. What a header says of a whole file (date, columns) is a separate small aggregate per file,
 joined back; so are the numbers of channels, unless they are given (`channels`), and then a log is read once.
 """
 
@@ -21,7 +21,11 @@ from ..schema import BRS, EXTENDED, FD, GENERIC_ERROR, RTR, TX, hex_bytes, settl
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """log (file), frame_no, value of every line."""
     place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # of the row in its task
-    return spark.read.text(path).select(F.col("_metadata.file_path").alias("log"), (F.col("_metadata.file_block_start") + place).alias("frame_no"), F.rtrim(F.col("value"), F.lit("\r")).alias("value"))
+    file = F.col("_metadata.file_path")
+    part = F.regexp_extract(file, "/part-([0-9]+)[^/]*$", 1)
+    log = F.when(part != "", F.regexp_replace(file, "/part-[0-9]+[^/]*$", "")).otherwise(file)
+    begin = F.shiftleft(F.coalesce(part.try_cast("long"), F.lit(0).cast("long")), 42) + F.col("_metadata.file_block_start")
+    return spark.read.text(path).select(log.alias("log"), (begin + place).alias("frame_no"), F.rtrim(F.col("value"), F.lit("\r")).alias("value"))
 
 
 def with_iface(frames: DataFrame, channels: Sequence[str] | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 import pytest
 from helpers import norm
 
+from busframe.plans import log_queries  # noqa: F401
 from busframe.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
