@@ -88,7 +88,8 @@ def parse_duration(text: Column) -> Column:
 def parse_seconds_ns(text: Column) -> Column:
     """Nanoseconds of exact decimal seconds; digits beyond nine are cut; malformed: null."""
     pattern = r"^([0-9]+)(?:\.([0-9]*))?$"
-    whole, frac = F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)
+    whole = F.substring_index(text, ".", 1)
+    frac = F.call_function("substring", text, F.length(whole) + 2)
     ns = whole.try_cast("long") * 1_000_000_000 + F.rpad(F.substring(frac, 1, 9), 9, "0").try_cast("long")
     return F.when(F.rlike(text, F.lit(pattern)), ns)
 

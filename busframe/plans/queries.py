@@ -189,10 +189,9 @@ def value_names(spark, sf):
     return decode.with_value_names(s, fx.event_value_names(spark)).select("frame_no", F.col("raw").cast("long").alias("raw"), "value_name")
 
 
-@query(EVENTS + "SELECT DISTINCT n.network, 'Ev' || can_id AS message FROM f, (VALUES ('A'), ('B')) n(network) WHERE NOT err AND can_id < 300 AND frame_no % 5 = 1 AND tx")
+@query(EVENTS + "SELECT DISTINCT n.network, 'Ev' || can_id AS message FROM f, (VALUES ('A'), ('B')) n(network) WHERE NOT err")
 def seen_signals(spark, sf):
-    f = fx.frames_from_events(spark, sf).filter("frame_no % 5 = 1 and flags = 16")
-    return decode.seen_signals(fx.event_dictionary(spark), f).select("network", "message").distinct()
+    return decode.seen_signals(fx.event_dictionary(spark), fx.frames_from_events(spark, sf)).select("network", "message").distinct()
 
 
 @query(EVENTS + "SELECT DISTINCT n.network, 'Ev' || can_id AS message FROM f, (VALUES ('A'), ('B')) n(network) WHERE NOT err")
@@ -207,10 +206,10 @@ def signals_text(spark, sf):
     return decode.signals_text(fx.frames_from_events(spark, sf), d, fx.event_networks(spark), fx.event_value_names(spark))
 
 
-@query(EVENTS + "SELECT frame_no, raw % 256 AS b0, raw // 256 AS b1, k AS b2, node AS b3, counter AS b7 FROM f WHERE NOT err AND iface < 2")
+@query(EVENTS + "SELECT frame_no, raw % 256 AS b0, raw // 256 AS b1, k AS b2, node AS b3, counter AS b7 FROM f WHERE NOT err")
 def encode_frames(spark, sf):
     d = fx.event_dictionary(spark)
-    s = decode.decode(fx.frames_from_events(spark, sf).filter("iface < 2"), d.filter("not is_muxed and signal <> 'Signed'"), fx.event_networks(spark))
+    s = decode.decode(fx.frames_from_events(spark, sf), d.filter("not is_muxed and signal <> 'Signed'"), fx.event_networks(spark))
     e = decode.encode_frames(s.select("frame_no", "network", "raw_id", "signal", "value"), d)
     at = lambda i: F.get("bytes", F.lit(i)).cast("long").alias(f"b{i}")
     return e.filter("error is null").select("frame_no", at(0), at(1), at(2), at(3), at(7))

@@ -18,11 +18,18 @@ EXTENDED_KEY = 0x80000000
 FRAME_COLUMNS = "frame_no long, ts_ns long, ts timestamp, iface int, channel string, bus string, can_id long, flags int, errors int, dlc int, len int, data binary, bytes array<int>"
 
 
+def hex_word(hex_text: Column) -> Column:
+    """BIGINT of the first 16 digits of a hex string, digits that are missing as 0."""
+    return F.conv(F.rpad(hex_text, 16, "0"), 16, -10).cast("long")
+
+
 def hex_bytes(hex_text: Column) -> Column:
-    """array<int> of a hex string. hex() is the only exact way from BINARY to numbers."""
-    n = F.length(hex_text) / 2
+    """array<int> of a hex string. hex() is the only exact way from BINARY to numbers; up to eight bytes are read as one."""
+    n = F.shiftright(F.octet_length(hex_text), 1)
+    word = hex_word(hex_text)
+    short = F.transform(F.slice(F.array(*[F.lit(56 - 8 * i) for i in range(8)]), 1, n), lambda by: F.call_function("shiftrightunsigned", word, by).bitwiseAND(255).cast("int"))
     one = lambda i: F.conv(F.substring(hex_text, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n.cast("int") - 1), one)).otherwise(F.array().cast("array<int>"))
+    return F.when(n <= 0, F.array().cast("array<int>")).when(n <= 8, short).otherwise(F.transform(F.sequence(F.lit(0), n - 1), one))
 
 
 def with_bytes(frames: DataFrame) -> DataFrame:
@@ -35,8 +42,9 @@ def with_bytes(frames: DataFrame) -> DataFrame:
 
 
 def to_binary(byte_array: Column) -> Column:
-    """BINARY of array<int>."""
-    return F.unhex(F.array_join(F.transform(byte_array, lambda b: F.lpad(F.hex(b), 2, "0")), ""))
+    """BINARY of array<int>; up to eight bytes by way of one number."""
+    short = F.unhex(F.substring(F.lpad(F.hex(head_of(byte_array)), 16, "0"), F.lit(1), F.size(byte_array) * 2))
+    return F.when(F.size(byte_array) <= 8, short).otherwise(F.unhex(F.array_join(F.transform(byte_array, lambda b: F.lpad(F.hex(b), 2, "0")), "")))
 
 
 def settled(rows: DataFrame, *keep: str, **columns: Column) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.bits import has_flag, lin_checksum
 from ..functions.text import hex_text
 from ..schema import BRS, ERROR_BITS, EXTENDED, FD, RTR, TX, head_of
+from ..session import shared_path
 from .binary_logs import read_pcap, read_pcapng
 from .text_logs import read_asc, read_candump, read_trc
 
@@ -184,7 +185,14 @@ WRITERS = {"candump": write_candump, "asc": write_asc, "trc": write_trc, "parque
 
 
 def convert_log(spark: SparkSession, source: str, target: str, target_format: str, source_format: str | None = None) -> None:
-    """Any readable format to candump, ASC, TRC or Parquet."""
+    """Any readable format to candump, ASC, TRC or Parquet. The log is parsed once: writers that go over the frames several
+    times (order, channel numbers, first time) read them from a table in the shared folder."""
     if target_format != "parquet" and format_of(target_format) not in WRITERS:
         raise ValueError(f"{target_format!r} can't be written")
-    WRITERS[target_format if target_format == "parquet" else format_of(target_format)](read_log(spark, source, source_format), target)
+    frames = read_log(spark, source, source_format)
+    if target_format == "parquet":
+        frames.write.parquet(target)
+        return
+    path = shared_path(spark, "frames")
+    frames.write.parquet(path)
+    WRITERS[format_of(target_format)](spark.read.parquet(path), target)

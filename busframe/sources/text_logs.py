@@ -70,9 +70,17 @@ def _hex_list(parts: Column) -> Column:
 def read_candump(spark: SparkSession, path: str | list[str], channels: Sequence[str] | None = None) -> DataFrame:
     """(sec.frac) iface ID#DATA, ID##fDATA, ID#R[len]; lines of another form are skipped."""
     pattern = r"^\(([^)]*)\)[ \t]*([^ \t]+)[ \t]+([0-9A-Fa-f]{1,8})#([^ \t]*)"
-    part = lambda i: F.regexp_extract("value", pattern, i)
     p = read_lines(spark, path).filter(F.rlike("value", F.lit(pattern)))
-    p = settled(p, "log", "frame_no", ts_ns=parse_seconds_ns(part(1)), channel=part(2), id=part(3), load=part(4))
+    # the pattern has said where things stand; they are cut out by plain string functions
+    rest = lambda c, n: F.ltrim(F.call_function("substring", F.col(c), n), F.lit(" \t"))
+    word = lambda c: F.substring_index(F.replace(F.col(c), F.lit("\t"), F.lit(" ")), " ", 1)
+    p = settled(p, "log", "frame_no", "value", time=F.substring_index(F.substring("value", 2, 1 << 20), ")", 1))
+    p = settled(p, "log", "frame_no", ts_ns=parse_seconds_ns(F.col("time")), after=rest("value", F.length("time") + 3))
+    p = settled(p, "log", "frame_no", "ts_ns", "after", channel=word("after"))
+    p = settled(p, "log", "frame_no", "ts_ns", "channel", frame=rest("after", F.length("channel") + 1))
+    p = settled(p, "log", "frame_no", "ts_ns", "channel", "frame", id=F.substring_index("frame", "#", 1))
+    p = settled(p, "log", "frame_no", "ts_ns", "channel", "id", tail=F.call_function("substring", F.col("frame"), F.length("id") + 2))
+    p = settled(p, "log", "frame_no", "ts_ns", "channel", "id", load=word("tail"))
     raw = F.conv("id", 16, 10).cast("long")
     error = raw.bitwiseAND(0x20000000) != 0
     can_id = raw.bitwiseAND(0x1FFFFFFF)
