@@ -113,51 +113,48 @@ def halves(n: int) -> list[tuple[int, int]]:
     return below(0, n)
 
 
-def hash_ranges(words: np.ndarray, place: np.ndarray, window: int, span: int) -> tuple[np.ndarray, np.ndarray]:
+def hash_ranges(words: np.ndarray, place: np.ndarray, window: int, span: int) -> np.ndarray:
     """For each place and each range of the tree over its windows: a hash of what the windows of the range have in
-    common, and one of all their words, as far as they lie within the text. 0 where no window of the range does."""
-    sums = []
-    for base in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
-        power = np.full(len(words) + 1, np.uint64(base), np.uint64)
-        power[0] = 1
-        power = np.multiply.accumulate(power)
-        sums.append((np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * power[:-1], dtype=np.uint64))), np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(len(words), np.uint64(pow(base, -1, 1 << 64)), np.uint64))))))
-    part = lambda k, a, b: mix((sums[k][0][b] - sums[k][0][a]) * sums[k][1][a])
-    common, whole = [], []
+    common, which for a range of one is the window. 0 where no window of the range lies within the text."""
+    base = 0x9E3779B97F4A7C15
+    powers = lambda x: np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(len(words), np.uint64(x), np.uint64))))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * powers(base)[:-1], dtype=np.uint64)))
+    down, common = powers(pow(base, -1, 1 << 64)), []
     for first, n in halves(span):
         lo, hi = np.maximum(first, window - len(words) + place), np.minimum(first + n - 1, place)  # windows within the text
-        fine = lo <= hi
-        clip = lambda x: np.clip(np.where(fine, x, 0), 0, len(words))
-        number = np.uint64(first * 1000 + n)
-        common.append(np.where(fine, part(0, clip(place - first), clip(place - first - n + 1 + window)) + number, 0))
-        whole.append(np.where(fine, mix(part(1, clip(place - hi), clip(place - lo + window)) + (hi - lo).astype(np.uint64) * np.uint64(1000) + (hi - first).astype(np.uint64)), 0))
-    return np.stack(common, 1), np.stack(whole, 1)
+        begin, end = (np.clip(np.where(lo <= hi, x, 0), 0, len(words)) for x in (place - first, place - first - n + 1 + window))
+        common.append(np.where(lo <= hi, mix((sums[end] - sums[begin]) * down[begin]) + np.uint64(first * 1000 + n), 0))
+    return np.stack(common, 1)
 
 
 def split_hot(places: DataFrame, window: int, span: int) -> DataFrame:
-    """(h1, h2, a, b): ranges of words covered by repeated windows around places (h1, h2, place, lo, hi, common, whole),
-    by prefixes that grow until each has one place, or one content. lo, hi: the windows that lie within the text."""
+    """(h1, h2, a, b): ranges of words covered by repeated windows around places (h1, h2, place, lo, hi, common), by
+    prefixes that grow until each has one place, or one content. lo, hi: the windows that lie within the text; common:
+    `hash_ranges`. Rows may repeat."""
     size = F.array(*[F.lit(len(halves(n))) for n in range(1, span + 1)])
+    single = F.array(*[F.array(*[F.lit(i) for i, (_, m) in enumerate(halves(n)) if m == 1]) for n in range(1, span + 1)])
+    spot = ["h1", "h2", "place", "first"]
+    low, high = F.greatest("first", "lo"), F.least(F.col("first") + F.col("n") - 1, F.col("hi"))
+    # all windows of a range together: what makes places of one prefix equal
+    whole = F.xxhash64(F.transform(F.element_at(single, F.col("n")), lambda i: F.get("common", i)), low - F.col("first"), high - F.col("first"))
     rows = written(places.withColumn("first", F.lit(0)).withColumn("n", F.lit(span)), "hot-places")
     found = []
     while not rows.isEmpty():  # at most log2(span) + 2 times
-        rows = rows.withColumn("c", F.col("common")[0]).withColumn("w", F.col("whole")[0])
-        one = F.struct("h1", "h2", "place", "lo", "hi", "first", "n", "common", "whole")
-        classes = written(rows.groupBy("c", "w").agg(F.min(one).alias("one"), F.count("*").alias("places")), "hot-contents")
-        again = classes.filter("places > 1").select("c", "w")
-        low, high = F.greatest("first", "lo"), F.least(F.col("first") + F.col("n") - 1, F.col("hi"))
+        rows = rows.withColumn("c", F.col("common")[0]).withColumn("w", whole)
+        classes = written(rows.groupBy("c", "w").agg(F.min(F.struct(*spot)).alias("one"), F.max(F.struct(*spot)).alias("other")), "hot-contents")
+        again = classes.filter("one <> other").select("c", "w")
         settled = rows.join(again, ["c", "w"]).select("h1", "h2", (F.col("place") - high).alias("a"), (F.col("place") - low + window).alias("b"))
         found.append(written(settled, "hot-repeats"))
         several = written(classes.groupBy("c").count().filter("count > 1").select("c"), "hot-prefixes")
-        on = classes.join(several, "c").select("one.*").filter("n > 1")
+        on = rows.filter("n > 1").join(classes.join(several, "c").select("one.*"), spot)
         h = F.ceil(F.col("n") / 2).cast("int")
-        child = lambda first, n, at: F.struct(first.alias("first"), n.alias("n"), *[F.slice(c, at, F.element_at(size, n)).alias(c) for c in ("common", "whole")])
+        child = lambda first, n, at: F.struct(first.alias("first"), n.alias("n"), F.slice("common", at, F.element_at(size, n)).alias("common"))
         pair = F.array(child(F.col("first"), h, F.lit(2)), child(F.col("first") + h, F.col("n") - h, F.element_at(size, h) + 2))
         rows = written(on.select("h1", "h2", "place", "lo", "hi", F.explode(pair).alias("x")).select("h1", "h2", "place", "lo", "hi", "x.*").filter("common[0] <> 0"), "hot-places")
     return reduce(DataFrame.unionByName, found) if found else rows.select("h1", "h2", F.lit(0).alias("a"), F.lit(0).alias("b"))
 
 
-def dedup_substrings(docs: DataFrame, *, window: int = 35, gram: int = 10, hot: int = 2000) -> DataFrame:
+def dedup_substrings(docs: DataFrame, *, window: int = 35, gram: int = 10, hot: int = GROUP_SLICES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row.
 
     Null, empty and blank texts have no words and the hash of an empty text. Repeated rows are copies of each other.
@@ -217,26 +214,25 @@ def dedup_substrings(docs: DataFrame, *, window: int = 35, gram: int = 10, hot:
                     words_in += [data[a:b] for a, b in zip(froms, tos, strict=True)]
                 at = place[mine][is_hot[mine]].astype(np.int64)
                 if len(at):
-                    common, whole = hash_ranges(words, at, window, span)
-                    hot_rows.append((np.full(len(at), i), at, np.maximum(0, window - len(words) + at), np.minimum(span - 1, at), common, whole))
+                    hot_rows.append((np.full(len(at), i), at, np.maximum(0, window - len(words) + at), np.minimum(span - 1, at), hash_ranges(words, at, window, span)))
             h1, h2 = batch.column("h1").to_numpy(), batch.column("h2").to_numpy()
             none = lambda n, kind: pa.nulls(n, kind)
             if owner:
                 i, n = np.concatenate(owner), len(words_in)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h1[i]), pa.array(h2[i]), pa.array(np.concatenate(groups)), pa.array(np.concatenate(starts_at).astype(np.int32)), pa.array(np.concatenate(leads).astype(np.int32)), pa.array(words_in, pa.binary()),
-                     none(n, pa.int32()), none(n, pa.int32()), none(n, pa.list_(pa.int64())), none(n, pa.list_(pa.int64()))], names=names,
+                     none(n, pa.int32()), none(n, pa.int32()), none(n, pa.list_(pa.int64()))], names=names,
                 )
             if hot_rows:
-                i, at, lo, hi, common, whole = (np.concatenate(c) for c in zip(*hot_rows, strict=True))
+                i, at, lo, hi, common = (np.concatenate(c) for c in zip(*hot_rows, strict=True))
                 n = len(i)
-                lists = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * c.shape[1]), pa.array(c.view(np.int64).ravel())) for c in (common, whole)]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * common.shape[1]), pa.array(common.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h1[i]), pa.array(h2[i]), none(n, pa.int64()), pa.array(at.astype(np.int32)), none(n, pa.int32()), none(n, pa.binary()), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), *lists], names=names,
+                    [pa.array(h1[i]), pa.array(h2[i]), none(n, pa.int64()), pa.array(at.astype(np.int32)), none(n, pa.int32()), none(n, pa.binary()), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), lists], names=names,
                 )
 
-    names = ["h1", "h2", "grp", "start", "lead", "words", "lo", "hi", "common", "whole"]
-    slices = marked.select("h1", "h2", "text", "marks").mapInArrow(around, "h1 long, h2 int, grp long, start int, lead int, words binary, lo int, hi int, common array<long>, whole array<long>")
+    names = ["h1", "h2", "grp", "start", "lead", "words", "lo", "hi", "common"]
+    slices = marked.select("h1", "h2", "text", "marks").mapInArrow(around, "h1 long, h2 int, grp long, start int, lead int, words binary, lo int, hi int, common array<long>")
     slices = written(slices, "suffixes")
 
     def subtree(group: pd.DataFrame) -> pd.DataFrame:
@@ -255,7 +251,7 @@ def dedup_substrings(docs: DataFrame, *, window: int = 35, gram: int = 10, hot:
         return pd.DataFrame({"h1": group.h1.to_numpy()[row], "h2": group.h2.to_numpy()[row], "a": place - high, "b": place - low + window})
 
     cold = slices.filter("grp is not null").select("h1", "h2", "grp", "start", "lead", "words").groupBy("grp").applyInPandas(subtree, "h1 long, h2 int, a int, b int")
-    warm = split_hot(slices.filter("grp is null").select("h1", "h2", F.col("start").alias("place"), "lo", "hi", "common", "whole").dropDuplicates(["h1", "h2", "place"]), window, span)
+    warm = split_hot(slices.filter("grp is null").select("h1", "h2", F.col("start").alias("place"), "lo", "hi", "common"), window, span)
     gone = cold.unionByName(warm).groupBy("h1", "h2").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
