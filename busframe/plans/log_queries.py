@@ -231,6 +231,25 @@ def uds_stream(spark, sf):
     return p.select((F.col("can_id") - 0x18DA0000 + F.col("iface") * 65536).alias("conv_id"), F.get("bytes", F.lit(1)).cast("long").alias("turn"), body.alias("text"))
 
 
+@query(SQL["j1939_transport"])
+def j1939_stream(spark, sf):
+    from ..streaming import ops
+
+    p = _ran(ops.j1939_stream(_folder(spark, fx.bam_from_events(spark, sf), "bam")), "j1939-rows")
+    number = lambda at: F.aggregate(F.reverse(F.slice("bytes", at + 1, 8)), F.lit(0).cast("long"), lambda a, b: F.shiftleft(a, 8).bitwiseOR(b.cast("long")))
+    return p.select(number(0).alias("event_id"), "pgn", "sa", number(8).alias("user_id"))
+
+
+@query(f"SELECT event_id, sa, lat, lon FROM ({SQL['n2k_track']}) WHERE pgn = 129029")
+def n2k_stream(spark, sf):
+    from ..functions.n2k import n2k_fields
+    from ..streaming import ops
+
+    p = _ran(ops.n2k_stream(_folder(spark, fx.n2k_from_events(spark, sf), "n2k")), "n2k-rows").filter("pgn = 129029")
+    fields = n2k_fields(129029, F.col("bytes"))
+    return p.select(F.floor(F.get("frame_nos", F.lit(0)) / 16).alias("event_id"), "sa", *[F.round(fields[c], 7).alias(c) for c in ("lat", "lon")])
+
+
 @query(EVENTS + """, r AS (SELECT *, raw > 12000 AS raised, lag(ts_ns) OVER w AS t, lag(raw > 12000) OVER w AS was FROM f WHERE NOT err WINDOW w AS (PARTITION BY iface ORDER BY ts_ns, frame_no)),
 e AS (SELECT *, coalesce(was AND ts_ns - t <= 120000000000, false) AS before FROM r),
 n AS (SELECT *, min(CASE WHEN raised AND NOT before THEN ts_ns END) OVER (PARTITION BY iface ORDER BY ts_ns, frame_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM e)

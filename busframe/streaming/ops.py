@@ -12,14 +12,16 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.bits import frame_bits, has_flag, is_error
+from ..functions.j1939 import j1939_fields
+from ..functions.n2k import N2K_FAST
 from ..operators.load import bitrate_of
 from ..operators.trace import monitor_key
 from ..operators.trigger import PRE_NS, STALE_NS, Condition
-from ..schema import FRAME_COLUMNS, RTR, TX
+from ..schema import EXTENDED, FRAME_COLUMNS, RTR, TX
 from ..session import ship_package
 
 
@@ -29,25 +31,43 @@ def stream_frames(spark: SparkSession, path: str, *, format: str = "parquet", ma
 
 
 def record(frames: DataFrame, path: str, checkpoint: str, late_path: str | None = None, *, records_per_file: int = 5_000_000, hold_ms: int = 50) -> DataStreamWriter:
-    """Writes a stream to Parquet, sorted in each batch, in files of bounded size. Frames older than what a batch before
-    had already written, less hold_ms, are late: they go to late_path (or beside the others) and are not dropped."""
-    seen = {"ts": None}
-
-    def write(batch: DataFrame, _: int) -> None:
-        newest = batch.agg(F.max("ts_ns")).first()[0]
-        if newest is None:
-            return
-        bound = None if seen["ts"] is None else seen["ts"] - hold_ms * 1_000_000
-        rows = batch.sortWithinPartitions("ts_ns", "frame_no")
+    """Writes a stream to Parquet, a folder for each batch, sorted in it, in files of bounded size. Frames older than what
+    a batch before had already written, less hold_ms, are late: they go to late_path (or beside the others) and are not
+    dropped. A batch that is run again after a failure replaces its own folder, and the newest time of each batch is kept
+    beside the checkpoint, so that lateness survives a restart."""
+    spark = frames.sparkSession
+
+    def newest_before(batch_id: int) -> int | None:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/recorded/{batch_id - 1}/_SUCCESS")
+        there = batch_id > 0 and p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+        return spark.read.schema("newest long").parquet(f"{checkpoint}/recorded/{batch_id - 1}").first().newest if there else None
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.persist()
+        seen, newest = newest_before(batch_id), rows.agg(F.max("ts_ns")).first()[0]
+        bound = None if seen is None else seen - hold_ms * 1_000_000
         late = F.lit(False) if bound is None or late_path is None else F.col("ts_ns") < bound
-        rows.filter(~late).write.mode("append").option("maxRecordsPerFile", records_per_file).parquet(path)
+        order = rows.sortWithinPartitions("ts_ns", "frame_no")
+        order.filter(~late).write.mode("overwrite").option("maxRecordsPerFile", records_per_file).parquet(f"{path}/batch={batch_id}")
         if bound is not None and late_path is not None:
-            rows.filter(late).write.mode("append").parquet(late_path)
-        seen["ts"] = max(newest, seen["ts"] or newest)
+            order.filter(late).write.mode("overwrite").parquet(f"{late_path}/batch={batch_id}")
+        known = [x for x in (seen, newest) if x is not None]
+        spark.createDataFrame([(max(known, default=None),)], "newest long").coalesce(1).write.mode("overwrite").parquet(f"{checkpoint}/recorded/{batch_id}")
+        rows.unpersist()
 
     return frames.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+def stream_counts(query: StreamingQuery) -> dict[str, int]:
+    """Rows that a query has read, and rows that its state operators dropped as later than the watermark. Nothing else is
+    ever dropped: a source that runs ahead waits."""
+    steps = query.recentProgress
+    return {
+        "read": sum(p["numInputRows"] for p in steps),
+        "dropped": sum(o.get("numRowsDroppedByWatermark", 0) for p in steps for o in p["stateOperators"]),
+    }
+
+
 def monitor_stream(frames: DataFrame) -> DataFrame:
     """Count, newest frame and last time per monitor row; for update mode."""
     order = F.struct("ts_ns", "frame_no")
@@ -215,6 +235,79 @@ def uds_stream(frames: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     return f.groupBy("iface", "tx", "extended", "can_id").transformWithStateInPandas(IsoTp(ttl_ms), schema, "append", "None")
 
 
+class Packets(StatefulProcessor):
+    """One session key of J1939 transport or of NMEA 2000 fast packets: the open message."""
+
+    def __init__(self, fast: bool, ttl_ms: int | None):
+        self.fast, self.ttl = fast, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        row = "ts_ns long, pgn long, size long, packets int, first int, count int, bytes array<int>, frame_nos array<bigint>"
+        self.open = handle.getValueState("open", row, ttlDurationMs=self.ttl)
+
+    def step(self, state: list | None, b: list[int], pgn: int, ts: int, no: int) -> list | None:
+        """The message that is open after a frame; its count is -1 once it has all its bytes."""
+        if self.fast:
+            if b[0] & 0x1F == 0:
+                if len(b) < 2:
+                    return state
+                state = [ts, pgn, b[1], 0, b[0], 0, b[2:], [no]]
+            elif state is None or b[0] != (state[4] + state[5] + 1) % 256:
+                return None
+            else:
+                state = [*state[:5], state[5] + 1, state[6] + b[1:], [*state[7], no]]
+            return state if len(state[6]) < state[2] else [*state[:5], -1, *state[6:]]
+        if pgn == 0xEC00:
+            if len(b) < 8 or b[0] not in (16, 32, 255):
+                return state
+            return None if b[0] == 255 else [ts, b[5] + b[6] * 256 + b[7] * 65536, b[1] + b[2] * 256, b[3], 0, 0, [], [no]]
+        if state is None or b[0] != (state[5] + 1) % 256:
+            return None
+        state = [*state[:5], state[5] + 1, state[6] + b[1:8], [*state[7], no]]
+        return [*state[:5], -1, *state[6:]] if state[5] >= state[3] or len(state[6]) >= state[2] else state
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = self.open.get() if self.open.exists() else None
+        state = [*(int(x) for x in held[:6]), [int(x) for x in held[6]], [int(x) for x in held[7]]] if held else None
+        out = []
+        for r in pd.concat(list(rows)).sort_values(["ts_ns", "frame_no"]).itertuples(index=False):
+            state = self.step(state, [int(x) for x in r.bytes], int(r.pgn), int(r.ts_ns), int(r.frame_no))
+            if state and state[5] == -1:
+                out.append((key[0], key[1], key[2], key[3], state[1], state[0], state[6][: state[2]], state[7]))
+                state = None
+        if state:
+            self.open.update(tuple(state))
+        elif held:
+            self.open.clear()
+        if out:
+            yield pd.DataFrame(out, columns=["iface", "tx", "sa", "to", "pgn", "ts_ns", "bytes", "frame_nos"])
+
+    def close(self) -> None:
+        pass
+
+
+def _packets_stream(frames: DataFrame, fast: bool, ttl_ms: int | None) -> DataFrame:
+    ship_package(frames.sparkSession)
+    f = frames.filter((F.col("errors") == 0) & ~has_flag(F.col("flags"), RTR) & has_flag(F.col("flags"), EXTENDED) & (F.col("bus") == "CAN") & (F.size("bytes") > 0))
+    f = f.select("iface", has_flag(F.col("flags"), TX).alias("tx"), j1939_fields(F.col("can_id")).alias("j"), "ts_ns", "frame_no", "bytes")
+    pgn = F.col("j.pgn")
+    mine = (pgn >= 65536) & (pgn.isin(*N2K_FAST) | pgn.between(130816, 131071)) if fast else pgn.isin(0xEC00, 0xEB00)
+    f = f.filter(mine).select("iface", "tx", F.col("j.sa").cast("int").alias("sa"), (pgn if fast else F.col("j.ps")).cast("long").alias("to"), pgn.cast("long").alias("pgn"), "ts_ns", "frame_no", "bytes")
+    schema = "iface int, tx boolean, sa int, to long, pgn long, ts_ns long, bytes array<int>, frame_nos array<bigint>"
+    return f.groupBy("iface", "tx", "sa", "to").transformWithStateInPandas(Packets(fast, ttl_ms), schema, "append", "None")
+
+
+def j1939_stream(frames: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """J1939 messages of more than one frame from a stream: iface, tx, sa, da, pgn, ts_ns, bytes, frame_nos; a message may
+    span batches. Messages of one frame need no state: take them from `j1939_pdus`' rows without transport."""
+    return _packets_stream(frames, False, ttl_ms).withColumnRenamed("to", "da")
+
+
+def n2k_stream(frames: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """NMEA 2000 fast packets from a stream: iface, tx, sa, pgn, ts_ns, bytes, frame_nos; a message may span batches."""
+    return _packets_stream(frames, True, ttl_ms).drop("to")
+
+
 class Pairing(StatefulProcessor):
     """One interface: the requests of the last 2 s, at most 32, each answered once per unit."""
 

@@ -42,6 +42,14 @@ def test_monitor_and_load(spark, tmp_path):
     assert spark.table("load").agg(F.sum("bits")).first()[0] == total
     ops.record(s, str(tmp_path / "out"), str(tmp_path / "c3"), str(tmp_path / "late")).trigger(availableNow=True).start().awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == df.count()
+    # a batch that runs again takes the place of itself, and later ones know what came before
+    writer = ops.record(s, str(tmp_path / "out"), str(tmp_path / "c4"), str(tmp_path / "late"))
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == df.count()
+    assert ops.stream_counts(query) == {"read": df.count(), "dropped": 0}
+    newest = spark.read.parquet(str(tmp_path / "c4" / "recorded" / "2")).first().newest
+    assert newest == df.agg(F.max("ts_ns")).first()[0]
     grid = ops.load_grid(spark, [0, 1], "2026-01-01 00:00:00", "2026-01-01 00:00:01")
     assert grid.count() == 42
 
