@@ -22,8 +22,10 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """log (file), frame_no, value of every line."""
     place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # of the row in its task
     file = F.col("_metadata.file_path")
-    part = F.regexp_extract(file, "/part-([0-9]+)[^/]*$", 1)
-    log = F.when(part != "", F.regexp_replace(file, "/part-[0-9]+[^/]*$", "")).otherwise(file)
+    name = F.substring_index(file, "/", -1)
+    is_part = F.startswith(name, F.lit("part-"))
+    part = F.when(is_part, F.substring_index(F.substring_index(name, "-", 2), "-", -1))
+    log = F.when(is_part, F.call_function("substring", file, F.lit(1), F.length(file) - F.length(name) - 1)).otherwise(file)
     begin = F.shiftleft(F.coalesce(part.try_cast("long"), F.lit(0).cast("long")), 42) + F.col("_metadata.file_block_start")
     return spark.read.text(path).select(log.alias("log"), (begin + place).alias("frame_no"), F.rtrim(F.col("value"), F.lit("\r")).alias("value"))
 
@@ -81,13 +83,14 @@ def read_candump(spark: SparkSession, path: str | list[str], channels: Sequence[
     p = settled(p, "log", "frame_no", "ts_ns", "channel", "frame", id=F.substring_index("frame", "#", 1))
     p = settled(p, "log", "frame_no", "ts_ns", "channel", "id", tail=F.call_function("substring", F.col("frame"), F.length("id") + 2))
     p = settled(p, "log", "frame_no", "ts_ns", "channel", "id", load=word("tail"))
-    raw = F.conv("id", 16, 10).cast("long")
-    error = raw.bitwiseAND(0x20000000) != 0
-    can_id = raw.bitwiseAND(0x1FFFFFFF)
-    load = F.col("load")
-    fd, remote = ~error & F.startswith(load, F.lit("#")), ~error & F.rlike(load, F.lit("^[Rr]"))
-    body = F.when(fd, F.substring(load, 3, 128)).otherwise(load)
-    body_ok = F.rlike(body, F.lit("^([0-9A-Fa-f]{2})*$")) & (F.length(body) <= F.when(fd, 128).otherwise(16)) & (~fd | F.rlike(load, F.lit("^#[0-9A-Fa-f]")))
+    p = settled(p, "log", "frame_no", "ts_ns", "channel", "id", "load", raw=F.conv("id", 16, 10).cast("long"), lead=F.substring("load", 1, 1))
+    p = settled(p, "log", "frame_no", "ts_ns", "channel", "id", "load", "lead", error=F.col("raw").bitwiseAND(0x20000000) != 0, can_id=F.col("raw").bitwiseAND(0x1FFFFFFF))
+    error, can_id, load = F.col("error"), F.col("can_id"), F.col("load")
+    fd, remote = ~error & (F.col("lead") == "#"), ~error & F.col("lead").isin("R", "r")
+    p = settled(p, "log", "frame_no", "ts_ns", "channel", "id", "load", "error", "can_id", fd=fd, remote=remote, body=F.when(fd, F.substring(load, 3, 128)).when(error | remote, "").otherwise(load))
+    fd, remote, body = F.col("fd"), F.col("remote"), F.col("body")
+    # unhex gives null for what isn't hex
+    body_ok = F.unhex(body).isNotNull() & (F.length(body) % 2 == 0) & (F.length(body) <= F.when(fd, 128).otherwise(16)) & (~fd | F.rlike(load, F.lit("^#[0-9A-Fa-f]")))
     ok = F.col("ts_ns").isNotNull() & (error | F.when(remote, F.rlike(load, F.lit("^[Rr][0-9]*$"))).otherwise(body_ok))
     flags = F.when((F.length("id") == 8) | (can_id > 0x7FF), EXTENDED).otherwise(0)
     brs = F.conv(F.substring(load, 2, 1), 16, 10).cast("int").bitwiseAND(1) != 0
