@@ -49,6 +49,14 @@ def document_key(doc_id: Column, text: Column, *, last: bool) -> Column:
     return F.coalesce(doc_id.cast("long"), hashed + F.lit((1 << 62) if last else -(1 << 63)))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with so many underscores in front that df has no such column, in any case."""
+    there = {c.lower() for c in df.columns}
+    while name.lower() in there:
+        name = f"_{name}"
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -66,10 +66,21 @@ def within_one_edit(a: Column, b: Column) -> Column:
     )
 
 
+def _front() -> Column:
+    """31 bits of a text's hash, in front of its line numbers: different texts under one doc_id have lines of their own."""
+    return F.shiftleft(F.xxhash64("text").bitwiseAND((1 << 31) - 1), 32)
+
+
+def _lines(df: DataFrame, *keep: str) -> DataFrame:
+    """Rows (dk, keep..., line_no, line) of the lines of `text`."""
+    lines = df.select("dk", *keep, _front().alias("front"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    return lines.select("dk", *keep, F.col("front").bitwiseOR(F.col("i").cast("long")).alias("line_no"), "line")
+
+
 def _numbered(df: DataFrame, numbers: str) -> DataFrame:
     """Rows (dk, line_no, line) of the plain lines of `text` whose numbers are in an array."""
-    lines = df.select("dk", numbers, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.filter(F.array_contains(numbers, F.col("line_no"))).select("dk", "line_no", _plain(F.col("line")).alias("line"))
+    lines = _lines(df, numbers).filter(F.array_contains(numbers, F.col("line_no")))
+    return lines.select("dk", "line_no", _plain(F.col("line")).alias("line"))
 
 
 def near_lines(by_doc: DataFrame, firsts: DataFrame, min_words: int) -> DataFrame:
@@ -88,7 +99,8 @@ def near_lines(by_doc: DataFrame, firsts: DataFrame, min_words: int) -> DataFram
     shares = rows.select(*place, F.explode(F.when(F.col("n") % 2 == 1, F.array(*halves(h))).otherwise(F.array(*halves(h), *halves(h - 1)))).alias("half"))
     common = shares.groupBy("half").agg(F.min(spot).alias("lo"), F.max(spot).alias("hi")).filter("lo <> hi").select("half")
     likely = shares.join(common, "half", "left_semi").select(*place).distinct().groupBy("dk").agg(F.collect_list("line_no").alias("some"))
-    lines = _numbered(by_doc.join(likely, "dk"), "some").select(*place, F.split("line", " ").alias("w")).repartition(*place)
+    # a line of repeated rows counts once
+    lines = _numbered(by_doc.join(likely, "dk"), "some").repartition(*place).dropDuplicates(place).select(*place, F.split("line", " ").alias("w"))
 
     # the hash of a list of words is the XOR of the hashes of (place, word), so that each deletion costs the same
     words = lines.select(*place, F.size("w").alias("n"), F.posexplode("w").alias("at", "word"))
@@ -122,26 +134,29 @@ def dedup_lines(docs: DataFrame, *, min_words: int = 5, carry: Sequence[str] = (
 
     Blank lines always stay. A null text stays null, with no lines; an empty one is one blank line. Rows with the same
     doc_id and text count as one document: they are returned as often as they came, each with the same outcome (a line
-    is not removed for its own copy in a repeated row). Rows with a null doc_id and different texts are different
-    documents, in the order of a hash of their texts and before all others (ids are at least -2**62). Other columns
-    aren't looked at.
+    is not removed for its own copy in a repeated row), and what they carry is that of the row whose other columns come
+    first as JSON. Different texts under one doc_id are different documents, in the order of a hash of their texts; so
+    are different texts without a doc_id, before all others (ids are at least -2**62). Other columns aren't looked at.
 
     Texts are shuffled once, by document; lines travel as hashes, but for those that may have a near copy."""
     key = document_key(F.col("doc_id"), F.col("text"), last=False).alias("dk")
     ids = docs.select(key, "text")  # every reader of by_doc takes the same two columns of one exchange
-    lines = ids.filter(F.col("text").isNotNull()).select("dk", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = _lines(ids.filter(F.col("text").isNotNull()))
     lines = lines.filter(~_blank(F.col("line"))).select(_hash(F.col("line")).alias("key"), F.struct("dk", "line_no").alias("place"))
     firsts = lines.groupBy("key").agg(F.min("place").alias("first")).groupBy(F.col("first.dk").alias("dk")).agg(F.collect_list("first.line_no").alias("mine"))
     firsts = written(firsts, "first-lines")
     by_doc = ids.repartition("dk")
     near = near_lines(by_doc, firsts, min_words)
     split = F.split("text", "\n")
-    none = F.array().cast("array<int>")
+    none = F.array().cast("array<long>")
     stays = F.array_except(F.coalesce("mine", none), F.coalesce("near", none))
-    kept = F.filter(F.transform(split, lambda x, i: F.when(_blank(x) | F.array_contains(F.col("stays"), i), x)), lambda x: x.isNotNull())
-    out = by_doc.join(firsts, "dk", "left").join(near, "dk", "left").withColumn("stays", stays)
+    kept = F.filter(F.transform(split, lambda x, i: F.when(_blank(x) | F.array_contains(F.col("stays"), F.col("front").bitwiseOR(i.cast("long"))), x)), lambda x: x.isNotNull())
+    out = by_doc.join(firsts, "dk", "left").join(near, "dk", "left").withColumns({"stays": stays, "front": _front()})
     if carry:  # joined where the texts are, so that they aren't shuffled again
-        out = out.join(docs.select(key, F.struct(*carry).alias("carried")).dropDuplicates(["dk"]), "dk")
+        rows = docs.select(key, F.xxhash64("text").alias("h"), F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried"))
+        one = rows.groupBy("dk", "h").agg(F.min_by("carried", F.to_json("carried")).alias("carried"))
+        # not as a second key of the join, for which the texts would be shuffled again
+        out = out.join(one, "dk").filter(F.xxhash64("text").bitwiseXOR(F.col("h")) == 0)
     out = out.select(F.when(F.col("dk") >= -(1 << 62), F.col("dk")).alias("doc_id"), *["carried"] * bool(carry), "text", F.when(F.col("text").isNotNull(), kept).alias("left"), F.when(F.col("text").isNotNull(), F.size(split)).otherwise(0).cast("long").alias("n_lines"))
     n_left = F.when(F.col("text").isNull(), 0).otherwise(F.size("left")).cast("long")
     return out.select("doc_id", "n_lines", (F.col("n_lines") - n_left).alias("n_removed"), F.array_join("left", "\n").alias("text"), *["carried"] * bool(carry))

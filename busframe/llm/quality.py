@@ -295,10 +295,12 @@ def _sampled_features(rows: DataFrame, task: str, lists: list[WordList], model:
     return rows.select("text", "pattern", "fold").mapInPandas(run, "task string, sizes binary, columns binary, targets binary")
 
 
-def fit(docs: DataFrame, labels: DataFrame | None = None, *, max_sample: int = 8000, max_features: int = 1 << 14, bits: int = 18) -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame | None = None, *, max_sample: int = 8000, max_features: int = 1 << 12, bits: int = 18) -> QualityModel:
     """labels: (doc_id, quality, toxic), for any part of the documents; nulls don't vote; of repeated ids the smallest
     values count. Each scorer is trained on at most max_sample documents, chosen by a hash of their id and text; for
-    toxicity, at most max_sample labelled ones, chosen by a hash of their id, are added, from which the word lists come."""
+    toxicity, at most max_sample labelled ones, chosen by a hash of their id, are added, from which the word lists come.
+    A document of the samples gives at most max_features features, so a scorer's task holds at most 2 * max_sample *
+    max_features numbers of four bytes, and its training five times as many."""
     spark = docs.sparkSession
     ship_package(spark)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -312,7 +314,8 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, *, max_sample: int = 8
         here = known.filter("fine is not null").join(ids.select("doc_id"), "doc_id", "left_semi").select("doc_id", "fine")
         picked = written(here.orderBy(F.xxhash64(F.lit("labelled"), "doc_id"), "doc_id").limit(max_sample), "picked")
         # at most max_sample rows are broadcast; copies of a text count once
-        told = ids.join(F.broadcast(picked), "doc_id").limit(2 * max_sample).groupBy("text").agg(F.min("fine").alias("fine"), F.min("doc_id").alias("doc_id"))
+        told = ids.join(F.broadcast(picked), "doc_id").groupBy("text").agg(F.min("fine").alias("fine"), F.min("doc_id").alias("doc_id"))
+        told = told.orderBy(F.xxhash64(F.lit("labelled"), "text"), "doc_id").limit(max_sample)
     told = written(told.withColumn("fold", fold), "labelled")
 
     @F.pandas_udf("array<long>")
@@ -338,7 +341,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, *, max_sample: int = 8
 
     n = counts.sum()
     dice = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
-    sample = given(own(ids.filter(dice < 0.9 * max_sample / max(n, 1)).limit(max_sample)))
+    sample = given(own(ids.filter(dice < 0.9 * max_sample / max(n, 1)).orderBy(dice, "doc_id").limit(max_sample)))
     sample = written(sample.select("text", "fine", q_pattern.alias("q"), t_pattern.alias("t")), "sample")
     none = F.lit(-1)
     labelled = told.select("text", F.array(*[none] * FOLDS, F.col("fine")).alias("pattern"), "fold")

@@ -171,3 +171,27 @@ def test_stages_with_null_ids(spark):
     one = stages["near_duplicates"](spark, docs, sf)
     assert sorted(((r.doc_id or 0), r.text) for r in one.collect()) == [(0, texts[0]), (7, texts[1]), (8, texts[2])]
     assert stages["mixing"](spark, one, sf).count() == 3
+
+
+def test_different_texts_under_one_id(spark):
+    first, near = "one two three four five six", "one two three four five seven"
+    rows = [(1, first, "a"), (7, "nothing of the kind\nhere", "b"), (7, f"a line alone\n{near}", "c"), (7, f"a line alone\n{near}", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = [(r.doc_id, r.n_removed, r.text, r.carried.source) for r in lines.dedup_lines(docs, carry=["source"]).collect()]
+    assert sorted(out) == [(1, 0, first, "a"), (7, 0, rows[1][1], "b"), (7, 1, "a line alone", "c"), (7, 1, "a line alone", "c")]
+
+
+def test_stages_keep_columns_of_their_own_names(spark):
+    """Extra columns come out as they went in, whatever they are called."""
+    sf = "/root/testdata/sf0.001"
+    names = {"score": 0.5, "_key": "k", "_hash": "h", "key": "x", "hash": 1, "_score": "s", "carried": "c", "dk": 3, "front": 4, "line_no": 5, "a.b": 6, "Text2": "t"}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for c, v in names.items():
+        docs = docs.withColumn(c, F.lit(v))
+    docs = docs.withColumn("own", F.concat(F.lit("own"), "doc_id"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.dtypes == docs.dtypes, name
+        rows = out.collect()
+        assert rows and all(r["own"] == f"own{r.doc_id}" and all(r[c] == v for c, v in names.items()) for r in rows), name
+    assert corpus_pipeline.packing_stage(spark, docs, sf).count() > 0
