@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, and their SQL where SQL can express them."""
+"""The registered queries of the thirteen operators, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, jaccard, lines, media, mixing, packing, quality, sharding, substrings, urls
+from . import ann, clustering, jaccard, lines, media, mixing, negatives, packing, quality, sharding, substrings, superminhash, urls
 from .common import table
 
 
@@ -55,12 +55,25 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_permutation_index, op2_substring_dedup, op3_best_fit_packing, op4_mixing, op5_line_dedup,
             op6_jaccard_join, op7_url_filter, op8_kd_sharding, op9_quality_classifier, op10_media_columns,
+            op11_centroid_clustering, op12_superminhash, op13_hard_negatives,
         )
     }
 
@@ -127,6 +140,62 @@ FROM docs d LEFT JOIN fitted f ON d.source IS NOT DISTINCT FROM f.source AND d.l
 """
 
 
+def op11_sql(k: int = 40, rounds: int = 5) -> str:
+    """Clustering by plain SQL: all distances of a round by pairs of lists, then sums of each component."""
+    steps, last = [], "c0"
+    near = """SELECT vec_id, q, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+    SELECT v.vec_id, v.q, c.c, list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(v.q, c.q)])::BIGINT AS d FROM kept v, {0} c) GROUP BY vec_id, q"""
+    for i in range(1, rounds + 1):
+        steps.append(f"""a{i} AS ({near.format(last)}),
+s{i} AS (SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT c, unnest(q) AS x, unnest(range(64)) AS i FROM a{i}) GROUP BY c, i),
+c{i} AS (SELECT o.c, coalesce(n.q, o.q) AS q FROM {last} o LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS q FROM s{i} GROUP BY c) n ON o.c = n.c)""")
+        last = f"c{i}"
+    return f"""
+WITH kept AS (
+  SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT for x in embedding] AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len([x for x in embedding if x IS NOT NULL AND isfinite(x)]) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS c, q FROM (SELECT sha256('2:' || vec_id) AS h, q FROM kept ORDER BY h LIMIT {k})),
+{", ".join(steps)},
+last AS ({near.format(last)})
+SELECT l.vec_id, l.c::INT AS cluster, l.d AS distance, (sum(l.d) OVER (PARTITION BY l.c))::BIGINT AS cluster_inertia, (sum(l.d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c.q, ',')) AS centroid_sha256 FROM last l JOIN {last} c ON l.c = c.c
+"""
+
+
+#: Near duplicates by plain SQL: shared shingles are counted for every pair that has one, links are followed to their ends.
+OP12_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE text IS NOT NULL),
+grams AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+linked AS (SELECT a, b FROM shared s JOIN sizes x ON s.a = x.doc_id JOIN sizes y ON s.b = y.doc_id WHERE 100 * common >= 85 * (x.n + y.n - common)),
+pairs AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN pairs l ON r.b = l.a),
+lowest AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, l.component_id, d.doc_id = l.component_id AS kept
+FROM documents d LEFT JOIN sizes s ON d.doc_id = s.doc_id LEFT JOIN lowest l ON d.doc_id = l.a
+"""
+
+#: Hard negatives by plain SQL: all scores of the anchors, ranked.
+OP13_SQL = """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE)::BIGINT for x in embedding] AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NOT NULL AND isfinite(x)]) = len(embedding)),
+scores AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_sum([z[1] * z[2] for z in list_zip(a.q, r.q)])::BIGINT AS score
+  FROM rows a JOIN rows r ON a.vec_id <> r.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::INT AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM positives p JOIN scores s ON p.anchor_id = s.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """Mixing and line dedup have exact SQL that is quick enough; the others are held against brute force in tests/llm."""
-    return {"op4_mixing": op4_sql(), "op5_line_dedup": OP5_SQL}
+    """These have exact SQL that is quick enough; the others are held against brute force in tests/llm."""
+    return {
+        "op4_mixing": op4_sql(), "op5_line_dedup": OP5_SQL, "op11_centroid_clustering": op11_sql(), "op12_superminhash": OP12_SQL, "op13_hard_negatives": OP13_SQL,
+    }
