@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bits import frame_bits, has_flag, is_error
 from ..schema import TX
+from . import scan
 
 
 def iface_status(frames: DataFrame) -> DataFrame:
@@ -35,11 +36,12 @@ def bus_load(frames: DataFrame, bitrates: dict[int, int], window_ns: int = 500_0
     return out.withColumn("load", F.least(F.lit(100.0), F.col("bits") * 100.0 / bitrate_of(bitrates) / (window_ns / 1e9)))
 
 
-def rolling_load(frames: DataFrame, bitrates: dict[int, int], by: Sequence[str] = (), span_ns: int = 1_000_000_000, step_ns: int = 50_000_000) -> DataFrame:
+def rolling_load(frames: DataFrame, bitrates: dict[int, int], by: Sequence[str] = (), span_ns: int = 1_000_000_000, step_ns: int = 50_000_000, range_ns: int = scan.RANGE_NS) -> DataFrame:
     """Load of the last second at each frame, the last frame of each 50 ms: iface, ts_ns, load. Frames of one time count
-    together."""
-    w = Window.partitionBy(*by, "iface").orderBy("ts_ns").rangeBetween(-span_ns, 0)
-    f = frames.select(*by, "iface", "ts_ns", "frame_no", _bits().alias("bits")).withColumn("sum", F.sum("bits").over(w))
+    together. An interface is dealt out in ranges of time, each with a copy of the last second of the one before."""
+    w = Window.partitionBy(*by, "iface", scan.SEG).orderBy("ts_ns").rangeBetween(-span_ns, 0)
+    f = scan.with_halo(frames.select(*by, "iface", "ts_ns", "frame_no", _bits().alias("bits")), "ts_ns", range_ns, span_ns)
+    f = f.withColumn("sum", F.sum("bits").over(w)).filter("not _halo")
     step = F.floor(F.col("ts_ns") / step_ns)
     last = f.groupBy(*by, "iface", step.alias("step")).agg(F.max_by(F.struct("ts_ns", "sum"), F.struct("ts_ns", "frame_no")).alias("x"))
     load = F.least(F.lit(100.0), F.col("x.sum") * 100.0 / bitrate_of(bitrates) / (span_ns / 1e9))

@@ -1,4 +1,5 @@
-"""Sample series: statistics, search, decimation, pairing. A series is keyed by `keys` (by default the signal)."""
+"""Sample series: statistics, search, decimation, pairing. A series is keyed by `keys` (by default the signal); a series
+may be longer than what one task can hold."""
 
 from __future__ import annotations
 
@@ -7,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
 from .decode import Signal, decode_wide
 
 KEYS = ("network", "message", "signal")
@@ -39,19 +41,21 @@ def signal_stats(samples: DataFrame, begin_ns: int | None = None, end_ns: int |
     s = samples if begin_ns is None else samples.filter(F.col("ts_ns") >= begin_ns)
     s = s if end_ns is None else s.filter(F.col("ts_ns") <= end_ns)
     v = F.col("value")
-    return s.groupBy(*keys).agg(
-        F.count("*").alias("count"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.percentile(v, 0.5).alias("median"), F.stddev_pop(v).alias("stddev")
-    )
+    out = s.groupBy(*keys).agg(F.count("*").alias("count"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("stddev")).alias("s")
+    middle = scan.exact_median(s, keys, "value").alias("m")
+    return out.join(middle, scan.same_keys("s", "m", keys), "left").select(*[f"s.{k}" for k in keys], "s.count", "s.min", "s.max", "s.mean", "m.median", "s.stddev")
 
 
 def watch(samples: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Last raw and value, min, max, count, changed: whether the last raw differs from the one before."""
-    order = F.struct("ts_ns", "frame_no")
-    before = F.lag("raw").over(Window.partitionBy(*keys).orderBy("ts_ns", "frame_no"))
-    s = samples.withColumn("before", before)
-    last = F.max_by(F.struct("raw", "value", "before"), order)
-    out = s.groupBy(*keys).agg(last.alias("last"), F.min("value").alias("min"), F.max("value").alias("max"), F.count("*").alias("count"))
-    return out.select(*keys, F.col("last.raw").alias("raw"), F.col("last.value").alias("value"), "min", "max", "count", F.coalesce(F.col("last.raw") != F.col("last.before"), F.lit(False)).alias("changed"))
+    """Last raw and value, min, max, count, changed: whether the last raw differs from the one before. Of each series only
+    the two newest samples of a task are sorted together with those of others."""
+    along = Window.partitionBy(*keys).orderBy(F.desc("ts_ns"), F.desc("frame_no"))
+    two = samples.select(*keys, "ts_ns", "frame_no", "raw", "value").withColumn("_n", F.row_number().over(along)).filter("_n <= 2")
+    one = lambda n, c: F.max(F.when(F.col("_n") == n, F.struct(c))).getField(c)
+    last = two.groupBy(*keys).agg(one(1, "raw").alias("raw"), one(1, "value").alias("value"), one(2, "raw").alias("before")).alias("l")
+    out = samples.groupBy(*keys).agg(F.min("value").alias("min"), F.max("value").alias("max"), F.count("*").alias("count")).alias("s")
+    changed = F.coalesce(F.col("l.raw") != F.col("l.before"), F.lit(False))
+    return out.join(last, scan.same_keys("s", "l", keys)).select(*[f"s.{k}" for k in keys], "l.raw", "l.value", "s.min", "s.max", "s.count", changed.alias("changed"))
 
 
 def decimate(samples: DataFrame, begin_ns: int, end_ns: int, buckets: int, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -72,11 +76,16 @@ def decimate(samples: DataFrame, begin_ns: int, end_ns: int, buckets: int, keys:
     return thin.unionByName(left).unionByName(right).select(*keys, "p.*")
 
 
+def _placed(samples: DataFrame, keys: Sequence[str], span_ns: int = scan.RANGE_NS) -> DataFrame:
+    """Adds _i, the place of each sample in its series from 0: counted in each range, with the counts of those before."""
+    rows, key = scan.cut(samples, [], keys, "ts_ns", span_ns)
+    return scan.running(rows, key, ["ts_ns", "frame_no"], {"_i": F.lit(1)}).withColumn("_i", F.col("_i") - 1).drop(scan.SEG, *key)
+
+
 def samples_lod(samples: DataFrame, fan: int = 64, top: int = 4096, keys: Sequence[str] = KEYS) -> DataFrame:
     """Levels of a min/max pyramid: keys, level, bucket, ts_ns (first), min, max, points. Level 0 are `fan` points each; a
     level is made while the one below has at least `top` buckets in some series."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy("ts_ns", "frame_no")) - 1
-    level = samples.withColumn("bucket", F.floor(n / fan)).groupBy(*keys, "bucket").agg(
+    level = _placed(samples, keys).withColumn("bucket", F.floor(F.col("_i") / fan)).groupBy(*keys, "bucket").agg(
         F.min("ts_ns").alias("ts_ns"), F.min("value").alias("min"), F.max("value").alias("max"), F.count("*").alias("points")
     )
     out, i = level.withColumn("level", F.lit(0)), 0
@@ -90,8 +99,7 @@ def samples_lod(samples: DataFrame, fan: int = 64, top: int = 4096, keys: Sequen
 
 
 def stride(samples: DataFrame, n: int, keys: Sequence[str] = KEYS) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("ts_ns", "frame_no")) - 1
-    return samples.withColumn("_i", place).filter(F.col("_i") % n == 0).drop("_i")
+    return _placed(samples, keys).filter(F.col("_i") % n == 0).select(*[F.col(f"`{c}`") for c in samples.columns])
 
 
 def trend(samples: DataFrame, n: int, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -100,17 +108,17 @@ def trend(samples: DataFrame, n: int, keys: Sequence[str] = KEYS) -> DataFrame:
     return samples.withColumn("_i", place).filter(F.col("_i") <= n).drop("_i")
 
 
-def xy_pair(x: DataFrame, y: DataFrame, keys: Sequence[str] = (), begin_ns: int | None = None, end_ns: int | None = None) -> DataFrame:
+def xy_pair(x: DataFrame, y: DataFrame, keys: Sequence[str], begin_ns: int | None = None, end_ns: int | None = None, span_ns: int = scan.RANGE_NS) -> DataFrame:
     """Each y (keys..., ts_ns, frame_no, value) with the newest x at or before it: keys..., ts_ns, x, y. A y before the
-    first x is dropped; the range is of y, both ends inclusive. keys (vehicle, log) deal the work out."""
+    first x is dropped; the range is of y, both ends inclusive. keys tell series (vehicles, logs) apart; [] is one."""
     tag = lambda df, n, a, b: df.select(*keys, "ts_ns", F.lit(n).alias("side"), "frame_no", a.alias("x"), b.alias("y"))
     none = F.lit(None).cast("double")
     both = tag(x, 0, F.col("value"), none).unionByName(tag(y, 1, none, F.col("value")))
-    w = Window.partitionBy(*keys or [F.lit(1)]).orderBy("ts_ns", "side", "frame_no").rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumn("x", F.last("x", ignorenulls=True).over(w)).filter((F.col("side") == 1) & F.col("x").isNotNull())
+    rows, key = scan.cut(both, [], keys or [F.lit(0)], "ts_ns", span_ns)
+    out = scan.newest(rows, key, ["ts_ns", "side", "frame_no"], {"_x": F.col("x")}).filter((F.col("side") == 1) & F.col("_x").isNotNull())
     out = out if begin_ns is None else out.filter(F.col("ts_ns") >= begin_ns)
     out = out if end_ns is None else out.filter(F.col("ts_ns") <= end_ns)
-    return out.select(*keys, "ts_ns", "x", "y")
+    return out.select(*keys, "ts_ns", F.col("_x").alias("x"), "y")
 
 
 def values_at(samples: DataFrame, a_ns: int, b_ns: int, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -120,5 +128,3 @@ def values_at(samples: DataFrame, a_ns: int, b_ns: int, keys: Sequence[str] = KE
     dt = b_ns - a_ns
     out = samples.groupBy(*keys).agg(at(a_ns).alias("a"), at(b_ns).alias("b"))
     return out.select(*keys, "a", "b", (F.col("b") - F.col("a")).alias("diff"), F.lit(dt / 1e6).alias("dt_ms"), F.lit(1e9 / dt if dt else None).cast("double").alias("hz"))
-
-

@@ -1,7 +1,8 @@
 """Filters, searches, statistics and order of frames.
 
-Windows are partitioned by the key of a row, with `by` (a log or vehicle column) in front where several logs are read at
-once: a hot id of one log then is one partition, not a hot id of all.
+What looks along a log (time since the frame before, cycles, changed bytes) is scanned in ranges of each key, with what a
+range needs from those before it carried over (`scan`), so that a hot id spreads over many tasks. `by` (a log or vehicle
+column) goes in front of the key where several logs are read at once.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.bits import changed_mask, has_flag, is_error, masked_id
 from ..functions.text import id_text, type_text
 from ..schema import EXTENDED, TX
+from . import scan
 
 ORDER = ["ts_ns", "frame_no"]
 
@@ -170,23 +172,25 @@ def monitor(frames: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def with_cycle(frames: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Adds cycle: ns since the previous frame of the key, null for the first and where time goes back."""
-    before = F.lag("ts_ns").over(Window.partitionBy(*keys).orderBy("frame_no"))
-    return frames.withColumn("_before", before).withColumn("cycle", F.when(F.col("ts_ns") >= F.col("_before"), F.col("ts_ns") - F.col("_before"))).drop("_before")
+def with_cycle(frames: DataFrame, keys: Sequence[str], by: Sequence[str] = (), span: int = scan.RANGE_FRAMES) -> DataFrame:
+    """Adds cycle: ns since the previous frame of the key, null for the first and where time goes back. keys are columns
+    without nulls; a range has `span` frame numbers."""
+    rows, key = scan.cut(frames, keys, by, "frame_no", span)
+    before = F.col("_before.t")
+    cycle = F.when(F.col("ts_ns") >= before, F.col("ts_ns") - before).alias("cycle")
+    return scan.newest(rows, key, ["frame_no"], {"_before": F.struct(F.col("ts_ns").alias("t"))}).select(*[F.col(f"`{c}`") for c in frames.columns], cycle)
 
 
 def cycle_stats(frames: DataFrame, by: Sequence[str] = (), recent: int = 256) -> DataFrame:
     """Per monitor row: cycles, min, max, mean over all; median over the newest `recent`. `by` may hold a session column,
-    so that no cycle spans a stop."""
+    so that no cycle spans a stop. Only the newest `recent` cycles of a task are sorted together with those of others."""
     keys = [*by, *MONITOR]
-    c = with_cycle(_monitored(frames, by), keys).filter("cycle is not null")
+    c = with_cycle(_monitored(frames, by), MONITOR, by).filter("cycle is not null").select(*keys, "frame_no", "cycle")
     newest = Window.partitionBy(*keys).orderBy(F.desc("frame_no"))
-    c = c.withColumn("n", F.row_number().over(newest))
-    return c.groupBy(*keys).agg(
-        F.count("*").alias("cycles"), F.min("cycle").alias("min_ns"), F.max("cycle").alias("max_ns"), (F.sum("cycle") / F.count("*")).alias("mean_ns"),
-        F.percentile(F.when(F.col("n") <= recent, F.col("cycle")), 0.5).alias("median_ns"),
-    )
+    last = c.withColumn("n", F.row_number().over(newest)).filter(F.col("n") <= recent)
+    middle = last.groupBy(*keys).agg(F.percentile("cycle", 0.5).alias("median_ns")).alias("m")
+    out = c.groupBy(*keys).agg(F.count("*").alias("cycles"), F.min("cycle").alias("min_ns"), F.max("cycle").alias("max_ns"), (F.sum("cycle") / F.count("*")).alias("mean_ns")).alias("s")
+    return out.join(middle, scan.same_keys("s", "m", keys), "left").select("s.*", "m.median_ns")
 
 
 def trace_statistics(frames: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -199,7 +203,7 @@ def frame_index(frames: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per (channel, id or error): count, directions seen (1 rx, 2 tx), extended flag of the first, cycle min, max, sum."""
     f = frames.select(*by, "iface", index_key().alias("key"), "frame_no", "ts_ns", "flags")
     keys = [*by, "iface", "key"]
-    c = with_cycle(f, keys)
+    c = with_cycle(f, keys[len(by) :], by)
     direction = F.when(has_flag(F.col("flags"), TX), 2).otherwise(1)
     return c.groupBy(*keys).agg(
         F.count("*").alias("count"), F.bit_or(direction).alias("directions"), F.min_by(has_flag(F.col("flags"), EXTENDED), "frame_no").alias("extended"),
@@ -212,26 +216,30 @@ def log_info(frames: DataFrame) -> DataFrame:
 
 
 def gap_stats(frames: DataFrame, log: str) -> DataFrame:
-    """Gaps between consecutive frames of each log: min, max, mean, median."""
-    c = with_cycle(frames, [log]).filter("cycle is not null")
-    return c.groupBy(log).agg(F.min("cycle").alias("min_ns"), F.max("cycle").alias("max_ns"), (F.sum("cycle") / F.count("*")).alias("mean_ns"), F.percentile("cycle", 0.5).alias("median_ns"))
+    """Gaps between consecutive frames of each log: min, max, mean, median; a log may be scanned by many tasks."""
+    c = with_cycle(frames.select(log, "frame_no", "ts_ns"), [], [log]).filter("cycle is not null")
+    out = c.groupBy(log).agg(F.min("cycle").alias("min_ns"), F.max("cycle").alias("max_ns"), (F.sum("cycle") / F.count("*")).alias("mean_ns")).alias("s")
+    middle = scan.exact_median(c, [log], "cycle", "median_ns").alias("m")
+    return out.join(middle, scan.same_keys("s", "m", [log]), "left").select("s.*", "m.median_ns")
 
 
 # Windows.
 
 
-def with_delta(frames: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def with_delta(frames: DataFrame, by: Sequence[str] = (), span_ns: int = scan.RANGE_NS) -> DataFrame:
     """Adds delta_ns to the previous frame of the same interface, direction, bus, id and id width; 0 for the first."""
-    tx, ext = has_flag(F.col("flags"), TX), has_flag(F.col("flags"), EXTENDED)
-    w = Window.partitionBy(*by, "iface", tx, ext, "bus", "can_id").orderBy(*ORDER)
-    return frames.withColumn("delta_ns", F.coalesce(F.col("ts_ns") - F.lag("ts_ns").over(w), F.lit(0)))
+    rows = frames.withColumns({"_tx": has_flag(F.col("flags"), TX), "_ext": has_flag(F.col("flags"), EXTENDED)})
+    rows, key = scan.cut(rows, ["iface", "_tx", "_ext", "bus", "can_id"], by, "ts_ns", span_ns)
+    out = scan.newest(rows, key, ORDER, {"_before": F.struct(F.col("ts_ns").alias("t"))})
+    return out.select(*[F.col(f"`{c}`") for c in frames.columns], F.coalesce(F.col("ts_ns") - F.col("_before.t"), F.lit(0)).alias("delta_ns"))
 
 
-def with_changed(frames: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def with_changed(frames: DataFrame, by: Sequence[str] = (), span_ns: int = scan.RANGE_NS) -> DataFrame:
     """Adds changed: bytes that differ from the previous frame of the monitor row."""
-    keys = monitor_key(by)
-    w = Window.partitionBy(*keys).orderBy(*ORDER)
-    return frames.withColumn("changed", changed_mask(F.col("bytes"), F.lag("bytes").over(w), F.col("errors")))
+    key = dict(zip([f"_k{i}" for i in range(len(MONITOR))], monitor_key(), strict=True))
+    rows, keys = scan.cut(frames.withColumns(key), list(key), by, "ts_ns", span_ns)
+    out = scan.newest(rows, keys, ORDER, {"_before": F.struct(F.col("bytes").alias("b"))})
+    return out.select(*[F.col(f"`{c}`") for c in frames.columns], changed_mask(F.col("bytes"), F.col("_before.b"), F.col("errors")).alias("changed"))
 
 
 def with_index(frames: DataFrame, by: Sequence[str] = ()) -> DataFrame:

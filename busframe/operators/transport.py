@@ -1,8 +1,8 @@
 """Protocol messages from frames: one reassembly in window functions, three protocols.
 
 Every protocol has the shape opener, followers in order, enough bytes, cut. Frames that play no role are dropped before
-the windows. A session key is (log, interface, direction, addresses), so the windows are partitioned by it; add a column
-that tells logs or vehicles apart to `by` when several are read at once.
+the windows. A session key is (log, interface, direction, addresses); add a column that tells logs or vehicles apart to
+`by` when several are read at once.
 """
 
 from __future__ import annotations
@@ -17,21 +17,24 @@ from ..functions.j1939 import j1939_fields, pgn_name
 from ..functions.n2k import N2K_FAST, N2K_SINGLE, n2k_description
 from ..functions.uds import nrc_name, service_name, uds_describe, uds_describe_request
 from ..schema import EXTENDED, RTR, TX, settled, to_binary
+from . import scan
 
 OPEN, CLOSE, FOLLOW = 1, 2, 0
 
 
 def reassemble(
     rows: DataFrame, keys: Sequence[str], *, ordinal_ok: Callable[[Column, Column], Column], enough: Callable[[Column, Column, Column], Column],
-    size: Callable[[Column], Column], on_opener: bool = False,
+    size: Callable[[Column], Column], on_opener: bool = False, by: Sequence[str] = (),
 ) -> DataFrame:
     """Messages of rows (keys..., ts_ns, frame_no, role, head, ordinal, chunk): keys, the opener's head and ts_ns,
     payload array<int>, frame_nos.
 
     ordinal_ok(n, row) tests the n-th follower, enough(n, bytes, head) whether a message is complete, size(head) where
-    its payload is cut. Segments begin at openers and closers; what follows the completing frame is an orphan."""
-    along = Window.partitionBy(*keys).orderBy("ts_ns", "frame_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("seg", F.sum((F.col("role") != FOLLOW).cast("int")).over(along)).filter("seg > 0")
+    its payload is cut. Segments begin at openers and closers; what follows the completing frame is an orphan. keys begin
+    with those of `by`, the others hold no nulls. Openers are counted in ranges of time with the counts of those before
+    carried over, so that a session that is always busy spreads over many tasks, and a message may span ranges."""
+    cut, own = scan.cut(rows, keys[len(by) :], by, "ts_ns", scan.RANGE_NS)
+    rows = scan.running(cut, own, ["ts_ns", "frame_no"], {"seg": (F.col("role") != FOLLOW).cast("int")}).filter("seg > 0")
     inside = Window.partitionBy(*keys, "seg").orderBy("ts_ns", "frame_no")
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
@@ -101,7 +104,7 @@ def uds_pdus(frames: DataFrame, addr_ext: bool = False, by: Sequence[str] = ())
     rows = rows.withColumn("head", F.struct("size", F.size("chunk").alias("opened")))
     several = reassemble(
         rows.withColumn("ordinal", F.col("ordinal").cast("int")), keys, ordinal_ok=lambda n, _: F.col("ordinal") == n % 16,
-        enough=lambda n, have, head: have >= head["size"], size=lambda head: F.greatest(head["size"], head["opened"].cast("long")).cast("int"),
+        enough=lambda n, have, head: have >= head["size"], size=lambda head: F.greatest(head["size"], head["opened"].cast("long")).cast("int"), by=by,
     ).drop("head")
     alone = rows.filter(F.col("role") == CLOSE).select(*keys, "ts_ns", F.col("chunk").alias("bytes"), F.array("frame_no").alias("frame_nos"))
     return several.unionByName(alone).filter(F.size("bytes") > 0)
@@ -137,7 +140,7 @@ def j1939_pdus(frames: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     rows = f.select(*keys, "ts_ns", "frame_no", role.alias("role"), head.alias("head"), chunk.alias("chunk"), ordinal.alias("ordinal")).filter("role is not null")
     several = reassemble(
         rows, keys, ordinal_ok=lambda n, _: F.col("ordinal") == n % 256, enough=lambda n, have, head: (n >= head["packets"]) | (have >= head["size"]),
-        size=lambda head: head["size"].cast("int"),
+        size=lambda head: head["size"].cast("int"), by=by,
     )
     several = several.select(*keys, F.col("head.pgn").alias("pgn"), F.col("head.priority").alias("priority"), "ts_ns", "bytes", "frame_nos", F.lit(True).alias("transport"))
     single = f.filter(~cm & ~dt & ~F.col("pf").isin(0xDA, 0xDB))
@@ -173,7 +176,7 @@ def n2k_pdus(frames: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     ).filter("role is not null")
     several = reassemble(
         rows, keys, ordinal_ok=lambda n, first: F.col("ordinal") == (first + n) % 256, enough=lambda n, have, head: have >= head["size"],
-        size=lambda head: head["size"], on_opener=True,
+        size=lambda head: head["size"], on_opener=True, by=by,
     )
     several = several.select(*keys, F.col("head.priority").alias("priority"), "ts_ns", "bytes", "frame_nos")
     return several.unionByName(f.filter(~fast).select(*keys, "priority", "ts_ns", "bytes", F.array("frame_no").alias("frame_nos")))
