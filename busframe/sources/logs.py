@@ -102,8 +102,11 @@ def write_candump(frames: DataFrame, path: str) -> None:
 
 
 def _channel_numbers(frames: DataFrame) -> DataFrame:
+    """Numbers from 1 by first appearance, or those of the column channel_no where a recording has given them."""
     from pyspark.sql import Window
 
+    if "channel_no" in frames.columns:
+        return frames.groupBy("channel").agg(F.min("channel_no").alias("ch"))
     first = frames.groupBy("channel").agg(F.min(F.struct("ts_ns", "frame_no")).alias("o"))
     return first.select("channel", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("o")).alias("ch"))  # a row per channel
 

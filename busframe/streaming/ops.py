@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.bits import frame_bits, has_flag, is_error
@@ -20,7 +20,7 @@ from ..functions.j1939 import j1939_fields
 from ..functions.n2k import N2K_FAST
 from ..operators.load import bitrate_of
 from ..operators.trace import monitor_key
-from ..operators.trigger import PRE_NS, STALE_NS, Condition
+from ..operators.trigger import PRE_NS, STALE_NS, Condition, bound_columns, column_of
 from ..schema import EXTENDED, FRAME_COLUMNS, RTR, TX
 from ..session import ship_package
 
@@ -46,7 +46,7 @@ def record(frames: DataFrame, path: str, checkpoint: str, late_path: str | None
         rows = batch.persist()
         seen, newest = newest_before(batch_id), rows.agg(F.max("ts_ns")).first()[0]
         bound = None if seen is None else seen - hold_ms * 1_000_000
-        late = F.lit(False) if bound is None or late_path is None else F.col("ts_ns") < bound
+        late = F.lit(False) if bound is None or late_path is None else F.coalesce(F.col("ts_ns") < bound, F.lit(False))
         order = rows.sortWithinPartitions("ts_ns", "frame_no")
         order.filter(~late).write.mode("overwrite").option("maxRecordsPerFile", records_per_file).parquet(f"{path}/batch={batch_id}")
         if bound is not None and late_path is not None:
@@ -58,9 +58,62 @@ def record(frames: DataFrame, path: str, checkpoint: str, late_path: str | None
     return frames.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def stream_counts(query: StreamingQuery) -> dict[str, int]:
+def record_log(frames: DataFrame, path: str, checkpoint: str, *, format: str = "parquet", hold_ms: int = 50, late: str = "1 minute", records_per_file: int = 5_000_000) -> DataStreamWriter:
+    """Records a stream (with `log`) in the order of time, as `timed.reorder_stream` gives it: a folder for each batch, of
+    Parquet files or of text files in the format named, with the channel numbers that a log's channels got first and keep.
+    Frames that came too late for their place are written with the batch in which they came. A batch that is run again
+    after a failure replaces its own folder; no folder is written twice otherwise."""
+    from ..sources.logs import WRITERS, format_of
+    from .timed import reorder_stream
+
+    kind = format if format == "parquet" else format_of(format)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        target = f"{path}/batch={batch_id}"
+        fs = batch.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+        fs.getFileSystem(batch.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(fs, True)
+        rows = batch.persist()
+        if not rows.isEmpty():
+            if kind == "parquet":
+                rows.repartitionByRange("ts_ns").sortWithinPartitions("ts_ns", "frame_no").write.option("maxRecordsPerFile", records_per_file).parquet(target)
+            else:
+                from ..schema import with_bytes
+
+                WRITERS[kind](with_bytes(rows), target)
+        rows.unpersist()
+
+    return reorder_stream(frames, hold_ms=hold_ms, late=late).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+class Counts(StreamingQueryListener):
+    """Counts of every query of a session, from its start on: rows read, and rows dropped as later than the watermark.
+    Give it to spark.streams.addListener before the query starts."""
+
+    def __init__(self) -> None:
+        self.read: dict[str, int] = {}
+        self.dropped: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p, name = event.progress, str(event.progress.id)
+        self.read[name] = self.read.get(name, 0) + p.numInputRows
+        self.dropped[name] = self.dropped.get(name, 0) + sum(o.numRowsDroppedByWatermark for o in p.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def stream_counts(query: StreamingQuery, counts: Counts | None = None) -> dict[str, int]:
     """Rows that a query has read, and rows that its state operators dropped as later than the watermark. Nothing else is
-    ever dropped: a source that runs ahead waits."""
+    ever dropped: a source that runs ahead waits. With a listener all batches count, without one the last 100."""
+    if counts is not None:
+        name = str(query.id)
+        return {"read": counts.read.get(name, 0), "dropped": counts.dropped.get(name, 0)}
     steps = query.recentProgress
     return {
         "read": sum(p["numInputRows"] for p in steps),
@@ -92,7 +145,7 @@ def bus_load_stream(frames: DataFrame, bitrates: dict[int, int], late: str = "1
 
 
 def rolling_load_stream(frames: DataFrame, bitrates: dict[int, int], late: str = "1 second") -> DataFrame:
-    """Windows of 1 s every 50 ms. A quiet bus has no windows; join with load_grid for zeros."""
+    """Windows of 1 s every 50 ms, without those of a quiet bus, which `timed.quiet_load_stream` has."""
     return _load(frames, bitrates, F.window("ts", "1 second", "50 milliseconds"), 1.0, late)
 
 
@@ -105,39 +158,37 @@ def load_grid(spark: SparkSession, ifaces: Sequence[int], start: str, end: str,
 class ConditionalLog(StatefulProcessor):
     """State of one log or vehicle: newest values, the rows of the last 5 s, and whether the conditions held."""
 
-    def __init__(self, signals: Sequence[str], conditions: Sequence[Condition], all_of: bool, pre_ns: int, stale_ns: int | None, armed: bool):
-        self.signals, self.conditions, self.all_of, self.pre, self.stale, self.armed = list(signals), list(conditions), all_of, pre_ns, stale_ns, armed
+    def __init__(self, shown: int, n: int, tests: Sequence[tuple[int, str, float]], all_of: bool, pre_ns: int, stale_ns: int | None, armed: bool):
+        self.shown, self.n, self.tests, self.all_of, self.pre, self.stale, self.armed = shown, n, list(tests), all_of, pre_ns, stale_ns, armed
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        row = ", ".join(f"v{i} double" for i in range(len(self.signals)))
-        self.values = handle.getValueState("values", row + ", " + ", ".join(f"t{i} long" for i in range(len(self.signals))) + ", met boolean")
-        self.buffer = handle.getListState("buffer", f"frame_no long, ts_ns long, {row}")
+        row = ", ".join(f"v{i} double" for i in range(self.n))
+        self.values = handle.getValueState("values", row + ", " + ", ".join(f"t{i} long" for i in range(self.n)) + ", met boolean")
+        self.buffer = handle.getListState("buffer", "frame_no long, ts_ns long" + "".join(f", v{i} double" for i in range(self.shown)))
 
     def holds(self, values: list, times: list, now: int) -> bool:
-        def one(c: Condition) -> bool:
-            i = self.signals.index(c.signal)
+        def one(i: int, op: str, threshold: float) -> bool:
             v = values[i] if values[i] is not None and (self.stale is None or now - times[i] <= self.stale) else None
             ops = {">": "__gt__", "<": "__lt__", "==": "__eq__", ">=": "__ge__", "<=": "__le__", "!=": "__ne__"}
-            return v is not None and bool(getattr(float(v), ops[c.op])(float(c.threshold)))
+            return v is not None and bool(getattr(float(v), ops[op])(threshold))
 
-        tests = [one(c) for c in self.conditions]
+        tests = [one(*t) for t in self.tests]
         return bool(tests) and (all(tests) if self.all_of else any(tests))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n = len(self.signals)
+        n = self.n
         state = self.values.get() if self.values.exists() else (*[None] * n, *[None] * n, False)
         values, times, met = list(state[:n]), list(state[n : 2 * n]), bool(state[2 * n])
         buffer = list(self.buffer.get()) if self.buffer.exists() else []
         out = []
-        for r in pd.concat(list(rows)).sort_values(["ts_ns", "frame_no"]).itertuples(index=False):
-            now, no = int(r.ts_ns), int(r.frame_no)
+        for r in pd.concat(list(rows)).sort_values(["ts_ns", "frame_no"]).itertuples(index=False, name=None):
+            no, now = int(r[1]), int(r[2])
             before = met and self.holds(values, times, now)
-            for i, s in enumerate(self.signals):
-                v = getattr(r, s)
+            for i, v in enumerate(r[3 : 3 + n]):
                 if v is not None and v == v:
                     values[i], times[i] = float(v), now
             met = self.holds(values, times, now)
-            shown = tuple(v if v is not None and (self.stale is None or now - t <= self.stale) else None for v, t in zip(values, times, strict=True))
+            shown = tuple(v if v is not None and (self.stale is None or now - t <= self.stale) else None for v, t in zip(values[: self.shown], times[: self.shown], strict=True))
             if met and not before:
                 if not self.armed:
                     out += [(*b, False) for b in buffer if now - b[1] <= self.pre]
@@ -152,8 +203,7 @@ class ConditionalLog(StatefulProcessor):
         elif self.buffer.exists():
             self.buffer.clear()
         if out:
-            names = ["frame_no", "ts_ns", *self.signals, "met"]
-            frame = pd.DataFrame(out, columns=names)
+            frame = pd.DataFrame(out, columns=["frame_no", "ts_ns", *[f"v{i}" for i in range(self.shown)], "met"])
             frame.insert(0, "log", key[0])
             yield frame
 
@@ -164,12 +214,16 @@ class ConditionalLog(StatefulProcessor):
 def conditional_log_stream(
     wide: DataFrame, signals: Sequence[str], conditions: Sequence[Condition], *, all_of: bool = True, pre_ns: int = PRE_NS, stale_ns: int | None = STALE_NS, armed: bool = False,
 ) -> DataFrame:
-    """Rows (log, frame_no, ts_ns, signals..., met) of a stream (log, frame_no, ts_ns, signals...); the state is kept per
-    log. armed leaves out the rows before a trigger. Rows of a batch are put in time order."""
+    """Rows (log, frame_no, ts_ns, signals..., met) of a stream (log, frame_no, ts_ns, signals..., and iface where a
+    condition is bound to one); the state is kept per log. armed leaves out the rows before a trigger. Rows of a batch are
+    put in time order. A value goes stale when the next row comes; `timed.conditional_log_events` knows it before."""
     ship_package(wide.sparkSession)
-    schema = "log string, frame_no long, ts_ns long, " + ", ".join(f"{s} double" for s in signals) + ", met boolean"
-    source = wide.select(F.col("log").cast("string").alias("log"), "frame_no", "ts_ns", *[F.col(s).cast("double").alias(s) for s in signals])
-    return source.groupBy("log").transformWithStateInPandas(ConditionalLog(signals, conditions, all_of, pre_ns, stale_ns, armed), schema, "append", "None")
+    names = list(dict.fromkeys([*signals, *[column_of(c) for c in conditions]]))
+    tests = [(names.index(column_of(c)), c.op, float(c.threshold)) for c in conditions]
+    schema = "log string, frame_no long, ts_ns long, " + ", ".join(f"v{i} double" for i in range(len(signals))) + ", met boolean"
+    source = bound_columns(wide, conditions).select(F.col("log").cast("string").alias("log"), "frame_no", "ts_ns", *[F.col(f"`{s}`").cast("double").alias(f"v{i}") for i, s in enumerate(names)])
+    out = source.groupBy("log").transformWithStateInPandas(ConditionalLog(len(signals), len(names), tests, all_of, pre_ns, stale_ns, armed), schema, "append", "None")
+    return out.select("log", "frame_no", "ts_ns", *[F.col(f"v{i}").alias(s) for i, s in enumerate(signals)], "met")
 
 
 class IsoTp(StatefulProcessor):
