@@ -73,7 +73,8 @@ def _front() -> Column:
 
 def _lines(df: DataFrame, *keep: str) -> DataFrame:
     """Rows (dk, keep..., line_no, line) of the lines of `text`."""
-    lines = df.select("dk", *keep, _front().alias("front"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    # the hash is a column of its own first, so that it isn't taken once for each line
+    lines = df.select("dk", *keep, _front().alias("front"), "text").select("dk", *keep, "front", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     return lines.select("dk", *keep, F.col("front").bitwiseOR(F.col("i").cast("long")).alias("line_no"), "line")
 
 
