@@ -72,9 +72,8 @@ def _front() -> Column:
 
 
 def _lines(df: DataFrame, *keep: str) -> DataFrame:
-    """Rows (dk, keep..., line_no, line) of the lines of `text`."""
-    # the hash is a column of its own first, so that it isn't taken once for each line
-    lines = df.select("dk", *keep, _front().alias("front"), "text").select("dk", *keep, "front", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    """Rows (dk, keep..., line_no, line) of the lines of `text`; front comes with them, so it isn't taken for each line."""
+    lines = df.select("dk", *keep, "front", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     return lines.select("dk", *keep, F.col("front").bitwiseOR(F.col("i").cast("long")).alias("line_no"), "line")
 
 
@@ -86,7 +85,7 @@ def _numbered(df: DataFrame, numbers: str) -> DataFrame:
 
 def near_lines(by_doc: DataFrame, firsts: DataFrame, min_words: int) -> DataFrame:
     """(dk, near): numbers of the lines that are within one edit of an earlier one, among the first occurrences
-    (dk, mine) of the distinct lines. by_doc: (dk, text), dealt out by dk."""
+    (dk, mine) of the distinct lines. by_doc: (dk, front, text), dealt out by dk."""
     place = ["dk", "line_no"]
     spot = F.xxhash64(*place)
     rows = _numbered(by_doc.join(firsts, "dk"), "mine").withColumn("n", _n_words(F.col("line"))).filter(F.col("n") >= min_words)
@@ -141,7 +140,7 @@ def dedup_lines(docs: DataFrame, *, min_words: int = 5, carry: Sequence[str] = (
 
     Texts are shuffled once, by document; lines travel as hashes, but for those that may have a near copy."""
     key = document_key(F.col("doc_id"), F.col("text"), last=False).alias("dk")
-    ids = docs.select(key, "text")  # every reader of by_doc takes the same two columns of one exchange
+    ids = docs.select(key, _front().alias("front"), "text")  # every reader of by_doc takes the same columns of one exchange
     lines = _lines(ids.filter(F.col("text").isNotNull()))
     lines = lines.filter(~_blank(F.col("line"))).select(_hash(F.col("line")).alias("key"), F.struct("dk", "line_no").alias("place"))
     firsts = lines.groupBy("key").agg(F.min("place").alias("first")).groupBy(F.col("first.dk").alias("dk")).agg(F.collect_list("first.line_no").alias("mine"))
@@ -152,7 +151,7 @@ def dedup_lines(docs: DataFrame, *, min_words: int = 5, carry: Sequence[str] = (
     none = F.array().cast("array<long>")
     stays = F.array_except(F.coalesce("mine", none), F.coalesce("near", none))
     kept = F.filter(F.transform(split, lambda x, i: F.when(_blank(x) | F.array_contains(F.col("stays"), F.col("front").bitwiseOR(i.cast("long"))), x)), lambda x: x.isNotNull())
-    out = by_doc.join(firsts, "dk", "left").join(near, "dk", "left").withColumns({"stays": stays, "front": _front()})
+    out = by_doc.join(firsts, "dk", "left").join(near, "dk", "left").withColumn("stays", stays)
     if carry:  # joined where the texts are, so that they aren't shuffled again
         rows = docs.select(key, F.xxhash64("text").alias("h"), F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried"))
         one = rows.groupBy("dk", "h").agg(F.min_by("carried", F.to_json("carried")).alias("carried"))
