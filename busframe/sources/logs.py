@@ -11,7 +11,7 @@ from ..functions.bits import has_flag, lin_checksum
 from ..functions.text import hex_text
 from ..schema import BRS, ERROR_BITS, EXTENDED, FD, RTR, TX, head_of
 from ..session import shared_path
-from .binary_logs import read_pcap, read_pcapng
+from .binary_logs import read_pcap, read_pcapng, write_pcap
 from .text_logs import read_asc, read_candump, read_trc
 
 # Names of formats.
@@ -184,11 +184,11 @@ def write_trc(frames: DataFrame, path: str) -> None:
     trc_lines(frames).orderBy("part", "number").select("value").write.option("lineSep", "\r\n").text(path)
 
 
-WRITERS = {"candump": write_candump, "asc": write_asc, "trc": write_trc, "parquet": lambda frames, path: frames.write.parquet(path)}
+WRITERS = {"candump": write_candump, "asc": write_asc, "trc": write_trc, "pcap": write_pcap, "parquet": lambda frames, path: frames.write.parquet(path)}
 
 
 def convert_log(spark: SparkSession, source: str, target: str, target_format: str, source_format: str | None = None) -> None:
-    """Any readable format to candump, ASC, TRC or Parquet. The log is parsed once: writers that go over the frames several
+    """Any readable format to candump, ASC, TRC, pcap or Parquet. The log is parsed once: writers that go over the frames several
     times (order, channel numbers, first time) read them from a table in the shared folder."""
     if target_format != "parquet" and format_of(target_format) not in WRITERS:
         raise ValueError(f"{target_format!r} can't be written")
