@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,35 +35,89 @@ def read_log(spark: SparkSession, path: str, format: str | None = None, **option
     return READERS[format_of(format or (path.rpartition(".")[2] if "." in path else path))](spark, path, **options)
 
 
-def source_state(frames: DataFrame) -> str | None:
-    """Path, size and time of change of every file that the frames come from; None where they don't come from files."""
+def fingerprint(frames: DataFrame) -> str | None:
+    """What frames are made of and how: path, size and time of change of every file that they come from, the plan, and the
+    options with which the files are read. None where they don't come from files. Python functions in the plan are known
+    by their names alone."""
     sc = frames.sparkSession.sparkContext
     conf, found = sc._jsc.hadoopConfiguration(), []
     for name in sorted(frames.inputFiles()):
         p = sc._jvm.org.apache.hadoop.fs.Path(name)
         status = p.getFileSystem(conf).getFileStatus(p)
         found.append([name, status.getLen(), status.getModificationTime()])
-    return json.dumps(found) if found else None
-
-
-def build_frame_table(frames: DataFrame, path: str, *, partitions: int | None = None) -> DataFrame:
+    if not found:
+        return None
+    plan = frames._jdf.queryExecution().analyzed()
+    leaves = plan.collectLeaves()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation":
+            relation = leaf.relation()
+            found.append([relation.getClass().getName(), relation.schema().json(), relation.options().toString() if hasattr(relation, "options") else ""])
+    # numbers of expressions and of the virtual machine differ from run to run
+    found.append(re.sub(r'"jvmId":"[^"]*"', "", frames._jdf.queryExecution().optimizedPlan().canonicalized().toJSON()))
+    found.append(re.sub(r"#[0-9]+L?", "", plan.toString()))
+    return hashlib.sha256(json.dumps(found).encode()).hexdigest()[:32]
+
+
+class Versions:
+    """Versions of a table in a folder. Data lie in folders of their own, and an empty file named after one, with a number
+    in front and made last, says that it is whole: the highest number counts. So a reader never sees half a table, nor a
+    writer that stopped midway."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self.to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self.fs = self.to(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def names(self) -> list[str]:
+        folder = self.to(f"{self.path}/_versions")
+        return sorted(f.getPath().getName() for f in self.fs.listStatus(folder)) if self.fs.exists(folder) else []
+
+    def data(self, name: str) -> str:
+        return f"{self.path}/_table/data-{name}"
+
+    def add(self, mark: str, write: Callable[[str], None], keep: int) -> str:
+        names = self.names()
+        name = f"{int(names[-1].split('-')[0]) + 1 if names else 0:010d}-{mark}-{uuid.uuid4().hex[:12]}"
+        write(self.data(name))
+        self.fs.create(self.to(f"{self.path}/_versions/{name}"), False).close()
+        for old in self.names()[:-keep]:
+            self.fs.delete(self.to(f"{self.path}/_versions/{old}"), False)
+            self.fs.delete(self.to(self.data(old)), True)
+        return name
+
+
+def build_frame_table(frames: DataFrame, path: str, *, partitions: int | None = None, keep: int = 2) -> DataFrame:
     """Frames as Parquet, clustered by interface and id and sorted by time, so that a filter on ids skips row groups.
     `head` holds the first eight bytes as a number, from which `decode_wide` reads signals.
 
-    A table is used again if the files that the frames come from have the sizes and times that it was made from (kept in
-    a table beside it), and is built anew otherwise; also where the frames don't come from files."""
-    spark, beside = frames.sparkSession, f"{path}.source"
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    there = lambda name: (p := spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{name}/_SUCCESS")).getFileSystem(conf).exists(p)
-    state = source_state(frames)
-    if state is None or not (there(path) and there(beside)) or spark.read.text(beside).first().value != state:
-        keys = [F.col("iface"), F.col("can_id"), F.col("ts_ns")]
-        frames = frames.withColumn("head", head_of(F.col("bytes")))
-        dealt = frames.repartitionByRange(partitions, *keys) if partitions else frames.repartitionByRange(*keys)
-        dealt.sortWithinPartitions("iface", "can_id", "ts_ns", "frame_no").write.mode("overwrite").parquet(path)
-        if state is not None:
-            spark.createDataFrame([(state,)], "value string").coalesce(1).write.mode("overwrite").text(beside)
-    return spark.read.parquet(path)
+    The newest version of the table is used again if it was made by the same plan, with the same options, from files of
+    the same names, sizes and times (`fingerprint`); otherwise, and where the frames don't come from files, a new version
+    is built beside it. The newest `keep` versions stay, for those who still read an older one. Open a table without
+    building it by `frame_table`; its folder can't be read as Parquet as it is."""
+    versions = Versions(frames.sparkSession, path)
+    mark = fingerprint(frames)
+    names = versions.names()
+    if mark is None or not names or names[-1].split("-")[1] != mark:
+
+        def write(target: str) -> None:
+            keys = [F.col("iface"), F.col("can_id"), F.col("ts_ns")]
+            rows = frames.withColumn("head", head_of(F.col("bytes")))
+            dealt = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
+            dealt.sortWithinPartitions("iface", "can_id", "ts_ns", "frame_no").write.parquet(target)
+
+        versions.add(mark or "none", write, keep)
+    return frame_table(frames.sparkSession, path)
+
+
+def frame_table(spark: SparkSession, path: str) -> DataFrame:
+    """The newest whole version of a frame table."""
+    versions = Versions(spark, path)
+    names = versions.names()
+    if not names:
+        raise FileNotFoundError(f"no frame table in {path}")
+    return spark.read.parquet(versions.data(names[-1]))
 
 
 # SocketCAN error classes and payload bits of the error bits: (bit, classes, payload byte, payload bits).

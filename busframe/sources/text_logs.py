@@ -71,8 +71,13 @@ def _hex_list(parts: Column) -> Column:
 
 def read_candump(spark: SparkSession, path: str | list[str], channels: Sequence[str] | None = None) -> DataFrame:
     """(sec.frac) iface ID#DATA, ID##fDATA, ID#R[len]; lines of another form are skipped."""
+    return parse_candump(read_lines(spark, path), channels)
+
+
+def parse_candump(lines: DataFrame, channels: Sequence[str] | None = None) -> DataFrame:
+    """Frames of lines (log, frame_no, value)."""
     pattern = r"^\(([^)]*)\)[ \t]*([^ \t]+)[ \t]+([0-9A-Fa-f]{1,8})#([^ \t]*)"
-    p = read_lines(spark, path).filter(F.rlike("value", F.lit(pattern)))
+    p = lines.filter(F.rlike("value", F.lit(pattern)))
     # the pattern has said where things stand; they are cut out by plain string functions
     rest = lambda c, n: F.ltrim(F.call_function("substring", F.col(c), n), F.lit(" \t"))
     word = lambda c: F.substring_index(F.replace(F.col(c), F.lit("\t"), F.lit(" ")), " ", 1)

@@ -164,6 +164,74 @@ def test_convert_and_table(spark, tmp_path):
         logs.read_log(spark, "x.mf4")
 
 
+def test_a_table_knows_its_plan(spark, tmp_path):
+    """Another filter, option or session of the same files is another table; a build that stopped is none."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    f = frames(spark, [(i, 0x100 + i % 7, 0, [i % 256], i % 3) for i in range(300)])
+    f.write.parquet(str(tmp_path / "src"))
+    path = str(tmp_path / "table")
+    src = lambda **o: spark.read.options(**o).parquet(str(tmp_path / "src"))
+    built = lambda df: (logs.build_frame_table(df, path).count(), len(logs.Versions(spark, path).names()))
+    assert built(src()) == (300, 1)
+    assert built(src()) == (300, 1)
+    assert built(src().filter("iface = 1")) == (100, 2)
+    assert built(src().filter("iface = 1 and can_id = 256")) == (14, 2)
+    assert built(src()) == (300, 2)
+    newest = logs.Versions(spark, path).names()[-1]
+    assert built(src(mergeSchema="true"))[0] == 300 and logs.Versions(spark, path).names()[-1] != newest
+    # what a writer left that stopped before its mark isn't seen
+    src().filter("iface = 2").write.parquet(logs.Versions(spark, path).data("9999999999-half"))
+    assert logs.frame_table(spark, path).count() == 300
+    with pytest.raises(Exception, match="(?i)unable to infer schema|does not exist"):
+        spark.read.parquet(path).count()
+    with pytest.raises(FileNotFoundError):
+        logs.frame_table(spark, str(tmp_path / "none"))
+    # readers during rebuilds see whole tables
+    with ThreadPoolExecutor(2) as pool:
+        builds = pool.submit(lambda: [built(src().filter(f"iface <> {i % 2}")) for i in range(3)])
+        seen = []
+        while not builds.done():
+            seen.append(logs.frame_table(spark, path).count())
+        builds.result()
+    assert set(seen) <= {300, 200}
+
+
+def test_tailed_files(spark, tmp_path):
+    """Lines appended in pieces, over restarts and ranges of few bytes: each comes once, when it is whole."""
+    from busframe.sources import tail
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    lines = [f"(17000000{i:02d}.{i:06d}) can{i % 3} {0x100 + i:X}#{'AB' * (i % 9)}" for i in range(40)]
+    text = "\n".join(lines) + "\n"
+    out = []
+
+    def run(size):
+        stream = tail.tail_candump(spark, str(folder), ["can2", "can0"], suffix=".log", range_bytes=size)
+        query = stream.writeStream.foreachBatch(lambda df, _: out.extend(df.collect())).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    def append(name, part):
+        with (folder / name).open("a") as f:
+            f.write(part)
+
+    append("a.log", text[:333])
+    append("skip.txt", text)
+    run(1 << 20)
+    assert len(out) == text[:333].count("\n")
+    append("a.log", text[333:700])
+    append("b.log", lines[39] + "\r\nrubbish\n(1.0) can0 1")
+    run(17)
+    append("a.log", text[700:])
+    append("b.log", "#00\n")
+    run(50)
+    run(50)
+    assert sorted(r.can_id for r in out if r.log.endswith("a.log")) == [0x100 + i for i in range(40)]
+    assert sorted((r.ts_ns, r.can_id, r.iface) for r in out if r.log.endswith("b.log")) == [(10**9, 1, 1), (1700000039000039000, 0x127, 1)]
+    assert {(r.channel, r.iface) for r in out} == {("can0", 1), ("can1", None), ("can2", 0)}
+
+
 def test_candump_errors(spark):
     from busframe.schema import ERROR_BITS
 
