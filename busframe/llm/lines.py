@@ -68,13 +68,19 @@ def within_one_edit(a: Column, b: Column) -> Column:
 
 def _front() -> Column:
     """31 bits of a text's hash, in front of its line numbers: different texts under one doc_id have lines of their own."""
-    return F.shiftleft(F.xxhash64("text").bitwiseAND((1 << 31) - 1), 32)
+    return F.shiftleft(F.xxhash64("text").bitwiseAND((1 << 31) - 1), 32).alias("front")
+
+
+def _number(df: DataFrame, i: Column) -> Column:
+    """A line's number, behind the front of its text where there is one."""
+    return F.col("front").bitwiseOR(i.cast("long")) if "front" in df.columns else i.cast("long")
 
 
 def _lines(df: DataFrame, *keep: str) -> DataFrame:
-    """Rows (dk, keep..., line_no, line) of the lines of `text`; front comes with them, so it isn't taken for each line."""
-    lines = df.select("dk", *keep, "front", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    return lines.select("dk", *keep, F.col("front").bitwiseOR(F.col("i").cast("long")).alias("line_no"), "line")
+    """Rows (dk, keep..., line_no, line) of the lines of `text`."""
+    front = ["front"] * ("front" in df.columns)  # comes with the text, so that it isn't taken for each line
+    lines = df.select("dk", *keep, *front, F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    return lines.select("dk", *keep, _number(df, F.col("i")).alias("line_no"), "line")
 
 
 def _numbered(df: DataFrame, numbers: str) -> DataFrame:
@@ -85,7 +91,7 @@ def _numbered(df: DataFrame, numbers: str) -> DataFrame:
 
 def near_lines(by_doc: DataFrame, firsts: DataFrame, min_words: int) -> DataFrame:
     """(dk, near): numbers of the lines that are within one edit of an earlier one, among the first occurrences
-    (dk, mine) of the distinct lines. by_doc: (dk, front, text), dealt out by dk."""
+    (dk, mine) of the distinct lines. by_doc: (dk, text, and front where ids repeat), dealt out by dk."""
     place = ["dk", "line_no"]
     spot = F.xxhash64(*place)
     rows = _numbered(by_doc.join(firsts, "dk"), "mine").withColumn("n", _n_words(F.col("line"))).filter(F.col("n") >= min_words)
@@ -99,8 +105,9 @@ def near_lines(by_doc: DataFrame, firsts: DataFrame, min_words: int) -> DataFram
     shares = rows.select(*place, F.explode(F.when(F.col("n") % 2 == 1, F.array(*halves(h))).otherwise(F.array(*halves(h), *halves(h - 1)))).alias("half"))
     common = shares.groupBy("half").agg(F.min(spot).alias("lo"), F.max(spot).alias("hi")).filter("lo <> hi").select("half")
     likely = shares.join(common, "half", "left_semi").select(*place).distinct().groupBy("dk").agg(F.collect_list("line_no").alias("some"))
-    # a line of repeated rows counts once
-    lines = _numbered(by_doc.join(likely, "dk"), "some").repartition(*place).dropDuplicates(place).select(*place, F.split("line", " ").alias("w"))
+    lines = _numbered(by_doc.join(likely, "dk"), "some").repartition(*place)
+    lines = lines.dropDuplicates(place) if "front" in by_doc.columns else lines  # a line of repeated rows counts once
+    lines = lines.select(*place, F.split("line", " ").alias("w"))
 
     # the hash of a list of words is the XOR of the hashes of (place, word), so that each deletion costs the same
     words = lines.select(*place, F.size("w").alias("n"), F.posexplode("w").alias("at", "word"))
@@ -140,7 +147,9 @@ def dedup_lines(docs: DataFrame, *, min_words: int = 5, carry: Sequence[str] = (
 
     Texts are shuffled once, by document; lines travel as hashes, but for those that may have a near copy."""
     key = document_key(F.col("doc_id"), F.col("text"), last=False).alias("dk")
-    ids = docs.select(key, _front().alias("front"), "text")  # every reader of by_doc takes the same columns of one exchange
+    # what only repeated ids need is left out where there are none
+    repeated = not docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    ids = docs.select(key, *[_front()] * repeated, "text")  # every reader of by_doc takes the same columns of one exchange
     lines = _lines(ids.filter(F.col("text").isNotNull()))
     lines = lines.filter(~_blank(F.col("line"))).select(_hash(F.col("line")).alias("key"), F.struct("dk", "line_no").alias("place"))
     firsts = lines.groupBy("key").agg(F.min("place").alias("first")).groupBy(F.col("first.dk").alias("dk")).agg(F.collect_list("first.line_no").alias("mine"))
@@ -150,7 +159,7 @@ def dedup_lines(docs: DataFrame, *, min_words: int = 5, carry: Sequence[str] = (
     split = F.split("text", "\n")
     none = F.array().cast("array<long>")
     stays = F.array_except(F.coalesce("mine", none), F.coalesce("near", none))
-    kept = F.filter(F.transform(split, lambda x, i: F.when(_blank(x) | F.array_contains(F.col("stays"), F.col("front").bitwiseOR(i.cast("long"))), x)), lambda x: x.isNotNull())
+    kept = F.filter(F.transform(split, lambda x, i: F.when(_blank(x) | F.array_contains(F.col("stays"), _number(by_doc, i)), x)), lambda x: x.isNotNull())
     out = by_doc.join(firsts, "dk", "left").join(near, "dk", "left").withColumn("stays", stays)
     if carry:  # joined where the texts are, so that they aren't shuffled again
         rows = docs.select(key, F.xxhash64("text").alias("h"), F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried"))
