@@ -30,6 +30,23 @@ def hex_text(data: Column, sep: str = " ") -> Column:
     return F.array_join(F.transform(data, lambda b: F.lpad(F.hex(b), 2, "0")), sep)
 
 
+def spaced_hex(data: Column) -> Column:
+    """Hex of BINARY with a blank between bytes; up to eight bytes are cut by place, without a lambda."""
+    h = F.hex(data)
+    n = F.octet_length(data)
+    short = F.rtrim(F.concat(*[x for i in range(8) for x in (F.substring(h, 2 * i + 1, 2), F.lit(" "))]))
+    long = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.call_function("substring", h, i * 2 + 1, F.lit(2))), " ")
+    return F.when(n <= 8, short).otherwise(long)
+
+
+def fixed_point(ns: Column, places: int, width: int) -> Column:
+    """Seconds of a number of ns that isn't negative, rounded half up to so many places, right-aligned."""
+    unit = 10**places
+    steps = F.call_function("div", ns + 10 ** (9 - places) // 2, F.lit(10 ** (9 - places)))
+    text = F.concat(F.call_function("div", steps, F.lit(unit)).cast("string"), F.lit("."), F.lpad((steps % unit).cast("string"), places, "0"))
+    return F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, " "))
+
+
 def ascii_text(data: Column, sep: str = "") -> Column:
     """Bytes 0x20..0x7E as they are, others as a dot."""
     return F.array_join(F.transform(data, lambda b: F.when(b.between(0x20, 0x7E), F.char(b)).otherwise(".")), sep)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bits import Head, extract_raw, id_key, is_error, lin_physical, lin_raw, signed, to_physical
 from ..functions.text import decimals_column, format_decimals, format_value
-from ..schema import settled
+from ..schema import head_of, settled, tail_of
 from .trace import page
 
 
@@ -56,10 +56,20 @@ def with_message(frames: DataFrame, dictionary: DataFrame, networks: DataFrame)
     return f.join(names, on, "left").drop("_iface", "_key", "_raw", "on_iface", "message_dlc")
 
 
-def is_present(signal: dict[str, Column], data: Column) -> Column:
-    """Whether a signal lies within the frame and, if multiplexed, its value is selected."""
-    fits = signal["start_bit"] + signal["length"] <= F.size(data) * 8
-    muxer = extract_raw(data, signal["muxer"]["start_bit"], signal["muxer"]["length"], signal["muxer"]["big_endian"])
+def read_bits(start: Column, length: Column, big_endian: Column) -> Column:
+    """The raw number at a place that a column gives: from the frame's first eight bytes as one number, read from either
+    end (columns head and tail), where it lies in them; else byte by byte."""
+    shift = lambda word, by: F.call_function("shiftrightunsigned", word, by)
+    mask = F.when(length >= 64, F.lit(-1).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), length) - 1)
+    word = F.when(big_endian, shift(F.col("head"), 64 - start - length)).otherwise(shift(F.col("tail"), start))
+    inside = (start >= 0) & length.between(1, 64) & (start + length <= 64)
+    return F.when(inside, word.bitwiseAND(mask)).otherwise(extract_raw(F.col("bytes"), start, length, big_endian))
+
+
+def is_present(signal: dict[str, Column], n_bytes: Column) -> Column:
+    """Whether a signal lies within the frame and, if multiplexed, its value is selected. Needs the columns of read_bits."""
+    fits = signal["start_bit"] + signal["length"] <= n_bytes * 8
+    muxer = read_bits(*[signal["muxer"][c] for c in ("start_bit", "length", "big_endian")])
     return fits & (~signal["is_muxed"] | F.coalesce(muxer == signal["mux_value"], F.lit(False)))
 
 
@@ -69,11 +79,12 @@ def decode(frames: DataFrame, dictionary: DataFrame, networks: DataFrame) -> Dat
     decimals = F.when(F.col("value_type") == "integer", decimals_column(F.col("factor"), F.col("offset")))
     d = by_interface(resolve_dictionary(dictionary).withColumn("decimals", decimals), networks).withColumnRenamed("dlc", "_dlc")
     f = _keyed(frames.select("frame_no", "ts_ns", "iface", "bus", "can_id", "flags", "errors", "bytes"), networks)
+    f = settled(f, *f.columns, head=head_of(F.col("bytes")), tail=tail_of(F.col("bytes")), n=F.size("bytes"))
     j = f.join(d, F.col("_iface").eqNullSafe(F.col("on_iface")) & (F.col("_key") == F.col("raw_id")))
     s = {c: F.col(c) for c in ("start_bit", "length", "muxer", "is_muxed", "mux_value")}
-    j = j.filter(is_present(s, F.col("bytes")))
+    j = j.filter(is_present(s, F.col("n")))
     keep = ["network", "message", "signal", "raw_id", "frame_no", "ts_ns", "iface", "length", "is_unsigned", "value_type", "factor", "offset", "signal_seq", "decimals"]
-    j = settled(j, *keep, raw=extract_raw(F.col("bytes"), F.col("start_bit"), F.col("length"), F.col("big_endian")))
+    j = settled(j, *keep, raw=read_bits(F.col("start_bit"), F.col("length"), F.col("big_endian")))
     value = to_physical(F.col("raw"), F.col("length"), F.col("is_unsigned"), F.col("value_type"), F.col("factor"), F.col("offset"))
     raw = F.when(F.col("is_unsigned"), F.col("raw")).otherwise(signed(F.col("raw"), F.col("length")))
     return j.select("network", "message", "signal", "raw_id", "frame_no", "ts_ns", "iface", raw.alias("raw"), value.alias("value"), "signal_seq", "decimals")

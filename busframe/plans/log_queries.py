@@ -66,7 +66,7 @@ def dbc_read(spark, sf):
         F.lit(' SG_ Key : 31|32@0+ (1,0) [0|0] "" X'), F.lit(""),
     )
     path = shared_path(spark, "dictionary")
-    parts.select(lines.alias("value")).coalesce(1).write.text(path)
+    parts.select(lines.alias("value")).write.text(path)
     signals, _, _ = dbc.read_dbc(spark, path, "P")
     return signals.select("raw_id", "message", "signal", "start_bit", "length", "big_endian", "factor", "offset")
 
@@ -173,43 +173,31 @@ def protocol_rows(spark, sf):
     return out.groupBy("iface", "sa", F.col("id").alias("pgn")).agg(F.count("*").alias("n"))
 
 
-# Streams: the frames are written in three steps of time and read one file at a time.
+# Streams: the frames come in three steps of time, and the stream is stopped and started again between them.
 
 
-def _folder(spark, frames, name):
-    """A folder that grew in the order of time."""
-    path = shared_path(spark, name)
-    low, high = frames.agg(F.min("ts_ns"), F.max("ts_ns")).first()
-    step = (high - low) // 3 + 1
+def _streamed(frames, name, build, mode="append", arrival="ts_ns"):
+    """What a stream writes that starts again for each third of the frames, by the time of their arrival. It runs in a
+    session of its own, in which states are kept by RocksDB."""
+    spark = frames.sparkSession.newSession()
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    path, out, state = (shared_path(spark, f"{name}-{kind}") for kind in ("in", "rows", "state"))
+    low, high = frames.agg(F.min(arrival), F.max(arrival)).first()
+    step = ((high or 0) - (low or 0)) // 3 + 1
     for i in range(3):
-        frames.filter((F.col("ts_ns") >= low + i * step) & (F.col("ts_ns") < low + (i + 1) * step)).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(path)
-
-
-def _ran(stream, name, mode="append"):
-    """The stream's rows, written by its sink."""
-    spark, out = stream.sparkSession, shared_path(stream.sparkSession, name)
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        writer = stream.writeStream.option("checkpointLocation", shared_path(spark, f"{name}-state")).outputMode(mode).trigger(availableNow=True)
-        if mode == "complete":
-            writer = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out))
-        else:
-            writer = writer.format("parquet").option("path", out)
+        frames.filter((F.col(arrival) >= (low or 0) + i * step) & (F.col(arrival) < (low or 0) + (i + 1) * step)).write.mode("append").parquet(path)
+        stream = build(spark.readStream.schema(frames.schema).parquet(path))
+        writer = stream.writeStream.option("checkpointLocation", state).outputMode(mode).trigger(availableNow=True)
+        writer = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)) if mode == "complete" else writer.format("parquet").option("path", out)
         writer.start().awaitTermination()
-    finally:
-        spark.conf.set(key, before)
-    return spark.read.schema(stream.schema).parquet(out)
+    return frames.sparkSession.read.schema(stream.schema).parquet(out)
 
 
 @query(EVENTS + """SELECT tx, err AS error, iface, 'CAN' AS bus, CASE WHEN err THEN 0 ELSE can_id END AS id, count(*) AS count, arg_max(frame_no, (ts_ns, frame_no)) AS frame_no FROM f GROUP BY ALL""")
 def monitor_stream(spark, sf):
     from ..streaming import ops
 
-    s = ops.monitor_stream(_folder(spark, fx.frames_from_events(spark, sf), "monitor"))
-    return _ran(s, "monitor-rows", "complete").select(*trace.MONITOR, "count", F.col("last.frame_no").alias("frame_no"))
+    return _streamed(fx.frames_from_events(spark, sf), "monitor", ops.monitor_stream, "complete").select(*trace.MONITOR, "count", F.col("last.frame_no").alias("frame_no"))
 
 
 @query(SQL["conditional_log"])
@@ -218,15 +206,97 @@ def conditional_log_stream(spark, sf):
 
     f = fx.frames_from_events(spark, sf)
     wide = decode.decode_wide(f, {"speed": decode.find_signals(fx.event_dictionary(spark), "SpeedM")}, NETWORKS).select(F.col("iface").cast("string").alias("log"), "frame_no", "ts_ns", "speed")
-    s = ops.conditional_log_stream(_folder(spark, wide, "speeds"), ["speed"], [trigger.Condition("speed", ">", 120.0)], pre_ns=600 * 10**9, stale_ns=None)
-    return _ran(s, "conditional-rows").select("frame_no", "met")
+    of = lambda s: ops.conditional_log_stream(s, ["speed"], [trigger.Condition("speed", ">", 120.0)], pre_ns=600 * 10**9, stale_ns=None)
+    return _streamed(wide, "speeds", of).select("frame_no", "met")
+
+
+def _one_log(spark, sf):
+    f = fx.frames_from_events(spark, sf)
+    wide = decode.decode_wide(f, {"speed": decode.find_signals(fx.event_dictionary(spark), "SpeedM")}, NETWORKS)
+    return wide.select(F.lit("all").alias("log"), "frame_no", "ts_ns", "iface", "speed")
+
+
+@query(EVENTS + """, r AS (SELECT *, last_value(CASE WHEN iface = 1 THEN raw > 12000 END IGNORE NULLS) OVER (ORDER BY ts_ns, frame_no) AS met FROM f WHERE NOT err),
+e AS (SELECT *, lag(met, 1, false) OVER (ORDER BY ts_ns, frame_no) AS before FROM r),
+n AS (SELECT *, min(CASE WHEN met AND NOT coalesce(before, false) THEN ts_ns END) OVER (ORDER BY ts_ns, frame_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM e)
+SELECT frame_no, coalesce(met, false) AS met FROM n WHERE met OR (NOT coalesce(before, false) AND nxt - ts_ns <= 60000000000)""")
+def conditional_log_bound_stream(spark, sf):
+    """A condition on the values of one interface, in a log of three."""
+    from ..streaming import ops
+
+    of = lambda s: ops.conditional_log_stream(s, ["speed"], [trigger.Condition("speed", ">", 120.0, 1)], pre_ns=60 * 10**9, stale_ns=None)
+    return _streamed(_one_log(spark, sf), "bound", of).select("frame_no", "met")
+
+
+@query(EVENTS + """, r AS (SELECT *, raw > 12000 AS met, lag(ts_ns) OVER w AS p, lag(raw > 12000, 1, false) OVER w AS was, lead(ts_ns) OVER w AS nxt FROM f WHERE NOT err WINDOW w AS (PARTITION BY iface ORDER BY ts_ns, frame_no)),
+m AS (SELECT max(ts_ns) AS z FROM r)
+SELECT iface::VARCHAR AS log, ts_ns, 'row' AS event FROM r WHERE met
+UNION ALL SELECT iface::VARCHAR, ts_ns, 'falling' FROM r WHERE NOT met AND was AND ts_ns - p <= 120000000000
+UNION ALL SELECT iface::VARCHAR, ts_ns + 120000000001, 'stale' FROM r, m WHERE met AND coalesce(nxt - ts_ns > 120000000000, ts_ns + 122000000000 < z)""")
+def conditional_events_stream(spark, sf):
+    """Rows, falling edges, and the times at which values expired: by the next row, or by the watermark where none comes."""
+    from ..streaming import timed
+
+    wide = decode.decode_wide(fx.frames_from_events(spark, sf), {"speed": decode.find_signals(fx.event_dictionary(spark), "SpeedM")}, NETWORKS).select(F.col("iface").cast("string").alias("log"), "frame_no", "ts_ns", "speed")
+    of = lambda s: timed.conditional_log_events(s, ["speed"], [trigger.Condition("speed", ">", 120.0)], stale_ns=120 * 10**9, armed=True)
+    return _streamed(wide, "events", of).select("log", "ts_ns", "event")
+
+
+@query(EVENTS + """, c AS (SELECT iface, row_number() OVER (ORDER BY min((ts_ns, frame_no))) AS n FROM f GROUP BY iface)
+SELECT frame_no, n::INT AS channel_no, false AS late FROM f JOIN c USING (iface) WHERE ts_ns <= (SELECT max(ts_ns) - 7200000000000 FROM f)""")
+def reorder_stream(spark, sf):
+    """Frames that arrive up to two hours late come out in order, but for the last two hours, which are held back."""
+    from ..streaming import timed
+
+    hours2 = 7200 * 10**9
+    late = fx.frames_from_events(spark, sf).withColumns({"log": F.lit("all"), "arrival": F.col("ts_ns") + F.pmod(F.xxhash64("frame_no"), F.lit(hours2))})
+    return _streamed(late, "late", lambda s: timed.reorder_stream(s, hold_ms=7_200_000, late="3 hours"), arrival="arrival").select("frame_no", "channel_no", "late")
+
+
+@query(EVENTS + """, h AS (SELECT *, ts_ns // 3600000000000 AS h FROM f), s AS (SELECT iface, h, sum(CASE WHEN err THEN 0 ELSE 133 END)::BIGINT AS bits FROM h GROUP BY ALL),
+e AS (SELECT iface, unnest(generate_series(min(h) + 1, (SELECT (max(ts_ns) // 1000000 - 1000) // 3600000 FROM f))) AS h FROM h GROUP BY iface)
+SELECT e.iface, (e.h * 3600)::BIGINT AS end_s, coalesce(sum(s.bits), 0)::BIGINT AS bits FROM e LEFT JOIN s ON e.iface = s.iface AND s.h >= e.h - 10 AND s.h < e.h GROUP BY ALL""")
+def quiet_load_stream(spark, sf):
+    """Load of the last ten hours at every hour, quiet ones included."""
+    from ..streaming import timed
+
+    of = lambda s: timed.quiet_load_stream(s, {}, span_ms=36_000_000, step_ms=3_600_000)
+    out = _streamed(fx.frames_from_events(spark, sf), "quiet", of)
+    return out.select("iface", F.unix_seconds("end").alias("end_s"), "bits")
+
+
+@query(EVENTS + "SELECT frame_no, coalesce(ts_ns - lag(ts_ns) OVER (ORDER BY ts_ns, frame_no), 0) AS delta_ns FROM f")
+def hot_id_delta(spark, sf):
+    """A log of one id, in ranges of an hour."""
+    f = fx.frames_from_events(spark, sf).withColumns({"iface": F.lit(0), "can_id": F.lit(256).cast("long"), "flags": F.lit(0)})
+    return trace.with_delta(f, span_ns=3600 * 10**9).select("frame_no", "delta_ns")
+
+
+@query(EVENTS + "SELECT frame_no, ts_ns, 2 AS versions FROM f WHERE iface = 1")
+def frame_table_versions(spark, sf):
+    """A table of all frames, then one of some of them, of the same files and in the same place."""
+    raw, path = shared_path(spark, "frames"), shared_path(spark, "table")
+    fx.frames_from_events(spark, sf).write.parquet(raw)
+    logs.build_frame_table(spark.read.parquet(raw), path)
+    some = logs.build_frame_table(spark.read.parquet(raw).filter("iface = 1"), path)
+    return some.select("frame_no", "ts_ns", F.lit(len(logs.Versions(spark, path).names())).alias("versions"))
+
+
+@query(TIMES + "CASE WHEN err THEN 128 ELSE can_id END" + LOG)
+def pcap_roundtrip(spark, sf):
+    """Frames written as captures and read in ranges of 64 KiB."""
+    path = shared_path(spark, "pcap")
+    logs.write_pcap(fx.frames_from_events(spark, sf), path)
+    back = trace.with_rel_time(logs.read_log(spark, path, "pcap", range_bytes=1 << 16))
+    error = F.col("errors") != 0
+    return back.select(F.expr("rel_ns div 1000").alias("rel_us"), F.col("can_id").alias("id"), error.alias("error"), F.when(error, "").otherwise(F.hex("data")).alias("data"))
 
 
 @query(SQL["uds_reassembly"])
 def uds_stream(spark, sf):
     from ..streaming import ops
 
-    p = _ran(ops.uds_stream(_folder(spark, fx.isotp_from_conversations(spark, sf), "isotp")), "uds-rows")
+    p = _streamed(fx.isotp_from_conversations(spark, sf), "isotp", ops.uds_stream)
     body = F.decode(F.unhex(F.array_join(F.transform(F.slice("bytes", 3, F.size("bytes")), lambda b: F.lpad(F.hex(b), 2, "0")), "")), "UTF-8")
     return p.select((F.col("can_id") - 0x18DA0000 + F.col("iface") * 65536).alias("conv_id"), F.get("bytes", F.lit(1)).cast("long").alias("turn"), body.alias("text"))
 
@@ -235,7 +305,7 @@ def uds_stream(spark, sf):
 def j1939_stream(spark, sf):
     from ..streaming import ops
 
-    p = _ran(ops.j1939_stream(_folder(spark, fx.bam_from_events(spark, sf), "bam")), "j1939-rows")
+    p = _streamed(fx.bam_from_events(spark, sf), "bam", ops.j1939_stream)
     number = lambda at: F.aggregate(F.reverse(F.slice("bytes", at + 1, 8)), F.lit(0).cast("long"), lambda a, b: F.shiftleft(a, 8).bitwiseOR(b.cast("long")))
     return p.select(number(0).alias("event_id"), "pgn", "sa", number(8).alias("user_id"))
 
@@ -245,7 +315,7 @@ def n2k_stream(spark, sf):
     from ..functions.n2k import n2k_fields
     from ..streaming import ops
 
-    p = _ran(ops.n2k_stream(_folder(spark, fx.n2k_from_events(spark, sf), "n2k")), "n2k-rows").filter("pgn = 129029")
+    p = _streamed(fx.n2k_from_events(spark, sf), "n2k", ops.n2k_stream).filter("pgn = 129029")
     fields = n2k_fields(129029, F.col("bytes"))
     return p.select(F.floor(F.get("frame_nos", F.lit(0)) / 16).alias("event_id"), "sa", *[F.round(fields[c], 7).alias(c) for c in ("lat", "lon")])
 

@@ -24,12 +24,13 @@ def hex_word(hex_text: Column) -> Column:
 
 
 def hex_bytes(hex_text: Column) -> Column:
-    """array<int> of a hex string. hex() is the only exact way from BINARY to numbers; up to eight bytes are read as one."""
+    """array<int> of a hex string. hex() is the only exact way from BINARY to numbers; up to eight bytes are read as one
+    number, outside of any lambda, so that it is read once."""
     n = F.shiftright(F.octet_length(hex_text), 1)
     word = hex_word(hex_text)
-    short = F.transform(F.slice(F.array(*[F.lit(56 - 8 * i) for i in range(8)]), 1, n), lambda by: F.call_function("shiftrightunsigned", word, by).bitwiseAND(255).cast("int"))
+    eight = F.array(*[F.call_function("shiftrightunsigned", word, F.lit(56 - 8 * i)).bitwiseAND(255).cast("int") for i in range(8)])
     one = lambda i: F.conv(F.substring(hex_text, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
-    return F.when(n <= 0, F.array().cast("array<int>")).when(n <= 8, short).otherwise(F.transform(F.sequence(F.lit(0), n - 1), one))
+    return F.when(n <= 8, F.slice(eight, 1, F.greatest(n, F.lit(0)))).otherwise(F.transform(F.sequence(F.lit(0), n - 1), one))
 
 
 def with_bytes(frames: DataFrame) -> DataFrame:
@@ -62,5 +63,13 @@ def head_of(byte_array: Column) -> Column:
     return out
 
 
+def tail_of(byte_array: Column) -> Column:
+    """The first eight bytes as a little-endian BIGINT, bytes beyond the end as 0."""
+    out = F.lit(0).cast("long")
+    for i in range(8):
+        out = out.bitwiseOR(F.shiftleft(F.coalesce(F.get(byte_array, F.lit(i)), F.lit(0)).cast("long"), 8 * i))
+    return out
+
+
 def frame_no_order() -> list[Column]:
     return [F.col("ts_ns"), F.col("frame_no")]

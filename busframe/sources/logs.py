@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bits import has_flag, lin_checksum
-from ..functions.text import hex_text
-from ..schema import BRS, ERROR_BITS, EXTENDED, FD, RTR, TX, head_of
+from ..functions.text import fixed_point, hex_text, spaced_hex
+from ..schema import BRS, ERROR_BITS, EXTENDED, FD, RTR, TX, head_of, hex_bytes, settled
 from ..session import shared_path
 from .binary_logs import read_pcap, read_pcapng, write_pcap
 from .text_logs import read_asc, read_candump, read_trc
@@ -143,14 +143,15 @@ def candump_line() -> Column:
     c = F.col
     error = socketcan_error(c("errors"))
     ident = F.when(has_flag(c("flags"), EXTENDED), F.lpad(F.hex("can_id"), 8, "0")).otherwise(F.lpad(F.hex("can_id"), 3, "0"))
-    load = hex_text(c("bytes"), "")
+    load = F.hex("data")
     body = (
         F.when(c("errors") != 0, F.concat(F.lpad(F.hex(error["id"]), 8, "0"), F.lit("#"), hex_text(error["data"], "")))
         .when(has_flag(c("flags"), FD), F.concat(ident, F.lit("##"), F.when(has_flag(c("flags"), BRS), "1").otherwise("0"), load))
         .when(has_flag(c("flags"), RTR), F.concat(ident, F.lit("#R"), c("len")))
         .otherwise(F.concat(ident, F.lit("#"), load))
     )
-    time = F.format_string("(%d.%06d)", F.expr("ts_ns div 1000000000"), F.expr("ts_ns % 1000000000 div 1000"))
+    micros = F.lpad(F.expr("ts_ns % 1000000000 div 1000").cast("string"), 6, "0")
+    time = F.concat(F.lit("("), F.expr("ts_ns div 1000000000").cast("string"), F.lit("."), micros, F.lit(")"))
     return F.concat_ws(" ", time, F.translate("channel", " \t", "__"), body)
 
 
@@ -170,29 +171,12 @@ def _channel_numbers(frames: DataFrame) -> DataFrame:
 
 
 def asc_lines(frames: DataFrame, zone: str = "UTC") -> DataFrame:
-    """The lines of an ASC file, with the columns that order them: header, events from the earliest frame, footer."""
+    """The lines of an ASC file in their order, as `value`: header, events from the earliest frame, footer. Frames are put
+    in order as they are, and the lines made afterwards."""
     first = frames.agg(F.min("ts_ns").alias("t0"))
-    f = frames.join(_channel_numbers(frames), "channel").crossJoin(F.broadcast(first))
     c = F.col
-    t = F.format_string("%11.6f", (c("ts_ns") - c("t0")) / 1e9)
-    way = F.when(has_flag(c("flags"), TX), "Tx").otherwise("Rx")
-    x = F.when(has_flag(c("flags"), EXTENDED), "x").otherwise("")
-    ident = F.concat(F.lower(F.hex("can_id")), x)
-    load = F.lower(hex_text(c("bytes")))
-    lin_id = F.lower(F.lpad(F.hex(c("can_id").bitwiseAND(63)), 2, "0"))
-    lin = F.concat(t, F.lit(" "), c("ch"), F.lit("  LIN "), lin_id, F.lit(" "), way)
-    total = F.lower(F.lpad(F.hex(lin_checksum(c("can_id").bitwiseAND(63), c("bytes"))), 2, "0"))
-    lin = F.when(c("errors") != 0, F.concat(lin, F.lit("   LIN_ChecksumError"))).otherwise(
-        F.concat(lin, F.lit("  d "), c("len"), F.lit(" "), load, F.lit(" checksum = "), total, F.lit(" header_time = 0 full_time = 0"))
-    )
-    fd = F.concat(t, F.format_string(" CANFD %3d ", c("ch")), way, F.lit(" "), F.lpad(ident, 15, " "), F.when(has_flag(c("flags"), BRS), " 1 0 ").otherwise(" 0 0 "), F.lower(F.hex("dlc")), F.lit(" "), c("len"), F.lit(" "), load)
-    remote = has_flag(c("flags"), RTR)
-    can = F.concat(
-        t, F.lit(" "), c("ch"), F.lit("  "), F.rpad(ident, 15, " "), F.lit(" "), way, F.when(remote, "   r ").otherwise("   d "), c("len"), F.lit(" "), F.when(remote, "").otherwise(load),
-        F.lit("  Length = 0 BitCount = 0 ID = "), c("can_id").cast("string"), x,
-    )
-    line = F.when(c("bus") == "LIN", lin).when(c("errors") != 0, F.concat(t, F.lit(" "), c("ch"), F.lit("  ErrorFrame"))).when(has_flag(c("flags"), FD), fd).otherwise(can)
-    events = f.select(F.lit(1).alias("part"), "ts_ns", "frame_no", line.alias("value"))
+    f = frames.join(_channel_numbers(frames), "channel").crossJoin(F.broadcast(first))
+    f = f.select(F.lit(1).alias("part"), "ts_ns", "frame_no", (c("ts_ns") - c("t0")).alias("at"), "ch", "bus", "can_id", "flags", "errors", "dlc", "len", "data")
     stamp = F.timestamp_micros(F.expr("t0 div 1000"))
     date = F.date_format(F.from_utc_timestamp(F.to_utc_timestamp(stamp, F.current_timezone()), zone), "EEE MMM dd hh:mm:ss.SSS a yyyy")
     date = F.regexp_replace(F.regexp_replace(date, " AM ", " am "), " PM ", " pm ")
@@ -200,46 +184,74 @@ def asc_lines(frames: DataFrame, zone: str = "UTC") -> DataFrame:
         F.concat(F.lit("date "), date), F.lit("base hex  timestamps absolute"), F.lit("internal events logged"), F.lit("// version 8.5.0"), F.concat(F.lit("Begin Triggerblock "), date),
         F.lit("   0.000000 Start of measurement"),
     )
-    header = first.filter("t0 is not null").select(F.posexplode(head).alias("i", "value")).select(F.lit(0).alias("part"), F.lit(0).cast("long").alias("ts_ns"), c("i").cast("long").alias("frame_no"), "value")
-    footer = first.select(F.lit(2).alias("part"), F.lit(0).cast("long").alias("ts_ns"), F.lit(0).cast("long").alias("frame_no"), F.lit("End TriggerBlock").alias("value"))
-    return header.unionByName(events).unionByName(footer)
+    zero = F.lit(0).cast("long").alias("ts_ns")
+    header = first.filter("t0 is not null").select(F.posexplode(head).alias("i", "told")).select(F.lit(0).alias("part"), zero, c("i").cast("long").alias("frame_no"), "told")
+    footer = first.select(F.lit(2).alias("part"), zero, F.lit(0).cast("long").alias("frame_no"), F.lit("End TriggerBlock").alias("told"))
+    rows = f.unionByName(header.unionByName(footer), allowMissingColumns=True).orderBy("part", "ts_ns", "frame_no")
+    # what several forms of a line have in common is made once
+    way, x = F.when(has_flag(c("flags"), TX), "Tx").otherwise("Rx"), F.when(has_flag(c("flags"), EXTENDED), "x").otherwise("")
+    rows = settled(
+        rows, "told", "bus", "can_id", "flags", "errors", "dlc", "len", "data", t=fixed_point(c("at"), 6, 11), ch=c("ch").cast("string"), way=way, x=x, ident=F.concat(F.lower(F.hex("can_id")), x),
+        load=F.lower(spaced_hex(c("data"))),
+    )
+    t, ch, way, x, ident, load, size = (c(n) for n in ("t", "ch", "way", "x", "ident", "load", "len"))
+    lin_id = F.lower(F.lpad(F.hex(c("can_id").bitwiseAND(63)), 2, "0"))
+    lin = F.concat(t, F.lit(" "), ch, F.lit("  LIN "), lin_id, F.lit(" "), way)
+    total = F.lower(F.lpad(F.hex(lin_checksum(c("can_id").bitwiseAND(63), hex_bytes(F.hex("data")))), 2, "0"))
+    lin = F.when(c("errors") != 0, F.concat(lin, F.lit("   LIN_ChecksumError"))).otherwise(
+        F.concat(lin, F.lit("  d "), size, F.lit(" "), load, F.lit(" checksum = "), total, F.lit(" header_time = 0 full_time = 0"))
+    )
+    fd = F.concat(
+        t, F.lit(" CANFD "), F.lpad(ch, 3, " "), F.lit(" "), way, F.lit(" "), F.lpad(ident, 15, " "), F.when(has_flag(c("flags"), BRS), " 1 0 ").otherwise(" 0 0 "), F.lower(F.hex("dlc")), F.lit(" "),
+        size, F.lit(" "), load,
+    )
+    remote = has_flag(c("flags"), RTR)
+    can = F.concat(
+        t, F.lit(" "), ch, F.lit("  "), F.rpad(ident, 15, " "), F.lit(" "), way, F.when(remote, "   r ").otherwise("   d "), size, F.lit(" "), F.when(remote, "").otherwise(load),
+        F.lit("  Length = 0 BitCount = 0 ID = "), c("can_id").cast("string"), x,
+    )
+    line = F.when(c("bus") == "LIN", lin).when(c("errors") != 0, F.concat(t, F.lit(" "), ch, F.lit("  ErrorFrame"))).when(has_flag(c("flags"), FD), fd).otherwise(can)
+    return rows.select(F.coalesce("told", line).alias("value"))
 
 
 def write_asc(frames: DataFrame, path: str, zone: str = "UTC") -> None:
-    asc_lines(frames, zone).orderBy("part", "ts_ns", "frame_no").select("value").write.text(path)
+    asc_lines(frames, zone).write.text(path)
 
 
 def trc_lines(frames: DataFrame) -> DataFrame:
-    """The lines of a TRC 2.1 file; CAN frames only, numbered in time order. Numbers come from the counts of time ranges
-    and a place in each, so that no task numbers the whole log."""
+    """The lines of a TRC 2.1 file in their order, as `value`; CAN frames only, numbered in time order. Numbers come from
+    the counts of time ranges and a place in each, so that no task numbers the whole log; lines are made after the sort."""
     from pyspark.sql import Window
 
+    c = F.col
     f = frames.filter("bus = 'CAN'")
     first = f.agg(F.min("ts_ns").alias("t0"))
-    f = f.join(_channel_numbers(f), "channel").crossJoin(F.broadcast(first)).withColumn("range", F.floor((F.col("ts_ns") - F.col("t0")) / 1_000_000_000))
+    f = f.join(_channel_numbers(f), "channel").crossJoin(F.broadcast(first)).withColumn("range", F.floor((c("ts_ns") - c("t0")) / 1_000_000_000))
     before = F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
     starts = f.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(before, F.lit(0)).alias("before"))  # a row per second
     own = F.row_number().over(Window.partitionBy("range").orderBy("ts_ns", "frame_no"))
-    f = f.withColumn("own", own).join(starts, "range").withColumn("number", F.col("before") + F.col("own"))
-    c = F.col
-    us = F.floor((c("ts_ns") - c("t0")) / 1000)
-    way, tx = F.when(has_flag(c("flags"), TX), "Tx").otherwise("Rx"), has_flag(c("flags"), TX)
-    lead = F.format_string("%7d %9d.%03d ", c("number"), F.floor(us / 1000), us % 1000)
+    f = f.select("range", "ts_ns", "frame_no", "t0", "ch", "can_id", "flags", "errors", "dlc", "len", "data").withColumn("own", own).join(starts, "range")
+    f = f.select(F.lit(1).alias("part"), (c("before") + c("own")).alias("number"), F.expr("(ts_ns - t0) div 1000").alias("us"), "ch", "can_id", "flags", "errors", "dlc", "len", "data")
+    head = F.array(F.lit(";$FILEVERSION=2.1"), F.concat(F.lit(";$STARTTIME="), F.format_string("%.14f", F.lit(25569.0) + c("t0") / 86400e9)), F.lit(";$COLUMNS=N,O,T,B,I,d,R,L,D"), F.lit(";"))
+    header = first.filter("t0 is not null").select(F.posexplode(head).alias("i", "told")).select(F.lit(0).alias("part"), c("i").cast("long").alias("number"), "told")
+    rows = f.unionByName(header, allowMissingColumns=True).orderBy("part", "number")
+    right = lambda x, n: F.when(F.length(x) >= n, x).otherwise(F.lpad(x, n, " "))
+    ms = right(F.expr("us div 1000").cast("string"), 9)
+    lead = F.concat(right(c("number").cast("string"), 7), F.lit(" "), ms, F.lit("."), F.lpad((c("us") % 1000).cast("string"), 3, "0"), F.lit(" "))
+    way = F.when(has_flag(c("flags"), TX), "Tx").otherwise("Rx")
+    rows = settled(rows, "told", "can_id", "flags", "errors", "dlc", "len", lead=lead, way=way, bus=right(c("ch").cast("string"), 2), hexed=spaced_hex(c("data")))
+    lead, way, bus = c("lead"), c("way"), c("bus")
     kind = F.when(has_flag(c("flags"), FD), F.when(has_flag(c("flags"), BRS), "FB").otherwise("FD")).when(has_flag(c("flags"), RTR), "RR").otherwise("DT")
     ident = F.when(has_flag(c("flags"), EXTENDED), F.lpad(F.hex("can_id"), 8, "0")).otherwise(F.concat(F.lit("    "), F.lpad(F.hex("can_id"), 4, "0")))
-    load = F.when(~has_flag(c("flags"), RTR) & (c("len") > 0), F.concat(F.when(c("dlc") < 10, "    ").otherwise("   "), hex_text(c("bytes")))).otherwise("")
-    bus = F.format_string("%2d", c("ch"))
+    load = F.when(~has_flag(c("flags"), RTR) & (c("len") > 0), F.concat(F.when(c("dlc") < 10, "    ").otherwise("   "), c("hexed"))).otherwise("")
     frame = F.concat(lead, kind, F.lit(" "), bus, F.lit(" "), ident, F.lit(" "), way, F.lit(" -  "), c("dlc"), load)
-    error = F.concat(lead, F.lit("ER "), bus, F.lit("        - "), way, F.lit(" -  5    08 "), F.when(tx, "00").otherwise("01"), F.lit(" 00 00 00"))
-    events = f.select(F.lit(1).alias("part"), "number", F.when(c("errors") != 0, error).otherwise(frame).alias("value"))
-    days = F.lit(25569.0) + c("t0") / 86400e9
-    head = F.array(F.lit(";$FILEVERSION=2.1"), F.concat(F.lit(";$STARTTIME="), F.format_string("%.14f", days)), F.lit(";$COLUMNS=N,O,T,B,I,d,R,L,D"), F.lit(";"))
-    header = first.filter("t0 is not null").select(F.posexplode(head).alias("i", "value")).select(F.lit(0).alias("part"), c("i").cast("long").alias("number"), "value")
-    return header.unionByName(events)
+    sent = F.when(has_flag(c("flags"), TX), "00").otherwise("01")
+    error = F.concat(lead, F.lit("ER "), bus, F.lit("        - "), way, F.lit(" -  5    08 "), sent, F.lit(" 00 00 00"))
+    return rows.select(F.coalesce("told", F.when(c("errors") != 0, error).otherwise(frame)).alias("value"))
 
 
 def write_trc(frames: DataFrame, path: str) -> None:
-    trc_lines(frames).orderBy("part", "number").select("value").write.option("lineSep", "\r\n").text(path)
+    trc_lines(frames).write.option("lineSep", "\r\n").text(path)
 
 
 WRITERS = {"candump": write_candump, "asc": write_asc, "trc": write_trc, "pcap": write_pcap, "parquet": lambda frames, path: frames.write.parquet(path)}

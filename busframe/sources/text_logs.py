@@ -19,15 +19,19 @@ from ..schema import BRS, EXTENDED, FD, GENERIC_ERROR, RTR, TX, hex_bytes, settl
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """log (file), frame_no, value of every line."""
+    """log (file, or the folder of Spark's part files), frame_no, value of every line."""
     place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # of the row in its task
     file = F.col("_metadata.file_path")
-    name = F.substring_index(file, "/", -1)
-    is_part = F.startswith(name, F.lit("part-"))
-    part = F.when(is_part, F.substring_index(F.substring_index(name, "-", 2), "-", -1))
-    log = F.when(is_part, F.call_function("substring", file, F.lit(1), F.length(file) - F.length(name) - 1)).otherwise(file)
-    begin = F.shiftleft(F.coalesce(part.try_cast("long"), F.lit(0).cast("long")), 42) + F.col("_metadata.file_block_start")
-    return spark.read.text(path).select(log.alias("log"), (begin + place).alias("frame_no"), F.rtrim(F.col("value"), F.lit("\r")).alias("value"))
+    name = F.call_function("locate", F.lit("/part-"), file)
+    # a part's number stands behind its name; paths with a folder of such a name are looked at by their last part
+    deep = F.call_function("locate", F.lit("/"), file, name + 1) > 0
+    at = F.when((name > 0) & deep, F.length(file) - F.length(F.substring_index(file, "/", -1))).otherwise(name)
+    is_part = (name > 0) & (~deep | F.startswith(F.substring_index(file, "/", -1), F.lit("part-")))
+    log = F.when(is_part, F.call_function("substring", file, F.lit(1), at - 1)).otherwise(file)
+    part = F.when(is_part, F.substring_index(F.call_function("substring", file, at + 6, F.lit(12)), "-", 1).try_cast("long"))
+    begin = F.shiftleft(F.coalesce(part, F.lit(0).cast("long")), 42) + F.col("_metadata.file_block_start")
+    value = F.when(F.endswith("value", F.lit("\r")), F.rtrim(F.col("value"), F.lit("\r"))).otherwise(F.col("value"))
+    return spark.read.text(path).select(log.alias("log"), (begin + place).alias("frame_no"), value.alias("value"))
 
 
 def with_iface(frames: DataFrame, channels: Sequence[str] | None = None) -> DataFrame:
@@ -43,8 +47,8 @@ def with_iface(frames: DataFrame, channels: Sequence[str] | None = None) -> Data
 
 
 def finish(rows: DataFrame, channels: Sequence[str] | None = None) -> DataFrame:
-    """The columns of frames, from rows with log, frame_no, ts_ns, channel, bus, can_id, flags, errors, bytes and, for
-    remote frames, their length."""
+    """The columns of frames, from rows with log, frame_no, ts_ns, channel, bus, can_id, flags, errors, bytes, for remote
+    frames their length and, where they are known before, the data."""
     from ..functions.bits import dlc_of_len
 
     out = with_iface(settled(rows, *[c for c in rows.columns if c != "bytes"], bytes=F.col("bytes").cast("array<int>")), channels)
@@ -52,7 +56,7 @@ def finish(rows: DataFrame, channels: Sequence[str] | None = None) -> DataFrame:
     out = out.withColumn("len", F.when(remote, F.least(F.greatest(F.col("remote_len"), F.lit(0)), F.lit(8))).otherwise(F.size("bytes")).cast("int"))
     return out.select(
         "log", "frame_no", "ts_ns", F.timestamp_micros(F.expr("ts_ns div 1000")).alias("ts"), "iface", "channel", "bus", "can_id", F.col("flags").cast("int").alias("flags"),
-        F.col("errors").cast("int").alias("errors"), dlc_of_len(F.col("len")).alias("dlc"), "len", to_binary(F.col("bytes")).alias("data"), "bytes",
+        F.col("errors").cast("int").alias("errors"), dlc_of_len(F.col("len")).alias("dlc"), "len", (F.col("data") if "data" in rows.columns else to_binary(F.col("bytes"))).alias("data"), "bytes",
     )
 
 
@@ -75,34 +79,38 @@ def read_candump(spark: SparkSession, path: str | list[str], channels: Sequence[
 
 
 def parse_candump(lines: DataFrame, channels: Sequence[str] | None = None) -> DataFrame:
-    """Frames of lines (log, frame_no, value)."""
-    pattern = r"^\(([^)]*)\)[ \t]*([^ \t]+)[ \t]+([0-9A-Fa-f]{1,8})#([^ \t]*)"
-    p = lines.filter(F.rlike("value", F.lit(pattern)))
-    # the pattern has said where things stand; they are cut out by plain string functions
-    rest = lambda c, n: F.ltrim(F.call_function("substring", F.col(c), n), F.lit(" \t"))
-    word = lambda c: F.substring_index(F.replace(F.col(c), F.lit("\t"), F.lit(" ")), " ", 1)
-    p = settled(p, "log", "frame_no", "value", time=F.substring_index(F.substring("value", 2, 1 << 20), ")", 1))
-    p = settled(p, "log", "frame_no", ts_ns=parse_seconds_ns(F.col("time")), after=rest("value", F.length("time") + 3))
-    p = settled(p, "log", "frame_no", "ts_ns", "after", channel=word("after"))
-    p = settled(p, "log", "frame_no", "ts_ns", "channel", frame=rest("after", F.length("channel") + 1))
-    p = settled(p, "log", "frame_no", "ts_ns", "channel", "frame", id=F.substring_index("frame", "#", 1))
-    p = settled(p, "log", "frame_no", "ts_ns", "channel", "id", tail=F.call_function("substring", F.col("frame"), F.length("id") + 2))
-    p = settled(p, "log", "frame_no", "ts_ns", "channel", "id", load=word("tail"))
-    p = settled(p, "log", "frame_no", "ts_ns", "channel", "id", "load", raw=F.conv("id", 16, 10).cast("long"), lead=F.substring("load", 1, 1))
-    p = settled(p, "log", "frame_no", "ts_ns", "channel", "id", "load", "lead", error=F.col("raw").bitwiseAND(0x20000000) != 0, can_id=F.col("raw").bitwiseAND(0x1FFFFFFF))
-    error, can_id, load = F.col("error"), F.col("can_id"), F.col("load")
-    fd, remote = ~error & (F.col("lead") == "#"), ~error & F.col("lead").isin("R", "r")
-    p = settled(p, "log", "frame_no", "ts_ns", "channel", "id", "load", "error", "can_id", fd=fd, remote=remote, body=F.when(fd, F.substring(load, 3, 128)).when(error | remote, "").otherwise(load))
-    fd, remote, body = F.col("fd"), F.col("remote"), F.col("body")
+    """Frames of lines (log, frame_no, value). Fields are cut at blanks by plain string functions; patterns run only on
+    lines with other blanks than single spaces."""
+    v = F.col("value")
+    odd = F.contains(v, F.lit("\t")) | F.contains(v, F.lit("  ")) | ~F.contains(v, F.lit(") "))
+    even = F.regexp_replace(F.regexp_replace(v, r"^(\([^)]*\))", "$1 "), r"[ \t]+", " ")
+    p = settled(lines.filter(F.startswith(v, F.lit("("))), "log", "frame_no", w=F.split(F.when(odd, even).otherwise(v), " "))
+    time, frame = F.get("w", F.lit(0)), F.get("w", F.lit(2))
+    ident = F.substring_index(frame, "#", 1)
+    p = settled(
+        p.filter((F.size("w") >= 3) & F.endswith(time, F.lit(")")) & F.contains(frame, F.lit("#"))), "log", "frame_no",
+        time=F.call_function("substring", time, F.lit(2), F.length(time) - 2), channel=F.get("w", F.lit(1)), id=ident, load=F.call_function("substring", frame, F.length(ident) + 2),
+    )
     # unhex gives null for what isn't hex
-    body_ok = F.unhex(body).isNotNull() & (F.length(body) % 2 == 0) & (F.length(body) <= F.when(fd, 128).otherwise(16)) & (~fd | F.rlike(load, F.lit("^#[0-9A-Fa-f]")))
-    ok = F.col("ts_ns").isNotNull() & (error | F.when(remote, F.rlike(load, F.lit("^[Rr][0-9]*$"))).otherwise(body_ok))
+    p = p.filter(F.length("id").between(1, 8) & F.unhex("id").isNotNull())
+    raw, lead = F.conv("id", 16, 10).cast("long"), F.substring("load", 1, 1)
+    p = settled(p, "log", "frame_no", "channel", "id", "load", ts_ns=parse_seconds_ns(F.col("time")), raw=raw, fd=lead == "#", remote=lead.isin("R", "r"))
+    error, can_id, load = F.col("raw").bitwiseAND(0x20000000) != 0, F.col("raw").bitwiseAND(0x1FFFFFFF), F.col("load")
+    fd, remote = ~error & F.col("fd"), ~error & F.col("remote")
     flags = F.when((F.length("id") == 8) | (can_id > 0x7FF), EXTENDED).otherwise(0)
     brs = F.conv(F.substring(load, 2, 1), 16, 10).cast("int").bitwiseAND(1) != 0
     flags = flags + F.when(fd, FD + F.when(brs, BRS).otherwise(0)).when(remote, RTR).otherwise(0)
+    body = F.when(fd, F.substring(load, 3, 128)).when(error | remote, "").otherwise(load)
+    room = F.when(fd, 128).otherwise(16)
+    p = settled(
+        p, "log", "frame_no", "ts_ns", "channel", "load", can_id=can_id, flags=F.when(error, 0).otherwise(flags), errors=F.when(error, GENERIC_ERROR).otherwise(0), fd=fd, remote=remote,
+        error=error, body=body, room=room,
+    )
+    error, fd, remote, body = (F.col(c) for c in ("error", "fd", "remote", "body"))
+    body_ok = F.unhex(body).isNotNull() & (F.length(body) % 2 == 0) & (F.length(body) <= F.col("room")) & (~fd | F.unhex(F.substring(load, 2, 1)).isNotNull() & (F.length(load) > 1))
+    ok = F.col("ts_ns").isNotNull() & (error | F.when(remote, F.rlike(load, F.lit("^[Rr][0-9]*$"))).otherwise(body_ok))
     return finish(p.filter(ok).select(
-        "log", "frame_no", "ts_ns", "channel", F.lit("CAN").alias("bus"), can_id.alias("can_id"), F.when(error, 0).otherwise(flags).alias("flags"),
-        F.when(error, GENERIC_ERROR).otherwise(0).alias("errors"), F.when(error | remote, F.array().cast("array<int>")).otherwise(hex_bytes(body)).alias("bytes"),
+        "log", "frame_no", "ts_ns", "channel", F.lit("CAN").alias("bus"), "can_id", "flags", "errors", hex_bytes(body).alias("bytes"), F.unhex(body).alias("data"),
         F.when(remote, F.coalesce(F.regexp_extract(load, "([0-9]+)", 1).try_cast("long"), F.lit(0))).alias("remote_len"),
     ), channels)
 
