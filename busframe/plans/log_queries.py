@@ -329,3 +329,23 @@ def conditional_log_stale(spark, sf):
     wide = decode.decode_wide(fx.frames_from_events(spark, sf), {"speed": decode.find_signals(fx.event_dictionary(spark), "SpeedM")}, NETWORKS)
     out = trigger.conditional_log(wide, [trigger.Condition("speed", ">", 120.0)], ["speed"], by=["iface"], pre_ns=600 * 10**9, stale_ns=120 * 10**9)
     return out.select("frame_no", "met")
+
+
+@query(EVENTS + """SELECT frame_no, 'Ev' || can_id AS message, signal, raw, round(value, 6) AS value FROM f, LATERAL (VALUES
+  ('Speed', raw, raw * 0.01::DOUBLE), ('Temp', k, k - 40.0::DOUBLE), ('Node', node, node::DOUBLE), ('SpeedM', raw, raw * 0.01::DOUBLE), ('Kind', kind, kind::DOUBLE), ('Counter', counter, counter::DOUBLE),
+  ('Signed', CASE WHEN raw > 32767 THEN raw - 65536 ELSE raw END, (CASE WHEN raw > 32767 THEN raw - 65536 ELSE raw END)::DOUBLE),
+  ('KClick', CASE WHEN kind = 0 THEN k END, CASE WHEN kind = 0 THEN k END::DOUBLE), ('KView', CASE WHEN kind = 4 THEN k END, CASE WHEN kind = 4 THEN k END::DOUBLE)) AS s(signal, raw, value)
+  WHERE NOT err AND iface = 0 AND s.raw IS NOT NULL""")
+def sql_decode(spark, sf):
+    """Frames of one interface decoded by SQL alone, through the table function."""
+    from .. import sql
+
+    session = spark.newSession()
+    frames, dictionary = shared_path(spark, "sql-frames"), shared_path(spark, "sql-dictionary")
+    fx.frames_from_events(spark, sf).write.parquet(frames)
+    fx.event_dictionary(spark).write.parquet(dictionary)
+    sql.register(session, session.read.parquet(dictionary))
+    session.read.parquet(frames).createOrReplaceTempView("frames")
+    return session.sql("""
+        SELECT f.frame_no, d.message, d.signal, d.raw, round(d.value, 6) AS value
+        FROM (SELECT *, frame_id_key(can_id, flags) AS key FROM frames WHERE NOT frame_is_error(errors) AND iface = 0) f, LATERAL decode_frame('A', f.key, f.bytes) d""")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+from .operators.decode import resolve_dictionary
 
 FUNCTIONS = {
     "frame_is_error(errors INT) RETURNS BOOLEAN": "errors <> 0",
@@ -17,6 +19,12 @@ FUNCTIONS = {
         "| if(start % 8 = 0, 0L, shiftleft(CAST(coalesce(get(bytes, start div 8 + 8), 0) AS BIGINT), 64 - start % 8))) "
         "& if(length >= 64, -1L, shiftleft(1L, length) - 1)"
     ),
+    "frame_signal_be(bytes ARRAY<INT>, start INT, length INT) RETURNS BIGINT": (
+        "aggregate(sequence(0, length - 1), 0L, (a, i) -> shiftleft(a, 1) | CAST(shiftright(coalesce(get(bytes, (start + i) div 8), 0), 7 - (start + i) % 8) & 1 AS BIGINT))"
+    ),
+    "frame_signal(bytes ARRAY<INT>, start INT, length INT, big_endian BOOLEAN) RETURNS BIGINT": (
+        "CASE WHEN big_endian THEN frame_signal_be(bytes, start, length) ELSE frame_signal_le(bytes, start, length) END"
+    ),
     "frame_signed(raw BIGINT, length INT) RETURNS BIGINT": "shiftright(shiftleft(raw, 64 - length), 64 - length)",
     "j1939_pgn(can_id BIGINT) RETURNS BIGINT": "if((can_id >> 16 & 255) >= 240, can_id >> 8 & 262143, can_id >> 8 & 261888)",
     "j1939_source(can_id BIGINT) RETURNS INT": "CAST(can_id & 255 AS INT)",
@@ -24,8 +32,33 @@ FUNCTIONS = {
 }
 
 
-def register(spark: SparkSession) -> list[str]:
-    """Creates the temporary functions of a session and returns their names."""
-    for head, body in FUNCTIONS.items():
+#: Table functions over a dictionary, the view bus_dictionary. Parameters are named so that no column of it hides them.
+TABLE_FUNCTIONS = {
+    "find_message(in_network STRING, in_key BIGINT) RETURNS TABLE (message STRING, sender STRING, dlc INT)": (
+        "SELECT DISTINCT d.message, d.sender, d.dlc FROM bus_dictionary d WHERE d.network = in_network AND d.raw_id = in_key"
+    ),
+    "lookup_signal(in_network STRING, in_signal STRING) RETURNS TABLE (raw_id BIGINT, message STRING, start_bit INT, length INT, factor DOUBLE, offset DOUBLE, unit STRING)": (
+        "SELECT d.raw_id, d.message, d.start_bit, d.length, d.factor, d.offset, d.unit FROM bus_dictionary d WHERE d.network = in_network AND d.signal = in_signal"
+    ),
+    "decode_frame(in_network STRING, in_key BIGINT, in_bytes ARRAY<INT>) RETURNS TABLE (message STRING, signal STRING, raw BIGINT, value DOUBLE)": (
+        "SELECT d.message, d.signal, CASE WHEN d.is_unsigned THEN frame_signal(in_bytes, d.start_bit, d.length, d.big_endian) ELSE frame_signed(frame_signal(in_bytes, d.start_bit, d.length, d.big_endian), d.length) END, "
+        "CASE WHEN d.value_type = 'integer' THEN CASE WHEN d.is_unsigned THEN frame_signal(in_bytes, d.start_bit, d.length, d.big_endian) "
+        "ELSE frame_signed(frame_signal(in_bytes, d.start_bit, d.length, d.big_endian), d.length) END * d.factor + d.offset END "
+        "FROM bus_dictionary d WHERE d.network = in_network AND d.raw_id = in_key AND d.start_bit + d.length <= 8 * size(in_bytes) "
+        "AND (NOT d.is_muxed OR frame_signal(in_bytes, d.muxer.start_bit, d.muxer.length, d.muxer.big_endian) = d.mux_value)"
+    ),
+}
+
+
+def register(spark: SparkSession, dictionary: DataFrame | None = None) -> list[str]:
+    """Creates the temporary functions of a session and returns their names; with a dictionary (a row per signal) its view
+    bus_dictionary and the table functions over it, too. A call of these is a join with the dictionary, once Catalyst has
+    inlined it: `SELECT ... FROM keyed f, LATERAL decode_frame('A', f.key, f.bytes) d`. Values
+    of float signals are null there; those of unsigned ones of 64 bits are taken as signed."""
+    functions = dict(FUNCTIONS)
+    if dictionary is not None:
+        resolve_dictionary(dictionary).createOrReplaceTempView("bus_dictionary")
+        functions |= TABLE_FUNCTIONS
+    for head, body in functions.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
-    return [h.partition("(")[0] for h in FUNCTIONS]
+    return [h.partition("(")[0] for h in functions]
