@@ -74,7 +74,7 @@ def search(
 
     pivots = lifted(np.array(sample, float))
     pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
-    prefix = min(prefix, n_pivots)
+    prefix = min(prefix, n_pivots, 181)  # its square fits 16 bits
     # files with room for three times the answer at least, so that small tables give full lists
     share = max(probe_share, min(1.0, 3 * (k + 1) / max(1, n or 0)))
     post, probe = min(post, prefix), max(1, math.ceil(share * n_pivots))
@@ -112,13 +112,15 @@ def search(
         place = np.ascontiguousarray(place.T)
         vkey, ids = found.vkey.to_numpy(), found.ids.to_numpy()
         n_keep = max(4 * (k + 1), math.ceil(keep_share * len(found)))
-        out = []
+        out, apart = [], np.empty(len(found), np.int16)
         for qkey, vector, own in zip(asked.qkey, asked.vector, asked.prefix, strict=True):
             near = np.arange(len(found))
             if n_keep < len(found):
-                footrule = np.zeros(len(found), np.int32)
+                footrule = np.zeros(len(found), np.int16)  # at most prefix squared
                 for i, pivot in enumerate(own):
-                    footrule += np.abs(place[pivot] - i)
+                    np.subtract(place[pivot], np.int16(i), out=apart)
+                    np.abs(apart, out=apart)
+                    footrule += apart
                 near = np.argpartition(footrule, n_keep)[:n_keep]
             score = x[near] @ np.asarray(vector, float)
             best = np.lexsort((vkey[near], -score))[: k + 1]
