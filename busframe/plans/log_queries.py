@@ -331,7 +331,7 @@ def conditional_log_stale(spark, sf):
     return out.select("frame_no", "met")
 
 
-@query(EVENTS + """SELECT frame_no, 'Ev' || can_id AS message, signal, raw, round(value, 6) AS value FROM f, LATERAL (VALUES
+@query(EVENTS + """SELECT frame_no, 'Ev' || can_id AS message, s.signal, s.raw, round(s.value, 6) AS value FROM f, LATERAL (VALUES
   ('Speed', raw, raw * 0.01::DOUBLE), ('Temp', k, k - 40.0::DOUBLE), ('Node', node, node::DOUBLE), ('SpeedM', raw, raw * 0.01::DOUBLE), ('Kind', kind, kind::DOUBLE), ('Counter', counter, counter::DOUBLE),
   ('Signed', CASE WHEN raw > 32767 THEN raw - 65536 ELSE raw END, (CASE WHEN raw > 32767 THEN raw - 65536 ELSE raw END)::DOUBLE),
   ('KClick', CASE WHEN kind = 0 THEN k END, CASE WHEN kind = 0 THEN k END::DOUBLE), ('KView', CASE WHEN kind = 4 THEN k END, CASE WHEN kind = 4 THEN k END::DOUBLE)) AS s(signal, raw, value)
