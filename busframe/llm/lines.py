@@ -73,7 +73,7 @@ def _front() -> Column:
 
 def _number(df: DataFrame, i: Column) -> Column:
     """A line's number, behind the front of its text where there is one."""
-    return F.col("front").bitwiseOR(i.cast("long")) if "front" in df.columns else i.cast("long")
+    return F.col("front").bitwiseOR(i.cast("long")) if "front" in df.columns else i
 
 
 def _lines(df: DataFrame, *keep: str) -> DataFrame:
@@ -157,7 +157,7 @@ def dedup_lines(docs: DataFrame, *, min_words: int = 5, carry: Sequence[str] = (
     by_doc = ids.repartition("dk")
     near = near_lines(by_doc, firsts, min_words)
     split = F.split("text", "\n")
-    none = F.array().cast("array<long>")
+    none = F.array().cast("array<long>" if repeated else "array<int>")
     stays = F.array_except(F.coalesce("mine", none), F.coalesce("near", none))
     kept = F.filter(F.transform(split, lambda x, i: F.when(_blank(x) | F.array_contains(F.col("stays"), _number(by_doc, i)), x)), lambda x: x.isNotNull())
     out = by_doc.join(firsts, "dk", "left").join(near, "dk", "left").withColumn("stays", stays)
