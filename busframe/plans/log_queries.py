@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import n2k, text
 from ..functions.bits import has_flag, lin_checksum
 from ..operators import decode, trace, transport, trigger
-from ..schema import TX
+from ..schema import EXTENDED, TX
 from ..session import shared_path
 from ..sources import dbc, logs
 from . import fixtures as fx
@@ -349,3 +351,58 @@ def sql_decode(spark, sf):
     return session.sql("""
         SELECT f.frame_no, d.message, d.signal, d.raw, round(d.value, 6) AS value
         FROM (SELECT *, frame_id_key(can_id, flags) AS key FROM frames WHERE NOT frame_is_error(errors) AND iface = 0) f, LATERAL decode_frame('A', f.key, f.bytes) d""")
+
+
+@query("""SELECT event_id, (user_id % 250)::INT AS sa, event_id % 253 AS sid, ['True', 'Magnetic', 'Error', 'n/a'][event_id % 4 + 1] AS ref,
+  CASE WHEN event_id % 9 > 0 THEN round(event_id * 7 % 62832 * 1e-4::DOUBLE * 180 / pi(), 6) END AS cog, round(round(value * 100)::BIGINT % 65535 * 0.01::DOUBLE, 6) AS sog FROM events""")
+def n2k_course(spark, sf):
+    """Course and speed over ground (129026) from frames; a course of all ones isn't there."""
+    e = fx.table(spark, sf, "events").withColumn("sa", (F.col("user_id") % 250).cast("int"))
+    cog = F.when(F.col("event_id") % 9 > 0, F.col("event_id") * 7 % 62832).otherwise(65535)
+    body = F.array((F.col("event_id") % 253).cast("int"), (F.col("event_id") % 4).cast("int"), *fx._le(cog, 2), *fx._le(F.round(F.col("value") * 100).cast("long") % 65535, 2), F.lit(255), F.lit(255))
+    frames = fx._frames(e, frame_no=F.col("event_id"), ts_ns=F.col("event_id") * 1000, iface=F.lit(0), can_id=F.lit((2 << 26) | (129026 << 8)) + F.col("sa"), flags=F.lit(EXTENDED), bytes=body)
+    p = transport.n2k_pdus(frames).filter("pgn = 129026").withColumn("f", n2k.n2k_fields(129026, F.col("bytes")))
+    return p.select(F.get("frame_nos", F.lit(0)).alias("event_id"), "sa", "f.sid", "f.ref", F.round("f.cog", 6).alias("cog"), F.round("f.sog", 6).alias("sog"))
+
+
+#: Of every group: its fields in order, as (name, bytes, signed, scale, in radians), with the bytes that no number fills as
+#: fields without a name.
+N2K_NUMBERS = {
+    126992: "sid 1 0 0 0,- 1 0 0 0,days 2 0 1 0,time 4 0 0.0001 0", 127250: "sid 1 0 0 0,heading 2 0 0.0001 1,deviation 2 1 0.0001 1,variation 2 1 0.0001 1,- 1 0 0 0",
+    127251: "sid 1 0 0 0,rate 4 1 3.125e-8 1", 127257: "sid 1 0 0 0,yaw 2 1 0.0001 1,pitch 2 1 0.0001 1,roll 2 1 0.0001 1", 129025: "lat 4 1 1e-7 0,lon 4 1 1e-7 0",
+    129026: "sid 1 0 0 0,- 1 0 0 0,cog 2 0 0.0001 1,sog 2 0 0.01 0", 129027: "sid 1 0 0 0,dt 1 0 0.005 0,dlat 3 1 1e-5/3600 0,dlon 3 1 1e-5/3600 0",
+    129028: "sid 1 0 0 0,dt 1 0 0.005 0,- 1 0 0 0,cog 2 0 0.0001 1,dalt 3 1 0.001 0",
+    129029: "sid 1 0 0 0,days 2 0 1 0,time 4 0 0.0001 0,lat 8 1 1e-16 0,lon 8 1 1e-16 0,alt 8 1 1e-6 0,- 1 0 0 0,- 1 0 0 0,sats 1 0 1 0,hdop 2 1 0.01 0,pdop 2 1 0.01 0,- 5 0 0 0",
+    129542: "sid 1 0 0 0,rms 2 0 0.01 0,std_major 2 0 0.01 0,std_minor 2 0 0.01 0,orientation 2 0 0.0001 1,std_lat 2 0 0.01 0,std_lon 2 0 0.01 0,std_alt 2 0 0.01 0",
+}
+N2K_FIELDS = [(pgn, i, *f.split(" ")) for pgn, text in N2K_NUMBERS.items() for i, f in enumerate(text.split(","))]
+
+
+@query(f"""WITH v(pgn, i, field, size, neg, scale, rad) AS (VALUES {", ".join(f"({p}, {i}, '{n}', {s}, {g}, ({c})::DOUBLE, {r})" for p, i, n, s, g, c, r in N2K_FIELDS if n not in ("-", "sid"))}),
+r AS (SELECT l_orderkey * 8 + l_linenumber AS k, pgn, field, neg, rad, scale, size, (l_partkey * (i + 3) + l_linenumber * 11) % 240 AS x FROM lineitem, v),
+o AS (SELECT k, pgn, field, CASE WHEN x % 17 > 0 THEN (x - 120 * neg) * scale * CASE rad WHEN 1 THEN 180 / pi() ELSE 1 END END AS value FROM r)
+SELECT pgn, field, count(*) AS rows, count(value) AS known, round(sum(value / (SELECT max(s.scale * CASE s.rad WHEN 1 THEN 180 / pi() ELSE 1 END) FROM v s WHERE s.pgn = o.pgn AND s.field = o.field)), 3) AS total
+FROM o GROUP BY pgn, field""")
+def n2k_fields_all(spark, sf):
+    """Every number of the ten groups, from payloads; numbers of all ones (the largest, if signed) aren't there. Totals are
+    in steps of a field's scale."""
+    items = fx.table(spark, sf, "lineitem")
+    out = None
+    for pgn in N2K_NUMBERS:
+        body, steps = [], {}
+        for p, i, name, size, neg, scale, rad in N2K_FIELDS:
+            if p != pgn:
+                continue
+            size, neg = int(size), int(neg)
+            x = (F.col("l_partkey") * (i + 3) + F.col("l_linenumber") * 11) % 240
+            missing = (1 << (8 * size - neg)) - 1
+            raw = F.lit(1).cast("long") if name in ("-", "sid") else F.when(x % 17 > 0, x - 120 * neg).otherwise(F.lit(missing))
+            body += fx._le(raw.cast("long"), size)
+            if name not in ("-", "sid"):
+                a, _, b = scale.partition("/")
+                steps[name] = float(a) / float(b or 1) * (180 / math.pi if rad == "1" else 1)
+        f = items.select(n2k.n2k_fields(pgn, F.array(*body)).alias("f"))
+        pairs = F.array(*[F.struct(F.lit(n).alias("field"), (F.col(f"f.{n}") / step).alias("value")) for n, step in steps.items()])
+        part = f.select(F.explode(pairs).alias("p")).select(F.lit(pgn).alias("pgn"), "p.*")
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("pgn", "field").agg(F.count("*").alias("rows"), F.count("value").alias("known"), F.round(F.sum("value"), 3).alias("total"))

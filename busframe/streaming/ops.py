@@ -269,7 +269,7 @@ class IsoTp(StatefulProcessor):
             self.open.clear()
         if out:
             frame = pd.DataFrame(out, columns=["ts_ns", "bytes", "frame_nos"])
-            for i, name in enumerate(["iface", "tx", "extended", "can_id"]):
+            for i, name in enumerate(SESSION):
                 frame.insert(i, name, key[i])
             yield frame
 
@@ -277,16 +277,26 @@ class IsoTp(StatefulProcessor):
         pass
 
 
-def uds_stream(frames: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """UDS messages of a stream of frames; a message may span batches. An open session has no end of its own; ttl_ms
-    gives it one."""
+SESSION = ["bus", "iface", "tx", "extended", "can_id", "address"]
+
+
+def uds_stream(frames: DataFrame, ttl_ms: int | None = None, addr_ext: bool = False) -> DataFrame:
+    """UDS messages of a stream of CAN and LIN diagnostic frames, with the session as in `uds_pdus`; a message may span
+    batches. An open session has no end of its own; ttl_ms gives it one. addr_ext: the first byte of CAN frames is an
+    address."""
     ship_package(frames.sparkSession)
-    pf = F.shiftrightunsigned("can_id", 16).bitwiseAND(255)
-    ext = F.col("flags").bitwiseAND(1) != 0
-    f = frames.filter((F.col("errors") == 0) & ~has_flag(F.col("flags"), RTR) & (F.col("bus") == "CAN") & (F.size("bytes") > 0) & (~ext | pf.isin(0xDA, 0xDB)))
-    f = f.select("iface", has_flag(F.col("flags"), TX).alias("tx"), ext.alias("extended"), "can_id", "ts_ns", "frame_no", "bytes")
-    schema = "iface int, tx boolean, extended boolean, can_id long, ts_ns long, bytes array<int>, frame_nos array<bigint>"
-    return f.groupBy("iface", "tx", "extended", "can_id").transformWithStateInPandas(IsoTp(ttl_ms), schema, "append", "None")
+    pf, n = F.shiftrightunsigned("can_id", 16).bitwiseAND(255), F.size("bytes")
+    ext, can = has_flag(F.col("flags"), EXTENDED), F.col("bus") == "CAN"
+    lin = (F.col("bus") == "LIN") & F.col("can_id").bitwiseAND(63).isin(0x3C, 0x3D) & (n >= 3)
+    f = frames.filter((F.col("errors") == 0) & ~has_flag(F.col("flags"), RTR) & ((can & (~ext | pf.isin(0xDA, 0xDB))) | lin))
+    skip = F.when(can, 1 if addr_ext else 0).otherwise(1)
+    address = F.when(can, F.coalesce(F.get("bytes", F.lit(0)), F.lit(0))).otherwise(0) if addr_ext else F.lit(0)
+    f = f.select(
+        "bus", "iface", has_flag(F.col("flags"), TX).alias("tx"), ext.alias("extended"), F.when(can, F.col("can_id")).otherwise(0).cast("long").alias("can_id"), address.cast("int").alias("address"),
+        "ts_ns", "frame_no", F.slice("bytes", skip + 1, F.greatest(n - skip, F.lit(0))).alias("bytes"),
+    ).filter(F.size("bytes") > 0)
+    schema = "bus string, iface int, tx boolean, extended boolean, can_id long, address int, ts_ns long, bytes array<int>, frame_nos array<bigint>"
+    return f.groupBy(*SESSION).transformWithStateInPandas(IsoTp(ttl_ms), schema, "append", "None")
 
 
 class Packets(StatefulProcessor):

@@ -63,6 +63,26 @@ def test_uds_over_batches(spark, tmp_path):
     assert norm(spark.table("uds").select(*batch.columns).collect()) == norm(batch.collect())
 
 
+def test_uds_with_addresses_and_lin(spark, tmp_path):
+    rows, t = [], 0
+    for i in range(12):
+        for part in ([0x10, 10, 0x62, i, 1, 2, 3], [0x21, 4, 5, 6, 7, 8, 9]):
+            for address in (0xF1, 0x10 + i):
+                t += 1000
+                rows.append((t, 0x7E8, 0, [address, *part[:7]]))
+        for part in ([0x10, 8, 0x22, i, 1, 2, 3], [0x21, 4, 5, 6, 7, 8]):
+            t += 1000
+            rows.append((t, 0x3C if i % 2 else 0x7D, 0, [7, *part], 3, "LIN"))
+    f = frames(spark, rows)
+    folder(f.select(*COLUMNS), str(tmp_path / "in"), 5)
+    s = ops.stream_frames(spark, str(tmp_path / "in"), max_files=1)
+    for addr_ext in (True, False):
+        ops.run_once(ops.uds_stream(s, addr_ext=addr_ext), f"uds{addr_ext}", str(tmp_path / f"c{addr_ext}"))
+        batch = transport.uds_pdus(f, addr_ext).select(*ops.SESSION, "ts_ns", "bytes", "frame_nos")
+        assert norm(spark.table(f"uds{addr_ext}").select(*batch.columns).collect()) == norm(batch.collect())
+        assert batch.filter("bus = 'LIN'").count() == 12 and batch.filter("bus = 'CAN'").count() == (24 if addr_ext else 0)
+
+
 def test_conditional_log(spark, tmp_path):
     rows = [("a", i, int(t * 1e9), None if v is None else float(v)) for i, (t, v) in enumerate([(1, 5), (2, 20), (2.5, 30), (3, 5), (9, 40), (10, 1), (11, None), (17, 50)])]
     df = spark.createDataFrame(rows, "log string, frame_no long, ts_ns long, speed double")
