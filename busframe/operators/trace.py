@@ -172,6 +172,13 @@ def monitor(frames: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def sorted_monitor(rows: DataFrame, column: str, descending: bool = False) -> DataFrame:
+    """Monitor rows with their place by a column, ties by first appearance; payloads compare byte by byte, a shorter one
+    before those it begins. There is a row for each id, so one task places them."""
+    key = F.desc_nulls_last(column) if descending else F.asc_nulls_first(column)
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(key, "position"))).orderBy("place")
+
+
 def with_cycle(frames: DataFrame, keys: Sequence[str], by: Sequence[str] = (), span: int = scan.RANGE_FRAMES) -> DataFrame:
     """Adds cycle: ns since the previous frame of the key, null for the first and where time goes back. keys are columns
     without nulls; a range has `span` frame numbers."""

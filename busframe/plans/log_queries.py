@@ -406,3 +406,21 @@ def n2k_fields_all(spark, sf):
         part = f.select(F.explode(pairs).alias("p")).select(F.lit(pgn).alias("pgn"), "p.*")
         out = part if out is None else out.unionByName(part)
     return out.groupBy("pgn", "field").agg(F.count("*").alias("rows"), F.count("value").alias("known"), F.round(F.sum("value"), 3).alias("total"))
+
+
+@query(f"""WITH m AS ({SQL["monitor"]}), {EVENTS.split("WITH ")[1]}
+SELECT m.frame_no, row_number() OVER (ORDER BY [raw % 256, raw // 256, f.k, node, raw // 256, raw % 256, kind, counter] DESC, m.position)::INT AS place FROM m JOIN f ON m.frame_no = f.frame_no""")
+def monitor_by_payload(spark, sf):
+    """The Monitor in the order of its payloads, from the highest."""
+    return trace.sorted_monitor(trace.monitor(fx.frames_from_events(spark, sf)), "bytes", descending=True).select("frame_no", "place")
+
+
+@query(EVENTS + """, g AS (SELECT iface, ts_ns - lag(ts_ns) OVER (PARTITION BY iface ORDER BY frame_no) AS d FROM f)
+SELECT median(d) AS median_ns FROM g WHERE d >= 0""")
+def median_of_all(spark, sf):
+    """An exact median of all gaps, without a task that holds them."""
+    from ..operators import scan
+
+    f = fx.frames_from_events(spark, sf).select("iface", "frame_no", "ts_ns")
+    c = trace.with_cycle(f, ["iface"]).filter("cycle is not null")
+    return scan.exact_median(c, [], "cycle", "median_ns")
