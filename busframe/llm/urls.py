@@ -27,12 +27,12 @@ TAILS = "ster ton land hub point world line works lab net berg ville ing ers een
 SECTIONS = "about contact index article story page item archive category tag post view list search product"
 
 
-def labelled_urls(most: int = 2000) -> list[tuple[str, int]]:
+def labelled_urls(most: int = 2000, unwanted: str = UNWANTED, ordinary: str = ORDINARY) -> list[tuple[str, int]]:
     """A small labelled table made of the words by rule: hosts of one or two words, or of a word and a tail; half of the
     ordinary ones are random letters, as a name that says nothing is no reason to block. Paths say nothing about the
     label. `most` unwanted ones, three times as many ordinary ones."""
     rng = np.random.default_rng(5)
-    bad, good, tails, sections = UNWANTED.split(), ORDINARY.split(), TAILS.split(), SECTIONS.split()
+    bad, good, tails, sections = unwanted.split(), ordinary.split(), TAILS.split(), SECTIONS.split()
     pick = lambda words: words[rng.integers(len(words))]
     out = []
     for label, words in ((1, bad), (0, good)):

@@ -173,3 +173,21 @@ def test_repeated_rows_count_each(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("extra", F.lit(1))
     out = sorted((r.positive_id, r.rank, r.negative_id) for r in negatives.hard_negatives(df, flip_every=None).collect())
     assert out == [(51, 1, 52), (51, 1, 52), (51, 2, 52), (51, 2, 52)]
+
+
+def test_urls_of_words_that_the_training_never_saw(spark):
+    """Every fifth word is held out of the labelled table, and the hosts judged are made of held-out words alone: what the
+    model knows of them are n-grams shared by chance. The figures are in the README."""
+    from busframe.llm import urls
+
+    part = lambda words, held: " ".join(w for i, w in enumerate(words.split()) if (i % 5 == 2) == held)
+    bad, good = (part(w, True) for w in (urls.UNWANTED, urls.ORDINARY))
+    labelled = urls.labelled_urls(unwanted=part(urls.UNWANTED, False), ordinary=part(urls.ORDINARY, False))
+    held = urls.labelled_urls(300, unwanted=bad, ordinary=good)
+    model = urls.train_urls(spark.createDataFrame(labelled, "url string, label int"))
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(held)], "page_id long, url string")
+    blocked = {r.page_id for r in urls.filter_urls(pages, model, rules=[]).filter("verdict = 'block'").collect()}
+    unwanted = {i for i, (_, y) in enumerate(held) if y}
+    recall, precision = len(blocked & unwanted) / len(unwanted), len(blocked & unwanted) / max(1, len(blocked))
+    print(recall, precision)
+    assert len(blocked - unwanted) / (len(held) - len(unwanted)) <= 0.1
