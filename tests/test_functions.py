@@ -159,7 +159,7 @@ def test_cycles(spark):
 def test_samples(spark):
     x = spark.createDataFrame([(i, i * 10, float(i)) for i in range(4)], "frame_no long, ts_ns long, value double")
     y = spark.createDataFrame([(i, 5 + i * 10, 10.0 + i) for i in range(3)], "frame_no long, ts_ns long, value double")
-    assert [(r.x, r.y) for r in samples.xy_pair(x, y).orderBy("ts_ns").collect()] == [(0, 10), (1, 11), (2, 12)]
+    assert [(r.x, r.y) for r in samples.xy_pair(x, y, keys=[]).orderBy("ts_ns").collect()] == [(0, 10), (1, 11), (2, 12)]
     s = spark.createDataFrame([("s", i, i * 10**9, v) for i, v in ((1, 10.0), (2, 20.0), (3, 35.0))], "signal string, frame_no long, ts_ns long, value double")
     at = lambda t: samples.values_at(s, int(t * 1e9), int(99e9), ["signal"]).first()
     assert (at(0.5).a, at(1.0).a, at(2.9).a, at(0.5).b) == (None, 10.0, 20.0, 35.0)
