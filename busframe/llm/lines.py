@@ -26,12 +26,11 @@ WORDS, BLANKS = "[\\x20\\x09\\x0b-\\x0d]+", " \t\x0b\x0c\r"
 
 
 def _plain(line: Column) -> Column:
-    """A line's words with one space between them; patterns run only on lines that have anything else."""
-    bare = F.btrim(line, F.lit(BLANKS))
-    odd = F.contains(bare, F.lit("  "))
+    """A line's words with one space between them; only lines that aren't so already are trimmed and searched."""
+    odd = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" ")) | F.contains(line, F.lit("  "))
     for c in BLANKS[1:]:
-        odd = odd | F.contains(bare, F.lit(c))
-    return F.when(odd, F.regexp_replace(bare, WORDS, " ")).otherwise(bare)
+        odd = odd | F.contains(line, F.lit(c))
+    return F.when(odd, F.regexp_replace(F.btrim(line, F.lit(BLANKS)), WORDS, " ")).otherwise(line)
 
 
 def _n_words(line: Column) -> Column:
@@ -40,7 +39,8 @@ def _n_words(line: Column) -> Column:
 
 
 def _blank(line: Column) -> Column:
-    return F.btrim(line, F.lit(BLANKS)) == ""
+    """No word in it; what starts with a byte above the space isn't trimmed to see that."""
+    return (line < "!") & (F.btrim(line, F.lit(BLANKS)) == "")
 
 
 def _hash(*parts: Column) -> Column:
@@ -94,7 +94,7 @@ def near_lines(by_doc: DataFrame, firsts: DataFrame, min_words: int) -> DataFram
     (dk, mine) of the distinct lines. by_doc: (dk, text, and front where ids repeat), dealt out by dk."""
     place = ["dk", "line_no"]
     spot = F.xxhash64(*place)
-    rows = _numbered(by_doc.join(firsts, "dk"), "mine").withColumn("n", _n_words(F.col("line"))).filter(F.col("n") >= min_words)
+    rows = _numbered(by_doc.join(firsts, "dk"), "mine").withColumn("n", _n_words(F.col("line")))
 
     # the shorter line of a pair has n or n - 1 words, and for an odd n these have halves of the same length
     def halves(h: Column) -> list[Column]:
@@ -102,7 +102,8 @@ def near_lines(by_doc: DataFrame, firsts: DataFrame, min_words: int) -> DataFram
         return [F.xxhash64(F.lit("head"), head), F.xxhash64(F.lit("tail"), tail)]
 
     h = F.shiftright("n", 1)
-    shares = rows.select(*place, F.explode(F.when(F.col("n") % 2 == 1, F.array(*halves(h))).otherwise(F.array(*halves(h), *halves(h - 1)))).alias("half"))
+    both = F.when(F.col("n") % 2 == 1, F.array(*halves(h))).otherwise(F.array(*halves(h), *halves(h - 1)))
+    shares = rows.select(*place, F.explode(F.when(F.col("n") >= min_words, both)).alias("half"))  # a filter would make lines plain again
     common = shares.groupBy("half").agg(F.min(spot).alias("lo"), F.max(spot).alias("hi")).filter("lo <> hi").select("half")
     likely = shares.join(common, "half", "left_semi").select(*place).distinct().groupBy("dk").agg(F.collect_list("line_no").alias("some"))
     lines = _numbered(by_doc.join(likely, "dk"), "some").repartition(*place)
