@@ -183,8 +183,25 @@ def decode_lin(frames: DataFrame, lin_dictionary: DataFrame) -> DataFrame:
     return j.select("frame", "publisher", "signal", "unit", "frame_no", "ts_ns", "iface", "raw", lin_physical(F.col("raw"), F.col("factor"), F.col("offset")).alias("value"))
 
 
-def seen_signals(dictionary: DataFrame, frames: DataFrame) -> DataFrame:
-    """Dictionary rows of messages that occur in the frames."""
+def seen_messages(frames: DataFrame, dictionary: DataFrame, networks: DataFrame) -> DataFrame:
+    """iface, network, raw_id, message and the count of frames, for each interface; without error and LIN frames and ids
+    that aren't known there. A message is that of the interface's network; without one, of the first that knows the id.
+
+    Frames are counted first, so what meets the dictionary is a row for each interface and id."""
+    can = frames.filter(~is_error(F.col("errors")) & (F.col("bus") == "CAN"))
+    seen = can.groupBy("iface", id_key(F.col("can_id"), F.col("flags")).alias("raw_id")).agg(F.count("*").alias("count"))
+    known = networks.select(F.col("iface").alias("_iface")).distinct()
+    names = by_interface(messages(dictionary), networks).withColumnRenamed("raw_id", "_raw")
+    s = seen.join(known, F.col("iface") == F.col("_iface"), "left")
+    found = s.join(names, F.col("_iface").eqNullSafe(F.col("on_iface")) & (F.col("raw_id") == F.col("_raw")))
+    return found.select("iface", "network", "raw_id", "message", "count")
+
+
+def seen_signals(dictionary: DataFrame, frames: DataFrame, networks: DataFrame | None = None) -> DataFrame:
+    """Dictionary rows of messages that occur in the frames: with networks, on an interface where frames are decoded by
+    the row's network; without, on any, as ids alone are compared."""
+    if networks is not None:
+        return dictionary.join(seen_messages(frames, dictionary, networks), ["network", "raw_id"], "left_semi")
     keys = frames.filter(~is_error(F.col("errors")) & (F.col("bus") == "CAN")).select(id_key(F.col("can_id"), F.col("flags")).alias("raw_id")).distinct()
     return dictionary.join(keys, "raw_id", "left_semi")
 

@@ -200,6 +200,12 @@ def seen_signals_all(spark, sf):
     return decode.seen_signals(fx.event_dictionary(spark), fx.frames_from_events(spark, sf)).select("network", "message").distinct()
 
 
+@query(EVENTS + "SELECT iface, CASE iface WHEN 1 THEN 'B' ELSE 'A' END AS network, 'Ev' || can_id AS message, count(*) AS count FROM f WHERE NOT err GROUP BY ALL")
+def seen_messages(spark, sf):
+    """Interface 2 has no network of its own and takes the first that knows an id."""
+    return decode.seen_messages(fx.frames_from_events(spark, sf), fx.event_dictionary(spark), fx.event_networks(spark)).drop("raw_id")
+
+
 @query(EVENTS + """SELECT frame_no, 'Kind=' || coalesce(CASE WHEN kind <> 3 THEN ['click', 'error', 'purchase', 'signup', 'view'][kind + 1] END, kind::VARCHAR) || ' Counter=' || counter AS signals FROM f WHERE NOT err""")
 def signals_text(spark, sf):
     d = fx.event_dictionary(spark).filter("signal in ('Kind', 'Counter')")

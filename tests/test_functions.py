@@ -307,3 +307,18 @@ def test_dictionary(spark):
     names = lambda *rows: spark.createDataFrame([("A", *r) for r in rows], "network string, raw_id long, signal string, raw long, name string")
     _, kept = decode.merge_dictionary(d.filter("signal = 'a'"), d, names((1, "a", 0, "old")), names((1, "a", 0, "new"), (1, "b", 0, "fresh")))
     assert norm(kept.select("signal", "name").collect()) == norm([("a", "old"), ("b", "fresh")])
+
+
+def test_seen_messages(spark):
+    from busframe.plans import fixtures as fx
+
+    body = [0] * 8
+    rows = [(1, 256, 0, body, 0), (2, 257, 0, body, 1), (3, 258, 0, body, 2), (4, 258, 0, body, 2), (5, 259, 0, body, 1, "CAN", 1), (6, 260, 0, body, 0, "LIN"), (7, 9, 0, body, 0)]
+    d, networks = fx.event_dictionary(spark), fx.event_networks(spark)
+    f = frames(spark, rows)
+    got = decode.seen_messages(f, d, networks)
+    assert sorted(tuple(r) for r in got.collect()) == [(0, "A", 256, "Ev256", 1), (1, "B", 257, "Ev257", 1), (2, "A", 258, "Ev258", 2)]
+    by_network = decode.seen_signals(d, f, networks).select("network", "raw_id").distinct().collect()
+    assert sorted(map(tuple, by_network)) == [("A", 256), ("A", 258), ("B", 257)]
+    assert decode.seen_signals(d, f).select("network", "raw_id").distinct().count() == 6
+    assert decode.seen_messages(f.limit(0), d, networks).count() == 0
