@@ -16,7 +16,8 @@
    task; what leaves it are counts and components, never the pairs.
 
 Documents with equal n-gram sets are one class from the start, so exact copies cost one row each. Prefixes with more than
-BUCKET_ROWS rows are dealt out to several tasks by a hash of the row; the first row of the prefix goes to all of them.
+BUCKET_ROWS rows are dealt out to parts by a hash of the row, and each pair of parts is walked as one, so that every two
+rows of a prefix meet, however many it has; what a task holds stays bounded.
 """
 
 from __future__ import annotations
@@ -150,12 +151,15 @@ def candidate_links(sets: DataFrame, *, similarity: float, trees: int, labels: i
     tight, loose = 1 - 0.75 * apart, 1 - 1.75 * apart - 0.05
     prefix = lambda t: F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.substring("labels", 2 * labels * t + 1, 2 * least)).alias("key"))
     keys = sets.select("sid", F.explode(F.array(*[prefix(t) for t in range(trees)])).alias("x")).select("sid", "x.tree", "x.key")
-    shared = keys.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.count("*").alias("n")).filter("low <> high")
-    shared = written(shared.select("key", "low", F.ceil(F.col("n") / BUCKET_ROWS).cast("int").alias("parts"), "n"), "prefixes")
-    n_groups = max(1, -(-(shared.agg(F.sum("n")).first()[0] or 0) // GROUP_ROWS))
-    # the first row of a prefix goes to all of its parts
-    part = F.explode(F.when(F.col("sid") == F.col("low"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))))
-    met = keys.join(shared, "key").select("sid", "tree", "key", part.alias("part"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    # two parts at a time are walked
+    shared = written(shared.select("key", F.when(F.col("n") <= BUCKET_ROWS, 1).otherwise(F.ceil(2 * F.col("n") / BUCKET_ROWS)).cast("int").alias("parts"), "n"), "prefixes")
+    n_groups = max(1, -(-(shared.agg(F.sum(F.col("n") * F.greatest(F.col("parts") - 1, F.lit(1)))).first()[0] or 0) // GROUP_ROWS))
+    # a row goes to every pair that its part is in
+    other = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: (x != F.col("own")) | (F.col("parts") == 1))
+    pair = F.least("own", "other").cast("long") * F.col("parts") + F.greatest("own", "other")
+    met = keys.join(shared, "key").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")).select("sid", "tree", "key", "parts", "own", F.explode(other).alias("other"))
+    met = met.select("sid", "tree", "key", pair.alias("part"))
     met = met.withColumn("grp", F.pmod(F.xxhash64("key", "part"), F.lit(n_groups)))
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:

@@ -38,6 +38,8 @@ QUALITY = ("symbols", "capitals", "stutter", "repeats", "function_words", "odd_e
 FOLDS = 3
 TOXICITY = (*(f"words without fold {k}" for k in range(FOLDS)), "labels")
 BUCKETS = 16
+#: Documents whose features are held at once.
+PIECE = 256
 _ASCII = np.arange(256)
 _UPPER, _LOWER = (_ASCII >= 65) & (_ASCII <= 90), (_ASCII >= 97) & (_ASCII <= 122)
 _ODD = (_ASCII > 32) & (_ASCII < 127) & ~_UPPER & ~_LOWER & ~np.isin(_ASCII, np.frombuffer(b".,;:'\"-()?0123456789", np.uint8))
@@ -228,9 +230,13 @@ def fit_scorer(column: np.ndarray, sizes: np.ndarray, target: np.ndarray, bits:
     # entries by document, and by feature: both sums run over neighbours
     order = np.argsort(column, kind="stable")
     row = np.repeat(np.arange(n, dtype=np.int32), sizes)[order]
-    used, first, column = np.unique(column[order], return_index=True, return_inverse=True)
+    column = column[order]
+    new = np.concatenate(([True], column[1:] != column[:-1]))
+    used, first = column[new], np.flatnonzero(new)
+    del column
     back = np.empty(len(order), np.int32)
-    back[order] = column
+    back[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    del order, new
     begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     w, bias = np.zeros(len(used), np.float32), 0.0
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
@@ -278,9 +284,7 @@ def _sampled_features(rows: DataFrame, task: str, lists: list[WordList], model:
     arrays in bytes. rows: (text, pattern, fold), fold -1 where all lists count."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
+        for b in (batch[at : at + PIECE] for batch in batches for at in range(0, len(batch), PIECE)):
             features = []
             for text, fold in zip(b.text, b.fold, strict=True):
                 t = traits(text)
@@ -352,9 +356,10 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, *, max_sample: int = 8
     ]
 
     def train(chunk: pd.DataFrame) -> pd.DataFrame:
-        arrays = [np.concatenate([np.frombuffer(x, kind) for x in chunk[c]]) for c, kind in (("columns", np.int32), ("sizes", np.int32), ("targets", float))]
-        made = fit_scorer(*arrays, bits)
-        return pd.DataFrame({"task": [chunk.task.iloc[0]], "weights": [made.weights.astype(np.float32).tobytes()], "bias": [made.bias]})
+        task = chunk.task.iloc[0]
+        # what is read is let go before the training: only the training's own numbers are held
+        made = fit_scorer(*[np.concatenate([np.frombuffer(x, kind) for x in chunk.pop(c)]) for c, kind in (("columns", np.int32), ("sizes", np.int32), ("targets", float))], bits)
+        return pd.DataFrame({"task": [task], "weights": [made.weights.astype(np.float32).tobytes()], "bias": [made.bias]})
 
     fitted = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("task").applyInPandas(train, "task string, weights binary, bias double").collect()  # two rows
     empty = fit_scorer(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0), bits)
