@@ -27,7 +27,7 @@ from .text_logs import finish
 
 RAW = "log string, frame_no long, ts_ns long, channel string, bus string, can_id long, flags int, errors int, bytes array<int>, remote_len long"
 LINKTYPE, BATCH = 227, 20_000
-RANGE_BYTES, BLOCK = 64 << 20, 1 << 20
+RANGE_BYTES, BLOCK, TASK_BYTES = 64 << 20, 1 << 20, 8 << 20
 CHAIN, LONGEST = 24, 1 << 18
 
 
@@ -191,10 +191,13 @@ def _walks(kind: str):
     """Rows of WALK of ranges (path, length, i, begin, end, start, start_order); start is where a range is told to begin."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        path, capture = None, None
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
-                capture, begin, end = KINDS[kind](File(r.path)), int(r.begin), int(r.end)
+                if r.path != path:  # ranges of a file follow each other
+                    path, capture = r.path, KINDS[kind](File(r.path))
+                begin, end = int(r.begin), int(r.end)
                 place = None
                 if capture.known:
                     first = (capture.first, capture.orders()[0]) if r.i == 0 else None
@@ -216,9 +219,11 @@ def _frames(kind: str):
     names = [c.split()[0] for c in RAW.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        path, capture = None, None
         for batch in batches:
             for r in batch.itertuples(index=False):
-                capture = KINDS[kind](File(r.path))
+                if r.path != path:
+                    path, capture = r.path, KINDS[kind](File(r.path))
                 if not capture.known:
                     continue
                 at, order, faces, rows = int(r.sync), r.sync_order, [], []
@@ -263,8 +268,11 @@ def capture_ranges(spark: SparkSession, path: str | list[str], kind: str, range_
         empty = F.array().cast("array<struct<at:long,order:string,block:binary>>")
         return ranges.repartitionByRange(max(n, 1), "path", "i").select("path", "end", F.lit(first).cast("long").alias("sync"), F.lit(order).alias("sync_order"), empty.alias("metas"))
 
+    # a task takes neighbouring ranges, TASK_BYTES of them, so that small ranges and files don't cost a task each
+    tasks = lambda n: max(1, min(n, -(-n * range_bytes // TASK_BYTES)))
+
     def done(todo: DataFrame, n: int) -> DataFrame:
-        return todo.repartitionByRange(max(n, 1), "path", "i").mapInPandas(_walks(kind), WALK)
+        return todo.repartitionByRange(tasks(n), "path", "i").mapInPandas(_walks(kind), WALK)
 
     def stored(rows: DataFrame) -> DataFrame:
         target = shared_path(spark, "ranges")
@@ -285,11 +293,12 @@ def capture_ranges(spark: SparkSession, path: str | list[str], kind: str, range_
         again = wrong.select("path", "length", "i", "begin", "end", F.coalesce("before.stop", "length").alias("start"), F.coalesce("before.stop_order", F.lit("<")).alias("start_order"))
         walks = stored(judged.filter("right").select(*walks.columns).unionByName(done(again, m)))
     metas = walks.groupBy("path").agg(F.flatten(F.collect_list("metas")).alias("metas"))  # sections and interfaces of a file
-    return walks.filter("sync is not null").drop("metas").join(metas, "path").select("path", "i", "end", "sync", "sync_order", "metas").repartitionByRange(n, "path", "i").drop("i")
+    return walks.filter("sync is not null").drop("metas").join(metas, "path").select("path", "i", "end", "sync", "sync_order", "metas").repartitionByRange(tasks(n), "path", "i").drop("i")
 
 
 def _read(spark: SparkSession, path: str | list[str], kind: str, range_bytes: int) -> DataFrame:
-    return finish(capture_ranges(spark, path, kind, range_bytes).mapInPandas(_frames(kind), RAW))
+    # a pcap has one channel, so no pass numbers them
+    return finish(capture_ranges(spark, path, kind, range_bytes).mapInPandas(_frames(kind), RAW), ["pcap0"] if kind == "pcap" else None)
 
 
 def read_pcap(spark: SparkSession, path: str | list[str], range_bytes: int = RANGE_BYTES) -> DataFrame:

@@ -5,10 +5,10 @@ import duckdb
 from helpers import norm
 from pyspark.sql import functions as F
 
-from busframe.operators import load
+from busframe.operators import load, trace
 from busframe.plans import log_queries  # noqa: F401
 from busframe.plans.queries import QUERIES, SQL
-from busframe.sources import dbc
+from busframe.sources import binary_logs, dbc
 
 
 def plan(df):
@@ -58,3 +58,25 @@ def test_levels_asked_for(spark, tmp_path):
     want = duck.execute(SQL["samples_lod"])
     names = [d[0] for d in want.description]
     assert norm(out.select(*names).collect()) == norm(want.fetchall())
+
+
+def test_small_ranges_share_tasks(spark, tmp_path):
+    """Ranges of 64 bytes of one capture: many ranges, few tasks."""
+    import struct
+
+    packet = struct.pack(">IBBBB", 0x123, 8, 0, 0, 0) + bytes(8)
+    body = b"".join(struct.pack("<IIII", 10, i, 16, 16) + packet for i in range(200))
+    (tmp_path / "a.pcap").write_bytes(struct.pack("<IHHiIII", 0xA1B23C4D, 2, 4, 0, 0, 65535, 227) + body)
+    ranges = binary_logs.capture_ranges(spark, str(tmp_path / "a.pcap"), "pcap", 64)
+    assert ranges.count() > 50 and ranges.rdd.getNumPartitions() == 1
+    out = binary_logs.read_pcap(spark, str(tmp_path / "a.pcap"), 64)
+    assert out.count() == 200 and out.select("iface").distinct().collect()[0][0] == 0
+
+
+def test_protocol_filter_joins_once(spark):
+    """Whether a first frame holds the text is told where it is read, not by a join of the frames with themselves."""
+    f = busy(spark).withColumns({"can_id": F.col("frame_no"), "channel": F.lit("can0")})
+    m = spark.range(20).select(F.array("id").alias("frame_nos"), F.concat(F.lit("m"), "id").alias("name"))
+    out = trace.protocol_filter(m, f, "0x00a", hidden_interfaces=[1])
+    assert plan(out).count("Join ") == 1
+    assert sorted(r.name for r in out.collect()) == ["m10"]
