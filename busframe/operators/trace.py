@@ -51,21 +51,23 @@ def smart_contains(column: Column, text: str) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
-def text_filter(df: DataFrame, text: str) -> DataFrame:
-    """Rows whose id as shown or type contains the text (any case), or whose message, sender or channel does."""
+def text_found(df: DataFrame, text: str) -> Column:
     any_case = [id_text(*[F.col(c) for c in ("bus", "can_id", "flags", "errors")]), type_text(*[F.col(c) for c in ("bus", "flags", "errors")])]
     tests = [F.contains(F.lower(c), F.lit(text.lower())) for c in any_case]
     tests += [smart_contains(F.col(c), text) for c in ("message", "sender", "channel") if c in df.columns]
-    return df.filter(reduce(lambda a, b: a | b, tests))
+    return reduce(lambda a, b: a | b, tests)
+
+
+def text_filter(df: DataFrame, text: str) -> DataFrame:
+    """Rows whose id as shown or type contains the text (any case), or whose message, sender or channel does."""
+    return df.filter(text_found(df, text))
 
 
 def protocol_filter(messages: DataFrame, frames: DataFrame, text: str = "", **hidden) -> DataFrame:
     """Protocol messages (with frame_nos and name) whose first frame passes `trace_filter` with the options given, and
     whose name contains the text or whose first frame passes `text_filter`."""
     first = trace_filter(frames, **hidden)
-    named = first.select(F.col("frame_no").alias("_first")) if not text else first.select(F.col("frame_no").alias("_first"), F.lit(False).alias("_found")).join(
-        text_filter(first, text).select(F.col("frame_no").alias("_hit")), F.col("_first") == F.col("_hit"), "left"
-    ).select("_first", F.col("_hit").isNotNull().alias("_found"))
+    named = first.select(F.col("frame_no").alias("_first"), *([F.coalesce(text_found(first, text), F.lit(False)).alias("_found")] if text else []))
     out = messages.withColumn("_no", F.get("frame_nos", F.lit(0))).join(named, F.col("_no") == F.col("_first"))
     out = out.filter(F.col("_found") | smart_contains(F.col("name"), text)) if text else out
     return out.select(messages.columns)
