@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..schema import settled
 from .bits import extract_raw_le, signed, unsigned_double
 
 # Parameter groups of one frame, and those sent as fast packets.
@@ -101,11 +102,18 @@ TEXTS = {
 }
 
 
-def _field(data: Column, start: int, size: int, kind: str, scale: float = 1.0, unit: str = "", _: int = 0) -> Column:
-    raw = extract_raw_le(data, start * 8, size * 8)
+def _raw(data: Column, start: int, size: int) -> Column:
+    return extract_raw_le(data, start * 8, size * 8)
+
+
+def _field(data: Column, start: int, size: int, *rest) -> Column:
+    return _value(_raw(data, start, size), size, *rest)
+
+
+def _value(raw: Column, size: int, kind: str, scale: float = 1.0, unit: str = "", _: int = 0) -> Column:
     if kind in ("u", "s"):
         missing = (1 << (8 * size - (kind == "s"))) - 1 if kind == "s" or size < 8 else -1
-        number = signed(raw, 8 * size).cast("double") if kind == "s" else unsigned_double(raw)
+        number = signed(raw, 8 * size).cast("double") if kind == "s" else unsigned_double(raw) if size == 8 else raw.cast("double")
         number = number * scale
         return F.when(raw != missing, number * (180 / math.pi) if unit == DEG else number)
     if kind in ("ref", "ref4"):
@@ -120,6 +128,16 @@ def n2k_fields(pgn: int, data: Column) -> Column:
     return F.when(F.size(data) >= least, F.struct(*[_field(data, *f[1:]).alias(f[0]) for f in layout]))
 
 
+def with_n2k_fields(rows: DataFrame, pgn: int, data: str, name: str = "f") -> DataFrame:
+    """Adds n2k_fields of a column of rows. The raw numbers are computed once, behind generators of one row, and the code
+    of each step stays small enough to be compiled: that of the struct alone doesn't, for groups of many fields."""
+    least, layout = LAYOUTS[pgn]
+    kept = [f"`{c}`" for c in rows.columns]
+    raws = settled(rows, *kept, **{f"_{f[0]}": _raw(F.col(data), *f[1:3]) for f in layout})
+    fields = F.struct(*[_value(F.col(f"_{f[0]}"), *f[2:]).alias(f[0]) for f in layout])
+    return settled(raws, *kept, **{name: F.when(F.size(data) >= least, fields)})
+
+
 def n2k_description(pgn: Column, data: Column) -> Column:
     out = F.when(F.lit(False), "")
     for group, (least, layout) in LAYOUTS.items():
