@@ -1,9 +1,11 @@
 """What the projections of round 3 were about: steps that cost more than their input."""
 
+import pandas as pd
 from helpers import norm
 from pyspark.sql import functions as F
 
 from busframe.functions import n2k
+from busframe.streaming import timed
 
 
 def largest_method(df):
@@ -29,3 +31,50 @@ def test_fields_in_steps(spark):
         assert out.filter("f is null").count() == 1
         assert norm(out.select("id", "f.*").collect()) == norm(rows.select("id", n2k.n2k_fields(pgn, F.col("data")).alias("f")).select("id", "f.*").collect())
         assert out.select("f.*").columns == [f[0] for f in layout]
+
+
+class Kept:
+    """A state of one key in memory."""
+
+    def __init__(self):
+        self.x = None
+
+    def exists(self):
+        return bool(self.x)
+
+    def get(self):
+        return self.x
+
+    def put(self, x):
+        self.x = x
+
+    update = put
+
+    def clear(self):
+        self.x = None
+
+    def iterator(self):
+        return iter((self.x or {}).items())
+
+    def updateValue(self, k, v):
+        self.x = (self.x or {}) | {k: v}
+
+
+class Handle:
+    getListState = getValueState = getMapState = lambda self, *_, **__: Kept()
+    registerTimer = deleteTimer = lambda self, _: None
+
+
+def test_a_long_log_leaves_in_chunks():
+    """What a task holds of a log is Arrow columns, and never all of it as rows of Python."""
+    n = 120_000
+    log = pd.DataFrame({"frame_no": range(n), "ts_ns": [(i * 7919) % n for i in range(n)], "iface": 0, "channel": ["b" if i % 2 else None for i in range(n)], "bus": "CAN", "can_id": 1, "flags": 0, "errors": 0, "dlc": 8, "len": 8, "data": b"12345678"})
+    hold = timed.HoldBack(10)
+    hold.init(Handle())
+    out = list(hold.handleInputRows(("a",), iter([log[:70_000], log[70_000:]]), None))
+    assert max(map(len, out)) <= timed.CHUNK and sum(map(len, out)) == n - 10
+    rows = pd.concat(out)
+    assert rows.ts_ns.tolist() == list(range(n - 10)) and not rows.late.any() and set(rows.channel_no) == {1, 2}
+    assert [r[1] for r in hold.held.get()] == list(range(n - 10, n))
+    again = list(hold.handleInputRows(("a",), iter([log[log.ts_ns == 5]]), None))
+    assert again[0].late.tolist() == [True] and again[0]["log"].tolist() == ["a"]
