@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -21,7 +22,7 @@ from ..functions.n2k import N2K_FAST
 from ..operators.load import bitrate_of
 from ..operators.trace import monitor_key
 from ..operators.trigger import PRE_NS, STALE_NS, Condition, bound_columns, column_of
-from ..schema import EXTENDED, FRAME_COLUMNS, RTR, TX
+from ..schema import EXTENDED, FRAME_COLUMNS, RTR, TX, to_binary
 from ..session import ship_package
 
 
@@ -226,6 +227,23 @@ def conditional_log_stream(
     return out.select("log", "frame_no", "ts_ns", *[F.col(f"v{i}").alias(s) for i, s in enumerate(signals)], "met")
 
 
+def in_order(rows: Iterator[pd.DataFrame], *names: str) -> Iterator[tuple]:
+    """(ts_ns, frame_no, names...) of a key's rows in the order of time, as numbers and bytes of Python."""
+    parts = list(rows)
+    whole = parts[0] if len(parts) == 1 else pd.concat(parts)
+    order = np.lexsort((whole.frame_no.to_numpy(), whole.ts_ns.to_numpy()))
+    return zip(*[whole[n].to_numpy()[order].tolist() for n in ("ts_ns", "frame_no", *names)], strict=True)
+
+
+def numbers(payload: bytes | bytearray) -> np.ndarray:
+    return np.frombuffer(payload, np.uint8).astype(np.int32)
+
+
+def payload_of(frames: DataFrame) -> Column:
+    """The bytes of frames as BINARY."""
+    return F.col("data") if "data" in frames.columns else to_binary(F.col("bytes"))
+
+
 class IsoTp(StatefulProcessor):
     """One session key: the open message."""
 
@@ -237,10 +255,9 @@ class IsoTp(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         s = self.open.get() if self.open.exists() else None
-        state = [int(s[0]), int(s[1]), int(s[2]), int(s[3]), list(s[4]), list(s[5])] if s else None
+        state = [int(s[0]), int(s[1]), int(s[2]), int(s[3]), bytearray(s[4]), [int(x) for x in s[5]]] if s else None
         out = []
-        for r in pd.concat(list(rows)).sort_values(["ts_ns", "frame_no"]).itertuples(index=False):
-            b, no, ts = [int(x) for x in r.bytes], int(r.frame_no), int(r.ts_ns)
+        for ts, no, b in in_order(rows, "payload"):
             kind, low = b[0] >> 4, b[0] & 15
             if kind == 0:
                 size, at = (b[1], 2) if low == 0 and len(b) > 1 else (low, 1)
@@ -252,7 +269,7 @@ class IsoTp(StatefulProcessor):
                 if size == 0 and len(b) >= 6:
                     size, at = int.from_bytes(bytes(b[2:6]), "big"), 6
                 if at < len(b) and b[at] >= 0x10:
-                    state = [ts, size, len(b) - at, 1, b[at:], [no]]
+                    state = [ts, size, len(b) - at, 1, bytearray(b[at:]), [no]]
             elif kind == 2 and state:
                 if low != state[3]:
                     state = None
@@ -264,14 +281,11 @@ class IsoTp(StatefulProcessor):
                     out.append((state[0], state[4], state[5]))
                     state = None
         if state:
-            self.open.update(tuple(state))
+            self.open.update((*state[:4], list(state[4]), state[5]))
         elif s:
             self.open.clear()
         if out:
-            frame = pd.DataFrame(out, columns=["ts_ns", "bytes", "frame_nos"])
-            for i, name in enumerate(SESSION):
-                frame.insert(i, name, key[i])
-            yield frame
+            yield pd.DataFrame([(*key, ts, numbers(b), nos) for ts, b, nos in out], columns=[*SESSION, "ts_ns", "bytes", "frame_nos"])
 
     def close(self) -> None:
         pass
@@ -285,7 +299,8 @@ def uds_stream(frames: DataFrame, ttl_ms: int | None = None, addr_ext: bool = Fa
     batches. An open session has no end of its own; ttl_ms gives it one. addr_ext: the first byte of CAN frames is an
     address."""
     ship_package(frames.sparkSession)
-    pf, n = F.shiftrightunsigned("can_id", 16).bitwiseAND(255), F.size("bytes")
+    data = payload_of(frames)
+    pf, n = F.shiftrightunsigned("can_id", 16).bitwiseAND(255), F.octet_length(data)
     ext, can = has_flag(F.col("flags"), EXTENDED), F.col("bus") == "CAN"
     lin = (F.col("bus") == "LIN") & F.col("can_id").bitwiseAND(63).isin(0x3C, 0x3D) & (n >= 3)
     f = frames.filter((F.col("errors") == 0) & ~has_flag(F.col("flags"), RTR) & ((can & (~ext | pf.isin(0xDA, 0xDB))) | lin))
@@ -293,8 +308,8 @@ def uds_stream(frames: DataFrame, ttl_ms: int | None = None, addr_ext: bool = Fa
     address = F.when(can, F.coalesce(F.get("bytes", F.lit(0)), F.lit(0))).otherwise(0) if addr_ext else F.lit(0)
     f = f.select(
         "bus", "iface", has_flag(F.col("flags"), TX).alias("tx"), ext.alias("extended"), F.when(can, F.col("can_id")).otherwise(0).cast("long").alias("can_id"), address.cast("int").alias("address"),
-        "ts_ns", "frame_no", F.slice("bytes", skip + 1, F.greatest(n - skip, F.lit(0))).alias("bytes"),
-    ).filter(F.size("bytes") > 0)
+        "ts_ns", "frame_no", F.substring(data, skip + 1, F.greatest(n - skip, F.lit(0))).alias("payload"),
+    ).filter(F.octet_length("payload") > 0)
     schema = "bus string, iface int, tx boolean, extended boolean, can_id long, address int, ts_ns long, bytes array<int>, frame_nos array<bigint>"
     return f.groupBy(*SESSION).transformWithStateInPandas(IsoTp(ttl_ms), schema, "append", "None")
 
@@ -309,7 +324,7 @@ class Packets(StatefulProcessor):
         row = "ts_ns long, pgn long, size long, packets int, first int, count int, bytes array<int>, frame_nos array<bigint>"
         self.open = handle.getValueState("open", row, ttlDurationMs=self.ttl)
 
-    def step(self, state: list | None, b: list[int], pgn: int, ts: int, no: int) -> list | None:
+    def step(self, state: list | None, b: bytes, pgn: int, ts: int, no: int) -> list | None:
         """The message that is open after a frame; its count is -1 once it has all its bytes."""
         if self.fast:
             if b[0] & 0x1F == 0:
@@ -324,7 +339,7 @@ class Packets(StatefulProcessor):
         if pgn == 0xEC00:
             if len(b) < 8 or b[0] not in (16, 32, 255):
                 return state
-            return None if b[0] == 255 else [ts, b[5] + b[6] * 256 + b[7] * 65536, b[1] + b[2] * 256, b[3], 0, 0, [], [no]]
+            return None if b[0] == 255 else [ts, b[5] + b[6] * 256 + b[7] * 65536, b[1] + b[2] * 256, b[3], 0, 0, b"", [no]]
         if state is None or b[0] != (state[5] + 1) % 256:
             return None
         state = [*state[:5], state[5] + 1, state[6] + b[1:8], [*state[7], no]]
@@ -332,15 +347,15 @@ class Packets(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = self.open.get() if self.open.exists() else None
-        state = [*(int(x) for x in held[:6]), [int(x) for x in held[6]], [int(x) for x in held[7]]] if held else None
+        state = [*(int(x) for x in held[:6]), bytes(held[6]), [int(x) for x in held[7]]] if held else None
         out = []
-        for r in pd.concat(list(rows)).sort_values(["ts_ns", "frame_no"]).itertuples(index=False):
-            state = self.step(state, [int(x) for x in r.bytes], int(r.pgn), int(r.ts_ns), int(r.frame_no))
+        for ts, no, pgn, b in in_order(rows, "pgn", "payload"):
+            state = self.step(state, b, pgn, ts, no)
             if state and state[5] == -1:
-                out.append((key[0], key[1], key[2], key[3], state[1], state[0], state[6][: state[2]], state[7]))
+                out.append((key[0], key[1], key[2], key[3], state[1], state[0], numbers(state[6][: state[2]]), state[7]))
                 state = None
         if state:
-            self.open.update(tuple(state))
+            self.open.update((*state[:6], list(state[6]), state[7]))
         elif held:
             self.open.clear()
         if out:
@@ -352,11 +367,11 @@ class Packets(StatefulProcessor):
 
 def _packets_stream(frames: DataFrame, fast: bool, ttl_ms: int | None) -> DataFrame:
     ship_package(frames.sparkSession)
-    f = frames.filter((F.col("errors") == 0) & ~has_flag(F.col("flags"), RTR) & has_flag(F.col("flags"), EXTENDED) & (F.col("bus") == "CAN") & (F.size("bytes") > 0))
-    f = f.select("iface", has_flag(F.col("flags"), TX).alias("tx"), j1939_fields(F.col("can_id")).alias("j"), "ts_ns", "frame_no", "bytes")
+    f = frames.filter((F.col("errors") == 0) & ~has_flag(F.col("flags"), RTR) & has_flag(F.col("flags"), EXTENDED) & (F.col("bus") == "CAN") & (F.octet_length(payload_of(frames)) > 0))
+    f = f.select("iface", has_flag(F.col("flags"), TX).alias("tx"), j1939_fields(F.col("can_id")).alias("j"), "ts_ns", "frame_no", payload_of(frames).alias("payload"))
     pgn = F.col("j.pgn")
     mine = (pgn >= 65536) & (pgn.isin(*N2K_FAST) | pgn.between(130816, 131071)) if fast else pgn.isin(0xEC00, 0xEB00)
-    f = f.filter(mine).select("iface", "tx", F.col("j.sa").cast("int").alias("sa"), (pgn if fast else F.col("j.ps")).cast("long").alias("to"), pgn.cast("long").alias("pgn"), "ts_ns", "frame_no", "bytes")
+    f = f.filter(mine).select("iface", "tx", F.col("j.sa").cast("int").alias("sa"), (pgn if fast else F.col("j.ps")).cast("long").alias("to"), pgn.cast("long").alias("pgn"), "ts_ns", "frame_no", "payload")
     schema = "iface int, tx boolean, sa int, to long, pgn long, ts_ns long, bytes array<int>, frame_nos array<bigint>"
     return f.groupBy("iface", "tx", "sa", "to").transformWithStateInPandas(Packets(fast, ttl_ms), schema, "append", "None")
 
