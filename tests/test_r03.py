@@ -88,7 +88,7 @@ WHOLE = [
     "conditional_log_bound_stream", "conditional_log_stream", "conditional_events_stream", "conditional_log", "conditional_log_stale",
     "decimate", "samples_lod", "stride", "trend", "xy_pair",
     "values_at", "value_search", "value_search_summary", "decode_long", "sql_decode",
-    "decoded_page", "decode_wide", "frame_table",
+    "decoded_page", "decode_wide", "frame_table", "signal_stats",
 ]
 
 
