@@ -6,7 +6,8 @@ import pytest
 from helpers import norm
 from pyspark.sql import functions as F
 
-from busframe.operators import load, trace
+from busframe.operators import load, trace, transport
+from busframe.plans import fixtures as fx
 from busframe.plans import log_queries  # noqa: F401
 from busframe.plans.queries import QUERIES, SQL
 from busframe.sources import binary_logs, dbc
@@ -103,3 +104,13 @@ def test_values_beyond_16_bits(spark, tmp_path, name):
     want = duck.execute(SQL[name])
     names = [d[0] for d in want.description]
     assert norm(QUERIES[name](spark, str(tmp_path)).select(*names).collect()) == norm(want.fetchall())
+
+
+def test_single_frames_are_not_sorted_with_their_payloads(spark):
+    """Messages of one frame are counted, not carried through the windows; repeated orders are dropped before they are frames."""
+    f = fx.uds_from_orders(spark, "/root/testdata/sf0.001")
+    assert "Deduplicate" not in f._jdf.queryExecution().analyzed().toString() and "first(bytes" not in plan(f)
+    lines = plan(transport.uds_pdus(f)).splitlines()
+    windows = [i for i, line in enumerate(lines) if "Window [" in line]
+    inner = lines[windows[0] : windows[-1]]
+    assert any("Filter" in line and "NOT (role" in line for line in inner)
