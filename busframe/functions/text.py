@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import BRS, ERROR_BITS, EXTENDED, FD, LIN_SLEEP, LIN_WAKEUP, RTR
-from .bits import has_flag, masked_id
+from .bits import extract_raw, has_flag, masked_id
 
 
 def id_text(bus: Column, can_id: Column, flags: Column, errors: Column, decimal: bool = False) -> Column:
@@ -30,6 +32,16 @@ def hex_text(data: Column, sep: str = " ") -> Column:
     return F.array_join(F.transform(data, lambda b: F.lpad(F.hex(b), 2, "0")), sep)
 
 
+def group_text(data: Column, groups: Sequence[tuple[int, int]], sep: str = " ") -> Column:
+    """Payload as hex by groups of bits (first bit, length; little-endian) instead of bytes, of two digits or more each."""
+
+    def one(start: int, length: int) -> Column:
+        digits = F.hex(extract_raw(data, start, length, False))
+        return F.lpad(digits, 2, "0") if length <= 8 else F.when(F.length(digits) < 2, F.concat(F.lit("0"), digits)).otherwise(digits)
+
+    return F.concat_ws(sep, *[one(*g) for g in groups])
+
+
 def spaced_hex(data: Column) -> Column:
     """Hex of BINARY with a blank between bytes; up to eight bytes are cut by place, without a lambda."""
     h = F.hex(data)
@@ -52,10 +64,11 @@ def ascii_text(data: Column, sep: str = "") -> Column:
     return F.array_join(F.transform(data, lambda b: F.when(b.between(0x20, 0x7E), F.char(b)).otherwise(".")), sep)
 
 
-def data_text(data: Column, flags: Column, errors: Column, mode: str = "hex") -> Column:
-    """Payload as hex, decimal or ASCII; empty for remote frames and no bytes; the errors of an error frame."""
+def data_text(data: Column, flags: Column, errors: Column, mode: str = "hex", groups: Sequence[tuple[int, int]] | None = None) -> Column:
+    """Payload as hex (of bytes, or of groups of bits), decimal or ASCII; empty for remote frames and no bytes; the errors of
+    an error frame."""
     shown = {
-        "hex": hex_text(data),
+        "hex": group_text(data, groups) if groups else hex_text(data),
         "decimal": F.array_join(data.cast("array<string>"), " "),
         "ascii": ascii_text(data, " "),
     }[mode]

@@ -3,9 +3,10 @@
 
 import duckdb
 import pytest
-from helpers import norm
+from helpers import array, norm, value
 from pyspark.sql import functions as F
 
+from busframe.functions import text
 from busframe.operators import load, trace, transport
 from busframe.plans import fixtures as fx
 from busframe.plans import log_queries  # noqa: F401
@@ -114,3 +115,30 @@ def test_single_frames_are_not_sorted_with_their_payloads(spark):
     windows = [i for i, line in enumerate(lines) if "Window [" in line]
     inner = lines[windows[0] : windows[-1]]
     assert any("Filter" in line and "NOT (role" in line for line in inner)
+
+
+def test_groups_of_bits(spark):
+    """A payload shown by groups of bits, none of them cut to two digits."""
+    data = array(0x34, 0x12, 0x00, 0x05, 0xF0)
+    assert value(spark, text.group_text(data, [(0, 8), (8, 16), (0, 16), (24, 3), (36, 4)])) == "34 12 1234 05 0F"
+    assert value(spark, text.group_text(data, [(4, 12), (16, 24)], "")) == "123F00500"
+    shown = text.data_text(data, F.lit(0), F.lit(0), groups=[(0, 4), (4, 36)])
+    assert value(spark, shown) == "04 F00500123" and value(spark, text.data_text(data, F.lit(0), F.lit(0))) == "34 12 00 05 F0"
+
+
+PRINTED = ["frame_texts"]
+
+
+@pytest.mark.parametrize("name", PRINTED)
+def test_texts_beyond_16_bits(spark, tmp_path, name):
+    """Texts show a value whole."""
+    test_values_beyond_16_bits(spark, tmp_path, name)
+
+
+@pytest.mark.parametrize("x", [-0.01, 10995116277.76])
+def test_packed_frames_cut_nothing(spark, tmp_path, x):
+    """What 40 bits don't hold is an error."""
+    rows = f"select 1L as event_id, timestamp_ntz'2024-01-01 00:00:00' as ts, 1L as user_id, 'click' as event_type, {x}D as value, '{{\"k\": 3}}' as props"
+    spark.sql(rows).write.parquet(str(tmp_path / "events.parquet"))
+    with pytest.raises(Exception, match="beyond 40 bits"):
+        fx.packed_frames_from_events(spark, str(tmp_path)).collect()
