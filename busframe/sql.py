@@ -14,17 +14,25 @@ FUNCTIONS = {
         "CASE WHEN bus = 'LIN' THEN 44 + 10 * len ELSE (47 + 8 * len + if((flags & 1) <> 0, 20, 0) + if((flags & 4) <> 0, 20, 0)) "
         "+ (47 + 8 * len + if((flags & 1) <> 0, 20, 0) + if((flags & 4) <> 0, 20, 0)) div 5 END"
     ),
+    # of eight bytes at once, and the ninth, into which a signal may reach
     "frame_signal_le(bytes ARRAY<INT>, start INT, length INT) RETURNS BIGINT": (
-        "(shiftrightunsigned(aggregate(sequence(0, 7), 0L, (a, i) -> a | shiftleft(CAST(coalesce(get(bytes, start div 8 + i), 0) AS BIGINT), 8 * i)), start % 8) "
+        "(shiftrightunsigned(aggregate(reverse(slice(bytes, start div 8 + 1, 8)), 0L, (a, b) -> shiftleft(a, 8) | b), start % 8) "
         "| if(start % 8 = 0, 0L, shiftleft(CAST(coalesce(get(bytes, start div 8 + 8), 0) AS BIGINT), 64 - start % 8))) "
         "& if(length >= 64, -1L, shiftleft(1L, length) - 1)"
     ),
     "frame_signal_be(bytes ARRAY<INT>, start INT, length INT) RETURNS BIGINT": (
-        "aggregate(sequence(0, length - 1), 0L, (a, i) -> shiftleft(a, 1) | CAST(shiftright(coalesce(get(bytes, (start + i) div 8), 0), 7 - (start + i) % 8) & 1 AS BIGINT))"
+        "shiftrightunsigned(shiftleft(aggregate(slice(concat(bytes, array(0, 0, 0, 0, 0, 0, 0)), start div 8 + 1, 8), 0L, (a, b) -> shiftleft(a, 8) | b), start % 8) "
+        "| shiftright(coalesce(get(bytes, start div 8 + 8), 0), 8 - start % 8), 64 - length)"
     ),
     "frame_signal(bytes ARRAY<INT>, start INT, length INT, big_endian BOOLEAN) RETURNS BIGINT": (
         "CASE WHEN big_endian THEN frame_signal_be(bytes, start, length) ELSE frame_signal_le(bytes, start, length) END"
     ),
+    "frame_raw(bytes ARRAY<INT>, start INT, length INT, big_endian BOOLEAN, is_unsigned BOOLEAN) RETURNS BIGINT": (
+        "shiftright(shiftleft(frame_signal(bytes, start, length, big_endian), if(is_unsigned, 0, 64 - length)), if(is_unsigned, 0, 64 - length))"
+    ),
+    "frame_holds(bytes ARRAY<INT>, start INT, length INT, is_muxed BOOLEAN, mux_value BIGINT, muxer STRUCT<start_bit: INT, length: INT, big_endian: BOOLEAN>) RETURNS BOOLEAN": (
+        "start + length <= 8 * size(bytes) AND (NOT is_muxed OR coalesce(frame_signal(bytes, muxer.start_bit, muxer.length, muxer.big_endian) = mux_value, false))"
+    ),
     "frame_signed(raw BIGINT, length INT) RETURNS BIGINT": "shiftright(shiftleft(raw, 64 - length), 64 - length)",
     "j1939_pgn(can_id BIGINT) RETURNS BIGINT": "if((can_id >> 16 & 255) >= 240, can_id >> 8 & 262143, can_id >> 8 & 261888)",
     "j1939_source(can_id BIGINT) RETURNS INT": "CAST(can_id & 255 AS INT)",
@@ -40,12 +48,15 @@ TABLE_FUNCTIONS = {
     "lookup_signal(in_network STRING, in_signal STRING) RETURNS TABLE (raw_id BIGINT, message STRING, start_bit INT, length INT, factor DOUBLE, offset DOUBLE, unit STRING)": (
         "SELECT d.raw_id, d.message, d.start_bit, d.length, d.factor, d.offset, d.unit FROM bus_dictionary d WHERE d.network = in_network AND d.signal = in_signal"
     ),
+    "message_signals(in_network STRING, in_key BIGINT) RETURNS TABLE (message STRING, signal STRING, start_bit INT, length INT, is_unsigned BOOLEAN, big_endian BOOLEAN, value_type STRING, "
+    "factor DOUBLE, offset DOUBLE, is_muxed BOOLEAN, mux_value BIGINT, muxer STRUCT<start_bit: INT, length: INT, big_endian: BOOLEAN>)": (
+        "SELECT d.message, d.signal, d.start_bit, d.length, d.is_unsigned, d.big_endian, d.value_type, d.factor, d.offset, d.is_muxed, d.mux_value, d.muxer "
+        "FROM bus_dictionary d WHERE d.network = in_network AND d.raw_id = in_key"
+    ),
     "decode_frame(in_network STRING, in_key BIGINT, in_bytes ARRAY<INT>) RETURNS TABLE (message STRING, signal STRING, raw BIGINT, value DOUBLE)": (
-        "SELECT d.message, d.signal, CASE WHEN d.is_unsigned THEN frame_signal(in_bytes, d.start_bit, d.length, d.big_endian) ELSE frame_signed(frame_signal(in_bytes, d.start_bit, d.length, d.big_endian), d.length) END, "
-        "CASE WHEN d.value_type = 'integer' THEN CASE WHEN d.is_unsigned THEN frame_signal(in_bytes, d.start_bit, d.length, d.big_endian) "
-        "ELSE frame_signed(frame_signal(in_bytes, d.start_bit, d.length, d.big_endian), d.length) END * d.factor + d.offset END "
-        "FROM bus_dictionary d WHERE d.network = in_network AND d.raw_id = in_key AND d.start_bit + d.length <= 8 * size(in_bytes) "
-        "AND (NOT d.is_muxed OR frame_signal(in_bytes, d.muxer.start_bit, d.muxer.length, d.muxer.big_endian) = d.mux_value)"
+        "SELECT d.message, d.signal, frame_raw(in_bytes, d.start_bit, d.length, d.big_endian, d.is_unsigned), "
+        "CASE WHEN d.value_type = 'integer' THEN frame_raw(in_bytes, d.start_bit, d.length, d.big_endian, d.is_unsigned) * d.factor + d.offset END "
+        "FROM bus_dictionary d WHERE d.network = in_network AND d.raw_id = in_key AND frame_holds(in_bytes, d.start_bit, d.length, d.is_muxed, d.mux_value, d.muxer)"
     ),
 }
 
@@ -53,7 +64,10 @@ TABLE_FUNCTIONS = {
 def register(spark: SparkSession, dictionary: DataFrame | None = None) -> list[str]:
     """Creates the temporary functions of a session and returns their names; with a dictionary (a row per signal) its view
     bus_dictionary and the table functions over it, too. A call of these is a join with the dictionary, once Catalyst has
-    inlined it: `SELECT ... FROM keyed f, LATERAL decode_frame('A', f.key, f.bytes) d`. Values
+    inlined it: `SELECT ... FROM keyed f, LATERAL decode_frame('A', f.key, f.bytes) d`. As that one is told payloads,
+    Catalyst joins each of them with the whole dictionary, and the result to the frames, so it is for few frames; of many
+    take the signals of their messages, which is a join by key alone: `SELECT frame_raw(f.bytes, d.start_bit, d.length, d.big_endian, d.is_unsigned) FROM keyed f, LATERAL
+    message_signals('A', f.key) d WHERE frame_holds(f.bytes, d.start_bit, d.length, d.is_muxed, d.mux_value, d.muxer)`. Values
     of float signals are null there; those of unsigned ones of 64 bits are taken as signed."""
     functions = dict(FUNCTIONS)
     if dictionary is not None:
