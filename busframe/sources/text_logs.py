@@ -43,7 +43,7 @@ def with_iface(frames: DataFrame, channels: Sequence[str] | None = None) -> Data
     from pyspark.sql import Window
 
     numbers = first.select("channel", (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("o")) - 1).cast("int").alias("iface"))  # a row per channel
-    return frames.drop("iface").join(numbers, "channel")
+    return frames.drop("iface").join(F.broadcast(numbers), "channel")
 
 
 def finish(rows: DataFrame, channels: Sequence[str] | None = None) -> DataFrame:
@@ -204,29 +204,40 @@ def read_trc(spark: SparkSession, path: str | list[str], channels: Sequence[str]
         F.coalesce(latest("COLUMNS", F.regexp_replace(head("COLUMNS"), r"([A-Za-z])[^,]*,?", "$1")), latest("FILEVERSION", F.try_element_at(versions, head("FILEVERSION")))).alias("columns"),
         latest("STARTTIME", F.round((days - 25569.0) * 86400e6).cast("long") * 1000).alias("start"),
     )
-    p = lines.filter(~F.startswith("value", F.lit(";")) & (F.trim("value") != "")).join(layout, "log")
-    p = p.withColumn("p", F.split(F.regexp_replace(F.trim(F.col("value")), r"^([0-9]+)\)", "$1"), r"\s+")).withColumn("d", F.instr("columns", "D") - 1)
-    place = lambda c: F.when(F.instr("columns", c) > 0, F.instr("columns", c) - 1)
-    col = lambda c: F.get("p", place(c))
-    ms = F.regexp_extract(col("O"), r"^([0-9]+)(?:\.([0-9]*))?$", 1).try_cast("long")
-    micros = F.rpad(F.substring(F.regexp_extract(col("O"), r"^([0-9]+)(?:\.([0-9]*))?$", 2), 1, 6), 6, "0").try_cast("long")
-    kind, way, ident = F.coalesce(col("T"), F.lit("")), F.coalesce(col("d"), F.lit("Rx")), col("I")
-    error = (way == "Error") | (kind == "ER")
-    fd, remote = kind.isin("FD", "FB", "FE", "BI"), (kind == "RR") | (F.get("p", F.col("d")) == "RTR")
-    number = _number(ident, 16)
-    flags = F.when(way == "Rx", 0).otherwise(TX) + F.when(fd, FD).otherwise(0) + F.when(kind.isin("FB", "FE"), BRS).otherwise(0) + F.when(remote, RTR).otherwise(0)
-    flags = flags + F.when((F.length(ident) > 4) | (number > 0x7FF), EXTENDED).otherwise(0)
-    code = _number(col("L"))
-    length = F.coalesce(_number(col("l")), F.when(code <= 15, F.when(fd, len_of_dlc(code.cast("int"))).otherwise(F.least(code, F.lit(8))))).cast("int")
-    data = F.slice("p", F.col("d") + 1, F.greatest(F.coalesce(length, F.lit(0)), F.lit(0)))
-    data = F.when(remote | error, F.array().cast("array<int>")).when(F.size(data) == length, _hex_list(data))
+    # a row for each file; each step is computed once, and not in every place that uses it
+    p = lines.filter(~F.startswith("value", F.lit(";")) & (F.trim("value") != "")).join(F.broadcast(layout), "log")
+    parts = F.split(F.regexp_replace(F.trim(F.col("value")), r"^([0-9]+)\)", "$1"), r"\s+")
+    p = settled(p, "log", "frame_no", "columns", "start", p=parts, d=F.instr("columns", "D") - 1)
+    col = lambda c: F.get("p", F.when(F.instr("columns", c) > 0, F.instr("columns", c) - 1))
+    p = settled(
+        p, "log", "frame_no", "start", "p", "d", at=col("O"), kind=F.coalesce(col("T"), F.lit("")), way=F.coalesce(col("d"), F.lit("Rx")), ident=col("I"), b=F.coalesce(col("B"), F.lit("1")),
+        code=_number(col("L")), size=_number(col("l")), number=_number(col("I"), 16), rtr=F.get("p", F.col("d")) == "RTR",
+    )
+    kind, way, number, code = (F.col(c) for c in ("kind", "way", "number", "code"))
+    error, fd, remote = (way == "Error") | (kind == "ER"), kind.isin("FD", "FB", "FE", "BI"), (kind == "RR") | F.coalesce("rtr", F.lit(False))
+    length = F.coalesce("size", F.when(code <= 15, F.when(fd, len_of_dlc(code.cast("int"))).otherwise(F.least(code, F.lit(8))))).cast("int")
+    whole = F.substring_index("at", ".", 1)
+    frac = F.rpad(F.substring(F.call_function("substring", F.col("at"), F.length(whole) + 2), 1, 6), 6, "0")
+    time = F.when(F.rlike("at", F.lit(r"^[0-9]+(?:\.[0-9]*)?$")), whole.try_cast("long") * 1_000_000 + frac.try_cast("long"))
+    p = settled(p, "log", "frame_no", "start", "p", "d", "kind", "way", "ident", "b", "number", error=error, fd=fd, remote=remote, length=length, time=time)
+    error, fd, remote, length = (F.col(c) for c in ("error", "fd", "remote", "length"))
     ok = way.isin("Rx", "Tx", "Error") & (error | (kind.isin("", "DT", "RR") | fd) & number.isNotNull() & (number <= 0x1FFFFFFF) & length.isNotNull() & (length <= F.when(fd, 64).otherwise(8)))
-    channel = F.concat(F.lit("CH "), F.coalesce(col("B"), F.lit("1")))
-    return finish(p.filter(ok & data.isNotNull() & ms.isNotNull()).select(
-        "log", "frame_no", (F.coalesce("start", F.lit(0)) + ms * 1_000_000 + micros).alias("ts_ns"), channel.alias("channel"), F.lit("CAN").alias("bus"),
-        F.when(error, 0).otherwise(number).cast("long").alias("can_id"), F.when(error, 0).otherwise(flags).alias("flags"), F.when(error, GENERIC_ERROR).otherwise(0).alias("errors"),
-        data.alias("bytes"), length.alias("remote_len"),
-    ), channels)
+    flags = F.when(way == "Rx", 0).otherwise(TX) + F.when(fd, FD).otherwise(0) + F.when(kind.isin("FB", "FE"), BRS).otherwise(0) + F.when(remote, RTR).otherwise(0)
+    flags = flags + F.when((F.length("ident") > 4) | (number > 0x7FF), EXTENDED).otherwise(0)
+    words = F.slice("p", F.col("d") + 1, F.greatest(F.coalesce(length, F.lit(0)), F.lit(0)))
+    none = F.array().cast("array<string>")
+    p = settled(
+        p.filter(ok & F.col("time").isNotNull()), "log", "frame_no", "length", ts_ns=F.coalesce("start", F.lit(0)) + F.col("time"), channel=F.concat(F.lit("CH "), F.col("b")),
+        can_id=F.when(error, 0).otherwise(number).cast("long"), flags=F.when(error, 0).otherwise(flags), errors=F.when(error, GENERIC_ERROR).otherwise(0),
+        n=F.when(remote | error, 0).otherwise(length), words=F.when(remote | error, none).otherwise(words),
+    )
+    # bytes of two digits each, as they mostly are, are read as one number; others one by one
+    p = settled(p.filter(F.size("words") == F.col("n")), *[c for c in p.columns if c != "words"], "words", text=F.array_join("words", " "))
+    plain = F.rlike("text", F.lit("^(?:[0-9A-Fa-f]{2}(?: (?!$)|$))*$"))
+    p = settled(p, *[c for c in p.columns if c not in ("n", "text")], hexed=F.when(plain, F.translate("text", " ", "")))
+    data = F.when(F.col("hexed").isNotNull(), hex_bytes(F.col("hexed"))).otherwise(_hex_list(F.col("words")))
+    p = settled(p, *[c for c in p.columns if c not in ("words", "hexed", "length")], bytes=data, remote_len=F.col("length")).filter("bytes is not null")
+    return finish(p.withColumn("bus", F.lit("CAN")), channels)
 
 
 def read_code_texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
